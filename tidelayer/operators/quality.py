@@ -71,40 +71,33 @@ def malformed_report(df: DataFrame, key: str, body: str) -> DataFrame:
 
 
 def feed_stats(df: DataFrame, id_col: str, type_col: str, place_col: str, time_col: str) -> DataFrame:
-    """metric, item, n: rows, distinct ids (a missing id is one of them), rows per type and per place.
+    """metric, item, n: rows, distinct ids (a missing id is one of them), time span, rows per type and place.
 
-    One pass over the feed: it is reduced to one row per (id, type, place) first.
+    Two scans that read different columns: ids and times for the whole, types and places per value.
     """
-    base = df.groupBy(id_col, type_col, place_col).agg(
-        F.count(F.lit(1)).alias("n"), F.min(time_col).alias("first_ts"), F.max(time_col).alias("last_ts")
+    missing = F.max(F.when(F.col(id_col).isNull(), 1).otherwise(0))
+    whole = df.agg(
+        F.count(F.lit(1)).alias("n"),
+        (F.countDistinct(id_col) + missing).alias("ids"),
+        F.min(time_col).alias("lo"),
+        F.max(time_col).alias("hi"),
     )
-    none = F.lit(None).cast("string")
-    per_id = base.groupBy(id_col).agg(F.sum("n").alias("n"))
-    whole = per_id.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("ids"))
-    totals = whole.select(
-        F.inline(
-            F.array(
-                F.struct(F.lit("rows").alias("metric"), none.alias("item"), F.col("n")),
-                F.struct(F.lit("unique_ids").alias("metric"), none.alias("item"), F.col("ids").alias("n")),
-            )
-        )
+    no_item, no_n = F.lit(None).cast("string").alias("item"), F.lit(None).cast("bigint").alias("n")
+    lines = F.array(
+        F.struct(F.lit("rows").alias("metric"), no_item, F.col("n").alias("n")),
+        F.struct(F.lit("unique_ids").alias("metric"), no_item, F.col("ids").alias("n")),
+        F.struct(F.lit("first_ts").alias("metric"), F.col("lo").alias("item"), no_n),
+        F.struct(F.lit("last_ts").alias("metric"), F.col("hi").alias("item"), no_n),
     )
-    types = base.groupBy(type_col).agg(F.sum("n").alias("n")).select(F.lit("type").alias("metric"), F.col(type_col).alias("item"), "n")
-    places = (
-        base.where(F.col(place_col).isNotNull())
-        .groupBy(place_col)
-        .agg(F.sum("n").alias("n"))
-        .select(F.lit("place").alias("metric"), F.col(place_col).cast("string").alias("item"), "n")
+    per_value = df.groupingSets([[F.col(type_col)], [F.col(place_col)]], F.col(type_col), F.col(place_col)).agg(
+        F.grouping(type_col).alias("is_place"), F.count(F.lit(1)).alias("n")
     )
-    span = base.agg(F.min("first_ts").alias("lo"), F.max("last_ts").alias("hi")).select(
-        F.inline(
-            F.array(
-                F.struct(F.lit("first_ts").alias("metric"), F.col("lo").alias("item"), F.lit(None).cast("bigint").alias("n")),
-                F.struct(F.lit("last_ts").alias("metric"), F.col("hi").alias("item"), F.lit(None).cast("bigint").alias("n")),
-            )
-        )
+    values = per_value.where((F.col("is_place") == 0) | F.col(place_col).isNotNull()).select(
+        F.when(F.col("is_place") == 1, F.lit("place")).otherwise(F.lit("type")).alias("metric"),
+        F.when(F.col("is_place") == 1, F.col(place_col).cast("string")).otherwise(F.col(type_col)).alias("item"),
+        "n",
     )
-    return totals.unionByName(types).unionByName(places).unionByName(span)
+    return whole.select(F.inline(lines)).unionByName(values)
 
 
 def presence(tables: Mapping[str, DataFrame]) -> DataFrame:
@@ -157,7 +150,7 @@ def late_arrivals(df: DataFrame, arrival: str, time: str, group: str, block_rows
     whole feed. It is taken in two levels: within blocks of arrival numbers, and over one row per
     block, so the only step in one task sees one row per `block_rows` rows.
     """
-    blocks = df.select(arrival, time, group).withColumn("_block", F.floor(F.col(arrival) / block_rows))
+    blocks = df.select(arrival, time, group).withColumn("_block", F.expr(f"{arrival} div {block_rows}"))
     tops = blocks.groupBy("_block").agg(F.max(time).alias("_top"))
     before = Window.rowsBetween(Window.unboundedPreceding, -1)
     running = tops.select("_block", F.max("_top").over(before.orderBy("_block")).alias("_before_block"))

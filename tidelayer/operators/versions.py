@@ -14,11 +14,12 @@ import json
 import uuid
 from collections.abc import Callable, Mapping
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from tidelayer.sources.formats import clustered
+
 HISTORY = (
     "version BIGINT, committed_at TIMESTAMP, operation STRING, n_rows BIGINT, "
     "batches ARRAY<STRING>, table_schema STRING"
@@ -61,7 +62,8 @@ def rewrite_partitions(
     table = spark.read.parquet(path)
     touched = table.where(holds(condition)).select(partition).distinct()
     affected = table.join(touched, partition, "left_semi").select(*table.columns)
-    change(affected).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
+    changed = clustered(change(affected), [partition])
+    changed.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
 
 
 class VersionedTable:
@@ -69,12 +71,23 @@ class VersionedTable:
 
     def __init__(self, spark: SparkSession, path: str, partition_by: tuple[str, ...] = ()):
         self.spark, self.path, self.partition_by = spark, path.rstrip("/"), partition_by
+        self._newest = None  # entry that this writer listed last
+
+    @classmethod
+    def create(cls, spark: SparkSession, path: str, df: DataFrame, partition_by: tuple[str, ...] = ()) -> VersionedTable:
+        """A new table with df as its first version; fails where there is one already."""
+        table = cls(spark, path, partition_by)
+        batch, n_rows = table._write(df, 1)
+        table._list(1, "create", n_rows, [batch], df.schema.json())
+        return table
 
     def history(self) -> DataFrame:
         """version, committed_at, operation, n_rows, batches, table_schema: one row per version."""
         return self.spark.read.schema(HISTORY).parquet(f"{self.path}/_history/*")
 
     def _entry(self, version: int | None = None, as_of: dt.datetime | str | None = None):
+        if version is None and as_of is None and self._newest is not None:
+            return self._newest
         entries = self.history()
         if version is not None:
             entries = entries.where(F.col("version") == version)
@@ -85,15 +98,6 @@ class VersionedTable:
             raise LookupError(f"no such version of {self.path}: version={version}, as_of={as_of}")
         return found[0]
 
-    def _last(self):
-        """The newest entry, or None before the first commit."""
-        try:
-            return self._entry()
-        except AnalysisException as error:
-            if error.getCondition() != "PATH_NOT_FOUND":
-                raise
-            return None
-
     def _scan(self, entry) -> DataFrame:
         schema = StructType.fromJson(json.loads(entry["table_schema"]))
         folders = [f"{self.path}/batch={batch}" for batch in entry["batches"]]
@@ -108,21 +112,22 @@ class VersionedTable:
         """One batch folder; its rows are counted by the write itself."""
         batch = f"{version:06d}-{uuid.uuid4().hex}"
         counted = Observation()
-        writer = df.observe(counted, F.count(F.lit(1)).alias("n_rows")).write
         if self.partition_by:
-            writer = writer.partitionBy(*self.partition_by)
-        writer.parquet(f"{self.path}/batch={batch}")
+            df = clustered(df, self.partition_by)
+        rows = df.observe(counted, F.count(F.lit(1)).alias("n_rows"))
+        rows.write.partitionBy(*self.partition_by).parquet(f"{self.path}/batch={batch}")
         return batch, counted.get["n_rows"]
 
     def _list(self, version: int, operation: str, n_rows: int, batches: list[str], schema: str) -> int:
-        entry = [(version, dt.datetime.now(dt.timezone.utc), operation, n_rows, batches, schema)]
-        self.spark.createDataFrame(entry, HISTORY).coalesce(1).write.parquet(f"{self.path}/_history/{version:06d}")
+        entry = (version, dt.datetime.now(), operation, n_rows, batches, schema)
+        listed = self.spark.createDataFrame([entry], HISTORY).coalesce(1)
+        listed.write.parquet(f"{self.path}/_history/{version:06d}")
+        self._newest = dict(zip(listed.columns, entry))
         return version
 
     def commit(self, df: DataFrame, operation: str) -> int:
         """df is the whole of the next version."""
-        last = self._last()
-        version = last["version"] + 1 if last else 1
+        version = self._entry()["version"] + 1
         batch, n_rows = self._write(df, version)
         return self._list(version, operation, n_rows, [batch], df.schema.json())
 
@@ -154,7 +159,9 @@ class VersionedTable:
         return self.commit(self.read().withColumnRenamed(old, new), "rename column")
 
     def compact(self, target_bytes: int = TARGET_FILE_BYTES) -> int:
-        """Same rows in files of about the target size."""
+        """Same rows in files of about the target size; with partitions, in files of the advisory size."""
+        if self.partition_by:
+            return self.commit(self.read(), "compact")
         size = self.files().agg(F.sum("bytes")).first()[0] or 0
         count = max(1, round(size / target_bytes))
         return self.commit(self.read().repartition(count), "compact")

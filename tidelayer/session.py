@@ -35,14 +35,14 @@ def shared_dir(spark: SparkSession) -> str:
     below it, so a lost executor never takes such files away. Only a local master may fall back to
     a folder of its own.
     """
-    configured = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    configured = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if configured:
         return configured.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not context.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    fallback = tempfile.mkdtemp(prefix="tidelayer-shared-")
-    spark.conf.set("spark.checkpoint.dir", fallback)
-    return fallback
+    context.setCheckpointDir(tempfile.mkdtemp(prefix="tidelayer-shared-"))
+    return context.getCheckpointDir()
 
 
 def run_dir(spark: SparkSession, name: str) -> str:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
@@ -38,6 +40,15 @@ def read_any(spark: SparkSession, fmt: str, path: str, schema: str | StructType
     return (reader.schema(schema) if schema else reader).load(path)
 
 
+def clustered(df: DataFrame, partition_by: Iterable[str]) -> DataFrame:
+    """Rows of one partition folder together, in tasks of about the advisory size.
+
+    Without it every task writes a file to every folder. Rebalancing splits a folder that has most
+    of the rows over many tasks, and puts small folders together in one.
+    """
+    return df.hint("rebalance", *partition_by)
+
+
 def write_any(
     df: DataFrame,
     fmt: str,
@@ -48,7 +59,7 @@ def write_any(
     **options: str,
 ) -> str:
     """Write and give the path back, so that a round trip reads as one expression."""
-    writer = df.write.format(fmt).mode(mode).options(**options)
+    writer = (clustered(df, partition_by) if partition_by else df).write.format(fmt).mode(mode).options(**options)
     if compression:
         writer = writer.option("compression", compression)
     if partition_by:

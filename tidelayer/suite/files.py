@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidelayer.functions import money
 from tidelayer.session import run_dir
-from tidelayer.sources import formats, read_declared, read_table
+from tidelayer.sources import catalog, formats, read_declared, read_table
 from tidelayer.sources.feed import envelope, product_orders
 from tidelayer.sources.messages import unpack
 from tidelayer.streaming.sinks import append_files
@@ -104,14 +104,9 @@ def sink_partitioned(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def sink_time_partitioned(spark: SparkSession, sf: str) -> DataFrame:
-    """Events by day folders, read back with the day as a column.
-
-    Rows are clustered by day before the write, each day over several tasks, so that a day is a few
-    files and a day with most of the rows is not one task's work.
-    """
+    """Events by day folders, read back with the day as a column."""
     events = read_table(spark, sf, "events").select("event_id", "ts", "value", F.to_date("ts").alias("event_date"))
-    dealt = F.pmod(F.xxhash64("event_id"), F.lit(4))
-    path = formats.write_any(events.repartition("event_date", dealt), "parquet", run_dir(spark, "by-day"), partition_by=["event_date"])
+    path = formats.write_any(events, "parquet", run_dir(spark, "by-day"), partition_by=["event_date"])
     return spark.read.parquet(path).groupBy("event_date", F.hour("ts").alias("event_hour")).agg(
         F.count(F.lit(1)).alias("n_rows"), money.total("value").alias("total_value")
     )
@@ -121,16 +116,13 @@ def ctas_customer_summary(spark: SparkSession, sf: str) -> DataFrame:
     """CREATE TABLE .. AS SELECT at a path below the shared folder, then a read of the table."""
     path = run_dir(spark, "ctas")
     table = "customer_summary_" + path.rsplit("-", 1)[1]
-    spark.sql(
-        f"""
-        CREATE TABLE {table} USING parquet LOCATION '{path}' AS
+    query = """
         SELECT user_id AS customer_id, count(*) AS total_orders,
                CAST(sum(CAST(rint(value * 100) AS BIGINT)) AS DOUBLE) / 100D AS total_revenue,
                min(ts) AS first_order, max(ts) AS last_order
-        FROM {{events}} WHERE event_type = 'purchase' GROUP BY user_id
-        """,
-        events=read_table(spark, sf, "events"),
-    )
+        FROM {events} WHERE event_type = 'purchase' GROUP BY user_id
+    """
+    catalog.create_as(spark, table, query, path, events=read_table(spark, sf, "events"))
     return spark.table(table)
 
 
@@ -138,7 +130,7 @@ def qc_direct_scan(spark: SparkSession, sf: str) -> DataFrame:
     """Rows of a table read by name against rows of its files read by path."""
     path = run_dir(spark, "direct")
     table = "orders_" + path.rsplit("-", 1)[1]
-    read_table(spark, sf, "orders").write.option("path", path).saveAsTable(table)
+    catalog.replace_table(read_table(spark, sf, "orders"), table, path=path)
     by_name = spark.table(table).agg(F.count(F.lit(1)).alias("table_rows"))
     by_path = spark.read.parquet(path).agg(F.count(F.lit(1)).alias("file_rows"))
     return by_name.select("table_rows", by_path.scalar().alias("file_rows")).withColumn(

@@ -23,6 +23,11 @@ def guarded_blocks(spark: SparkSession, sf: str) -> DataFrame:
     return guard(_blocks(spark, sf), BLOCK_RULES, ["extra_data"])
 
 
+def _joined(reasons: str):
+    """Reasons as one text, in their order."""
+    return F.concat_ws(",", reasons).alias(reasons)
+
+
 def guard_rules(spark, sf):
     """One column per rule: its reason where it fires."""
     return with_rule_flags(_blocks(spark, sf), BLOCK_RULES).select("block_number", *(f"flag_{reason.lower()}" for _, reason in BLOCK_RULES))
@@ -39,7 +44,7 @@ def guard_chats(spark, sf):
 
 
 def guard_decide(spark, sf):
-    return guarded_blocks(spark, sf).select("block_number", "validation_reasons", "is_quarantined", "decision")
+    return guarded_blocks(spark, sf).select("block_number", _joined("validation_reasons"), "is_quarantined", "decision")
 
 
 def guard_orders(spark, sf):
@@ -52,14 +57,14 @@ def guard_orders(spark, sf):
         (k % 9 + 1).alias("num_items"),
         F.when(F.col("event_id") % 23 == 0, F.concat(F.lit("AKIA"), F.lpad(F.col("event_id").cast("string"), 16, "7"))).otherwise(F.lit("ok")).alias("note"),
     )
-    return guard(orders, ORDER_RULES, reasons="reasons").select("order_id", "brand", "total", "decision", "reasons")
+    return guard(orders, ORDER_RULES, reasons="reasons").select("order_id", "brand", "total", "decision", _joined("reasons"))
 
 
 def guard_route(spark, sf):
     """Key, topic and, read back out of the JSON value, what was sent."""
     sent = route(guarded_blocks(spark, sf), "block_hash", "validated", PAYLOAD)
     value = F.from_json("value", "block_number BIGINT, gas_used BIGINT, decision STRING, validation_reasons ARRAY<STRING>")
-    return sent.withColumn("v", value).select("key", "topic", "v.*")
+    return sent.withColumn("v", value).select("key", "topic", "v.*").withColumn("validation_reasons", _joined("validation_reasons"))
 
 
 def guard_summary(spark, sf):
@@ -73,7 +78,7 @@ def guard_reasons(spark, sf):
 
 def guard_sample(spark, sf):
     """Preview of quarantined blocks: the first twenty by number."""
-    return first_rows(guarded_blocks(spark, sf).where(F.col("decision") == "QUARANTINE").select("block_number", "validation_reasons"), "block_number", n=20)
+    return first_rows(guarded_blocks(spark, sf).where(F.col("decision") == "QUARANTINE").select("block_number", _joined("validation_reasons")), "block_number", n=20)
 
 
 QUERIES = {
@@ -106,18 +111,18 @@ ORACLE = {
         CASE WHEN list_contains(reasons, 'ZERO_MINER') THEN 'ZERO_MINER' END AS flag_zero_miner FROM decided""",
     "guard_sensitive": f"SELECT doc_id, {_CLASS} FROM documents",
     "guard_chats": f"SELECT conv_id, turn, {_CLASS} FROM conversations",
-    "guard_decide": f"""WITH {BLOCKS} SELECT block_number, reasons AS validation_reasons, len(reasons) > 0 AS is_quarantined,
+    "guard_decide": f"""WITH {BLOCKS} SELECT block_number, array_to_string(reasons, ',') AS validation_reasons, len(reasons) > 0 AS is_quarantined,
         decision FROM decided""",
     "guard_orders": """WITH e AS (SELECT *, CAST(json_extract(props, '$.k') AS INTEGER) % 9 + 1 AS num_items FROM events),
         r AS (SELECT *, list_filter([CASE WHEN value > 200 THEN 'HIGH_TOTAL' END, CASE WHEN num_items > 7 THEN 'TOO_MANY_ITEMS' END,
         CASE WHEN event_id % 23 = 0 THEN 'LEAKED_SECRET' END], lambda x: x IS NOT NULL) AS reasons FROM e)
         SELECT CAST(event_id AS VARCHAR) AS order_id, event_type AS brand, value AS total,
-        CASE WHEN len(reasons) > 0 THEN 'QUARANTINE' ELSE 'ALLOW' END AS decision, reasons FROM r""",
+        CASE WHEN len(reasons) > 0 THEN 'QUARANTINE' ELSE 'ALLOW' END AS decision, array_to_string(reasons, ',') AS reasons FROM r""",
     "guard_route": f"""WITH {BLOCKS} SELECT block_hash AS key,
         CASE decision WHEN 'QUARANTINE' THEN 'validated-quarantine' ELSE 'validated-allowed' END AS topic,
-        block_number, gas_used, decision, reasons AS validation_reasons FROM decided""",
+        block_number, gas_used, decision, array_to_string(reasons, ',') AS validation_reasons FROM decided""",
     "guard_summary": f"WITH {BLOCKS} SELECT decision, count(*) AS n FROM decided GROUP BY 1",
     "guard_reasons": f"WITH {BLOCKS} SELECT unnest(reasons) AS reason, count(*) AS n FROM decided GROUP BY 1",
-    "guard_sample": f"""WITH {BLOCKS} SELECT block_number, reasons AS validation_reasons FROM decided
+    "guard_sample": f"""WITH {BLOCKS} SELECT block_number, array_to_string(reasons, ',') AS validation_reasons FROM decided
         WHERE decision = 'QUARANTINE' ORDER BY block_number LIMIT 20""",
 }

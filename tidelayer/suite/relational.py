@@ -283,7 +283,7 @@ def fn_array(spark, sf):
             F.size("items").alias("n_items"),
             payload.fold_quantity("items").alias("quantity"),
             F.round(payload.fold_amount("items"), 2).alias("amount"),
-            F.array_compact("holes").alias("tags"),
+            F.concat_ws(",", F.array_compact("holes")).alias("tags"),
             F.size(F.filter("holes", lambda x: x.isNotNull())).alias("n_tags"),
         )
     )
@@ -433,7 +433,7 @@ ORACLE = {
     "fn_array": f"""WITH e AS (SELECT *, {K} AS k FROM events)
         SELECT event_id, k % 4 + 1 AS n_items, CAST((k % 4 + 1) * (k % 4 + 2) / 2 AS INTEGER) AS quantity,
         round(value * ((k % 4 + 1) * (k % 4 + 2) / 2), 2) AS amount,
-        list_filter([CASE WHEN k < 50 THEN 'low' END, CASE WHEN k % 2 = 0 THEN 'even' END], lambda x: x IS NOT NULL) AS tags,
+        concat_ws(',', CASE WHEN k < 50 THEN 'low' END, CASE WHEN k % 2 = 0 THEN 'even' END) AS tags,
         CAST((k < 50)::INT + (k % 2 = 0)::INT AS INTEGER) AS n_tags FROM e""",
     "fn_conditional": """SELECT o_orderkey, CASE WHEN o_totalprice > 400000 THEN 'huge' WHEN o_totalprice > 200000 THEN 'large'
         WHEN o_totalprice > 50000 THEN 'middle' END AS band, o_orderstatus = 'O' AS is_open FROM orders""",

@@ -17,9 +17,7 @@ def _orders(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _loaded(spark: SparkSession, df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> VersionedTable:
-    table = VersionedTable(spark, run_dir(spark, name), partition_by)
-    table.commit(df, "create")
-    return table
+    return VersionedTable.create(spark, run_dir(spark, name), df, partition_by)
 
 
 def table_update(spark, sf):
