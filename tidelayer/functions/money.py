@@ -34,3 +34,12 @@ def mean(amount: str | Column, per_one: int = 100) -> Column:
     """Exact sum over the count of amounts that are there."""
     whole = units(amount, per_one)
     return total_units(whole, per_one) / F.count(whole)
+
+
+def mean_rounded(amount: str | Column, per_one: int = 100) -> Column:
+    """Mean rounded half up to a whole unit, in whole numbers: a mean of 41.545 is not 41.54499 first."""
+    whole = units(amount, per_one)
+    sums, count = F.sum(whole), F.count(whole)
+    doubled = F.abs(sums) * 2 + count
+    rounded = F.rint((doubled - F.pmod(doubled, count * 2)) / (count * 2))
+    return F.signum(sums) * rounded / F.lit(float(per_one))

@@ -8,6 +8,29 @@ from pyspark.sql import functions as F
 from tidelayer.functions import money
 from tidelayer.operators.grouped import count_where
 
+# SQL forms over the SQL enrichment; `{silver_orders_sql}` is the upstream dataset. Amounts are summed
+# as decimals, so sums and means do not depend on the order of the rows.
+HOURLY_SQL = """
+SELECT event_date, event_hour, city_name,
+       count(*) AS order_count,
+       CAST(sum(CAST(order_total AS DECIMAL(18, 2))) AS DOUBLE) AS total_revenue,
+       CAST(round(avg(CAST(order_total AS DECIMAL(18, 2))), 2) AS DOUBLE) AS avg_order_value
+FROM {silver_orders_sql}
+WHERE event_type = 'order_created'
+GROUP BY event_date, event_hour, city_name
+"""
+BRANDS_SQL = """
+SELECT brand_name,
+       count(*) AS total_orders,
+       CAST(sum(CAST(order_total AS DECIMAL(18, 2))) AS DOUBLE) AS total_revenue,
+       CAST(round(avg(CAST(order_total AS DECIMAL(18, 2))), 2) AS DOUBLE) AS avg_order_value,
+       count(DISTINCT location_id) AS locations_served
+FROM {silver_orders_sql}
+WHERE event_type = 'order_created'
+GROUP BY brand_name
+ORDER BY total_revenue DESC
+"""
+
 
 def _created(enriched: DataFrame) -> DataFrame:
     return enriched.where(F.col("event_type") == "order_created")

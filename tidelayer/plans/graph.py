@@ -100,8 +100,10 @@ class Graph:
 
             def read(upstream: str) -> DataFrame:
                 edges[name].append(upstream)
-                # Upstreams are empty tables of the right schema: size checks inside a dataset read nothing.
-                return self.spark.createDataFrame([], build(upstream, (*path, name)).schema)
+                plan = build(upstream, (*path, name))
+                # Upstreams are empty and of the right schema: size checks inside a dataset read nothing.
+                # A stream is read downstream as the table it leaves.
+                return self.spark.createDataFrame([], plan.schema) if plan.isStreaming else plan.limit(0)
 
             try:
                 plans[name] = self.datasets[name].build(read)

@@ -57,6 +57,9 @@ def medallion(spark: SparkSession, sf_dir: str) -> Graph:
     def _(read):
         return gold.brand_summary(read("silver_orders"), read("bronze_brands"))
 
+    graph.sql("gold_hourly_sql", "gold", gold.HOURLY_SQL, "Orders and revenue per hour and city.")
+    graph.sql("gold_brands_sql", "gold", gold.BRANDS_SQL, "Revenue per brand name, largest first.")
+
     @graph.view("events_by_type", "gold", "Events per type, recomputed from the stream's table.")
     def _(read):
         return gold.events_by_type(read("events_clean"))

@@ -27,61 +27,50 @@ def _props_k() -> Column:
     return F.get_json_object("props", "$.k").cast("int")
 
 
+# Payload text by stage: the created order, the kitchen, the driver, the position.
+_BODY = """
+CASE
+  WHEN stage = 0 THEN to_json(named_struct(
+    'customer_lat', 40D + k / 100D,
+    'customer_lon', -70D - k / 100D,
+    'brand_id', k % 30,
+    'brand_name', concat('brand ', k % 30),
+    'items', transform(sequence(1, k % 4 + 1), i -> named_struct(
+        'item_id', k + i, 'name', concat('item ', k + i), 'price', value, 'quantity', i)),
+    'total', CASE WHEN event_id % 37 <> 0 THEN value END))
+  WHEN stage IN (1, 2, 3) THEN to_json(named_struct('kitchen_id', concat('K', k % 7)))
+  WHEN stage IN (4, 5, 6) THEN to_json(named_struct('driver_id', concat('D', user_id % 50)))
+  ELSE to_json(named_struct('progress_pct', value))
+END
+"""
+# Some payloads are cut in half, lack their last brace or lack a quote.
+_DAMAGED_BODY = """
+CASE
+  WHEN event_id % 101 = 0 THEN left(body, length(body) div 2)
+  WHEN event_id % 103 = 0 THEN left(body, length(body) - 1)
+  WHEN event_id % 107 = 0 THEN concat('{', substring(body, 3))
+  ELSE body
+END
+"""
+
+
 def order_feed(events: DataFrame) -> DataFrame:
     """events -> event_id, event_type, ts, ts_seconds, location_id, order_id, sequence, body.
 
     One order is what one user does within one week. `body` is JSON text by event type.
     """
-    k, user, event = F.col("k"), F.col("user_id"), F.col("event_id")
-    week = F.floor((F.dayofmonth("ts") - 1) / 7).cast("int")
-    items = F.transform(
-        F.sequence(F.lit(1), k % 4 + 1),
-        lambda i: F.struct(
-            (k + i).alias("item_id"),
-            F.concat(F.lit("item "), (k + i).cast("string")).alias("name"),
-            F.col("value").alias("price"),
-            i.alias("quantity"),
-        ),
-    )
-    created = F.to_json(
-        F.struct(
-            (F.lit(40.0) + k / F.lit(100.0)).alias("customer_lat"),
-            (F.lit(-70.0) - k / F.lit(100.0)).alias("customer_lon"),
-            (k % 30).alias("brand_id"),
-            F.concat(F.lit("brand "), (k % 30).cast("string")).alias("brand_name"),
-            items.alias("items"),
-            F.when(event % 37 != 0, F.col("value")).alias("total"),
-        )
-    )
-    kitchen = F.to_json(F.struct(F.concat(F.lit("K"), (k % 7).cast("string")).alias("kitchen_id")))
-    driver = F.to_json(F.struct(F.concat(F.lit("D"), (user % 50).cast("string")).alias("driver_id")))
-    ping = F.to_json(F.struct(F.col("value").alias("progress_pct")))
-    body = (
-        F.when(F.col("stage") == 0, created)
-        .when(F.col("stage").isin(1, 2, 3), kitchen)
-        .when(F.col("stage").isin(4, 5, 6), driver)
-        .otherwise(ping)
-    )
-    damaged = (
-        F.when(event % 101 == 0, F.expr("left(body, length(body) div 2)"))
-        .when(event % 103 == 0, F.expr("left(body, length(body) - 1)"))
-        .when(event % 107 == 0, F.expr("concat('{', substring(body, 3))"))
-        .otherwise(F.col("body"))
-    )
-    return (
-        events.withColumn("k", _props_k())
-        .withColumn("stage", F.col("k") % 8)
-        .withColumn("body", body)
-        .select(
-            event.cast("string").alias("event_id"),
-            F.element_at(F.array(*map(F.lit, ORDER_EVENT_TYPES)), F.col("stage") + 1).alias("event_type"),
-            F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("ts"),
-            F.unix_timestamp("ts").alias("ts_seconds"),
-            F.when(event % 89 != 0, (user % 27).cast("int")).alias("location_id"),
-            F.when(event % 97 != 0, F.concat_ws("-", user.cast("string"), week.cast("string"))).alias("order_id"),
-            F.col("stage").alias("sequence"),
-            damaged.alias("body"),
-        )
+    types = ", ".join(f"'{name}'" for name in ORDER_EVENT_TYPES)
+    staged = events.selectExpr("event_id", "ts", "user_id", "value", "CAST(get_json_object(props, '$.k') AS INT) AS k")
+    bodies = staged.selectExpr("*", "k % 8 AS stage").selectExpr("*", f"{_BODY} AS body")
+    return bodies.selectExpr(
+        "CAST(event_id AS STRING) AS event_id",
+        f"element_at(array({types}), stage + 1) AS event_type",
+        "date_format(ts, \"yyyy-MM-dd'T'HH:mm:ss.SSSSSS\") AS ts",
+        "unix_timestamp(ts) AS ts_seconds",
+        "CASE WHEN event_id % 89 <> 0 THEN CAST(user_id % 27 AS INT) END AS location_id",
+        "CASE WHEN event_id % 97 <> 0 THEN concat(user_id, '-', (dayofmonth(ts) - 1) div 7) END AS order_id",
+        "stage AS sequence",
+        f"{_DAMAGED_BODY} AS body",
     )
 
 

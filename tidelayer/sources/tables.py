@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import TimestampNTZType
+from pyspark.sql.types import StructType, TimestampNTZType
 
 # Declared schemas: reading with one of these costs no footer inference while a graph is analysed.
 SCHEMAS = {
@@ -45,9 +45,16 @@ def zoned(df: DataFrame) -> DataFrame:
     return df.withColumns(casts) if casts else df
 
 
+_footers: dict[tuple[str, str], StructType] = {}
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """Schema from the Parquet footer."""
-    return zoned(spark.read.parquet(table_path(sf_dir, name)))
+    """Schema from the Parquet footer, looked up once per application: a look-up is a Spark job."""
+    path = table_path(sf_dir, name)
+    key = (spark.sparkContext.applicationId, path)
+    if key not in _footers:
+        _footers[key] = spark.read.parquet(path).schema
+    return zoned(spark.read.schema(_footers[key]).parquet(path))
 
 
 def read_declared(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -59,6 +59,14 @@ def gold_hourly(spark, sf):
     return gold.hourly_metrics(_enriched(spark, sf))
 
 
+def gold_hourly_sql(spark, sf):
+    return sql_dataset(spark, gold.HOURLY_SQL)({"silver_orders_sql": silver_enriched_sql(spark, sf)}.__getitem__)
+
+
+def gold_brand_sql(spark, sf):
+    return sql_dataset(spark, gold.BRANDS_SQL)({"silver_orders_sql": silver_enriched_sql(spark, sf)}.__getitem__)
+
+
 def gold_delivery(spark, sf):
     means = {c: F.round(c, 6) for c in ("avg_kitchen_time_min", "avg_delivery_time_min", "avg_total_time_min")}
     return gold.delivery_performance(silver.order_lifecycle(_enriched(spark, sf))).withColumns(means)
@@ -118,6 +126,8 @@ QUERIES = {
         daily_revenue,
         order_lifecycle,
         gold_hourly,
+        gold_hourly_sql,
+        gold_brand_sql,
         gold_delivery,
         gold_brand,
         gold_customer,
@@ -131,6 +141,8 @@ QUERIES = {
 }
 
 _REVENUE = cents("order_total")
+_CENTS = "CAST(round(order_total * 100) AS BIGINT)"
+_AVG = f"CAST((2 * sum({_CENTS}) + count(order_total)) // (2 * count(order_total)) AS DOUBLE) / 100"
 _BRAND = f"""WITH {ORDER_FEED},
     m AS (SELECT brand_id, count(order_id) AS total_orders, {_REVENUE} AS total_revenue,
           {_REVENUE} / count(order_total) AS avg_order_value, count(DISTINCT location_id) AS locations_served,
@@ -159,6 +171,11 @@ ORACLE = {
     "gold_hourly": f"""WITH {ORDER_FEED} SELECT event_date, event_hour, location_id, city_name, count(order_id) AS order_count,
         {_REVENUE} AS total_revenue, {_REVENUE} / count(order_total) AS avg_order_value,
         count(DISTINCT brand_id) AS unique_brands FROM enriched WHERE event_type = 'order_created' GROUP BY 1, 2, 3, 4""",
+    "gold_hourly_sql": f"""WITH {ORDER_FEED} SELECT event_date, event_hour, city_name, count(*) AS order_count,
+        {_REVENUE} AS total_revenue, {_AVG} AS avg_order_value FROM parsed WHERE event_type = 'order_created' GROUP BY 1, 2, 3""",
+    "gold_brand_sql": f"""WITH {ORDER_FEED} SELECT brand_name, count(*) AS total_orders, {_REVENUE} AS total_revenue,
+        {_AVG} AS avg_order_value, count(DISTINCT location_id) AS locations_served
+        FROM parsed WHERE event_type = 'order_created' GROUP BY 1""",
     "gold_delivery": f"""WITH {LIFECYCLE} SELECT CAST(created_at AS DATE) AS order_date, location_id, city_name,
         count(order_id) AS completed_orders, round(avg(kitchen_duration_min), 6) AS avg_kitchen_time_min,
         round(avg(delivery_duration_min), 6) AS avg_delivery_time_min, round(avg(total_duration_min), 6) AS avg_total_time_min,
@@ -195,6 +212,10 @@ ORACLE = {
             (SELECT DISTINCT CAST(created_at AS DATE), location_id FROM lifecycle))
         UNION ALL SELECT 'gold_brands', 'gold', 'view', (SELECT count(*) FROM
             (SELECT DISTINCT brand_id FROM enriched WHERE event_type = 'order_created'))
+        UNION ALL SELECT 'gold_hourly_sql', 'gold', 'view', (SELECT count(*) FROM
+            (SELECT DISTINCT event_date, event_hour, city_name FROM parsed WHERE event_type = 'order_created'))
+        UNION ALL SELECT 'gold_brands_sql', 'gold', 'view', (SELECT count(*) FROM
+            (SELECT DISTINCT brand_name FROM parsed WHERE event_type = 'order_created'))
         UNION ALL SELECT 'events_by_type', 'gold', 'view', (SELECT count(DISTINCT event_type) FROM events))
         SELECT dataset, layer, kind, 'completed' AS status, n_rows FROM n""",
     "gold_from_tables": _BRAND,

@@ -138,7 +138,7 @@ def agg_percentile(spark, sf):
 
 def agg_rounded(spark, sf):
     return _events(spark, sf).groupBy("user_id").agg(
-        F.round(money.total("value"), 2).alias("total_value"), F.round(money.mean("value"), 2).alias("avg_value")
+        F.round(money.total("value"), 2).alias("total_value"), money.mean_rounded("value").alias("avg_value")
     )
 
 
@@ -395,7 +395,8 @@ ORACLE = {
     "agg_percentile": """SELECT event_type, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.95) AS p95,
         count(value) AS n FROM events GROUP BY 1""",
     "agg_rounded": f"""SELECT user_id, round({cents("value")}, 2) AS total_value,
-        CAST(round(CAST({cents("value")} / count(value) AS DECIMAL(38, 9)), 2) AS DOUBLE) AS avg_value FROM events GROUP BY 1""",
+        CAST((2 * sum(CAST(round(value * 100) AS BIGINT)) + count(value)) // (2 * count(value)) AS DOUBLE) / 100 AS avg_value
+        FROM events GROUP BY 1""",
     "agg_global": f"""SELECT count(*) AS n_events, count(DISTINCT user_id) AS n_users, {cents("value")} AS total_value,
         min(ts) AS first_ts, max(ts) AS last_ts FROM events""",
     "agg_pivot": """SELECT o_orderpriority, nullif(count(*) FILTER (o_orderstatus = 'F'), 0) AS "F",
