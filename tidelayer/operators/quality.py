@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidelayer.functions import money, payload
@@ -125,7 +125,7 @@ def amounts_that_differ(totals: DataFrame, parts: DataFrame, key: str, total: st
     )
 
 
-def freshness(spark: SparkSession, newest: DataFrame, registry: DataFrame, now: Column) -> DataFrame:
+def freshness(newest: DataFrame, registry: DataFrame, now: Column) -> DataFrame:
     """newest(layer, table_name, newest_ts) against the registry's SLA hours, as of `now`."""
     hours = (F.unix_timestamp(now) - F.unix_timestamp("newest_ts")) / 3600
     return registry.join(newest, ["layer", "table_name"]).select(

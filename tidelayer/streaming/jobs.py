@@ -46,7 +46,15 @@ def from_day(df: DataFrame, time: str, day: int) -> DataFrame:
     return df.where(F.col(time) >= F.date_add(first, day - 1))
 
 
-def replay_files(df: DataFrame, path: str, order: Sequence[str], files: int) -> str:
-    """Rows as `files` files in event order, for a stream that replays them."""
+def replay_files(df: DataFrame, path: str, order: Sequence[str], files: int | None = None) -> str:
+    """Rows as files in event order, for a stream that replays them; as many files as shuffle partitions.
+
+    Files are cut by ranges of all order columns, so one time with many rows is spread over files.
+    """
+    files = files or shuffle_partitions(df)
     df.repartitionByRange(files, *order).sortWithinPartitions(*order).write.mode("overwrite").parquet(path)
     return path
+
+
+def shuffle_partitions(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))

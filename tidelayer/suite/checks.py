@@ -81,21 +81,22 @@ def qc_order_total(spark, sf):
 
 def qc_freshness(spark, sf):
     """Newest row per registered table against its target, as of the newest event."""
-    events, orders, lines = _events(spark, sf), read_table(spark, sf, "orders"), read_table(spark, sf, "lineitem")
-
-    def newest(df: DataFrame, column: str, layer: str, table: str) -> DataFrame:
-        return df.agg(F.max(column).alias("newest_ts")).select(F.lit(layer).alias("layer"), F.lit(table).alias("table_name"), "newest_ts")
-
-    clicks = events.where(F.col("event_type") == "click")
-    found = (
-        newest(events, "ts", "bronze", "raw_orders")
-        .unionByName(newest(clicks, "ts", "bronze", "raw_clicks"))
-        .unionByName(newest(orders, "o_orderdate", "silver", "orders"))
-        .unionByName(newest(lines, "l_shipdate", "silver", "order_items"))
-        .unionByName(newest(events.where(F.col("event_type") == "purchase"), "ts", "gold", "daily_sales"))
+    events = _events(spark, sf)
+    of_type = {kind: F.max(F.when(F.col("event_type") == kind, F.col("ts"))).alias(kind) for kind in ("click", "purchase")}
+    per_event_table = F.array(
+        *(
+            F.struct(F.lit(layer).alias("layer"), F.lit(table).alias("table_name"), F.col(column).alias("newest_ts"))
+            for layer, table, column in (("bronze", "raw_orders", "all"), ("bronze", "raw_clicks", "click"), ("gold", "daily_sales", "purchase"))
+        )
     )
+    found = events.agg(F.max("ts").alias("all"), *of_type.values()).select(F.inline(per_event_table))
+    for layer, table, df, column in (
+        ("silver", "orders", read_table(spark, sf, "orders"), "o_orderdate"),
+        ("silver", "order_items", read_table(spark, sf, "lineitem"), "l_shipdate"),
+    ):
+        found = found.unionByName(df.agg(F.max(column).alias("newest_ts")).select(F.lit(layer).alias("layer"), F.lit(table).alias("table_name"), "newest_ts"))
     now = events.agg(F.max("ts")).scalar()
-    return quality.freshness(spark, found, registry.tables(spark), now).withColumn("age_hours", F.round("age_hours", 6))
+    return quality.freshness(found, registry.tables(spark), now).withColumn("age_hours", F.round("age_hours", 6))
 
 
 def lineage_two_hop(spark, sf):

@@ -9,11 +9,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidelayer import sources
 from tidelayer.operators.guard import BLOCK_RULES, BLOCK_SCHEMA, guard, route
 from tidelayer.plans import gold
 from tidelayer.plans.medallion import clean_events
 from tidelayer.session import run_dir
-from tidelayer.sources import read_table, stream_table
 from tidelayer.sources.feed import block_feed, envelope, product_orders
 from tidelayer.sources.messages import envelope_stream, unpack
 from tidelayer.streaming import jobs, sinks
@@ -40,10 +40,12 @@ def _to_files(spark: SparkSession, stream: DataFrame, name: str, **options) -> D
 
 
 def stream_envelope(spark, sf):
-    """Message files, two per micro-batch: rows per message partition and its offsets."""
+    """Message files in three or four micro-batches: rows per message partition and its offsets."""
     path = run_dir(spark, "messages")
-    _messages(read_table(spark, sf, "events")).repartition(6, "partition").write.parquet(path)
-    received = _to_files(spark, envelope_stream(spark, path, max_files=2), "received")
+    messages = _messages(sources.read_table(spark, sf, "events"))
+    files = jobs.shuffle_partitions(messages)
+    messages.repartition(files).write.parquet(path)
+    received = _to_files(spark, envelope_stream(spark, path, max_files=max(1, files // 3)), "received")
     return received.groupBy("partition").agg(
         F.count(F.lit(1)).alias("n_messages"), F.min("offset").alias("first_offset"), F.max("offset").alias("last_offset")
     )
@@ -51,26 +53,26 @@ def stream_envelope(spark, sf):
 
 def stream_parse(spark, sf):
     """Messages to flat rows, time parsed, as they arrive."""
-    flat = unpack(_messages(stream_table(spark, sf, "events")), PRODUCT_SCHEMA, F.col("offset").alias("message_offset"))
+    flat = unpack(_messages(sources.stream_table(spark, sf, "events")), PRODUCT_SCHEMA, F.col("offset").alias("message_offset"))
     parsed = flat.withColumn("event_timestamp", F.to_timestamp("timestamp")).drop("timestamp", "event_id")
     return _to_files(spark, parsed, "parsed")
 
 
 def stream_stateless(spark, sf):
-    stream = stream_table(spark, sf, "events")
+    stream = sources.stream_table(spark, sf, "events")
     doubled = stream.withColumn("doubled", F.col("value") * 2).where(F.col("value") > 50).select("event_id", "ts", "value", "doubled")
     return _to_files(spark, doubled, "stateless")
 
 
-def stream_table_rows(spark, sf):
+def stream_table(spark, sf):
     """A table as a stream, its clean rows appended."""
-    return _to_files(spark, clean_events(stream_table(spark, sf, "events")), "rows")
+    return _to_files(spark, clean_events(sources.stream_table(spark, sf, "events")), "rows")
 
 
 def stream_incremental(spark, sf):
     """Files land in two deliveries; each run takes the new ones only. The run is kept per row."""
     base = run_dir(spark, "incremental")
-    events = read_table(spark, sf, "events").select("event_id", "event_type", "value")
+    events = sources.read_table(spark, sf, "events").select("event_id", "event_type", "value")
     for run, delivery in enumerate((F.col("event_type").isin("view", "click"), ~F.col("event_type").isin("view", "click")), start=1):
         events.where(delivery).write.mode("append").parquet(f"{base}/landing")
         arriving = spark.readStream.schema(events.schema).parquet(f"{base}/landing").withColumn("run", F.lit(run))
@@ -80,21 +82,21 @@ def stream_incremental(spark, sf):
 
 def stream_to_parquet(spark, sf):
     """Orders appended to Parquet by status folders."""
-    orders = stream_table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderstatus")
+    orders = sources.stream_table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderstatus")
     return _to_files(spark, orders, "by-status", partition_by=["o_orderstatus"])
 
 
 def stream_to_table(spark, sf):
     base = run_dir(spark, "table")
     table = "stream_customers_" + base.rsplit("-", 1)[1]
-    rich = stream_table(spark, sf, "customer").where("c_acctbal > 0").select("c_custkey", "c_nationkey", "c_acctbal")
+    rich = sources.stream_table(spark, sf, "customer").where("c_acctbal > 0").select("c_custkey", "c_nationkey", "c_acctbal")
     sinks.append_table(rich, table, f"{base}/out", f"{base}/checkpoint")
     return spark.table(table)
 
 
 def stream_route(spark, sf):
     """Guardrails on a stream of blocks; one folder per topic."""
-    messages = envelope(block_feed(stream_table(spark, sf, "orders")), "block_hash", "blocks", "block_number", "block_number", "timestamp")
+    messages = envelope(block_feed(sources.stream_table(spark, sf, "orders")), "block_hash", "blocks", "block_number", "block_number", "timestamp")
     blocks = unpack(messages, BLOCK_SCHEMA)
     routed = route(guard(blocks, BLOCK_RULES, ["extra_data"]), "block_hash", "validated", PAYLOAD)
     sent = _to_files(spark, routed, "routed", partition_by=["topic"])
@@ -104,32 +106,33 @@ def stream_route(spark, sf):
 def stream_tumbling(spark, sf):
     """Events per five minutes and type."""
     base = run_dir(spark, "tumbling")
-    counts = jobs.tumbling_counts(stream_table(spark, sf, "events"), "ts", "5 minutes", "event_type", delay="10 minutes")
+    counts = jobs.tumbling_counts(sources.stream_table(spark, sf, "events"), "ts", "5 minutes", "event_type", delay="10 minutes")
     sinks.upsert_files(counts, f"{base}/out", f"{base}/checkpoint")
     return sinks.latest_state(spark, f"{base}/out", ["window_start", "window_end", "event_type"])
 
 
 def window_batch(spark, sf):
     """The same windows over the table at once."""
-    return jobs.tumbling_counts(read_table(spark, sf, "events"), "ts", "5 minutes", "event_type")
+    return jobs.tumbling_counts(sources.read_table(spark, sf, "events"), "ts", "5 minutes", "event_type")
 
 
 def stream_then_rollup(spark, sf):
     """Clean events taken in as a stream, counted per type by a view that is recomputed."""
-    return gold.events_by_type(stream_table_rows(spark, sf))
+    return gold.events_by_type(stream_table(spark, sf))
 
 
 def stream_dedup(spark, sf):
     """A feed with copies, one row per event id kept."""
-    once = jobs.dedup_within(redelivered(stream_table(spark, sf, "events")), ["event_id"], "ts", "10 minutes")
+    once = jobs.dedup_within(redelivered(sources.stream_table(spark, sf, "events")), ["event_id"], "ts", "10 minutes")
     return _to_files(spark, once.select("event_id", "user_id", "event_type", "value"), "dedup")
 
 
 def stream_replay(spark, sf):
-    """Events from the second day on, replayed from time-ordered files, one file per micro-batch."""
-    events = jobs.from_day(read_table(spark, sf, "events").select("event_id", "ts", "event_type"), "ts", 2)
-    path = jobs.replay_files(events, run_dir(spark, "replay"), ["ts", "event_id"], files=4)
-    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    """Events from the second day on, replayed from time-ordered files in about four micro-batches."""
+    events = jobs.from_day(sources.read_table(spark, sf, "events").select("event_id", "ts", "event_type"), "ts", 2)
+    path = jobs.replay_files(events, run_dir(spark, "replay"), ["ts", "event_id"])
+    at_once = max(1, jobs.shuffle_partitions(events) // 4)
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", at_once).parquet(path)
     return _to_files(spark, stream, "replayed")
 
 
@@ -139,7 +142,7 @@ QUERIES = {
         stream_envelope,
         stream_parse,
         stream_stateless,
-        stream_table_rows,
+        stream_table,
         stream_incremental,
         stream_to_parquet,
         stream_to_table,
@@ -166,7 +169,7 @@ ORACLE = {
         round(value * (CAST(json_extract(props, '$.k') AS INTEGER) % 3 + 1), 2) AS total,
         date_trunc('second', ts) AS event_timestamp FROM events""",
     "stream_stateless": "SELECT event_id, ts, value, value * 2 AS doubled FROM events WHERE value > 50",
-    "stream_table_rows": "SELECT event_id, event_type, user_id, ts AS event_time FROM events WHERE event_type IS NOT NULL",
+    "stream_table": "SELECT event_id, event_type, user_id, ts AS event_time FROM events WHERE event_type IS NOT NULL",
     "stream_incremental": """SELECT event_id, event_type, value,
         CAST(CASE WHEN event_type IN ('view', 'click') THEN 1 ELSE 2 END AS INTEGER) AS run FROM events""",
     "stream_to_parquet": "SELECT o_orderkey, o_custkey, o_totalprice, o_orderstatus FROM orders",

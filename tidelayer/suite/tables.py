@@ -9,6 +9,7 @@ from tidelayer.functions import money
 from tidelayer.operators.versions import VersionedTable, rewrite_partitions, updated
 from tidelayer.session import run_dir
 from tidelayer.sources import read_table
+from tidelayer.streaming.jobs import shuffle_partitions
 from tidelayer.suite.common import cents
 
 
@@ -76,7 +77,8 @@ def table_partitions(spark, sf):
 
 def table_compact(spark, sf):
     """Many small files become few; the rows stay."""
-    table = _loaded(spark, read_table(spark, sf, "customer").select("c_custkey", "c_acctbal").repartition(24), "compact")
+    customers = read_table(spark, sf, "customer").select("c_custkey", "c_acctbal")
+    table = _loaded(spark, customers.repartition(3 * shuffle_partitions(customers)), "compact")
     table.compact()
     return table.read()
 
