@@ -72,6 +72,13 @@ def test_partition_folders(spark, tmp_path):
     )
 
 
+def test_time_folders(spark, tmp_path):
+    at = spark.sql("SELECT id, timestamp'2024-01-01 00:00:00' + make_interval(0, 0, 0, 0, id) AS at FROM range(50)")
+    path = formats.write_by_time(at, str(tmp_path / "t"), "at", "hour")
+    assert len(list((tmp_path / "t").glob("at_hour=*"))) == 50
+    assert spark.read.parquet(path).where("at_hour = '2024-01-02-01'").count() == 1
+
+
 def test_catalog_tables(spark, sample):
     try:
         assert set(catalog.LAYERS) <= set(catalog.create_layers(spark))

@@ -125,3 +125,15 @@ def test_sensitive_classes(spark):
 def test_sensitive_text_at_the_end_of_a_long_text(spark):
     text = "lorem ipsum " * 20_000 + "user@example.com"
     assert one(spark, text, classify("v")) == "PII_EMAIL"
+
+
+def test_time_partition(spark):
+    df = spark.createDataFrame([(dt.datetime(2024, 1, 31, 23, 59),)], "at timestamp")
+    row = df.select(*(times.time_partition("at", unit).alias(unit) for unit in ("hour", "day", "month"))).first()
+    assert (row.hour, row.day, row.month) == ("2024-01-31-23", dt.date(2024, 1, 31), "2024-01")
+
+
+def test_rounded_means_are_half_up(spark):
+    rows = [("a", 0.01), ("a", 0.02), ("b", -0.01), ("b", -0.02), ("c", 1.0), ("c", None), ("d", None)] + [("e", v) for v in (1.0, 1.0, 1.01)]
+    df = spark.createDataFrame(rows, "k string, v double").groupBy("k").agg(money.mean_rounded("v").alias("m"))
+    assert {r.k: r.m for r in df.collect()} == {"a": 0.02, "b": -0.02, "c": 1.0, "d": None, "e": 1.0}

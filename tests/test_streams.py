@@ -151,6 +151,12 @@ def test_replay_is_in_event_order(spark, sf, tmp_path):
     assert len(spans) == 4 and all(a[1] <= b[0] for a, b in zip(spans, spans[1:]))
 
 
+def test_from_day_counts_from_the_first_row(spark):
+    at = [T0 + dt.timedelta(hours=h, milliseconds=500) for h in (5, 28, 29, 30)]
+    df = spark.createDataFrame([(t,) for t in at], "at timestamp")
+    assert [jobs.from_day(df, "at", day).count() for day in (0, 1, 2)] == [4, 2, 0]
+
+
 def test_guard_on_a_stream_equals_batch(spark, sf, tmp_path):
     messages = envelope(block_feed(read_table(spark, sf, "orders")), "block_hash", "blocks", "block_number", "block_number", "timestamp")
     messages.repartition(3).write.parquet(str(tmp_path / "in"))

@@ -39,3 +39,10 @@ def with_time_features(df: DataFrame, ts: str = "event_timestamp") -> DataFrame:
 def minutes_between(start: str, end: str) -> Column:
     """Whole seconds from start to end, in minutes; NULL when either is missing."""
     return (F.unix_timestamp(end) - F.unix_timestamp(start)) / 60
+
+
+def time_partition(ts: str, unit: str) -> Column:
+    """Partition value of a time: a date for days, text for hours (2024-01-31-23) and months (2024-01)."""
+    if unit == "day":
+        return F.to_date(ts)
+    return F.date_format(ts, {"hour": "yyyy-MM-dd-HH", "month": "yyyy-MM"}[unit])

@@ -80,6 +80,23 @@ def brand_summary(enriched: DataFrame, brands: DataFrame) -> DataFrame:
     return per_brand.join(names, "brand_id", "left")
 
 
+def brand_ranking(enriched: DataFrame) -> DataFrame:
+    """Per brand as named in the payload, rounded, largest revenue first."""
+    return (
+        _created(enriched)
+        .groupBy("brand_id", "brand_name")
+        .agg(
+            F.count("order_id").alias("total_orders"),
+            F.round(money.total("order_total"), 2).alias("total_revenue"),
+            money.mean_rounded("order_total").alias("avg_order_value"),
+            F.countDistinct("location_id").alias("locations_served"),
+            F.min("event_date").alias("first_order_date"),
+            F.max("event_date").alias("last_order_date"),
+        )
+        .orderBy(F.desc("total_revenue"))
+    )
+
+
 def daily_revenue(paid: DataFrame) -> DataFrame:
     return paid.groupBy("order_date").agg(
         F.count(F.lit(1)).alias("order_count"), F.round(money.total("order_total"), 2).alias("revenue")

@@ -122,9 +122,21 @@ def paid_orders(created: DataFrame) -> DataFrame:
 
 
 def order_lifecycle(enriched_orders: DataFrame) -> DataFrame:
-    """One row per delivered order and place: first time of each stage, and three durations."""
+    """One row per delivered order and place: first time of each stage, and three durations.
+
+    Events that lost their place are an order of their own, so the order lacks their stage.
+    """
+    return _lifecycle(enriched_orders, ["order_id", "location_id", "city_name"])
+
+
+def order_lifecycle_whole(enriched_orders: DataFrame) -> DataFrame:
+    """One row per delivered order, wherever its events say they were: no stage is lost with its place."""
+    return _lifecycle(enriched_orders, ["order_id"])
+
+
+def _lifecycle(enriched_orders: DataFrame, keys: list[str]) -> DataFrame:
     staged = enriched_orders.where(F.col("event_type").isin(*STAGE_TIMES))
-    stages = earliest_per_stage(staged, ["order_id", "location_id", "city_name"], "event_type", "event_timestamp", STAGE_TIMES)
+    stages = earliest_per_stage(staged, keys, "event_type", "event_timestamp", STAGE_TIMES)
     return stages.where(F.col("delivered_at").isNotNull()).withColumns(
         {
             "kitchen_duration_min": minutes_between("kitchen_started_at", "kitchen_finished_at"),

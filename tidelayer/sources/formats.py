@@ -7,6 +7,8 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
+from tidelayer.functions.times import time_partition
+
 FORMATS = ("parquet", "json", "csv", "orc", "text")
 
 
@@ -66,3 +68,12 @@ def write_any(
         writer = writer.partitionBy(*partition_by)
     writer.save(path)
     return path
+
+
+def write_by_time(df: DataFrame, path: str, ts: str, unit: str, mode: str = "overwrite") -> str:
+    """Parquet by hour, day or month folders of a time column, in a partition column named <ts>_<unit>.
+
+    Filters on that column skip whole folders when the table is read.
+    """
+    column = f"{ts}_{unit}"
+    return write_any(df.withColumn(column, time_partition(ts, unit)), "parquet", path, mode, partition_by=[column])

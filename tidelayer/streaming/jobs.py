@@ -41,9 +41,12 @@ def dedup_within(stream: DataFrame, keys: Sequence[str], time: str, delay: str)
 
 
 def from_day(df: DataFrame, time: str, day: int) -> DataFrame:
-    """Rows from the start of day `day` on; day 1 is the date of the first row. For batch sources."""
-    first: Column = df.agg(F.to_date(F.min(time)).alias("first")).scalar()
-    return df.where(F.col(time) >= F.date_add(first, day - 1))
+    """Rows from `day` times 24 hours after the first row's second on; day 0 is everything. For batch sources.
+
+    The start is a scalar subquery and the column itself is compared, so the filter reaches the scan.
+    """
+    start: Column = df.agg(F.timestamp_seconds(F.unix_timestamp(F.min(time)) + day * 86_400)).scalar()
+    return df.where(F.col(time) >= start)
 
 
 def replay_files(df: DataFrame, path: str, order: Sequence[str], files: int | None = None) -> str:

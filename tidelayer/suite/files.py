@@ -105,13 +105,20 @@ def sink_partitioned(spark: SparkSession, sf: str) -> DataFrame:
 
 def sink_time_partitioned(spark: SparkSession, sf: str) -> DataFrame:
     """Events by day folders, read back with the day as a column."""
-    events = read_table(spark, sf, "events").select("event_id", "ts", "value", F.to_date("ts").alias("event_date"))
-    path = formats.write_any(events, "parquet", run_dir(spark, "by-day"), partition_by=["event_date"])
-    return spark.read.parquet(path).groupBy("event_date", F.hour("ts").alias("event_hour")).agg(
+    events = read_table(spark, sf, "events").select("event_id", "ts", "value")
+    back = spark.read.parquet(formats.write_by_time(events, run_dir(spark, "by-day"), "ts", "day"))
+    return back.groupBy(F.col("ts_day").alias("event_date"), F.hour("ts").alias("event_hour")).agg(
         F.count(F.lit(1)).alias("n_rows"), money.total("value").alias("total_value")
     )
 
 
+def sink_month_partitioned(spark: SparkSession, sf: str) -> DataFrame:
+    """Line items by month folders; the counts per folder."""
+    lines = read_table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_shipdate")
+    back = spark.read.parquet(formats.write_by_time(lines, run_dir(spark, "by-month"), "l_shipdate", "month"))
+    return back.groupBy(F.col("l_shipdate_month").cast("string").alias("month")).agg(F.count(F.lit(1)).alias("n_rows"))
+
+
 def ctas_customer_summary(spark: SparkSession, sf: str) -> DataFrame:
     """CREATE TABLE .. AS SELECT at a path below the shared folder, then a read of the table."""
     path = run_dir(spark, "ctas")
@@ -171,6 +178,7 @@ QUERIES = {
         envelope_parse,
         sink_partitioned,
         sink_time_partitioned,
+        sink_month_partitioned,
         ctas_customer_summary,
         qc_direct_scan,
         seed_events,
@@ -207,6 +215,7 @@ ORACLE = {
     "sink_time_partitioned": """SELECT CAST(ts AS DATE) AS event_date, CAST(hour(ts) AS INTEGER) AS event_hour, count(*) AS n_rows,
         CAST(sum(CAST(round(value * 100) AS BIGINT)) AS DOUBLE) / 100 AS total_value
         FROM events GROUP BY 1, 2""",
+    "sink_month_partitioned": "SELECT strftime(l_shipdate, '%Y-%m') AS month, count(*) AS n_rows FROM lineitem GROUP BY 1",
     "ctas_customer_summary": """SELECT user_id AS customer_id, count(*) AS total_orders,
         CAST(sum(CAST(round(value * 100) AS BIGINT)) AS DOUBLE) / 100 AS total_revenue,
         min(ts) AS first_order, max(ts) AS last_order FROM events WHERE event_type = 'purchase' GROUP BY 1""",

@@ -55,6 +55,14 @@ def order_lifecycle(spark, sf):
     return silver.order_lifecycle(_enriched(spark, sf))
 
 
+def order_lifecycle_whole(spark, sf):
+    return silver.order_lifecycle_whole(_enriched(spark, sf))
+
+
+def gold_brand_ranking(spark, sf):
+    return gold.brand_ranking(silver_quantities(spark, sf))
+
+
 def gold_hourly(spark, sf):
     return gold.hourly_metrics(_enriched(spark, sf))
 
@@ -125,6 +133,8 @@ QUERIES = {
         created_orders,
         daily_revenue,
         order_lifecycle,
+        order_lifecycle_whole,
+        gold_brand_ranking,
         gold_hourly,
         gold_hourly_sql,
         gold_brand_sql,
@@ -168,6 +178,18 @@ ORACLE = {
     "daily_revenue": f"""WITH {ORDER_FEED} SELECT event_date AS order_date, count(*) AS order_count,
         round({_REVENUE}, 2) AS revenue FROM parsed WHERE event_type = 'order_created' AND order_total > 0 GROUP BY 1""",
     "order_lifecycle": f"WITH {LIFECYCLE} SELECT * FROM lifecycle",
+    "order_lifecycle_whole": f"""WITH {LIFECYCLE}, w AS (
+        SELECT order_id, min(created_at) AS created_at, min(kitchen_started_at) AS kitchen_started_at,
+        min(kitchen_finished_at) AS kitchen_finished_at, min(order_ready_at) AS order_ready_at,
+        min(driver_arrived_at) AS driver_arrived_at, min(pickup_at) AS pickup_at, min(delivered_at) AS delivered_at
+        FROM staged GROUP BY 1 HAVING min(delivered_at) IS NOT NULL)
+        SELECT *, (floor(epoch(kitchen_finished_at)) - floor(epoch(kitchen_started_at))) / 60 AS kitchen_duration_min,
+        (floor(epoch(delivered_at)) - floor(epoch(pickup_at))) / 60 AS delivery_duration_min,
+        (floor(epoch(delivered_at)) - floor(epoch(created_at))) / 60 AS total_duration_min FROM w""",
+    "gold_brand_ranking": f"""WITH {ORDER_FEED} SELECT brand_id, brand_name, count(order_id) AS total_orders,
+        round({_REVENUE}, 2) AS total_revenue, {_AVG} AS avg_order_value, count(DISTINCT location_id) AS locations_served,
+        min(event_date) AS first_order_date, max(event_date) AS last_order_date
+        FROM enriched WHERE event_type = 'order_created' GROUP BY 1, 2""",
     "gold_hourly": f"""WITH {ORDER_FEED} SELECT event_date, event_hour, location_id, city_name, count(order_id) AS order_count,
         {_REVENUE} AS total_revenue, {_REVENUE} / count(order_total) AS avg_order_value,
         count(DISTINCT brand_id) AS unique_brands FROM enriched WHERE event_type = 'order_created' GROUP BY 1, 2, 3, 4""",

@@ -75,8 +75,8 @@ def filter_regex(spark, sf):
 
 
 def filter_start_day(spark, sf):
-    """Events from the third day on."""
-    return from_day(_events(spark, sf), "ts", 3).select("event_id", "ts", "event_type")
+    """Events from two days after the first one on."""
+    return from_day(_events(spark, sf), "ts", 2).select("event_id", "ts", "event_type")
 
 
 # -- joins ----------------------------------------------------------------------------------------
@@ -376,7 +376,7 @@ ORACLE = {
         regexp_matches(text, '(?i)[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}') AS has_email,
         regexp_matches(text, '\b(\d{4}[-\s]?){3}\d{4}\b') AS has_card FROM documents) WHERE has_email OR has_card""",
     "filter_start_day": """SELECT event_id, ts, event_type FROM events
-        WHERE ts >= (SELECT date_trunc('day', min(ts)) + INTERVAL 2 DAY FROM events)""",
+        WHERE ts >= (SELECT date_trunc('second', min(ts)) + INTERVAL 2 DAY FROM events)""",
     "join_broadcast_left": f"""SELECT event_id, location_id, n_name AS city_name FROM {_FEED}
         LEFT JOIN nation ON location_id = n_nationkey""",
     "join_left_on": f"""SELECT user_id, count(*) AS n_events, {cents("value")} AS spend, c_mktsegment AS segment

@@ -128,8 +128,8 @@ def stream_dedup(spark, sf):
 
 
 def stream_replay(spark, sf):
-    """Events from the second day on, replayed from time-ordered files in about four micro-batches."""
-    events = jobs.from_day(sources.read_table(spark, sf, "events").select("event_id", "ts", "event_type"), "ts", 2)
+    """Events from a day after the first one on, replayed from time-ordered files in about four micro-batches."""
+    events = jobs.from_day(sources.read_table(spark, sf, "events").select("event_id", "ts", "event_type"), "ts", 1)
     path = jobs.replay_files(events, run_dir(spark, "replay"), ["ts", "event_id"])
     at_once = max(1, jobs.shuffle_partitions(events) // 4)
     stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", at_once).parquet(path)
@@ -181,5 +181,5 @@ ORACLE = {
     "stream_then_rollup": "SELECT event_type, count(*) AS event_count FROM events WHERE event_type IS NOT NULL GROUP BY 1",
     "stream_dedup": "SELECT event_id, user_id, event_type, value FROM events",
     "stream_replay": """SELECT event_id, ts, event_type FROM events
-        WHERE ts >= (SELECT date_trunc('day', min(ts)) + INTERVAL 1 DAY FROM events)""",
+        WHERE ts >= (SELECT date_trunc('second', min(ts)) + INTERVAL 1 DAY FROM events)""",
 }
