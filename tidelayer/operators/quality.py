@@ -138,7 +138,7 @@ def freshness(newest: DataFrame, registry: DataFrame, now: Column) -> DataFrame:
     )
 
 
-def late_arrivals(df: DataFrame, arrival: str, time: str, group: str, block_rows: int = 1_000_000) -> DataFrame:
+def late_arrivals(df: DataFrame, arrival: str, time: str, group: str, block_rows: int = 100_000) -> DataFrame:
     """Per group: rows, rows older than some row that arrived before them, and the largest lag in seconds.
 
     `arrival` is a unique running number. The newest time before a row is a running maximum over the

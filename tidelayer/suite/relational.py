@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidelayer.functions import geo, money, payload
+from tidelayer.functions.sensitive import found
 from tidelayer.functions.times import event_time_lenient, is_weekend, minutes_between
 from tidelayer.operators import joins
 from tidelayer.operators.grouped import count_where, earliest_per_stage, frequency
@@ -68,9 +69,7 @@ def filter_in(spark, sf):
 
 def filter_regex(spark, sf):
     """Documents with an e-mail address or a card number anywhere in the text."""
-    text = F.col("text")
-    email = text.contains("@") & text.rlike(r"(?i)[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}")
-    card = text.rlike(r"\b(\d{4}[-\s]?){3}\d{4}\b")
+    email, card = found(F.col("text"), "PII_EMAIL"), found(F.col("text"), "PII_CREDIT_CARD")
     return read_table(spark, sf, "documents").where(email | card).select("doc_id", "source", email.alias("has_email"), card.alias("has_card"))
 
 
