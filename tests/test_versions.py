@@ -102,9 +102,30 @@ def test_rewrite_touches_only_partitions_that_match(spark, tmp_path):
         return {r.f: r.p for r in spark.read.parquet(path).select(F.col("_metadata.file_path").alias("f"), "p").distinct().collect()}
 
     before = files()
-    rewrite_partitions(spark, path, "p", "p = 1 AND id > 50", lambda df: updated(df, "p = 1 AND id > 50", {"id": "-id"}))
+    assert rewrite_partitions(spark, path, "p", "p = 1 AND id > 50", lambda df: updated(df, "p = 1 AND id > 50", {"id": "-id"})) == [1]
     after = files()
     assert {f for f, p in before.items() if p != 1} == {f for f, p in after.items() if p != 1}
     assert not {f for f, p in before.items() if p == 1} & set(after)
     expected = sorted((-i if i % 3 == 1 and i > 50 else i, i % 3) for i in range(90))
     assert sorted(map(tuple, spark.read.parquet(path).select("id", "p").collect())) == expected
+
+
+def test_rewrite_refuses_to_empty_or_move(spark, tmp_path):
+    path = str(tmp_path / "t")
+    spark.range(30).select("id", (F.col("id") % 3).cast("int").alias("p")).write.partitionBy("p").parquet(path)
+    with pytest.raises(ValueError, match="turns partitions"):
+        rewrite_partitions(spark, path, "p", "p = 1", lambda df: remaining(df, "p = 1"))
+    with pytest.raises(ValueError, match="turns partitions"):
+        rewrite_partitions(spark, path, "p", "id = 4", lambda df: updated(df, "id = 4", {"p": "2"}))
+    assert rewrite_partitions(spark, path, "p", "id > 100", lambda df: df) == []
+    assert sorted(map(tuple, spark.read.parquet(path).select("id", "p").collect())) == [(i, i % 3) for i in range(30)]
+    assert rewrite_partitions(spark, path, "p", "id < 2", lambda df: remaining(df, "id < 2")) == [0, 1]
+    assert sorted(r.id for r in spark.read.parquet(path).collect()) == list(range(2, 30))
+
+
+def test_rewrite_of_the_partition_without_a_value(spark, tmp_path):
+    path = str(tmp_path / "t")
+    rows = spark.createDataFrame([(1, "a"), (2, None), (3, None)], "id int, p string")
+    rows.write.partitionBy("p").parquet(path)
+    rewrite_partitions(spark, path, "p", "id = 2", lambda df: updated(df, "id = 2", {"id": "20"}))
+    assert sorted(map(tuple, spark.read.parquet(path).select("id", "p").collect())) == [(1, "a"), (3, None), (20, None)]

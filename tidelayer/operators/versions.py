@@ -51,19 +51,26 @@ def remaining(df: DataFrame, condition: str | Column) -> DataFrame:
 
 def rewrite_partitions(
     spark: SparkSession, path: str, partition: str, condition: str | Column, change: Callable[[DataFrame], DataFrame]
-) -> None:
+) -> list:
     """Applies `change` to the partitions that hold rows matching the condition, and to no others.
 
-    Matching partitions are found and joined by value on Spark; the write replaces those partitions
-    only (dynamic overwrite), reading and writing one path. A partition that a change leaves without
-    rows cannot be replaced that way, so `change` has to keep a row of each partition; use a
-    VersionedTable for deletes that may empty one.
+    Gives back the values of those partitions. They are named in the filter, so other folders are not
+    read, and the write replaces only them (dynamic overwrite). That can neither empty a partition
+    nor move rows into another one, so a change that would is refused before anything is written;
+    a VersionedTable can do both.
     """
     table = spark.read.parquet(path)
-    touched = table.where(holds(condition)).select(partition).distinct()
-    affected = table.join(touched, partition, "left_semi").select(*table.columns)
-    changed = clustered(change(affected), [partition])
-    changed.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
+    touched = {row[0] for row in table.where(holds(condition)).select(partition).distinct().collect()}
+    if not touched:
+        return []
+    inside = F.col(partition).isin([value for value in touched if value is not None])
+    changed = change(table.where(inside | F.col(partition).isNull() if None in touched else inside))
+    left = {row[0] for row in changed.select(partition).distinct().collect()}
+    if left != touched:
+        raise ValueError(f"the change turns partitions {touched} of {path} into {left}")
+    rewritten = clustered(changed.select(*table.columns), [partition])
+    rewritten.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
+    return sorted(touched, key=str)
 
 
 class VersionedTable:
