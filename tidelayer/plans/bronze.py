@@ -40,3 +40,8 @@ def items(part: DataFrame) -> DataFrame:
         F.col("p_retailprice").alias("price"),
         F.col("p_type").alias("category"),
     )
+
+
+def categories(part: DataFrame) -> DataFrame:
+    """Category dimension: the names that items have."""
+    return part.select(F.col("p_type").alias("name")).distinct()

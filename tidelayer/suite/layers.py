@@ -30,6 +30,26 @@ def bronze_orders(spark, sf):
     return bronze.orders(_feed(spark, sf)).select("event_id", "event_type", "event_timestamp", "ts_seconds", "location_id", "order_id", "sequence")
 
 
+def bronze_places(spark, sf):
+    return _places(spark, sf)
+
+
+def bronze_brands(spark, sf):
+    return bronze.brands(read_table(spark, sf, "part"))
+
+
+def bronze_items(spark, sf):
+    return bronze.items(read_table(spark, sf, "part"))
+
+
+def bronze_categories(spark, sf):
+    return bronze.categories(read_table(spark, sf, "part"))
+
+
+def silver_product_orders(spark, sf):
+    return silver.product_orders(product_orders(read_table(spark, sf, "events")))
+
+
 def silver_enriched(spark, sf):
     return _enriched(spark, sf).drop("body", "ts")
 
@@ -127,6 +147,11 @@ QUERIES = {
     f.__name__: f
     for f in (
         bronze_orders,
+        bronze_places,
+        bronze_brands,
+        bronze_items,
+        bronze_categories,
+        silver_product_orders,
         silver_enriched,
         silver_enriched_sql,
         silver_quantities,
@@ -164,6 +189,13 @@ _BRAND = f"""WITH {ORDER_FEED},
 ORACLE = {
     "bronze_orders": f"""WITH {ORDER_FEED} SELECT event_id, event_type, event_timestamp,
         CAST(floor(epoch(event_timestamp)) AS BIGINT) AS ts_seconds, location_id, order_id, sequence FROM feed""",
+    "bronze_places": "SELECT n_nationkey AS id, n_name AS city FROM nation",
+    "bronze_brands": "SELECT DISTINCT CAST(regexp_extract(p_brand, '[0-9]+$') AS INTEGER) AS id, p_brand AS name FROM part",
+    "bronze_items": """SELECT p_partkey AS id, p_brand AS brand, p_name AS name, p_retailprice AS price, p_type AS category
+        FROM part""",
+    "bronze_categories": "SELECT DISTINCT p_type AS name FROM part",
+    "silver_product_orders": f"""WITH {PRODUCT_ORDERS} SELECT order_id, customer_id, product_id, product_name, quantity, unit_price,
+        total, order_timestamp, order_date, order_hour FROM product_silver""",
     "silver_enriched": f"""WITH {ORDER_FEED} SELECT event_id, event_type, event_timestamp,
         CAST(floor(epoch(event_timestamp)) AS BIGINT) AS ts_seconds, order_id, location_id, sequence, brand_id, order_total,
         latitude, longitude, driver_id, event_hour, event_day_of_week, is_weekend, event_date, city_name FROM enriched""",
