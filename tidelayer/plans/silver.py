@@ -42,8 +42,10 @@ def complete_rows(orders: DataFrame) -> DataFrame:
     return orders.where(F.col("event_id").isNotNull() & F.col("order_id").isNotNull() & F.col("event_timestamp").isNotNull())
 
 
-def _cities(locations: DataFrame) -> DataFrame:
-    return locations.select(F.col("id").alias("location_id"), F.col("city").alias("city_name"))
+def _with_city(orders: DataFrame, locations: DataFrame) -> DataFrame:
+    """city_name by place; a row whose place is unknown or missing stays without one."""
+    cities = locations.select(F.col("id").alias("location_id"), F.col("city").alias("city_name"))
+    return join_dimension(orders, cities, "location_id").select(*orders.columns, "city_name")
 
 
 def enriched(orders: DataFrame, locations: DataFrame) -> DataFrame:
@@ -68,7 +70,7 @@ def enriched(orders: DataFrame, locations: DataFrame) -> DataFrame:
             "details.driver_id",
         )
     )
-    return join_dimension(with_time_features(parsed), _cities(locations), "location_id")
+    return _with_city(with_time_features(parsed), locations)
 
 
 def enriched_with_items(orders: DataFrame, locations: DataFrame) -> DataFrame:
@@ -97,7 +99,7 @@ def enriched_with_items(orders: DataFrame, locations: DataFrame) -> DataFrame:
             F.to_date("event_timestamp").alias("event_date"),
         )
     )
-    return join_dimension(parsed, _cities(locations), "location_id")
+    return _with_city(parsed, locations)
 
 
 def created_orders(feed: DataFrame) -> DataFrame:

@@ -59,7 +59,7 @@ def qc_exactly_once(spark, sf):
     events = _events(spark, sf)
     table = quality.duplicate_report(events, "event_id").withColumn("input", F.lit("table"))
     feed = quality.duplicate_report(redelivered(events), "event_id").withColumn("input", F.lit("feed"))
-    return table.unionByName(feed)
+    return table.unionByName(feed).select("input", "n_rows", "n_distinct", "exactly_once")
 
 
 def dedup_keep_first(spark, sf):
@@ -110,7 +110,8 @@ def lineage_two_hop(spark, sf):
     hops = registry.two_hops(spark)
     source = sizes.select(F.col("name").alias("bronze_table"), F.col("n").alias("bronze_rows"))
     middle = sizes.select(F.col("name").alias("silver_table"), F.col("n").alias("silver_rows"))
-    return hops.join(source, "bronze_table", "left").join(middle, "silver_table", "left")
+    sized = hops.join(source, "bronze_table", "left").join(middle, "silver_table", "left")
+    return sized.select("bronze_table", "silver_table", "gold_table", "path", "bronze_rows", "silver_rows")
 
 
 QUERIES = {

@@ -191,7 +191,7 @@ _SUPPLIERS = "count(*) AS n_rows, CAST(sum(CAST(round(s_acctbal * 100) AS BIGINT
 ORACLE = {
     "scan_parquet": "SELECT o_orderkey, o_custkey, o_totalprice, CAST(o_orderdate AS DATE) AS o_date FROM orders",
     "scan_declared": "SELECT c_custkey, c_mktsegment, c_acctbal FROM customer WHERE c_acctbal > 0",
-    "scan_json": "SELECT event_id, user_id, event_type, value, props FROM events",
+    "scan_json": "SELECT event_id, event_type, props, user_id, value FROM events",
     "scan_csv": "SELECT c_custkey, c_name, c_acctbal FROM customer",
     "scan_csv_schema": "SELECT p_partkey, p_name, p_retailprice FROM part",
     "scan_orc": "SELECT l_orderkey, l_linenumber, l_quantity, l_returnflag FROM lineitem",
