@@ -98,7 +98,7 @@ def repeated_fingerprints(fingerprints: DataFrame, rows: int, per_segment: int =
     """Fingerprints (column `fp`) that count more than one over all partitions, with their count `n`."""
     bits = max(5, math.ceil(math.log2(max(1, rows / per_segment))))
 
-    def merge(key, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def merge(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: list[CountingQuotientFilter] = []
         for batch in batches:
             columns = [batch.column(c).to_pylist() for c in ("slots", "remainders", "counters")]
