@@ -4,8 +4,9 @@ Every partition puts the 64-bit fingerprints of its texts into a counting quotie
 quotient (the slot) and a remainder, and a slot's remainders are kept in order with a counter each, so copies within a
 partition cost one counter. Filters with the same number of slots merge without loss, slot by slot, by their sorted
 remainders. A filter travels in segments of neighbouring slots; one task merges the segments of the same slots. Only texts
-whose fingerprint counts more than one go on to the byte verification, which groups them by the whole text: first within
-up to `spread` shares of the partitions, then over the shares, so no task sees more than that many rows of one text.
+whose fingerprint counts more than one go on to the byte verification, which groups them by the whole text. Fingerprints of
+more than a thousandth of all rows are known as few; their texts are reduced where they are read and then meet in `spread`
+shares first.
 
 A null text is an empty one. The row with the largest id stays; ids that are null count as smallest, and `kept` is true for
 each row that has the kept id, so one id given twice to equal texts stays twice. Empty tables give no rows.
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelayer.llm.texts import id_and_text
+from tidelayer.llm.texts import id_and_text, written
 
 SLOT_BITS = 32  # quotient bits; the remainder has the other 32
 FILTER = "segment BIGINT, slots BINARY, remainders BINARY, counters BINARY"
@@ -114,11 +115,18 @@ def repeated_fingerprints(fingerprints: DataFrame, rows: int, per_segment: int =
 def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", spread: int = 64) -> DataFrame:
     """`doc_id`, `keep_id`, `group_size`, `kept`, `text_sha256` for each row."""
     rows = id_and_text(docs, id_col, text_col).withColumn("fp", F.xxhash64("text"))
-    repeated = repeated_fingerprints(rows.select("fp"), docs.count())
+    total = docs.count()
+    repeated = written(repeated_fingerprints(rows.select("fp"), total), "repeated")
+    hot = F.broadcast(repeated.where(F.col("n") * 1000 > total).select("fp"))  # fewer than 1000, as their counts add up to no more than all
+    rare = repeated.where(F.col("n") * 1000 <= total).select("fp")
+    share = F.pmod(F.xxhash64("doc_id"), F.lit(spread))
+    in_shares = [
+        part.groupBy("fp", "text", how.alias("share")).agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("n"))
+        for part, how in ((rows.join(hot, "fp", "left_semi"), share), (rows.join(rare, "fp", "left_semi"), F.lit(0)))
+    ]
     verified = (
-        rows.join(repeated.select("fp"), "fp", "left_semi")
-        .groupBy("fp", "text", (F.spark_partition_id() % spread).alias("share"))
-        .agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("n"))
+        in_shares[0]
+        .unionByName(in_shares[1])
         .groupBy("fp", "text")
         .agg(F.max("keep_id").alias("keep_id"), F.sum("n").alias("group_size"))
         .where("group_size > 1")

@@ -86,7 +86,10 @@ class WordTokens:
         return b"".join(map(self._have(set(words)), words))
 
 
-word_tokens = lru_cache(maxsize=2)(WordTokens)
+@lru_cache(maxsize=2)
+def word_tokens(path: str) -> WordTokens:
+    """One per worker process: what it has learned serves the next task."""
+    return WordTokens(path)
 
 
 def token_pieces(

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from tidelayer.llm import licences, mixing, quality
 from tidelayer.llm.exact_dedup import exact_duplicates
 from tidelayer.llm.packing import pack
 from tidelayer.llm.texts import documents
@@ -23,6 +25,23 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(documents(spark, sf_dir))
 
 
+def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(documents(spark, sf_dir), max_repetition=MAX_REPETITION)
+    return mixed.selectExpr("doc_id", "source", "__epoch AS epoch", "__tokens AS tokens", "__weight AS weight", "__order AS order_key")
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = documents(spark, sf_dir), spark.read.parquet(f"{sf_dir.rstrip('/')}/labels.parquet")
+    scored = quality.score(docs, quality.train(docs, labels, may_learn=~quality.is_held_out()))
+    return scored.select("doc_id", quality.is_held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op10_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(documents(spark, sf_dir))
+
+
+MAX_REPETITION = 1.25
+
 OP6_SQL = """
 WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
 g AS (SELECT text, max(doc_id) AS keep_id, count(*) AS group_size FROM t GROUP BY text)
@@ -34,6 +53,15 @@ QUERIES = {
     "op1_pack": op1_pack,
     "op2_token_counts": op2_token_counts,
     "op6_exact_dedup": op6_exact_dedup,
+    "op7_mix_sources": op7_mix_sources,
+    "op9_quality": op9_quality,
+    "op10_licences": op10_licences,
 }
 
-ORACLE = {"op6_exact_dedup": OP6_SQL}
+OP7_SQL = mixing.sql(MAX_REPETITION, "greatest(1, ceil(log(greatest(1, count(*)) / 4096.0) / log(16)))")
+
+ORACLE = {
+    "op6_exact_dedup": OP6_SQL,
+    "op7_mix_sources": OP7_SQL,
+    "op10_licences": licences.sql(),
+}

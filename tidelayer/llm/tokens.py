@@ -138,7 +138,10 @@ class TokenCounter:
         return out
 
 
-token_counter = lru_cache(maxsize=2)(TokenCounter)
+@lru_cache(maxsize=2)
+def token_counter(path: str) -> TokenCounter:
+    """One per worker process: what it has learned serves the next task."""
+    return TokenCounter(path)
 
 
 def count_tokens(docs: DataFrame, vocabulary: str, limit: int = 512, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
