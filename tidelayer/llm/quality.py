@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelayer.llm.texts import id_and_text
+from tidelayer.llm.texts import id_and_text, importable
 from tidelayer.llm.words import Words, word_slices
 
 FEATURES = (
@@ -239,6 +239,7 @@ def score(docs: DataFrame, model: AdditiveModel, id_col: str = "doc_id", text_co
 
 def without_low_quality(docs: DataFrame, model: AdditiveModel, least: float = 0.5, text_col: str = "text") -> DataFrame:
     """The rows that score `least` or more, with all their columns."""
+    importable(docs.sparkSession)
     names = docs.columns
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

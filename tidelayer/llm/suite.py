@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tidelayer.llm import licences, mixing, quality
 from tidelayer.llm.exact_dedup import exact_duplicates
+from tidelayer.llm.jaccard import linked_components
 from tidelayer.llm.packing import pack
 from tidelayer.llm.texts import documents
 from tidelayer.llm.tokens import count_tokens
@@ -21,6 +22,10 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linked_components(documents(spark, sf_dir))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(documents(spark, sf_dir))
 
@@ -42,6 +47,23 @@ def op10_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 MAX_REPETITION = 1.25
 
+OP3_SQL = """
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS words
+  FROM documents),
+s AS (
+  SELECT doc_id, CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 5 THEN [array_to_string(words, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i:i + 4], ' '))) END AS shingles
+  FROM w),
+e AS (SELECT doc_id, len(shingles) AS n, unnest(shingles) AS shingle FROM s),
+links AS (
+  SELECT a.doc_id AS x, b.doc_id AS y FROM e a JOIN e b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+reach AS (SELECT doc_id AS x, doc_id AS y FROM s UNION SELECT r.x, l.y FROM reach r JOIN links l ON r.y = l.x)
+SELECT s.doc_id, CAST(len(shingles) AS BIGINT) AS n_shingles, c.component_id
+FROM s JOIN (SELECT x, min(y) AS component_id FROM reach GROUP BY x) c ON c.x = s.doc_id
+"""
+
 OP6_SQL = """
 WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
 g AS (SELECT text, max(doc_id) AS keep_id, count(*) AS group_size FROM t GROUP BY text)
@@ -52,6 +74,7 @@ FROM t JOIN g ON t.text = g.text
 QUERIES = {
     "op1_pack": op1_pack,
     "op2_token_counts": op2_token_counts,
+    "op3_jaccard": op3_jaccard,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_mix_sources": op7_mix_sources,
     "op9_quality": op9_quality,
@@ -61,6 +84,7 @@ QUERIES = {
 OP7_SQL = mixing.sql(MAX_REPETITION, "greatest(1, ceil(log(greatest(1, count(*)) / 4096.0) / log(16)))")
 
 ORACLE = {
+    "op3_jaccard": OP3_SQL,
     "op6_exact_dedup": OP6_SQL,
     "op7_mix_sources": OP7_SQL,
     "op10_licences": licences.sql(),
