@@ -12,6 +12,7 @@ from tidelayer.llm.jaccard import linked_components
 from tidelayer.llm.packing import pack
 from tidelayer.llm.texts import documents
 from tidelayer.llm.tokens import count_tokens
+from tidelayer.llm.topk import top_k
 
 
 def op1_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,6 +27,10 @@ def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linked_components(documents(spark, sf_dir))
 
 
+def op4_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(spark.read.parquet(f"{sf_dir.rstrip('/')}/embeddings.parquet"), F.col("vec_id") % 20 == 0)
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(documents(spark, sf_dir))
 
@@ -64,6 +69,18 @@ SELECT s.doc_id, CAST(len(shingles) AS BIGINT) AS n_shingles, c.component_id
 FROM s JOIN (SELECT x, min(y) AS component_id FROM reach GROUP BY x) c ON c.x = s.doc_id
 """
 
+OP4_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id,
+         CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda p: coalesce(p[1] * p[2], 0))) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id),
+ranked AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM scored)
+SELECT * FROM ranked WHERE rank <= 20
+"""
+
 OP6_SQL = """
 WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
 g AS (SELECT text, max(doc_id) AS keep_id, count(*) AS group_size FROM t GROUP BY text)
@@ -75,6 +92,7 @@ QUERIES = {
     "op1_pack": op1_pack,
     "op2_token_counts": op2_token_counts,
     "op3_jaccard": op3_jaccard,
+    "op4_top_k": op4_top_k,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_mix_sources": op7_mix_sources,
     "op9_quality": op9_quality,
@@ -85,6 +103,7 @@ OP7_SQL = mixing.sql(MAX_REPETITION, "greatest(1, ceil(log(greatest(1, count(*))
 
 ORACLE = {
     "op3_jaccard": OP3_SQL,
+    "op4_top_k": OP4_SQL,
     "op6_exact_dedup": OP6_SQL,
     "op7_mix_sources": OP7_SQL,
     "op10_licences": licences.sql(),
