@@ -13,6 +13,8 @@ from tidelayer.llm.packing import pack
 from tidelayer.llm.texts import documents
 from tidelayer.llm.tokens import count_tokens
 from tidelayer.llm.topk import top_k
+from tidelayer.llm.warc import page_captures, read_archives, write_archives
+from tidelayer.session import run_dir
 
 
 def op1_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,6 +33,12 @@ def op4_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(spark.read.parquet(f"{sf_dir.rstrip('/')}/embeddings.parquet"), F.col("vec_id") % 20 == 0)
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = run_dir(spark, "warc")
+    write_archives(spark.read.parquet(f"{sf_dir.rstrip('/')}/pages.parquet"), path)
+    return page_captures(read_archives(spark, path, blocks=False))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(documents(spark, sf_dir))
 
@@ -81,6 +89,20 @@ ranked AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER
 SELECT * FROM ranked WHERE rank <= 20
 """
 
+OP5_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+g AS (SELECT html, max(page_id) AS first_id FROM p GROUP BY html),
+d AS (
+  SELECT page_id, html, first_id, sha1(html) AS h FROM p JOIN g USING (html)),
+v AS (SELECT *, list_transform(range(0, 8), lambda i: CAST('0x' || substr(h, CAST(5 * i + 1 AS BIGINT), 5) AS BIGINT)) AS twenties FROM d)
+SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes,
+       array_to_string(list_transform(twenties, lambda v: array_to_string(list_transform([15, 10, 5, 0],
+         lambda s: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(((v >> s) & 31) + 1 AS BIGINT), 1)), '')), '') AS payload_digest,
+       CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> first_id THEN first_id END AS refers_to
+FROM v
+"""
+
 OP6_SQL = """
 WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
 g AS (SELECT text, max(doc_id) AS keep_id, count(*) AS group_size FROM t GROUP BY text)
@@ -93,6 +115,7 @@ QUERIES = {
     "op2_token_counts": op2_token_counts,
     "op3_jaccard": op3_jaccard,
     "op4_top_k": op4_top_k,
+    "op5_warc": op5_warc,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_mix_sources": op7_mix_sources,
     "op9_quality": op9_quality,
@@ -104,6 +127,7 @@ OP7_SQL = mixing.sql(MAX_REPETITION, "greatest(1, ceil(log(greatest(1, count(*))
 ORACLE = {
     "op3_jaccard": OP3_SQL,
     "op4_top_k": OP4_SQL,
+    "op5_warc": OP5_SQL,
     "op6_exact_dedup": OP6_SQL,
     "op7_mix_sources": OP7_SQL,
     "op10_licences": licences.sql(),
