@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from tidelayer.llm.components import components
 from tidelayer.llm.texts import id_and_text, written
-from tidelayer.llm.words import Words, mixed, word_slices
+from tidelayer.llm.words import Words, by_owner, mixed, word_slices
 
 TOKEN_BITS = 40  # of a shingle's hash, after the bits that name its slice
 U64 = np.uint64
@@ -42,12 +42,17 @@ def _runs(sorted_values: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.append(True, sorted_values[1:] != sorted_values[:-1])) if len(sorted_values) else np.empty(0, np.int64)
 
 
+def _ranges(starts: np.ndarray, size: int) -> list[tuple[int, int]]:
+    ends = starts[1:].tolist() + [size]
+    return list(zip(starts.tolist(), ends[: len(starts)], strict=True))
+
+
 class Sets:
     """Distinct shingles of a slice of texts, sorted within each text, with a 64-bit key and a check value per set."""
 
     def __init__(self, words: Words, width: int, seed: int):
         hashes, owner, _ = words.shingles(width)
-        order = np.lexsort((hashes, owner))
+        order = by_owner(hashes, owner)
         hashes, owner = hashes[order], owner[order]
         new = np.append(True, (hashes[1:] != hashes[:-1]) | (owner[1:] != owner[:-1]))[: len(hashes)]
         self.hashes, owner = hashes[new], owner[new]
@@ -81,7 +86,7 @@ def _sent(keys: np.ndarray, sizes: np.ndarray, owner: np.ndarray, hashes: np.nda
     low, high = token.astype("<u4"), (token >> U64(32)).astype(np.uint8)
     starts = _runs(part)
     rows = []
-    for a, b in zip(starts, np.append(starts[1:], len(part)), strict=True):
+    for a, b in _ranges(starts, len(part)):
         runs = _runs(owner[a:b])
         who = owner[a:b][runs]
         counts = np.diff(np.append(runs, b - a)).astype("<u4")
@@ -161,7 +166,7 @@ def shared_shingles(sent: DataFrame, bits: int) -> DataFrame:
         order = np.lexsort((owner, bucket[owner]))
         owner, token = owner[order], token[order]
         rows, starts = [], _runs(bucket[owner])
-        for a, b in zip(starts, np.append(starts[1:], len(owner)), strict=True):
+        for a, b in _ranges(starts, len(owner)):
             runs = _runs(owner[a:b])
             who = owner[a:b][runs]
             counts = np.diff(np.append(runs, b - a)).astype("<u4")
@@ -184,7 +189,7 @@ def linkable_sets(shared: DataFrame, percent: int) -> DataFrame:
         size_of = dict(zip(keys.tolist(), sizes.tolist(), strict=True))
         starts = _runs(owner)
         out = []
-        for a, b in zip(starts.tolist(), np.append(starts[1:], len(owner)).tolist(), strict=True):
+        for a, b in _ranges(starts, len(owner)):
             n = size_of[int(owner[a])]
             needed = -(-percent * n // 100)
             if b - a >= needed:

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidelayer.llm.texts import id_and_text, importable
-from tidelayer.llm.words import Words, word_slices
+from tidelayer.llm.words import Words, by_owner, word_slices
 
 FEATURES = (
     "bytes", "words", "word_length", "upper", "digits", "symbols", "marks", "sentence_ends", "beyond_ascii", "words_per_line", "words_per_sentence",
@@ -46,7 +46,7 @@ def _distinct(owner: np.ndarray, hashes: np.ndarray, size: int) -> tuple[np.ndar
     """Per text: distinct hashes, and how often the most frequent one occurs."""
     if not len(owner):
         return np.zeros(size), np.zeros(size)
-    order = np.lexsort((hashes, owner))
+    order = by_owner(hashes, owner)
     o, h = owner[order], hashes[order]
     starts = np.flatnonzero(np.append(True, (o[1:] != o[:-1]) | (h[1:] != h[:-1])))
     runs = np.diff(np.append(starts, len(o)))

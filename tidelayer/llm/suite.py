@@ -10,6 +10,7 @@ from tidelayer.llm import licences, mixing, quality
 from tidelayer.llm.exact_dedup import exact_duplicates
 from tidelayer.llm.jaccard import linked_components
 from tidelayer.llm.packing import pack
+from tidelayer.llm.passages import repeated_passages
 from tidelayer.llm.texts import documents
 from tidelayer.llm.tokens import count_tokens
 from tidelayer.llm.topk import top_k
@@ -48,6 +49,10 @@ def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.selectExpr("doc_id", "source", "__epoch AS epoch", "__tokens AS tokens", "__weight AS weight", "__order AS order_key")
 
 
+def op8_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages(documents(spark, sf_dir))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = documents(spark, sf_dir), spark.read.parquet(f"{sf_dir.rstrip('/')}/labels.parquet")
     scored = quality.score(docs, quality.train(docs, labels, may_learn=~quality.is_held_out()))
@@ -118,6 +123,7 @@ QUERIES = {
     "op5_warc": op5_warc,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_mix_sources": op7_mix_sources,
+    "op8_repeated_passages": op8_repeated_passages,
     "op9_quality": op9_quality,
     "op10_licences": op10_licences,
 }

@@ -38,6 +38,13 @@ def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
     return np.multiply.accumulate(up), np.multiply.accumulate(down)
 
 
+def by_owner(hashes: np.ndarray, owner: np.ndarray) -> np.ndarray:
+    """The order by owner, then hash; owners are small numbers, which sort in linear time."""
+    order = np.argsort(hashes)
+    small = owner.astype(np.uint16) if len(owner) and owner.max() < 1 << 16 else owner
+    return order[np.argsort(small[order], kind="stable")]
+
+
 class Words:
     """Words of a slice of texts: `hashes`, byte ranges `starts`/`ends`, and `bounds`: text i has words bounds[i] to bounds[i + 1]."""
 
