@@ -8,7 +8,7 @@ and for the rest a prefix of a permutation of its blocks, cut at the document wh
 
 Tokens are words unless another expression is given. A null text has none. A null source is a source of its own, also next
 to one of any name. Rows with the same id share a place in the permutation and come or go together. Sources without tokens
-give no rows of a partial pass. Empty tables give no rows. Within a source the rows taken exceed its quota by less than the
+give no rows of a partial pass. Names that begin with two underscores are the operator's own. Empty tables give no rows. Within a source the rows taken exceed its quota by less than the
 tokens of one id.
 """
 
@@ -115,12 +115,12 @@ def mix(
     inside = inside.withColumn("sum_before", F.coalesce(F.sum("n").over(so_far), F.lit(0)))
     last = inside.where("sum_before < left").groupBy(F.col("__key").alias("last_key")).agg(F.max("place").alias("last"))
 
-    plan = plan.join(last, F.col("key") == F.col("last_key"), "left").select("key", "weight", "passes", "last")
-    taken = rows.join(plan, F.col("__key") == F.col("key"))
-    times = F.col("passes") + F.when(place(F.col("passes")) <= F.col("last"), 1).otherwise(0)
+    plan = plan.join(last, F.col("key") == F.col("last_key"), "left").select("key", "weight", "passes", "last").toDF("__k", "__weight", "__passes", "__last")
+    taken = rows.join(plan, F.col("__key") == F.col("__k"))
+    times = F.col("__passes") + F.when(place(F.col("__passes")) <= F.col("__last"), 1).otherwise(0)
     taken = taken.withColumn("__times", times).where("__times > 0").withColumn("__epoch", F.explode(F.sequence(F.lit(0), F.col("__times") - 1)))
     order = F.concat(F.lpad(F.col("__epoch").cast("string"), 6, "0"), place(F.col("__epoch")))
-    return taken.select(*[docs[c] for c in docs.columns], "__epoch", "__tokens", F.col("weight").alias("__weight"), order.alias("__order"))
+    return taken.select(*[docs[c] for c in docs.columns], "__epoch", "__tokens", "__weight", order.alias("__order"))
 
 
 def sql(max_repetition: float, digits: str, seed: str = "mix") -> str:

@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelayer.llm.texts import WHITE_SPACE, chunks, id_and_text, slices, written
+from tidelayer.llm.texts import LONG, WHITE_SPACE, chunks, id_and_text, slices, written
 
 PIECES = "doc_id BIGINT, piece INT, start BIGINT, length BIGINT, ids_crc32 BIGINT"
 PLACED = PIECES + ", sequence_id BIGINT, offset BIGINT"
@@ -67,7 +67,7 @@ class WordTokens:
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         for a, b in slices(texts):
-            if b - a == 1 and len(texts[a]) > 4_000_000:  # one long text: a bounded number of words at a time
+            if b - a == 1 and len(texts[a]) > LONG:  # one long text: a bounded number of words at a time
                 parts = chunks((m[0] for m in WORD.finditer(texts[a])), 200_000)
                 yield b"".join(self._ids(words) for words in parts)
                 continue

@@ -15,6 +15,8 @@ from tidelayer.session import run_dir
 # The Unicode property White_Space, without U+001C to U+001F that Python's own \s adds.
 WHITE_SPACE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
 
+LONG = 4_000_000  # characters of a text that is taken in parts
+
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet")

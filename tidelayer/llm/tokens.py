@@ -19,7 +19,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelayer.llm.texts import WHITE_SPACE, chunks, id_and_text, slices
+from tidelayer.llm.texts import LONG, WHITE_SPACE, chunks, id_and_text, slices
 
 # Fixed value: the pre-tokenisation of the vocabulary.
 PRE_TOKENS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -130,7 +130,7 @@ class TokenCounter:
     def counts(self, texts: list[str]) -> list[int]:
         out: list[int] = []
         for a, b in slices(texts):
-            if b - a == 1 and len(texts[a]) > 4_000_000:  # one long text: a bounded number of units at a time
+            if b - a == 1 and len(texts[a]) > LONG:  # one long text: a bounded number of units at a time
                 parts = chunks((m[0] for m in UNIT.finditer(texts[a])), 200_000)
                 out.append(sum(self._total([part])[0] for part in parts))
             else:

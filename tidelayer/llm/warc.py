@@ -6,11 +6,11 @@ WARC record as line end, gzipped, so they lie wherever Spark can write. They are
 time and in pieces; a record ends where its Content-Length says, whatever its block holds. Requests, responses and metadata
 are then joined through the concurrent-to identifiers to one nested row per capture.
 
-Of pages with equal payloads the one with the largest id is the response; if several rows have that id, one of them. Ids
-that are null count as smallest. A null or empty payload is one of no bytes; payloads under `least_bytes` never become
-revisits. Rows that occur twice become captures of their own. A null URL writes no Target-URI, line breaks in one are taken
-out. Other columns are not looked at. An empty table gives an archive without records, which reads as an empty table. The
-pages are read twice and have to come in the same partitions both times, as files do.
+Of pages with equal payloads the one with the largest id is the response; rows that share that id all are. Ids that are null
+count as smallest. Revisits name the payload's digest, by which they find the response. A null or empty payload is one of no
+bytes; payloads under `least_bytes` never become revisits. Rows that occur twice become captures of their own. A null URL
+writes no Target-URI, line breaks in one are taken out. Other columns are not looked at. An empty table gives an archive
+without records, which reads as an empty table.
 """
 
 from __future__ import annotations
@@ -57,11 +57,12 @@ def write_archives(
     pages: DataFrame, path: str, least_bytes: int = 0, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", date: str = DATE
 ) -> None:
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.coalesce(F.col(payload_col), F.lit("")).alias("payload"))
-    rows = rows.withColumns({"number": F.monotonically_increasing_id(), "same": F.sha2("payload", 256), "bytes": F.octet_length("payload").cast("bigint")})
-    first = rows.where(F.col("bytes") >= least_bytes).groupBy("same").agg(F.max(F.struct("page_id", "number")).alias("first"), F.count(F.lit(1)).alias("k"))
-    first = first.where("k > 1").select(F.col("same").alias("group"), F.col("first.number").alias("first_number"))
+    rows = rows.withColumns({"same": F.sha2("payload", 256), "bytes": F.octet_length("payload").cast("bigint")})
+    first = rows.where(F.col("bytes") >= least_bytes).groupBy("same").agg(F.max("page_id").alias("first_id"), F.count(F.lit(1)).alias("k"))
+    first = first.where("k > 1").select(F.col("same").alias("group"), "first_id")
     marked = rows.join(first, (F.col("same") == F.col("group")) & (F.col("bytes") >= least_bytes), "left")
-    revisit = F.coalesce(F.col("number") != F.col("first_number"), F.lit(False))
+    revisit = F.col("group").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id"))
+    marked = marked.withColumn("number", F.monotonically_increasing_id())
 
     capture = _record_id("capture", F.col("number"))
     uri = F.regexp_replace("url", r"[\r\n]", "")
@@ -75,7 +76,6 @@ def write_archives(
             "WARC-Target-URI": uri,
             "WARC-Payload-Digest": digest,
             "WARC-Profile": F.when(revisit, PROFILE),
-            "WARC-Refers-To": F.when(revisit, _record_id("capture", F.col("first_number"))),
             "Content-Type": F.lit("application/http; msgtype=response"),
         },
         F.concat(http, F.when(revisit, "").otherwise(F.col("payload"))),
@@ -200,6 +200,6 @@ def page_captures(records: DataFrame) -> DataFrame:
     whole = captures(records)
     page = F.regexp_extract(F.element_at("metadata", 1)["block"].cast("string"), r"(?m)^page-id: (-?[0-9]+)", 1)
     flat = whole.select("record_id", page.try_cast("bigint").alias("page_id"), "response.*")
-    target = flat.where("record_type = 'response'").select(F.col("record_id").alias("target_id"), F.col("page_id").alias("target_page"))
-    found = flat.join(target, F.col("refers_to") == F.col("target_id"), "left")
+    target = flat.where("record_type = 'response'").groupBy(F.col("payload_digest").alias("target")).agg(F.max("page_id").alias("target_page"))
+    found = flat.join(target, (F.col("payload_digest") == F.col("target")) & (F.col("record_type") == "revisit"), "left")
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", F.col("target_page").alias("refers_to"))
