@@ -7,8 +7,11 @@
    n - ceil(t n) + 1 of either, so sets whose first ones are all their own are done. Sets of equal size and equal prefix are
    collapsed into one group.
 4. Groups that share a prefix shingle and whose sizes are near enough are paired, then expanded to members and verified by
-   whole sets. Members that verified links already connect need no further check, so groups of thousands of near copies
-   cost about one check per member and not per pair; all pairs between members not connected so far are verified.
+   whole sets: first each with the group of its list that has the fewest shingles of its own, then each that is still apart
+   with some group of the largest part of its lists. What links connect by then needs no further check, so groups of
+   thousands of near copies cost a few checks per member.
+5. All pairs that share a prefix shingle and are still apart are looked at, in blocks of bounded size: sizes, the places of
+   the shared shingle and parity bits of the sets bound the overlap, and pairs that could reach the threshold are verified.
 
 Words are runs of bytes other than space and U+0009 to U+000D, with A-Z lower-cased; a shingle is five of them, and a text
 with fewer words is one shingle. A text without words (null, empty, blank) has the empty set and links with nothing. Rows
@@ -34,7 +37,8 @@ TOKEN_BITS = 40  # of a shingle's hash, after the bits that name its slice
 U64 = np.uint64
 SEND = "slice BIGINT, keys BINARY, sizes BINARY, counts BINARY, low BINARY, high BINARY"
 BACK = "bucket BIGINT, keys BINARY, sizes BINARY, counts BINARY, tokens BINARY"
-SETS = "key BIGINT, n BIGINT, prefix_group BIGINT, prefix ARRAY<BIGINT>, tokens BINARY"
+SETS = "key BIGINT, n BIGINT, own BIGINT, prefix_group BIGINT, prefix ARRAY<BIGINT>, bits BINARY, tokens BINARY"
+PARITY_BITS = 512
 
 
 def _runs(sorted_values: np.ndarray) -> np.ndarray:
@@ -179,7 +183,11 @@ def shared_shingles(sent: DataFrame, bits: int) -> DataFrame:
 
 
 def linkable_sets(shared: DataFrame, percent: int) -> DataFrame:
-    """Sets that share enough shingles with others to have a link at all, with prefix and shared shingles, rare ones first."""
+    """Sets that share enough shingles with others to have a link at all.
+
+    With the number of shingles of their `own`, the shared ones of the prefix, the parity of the shared ones in a row of bits,
+    and all the shared ones; rare ones first.
+    """
 
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         keys, sizes, counts = _read(table, "keys", "<i8"), _read(table, "sizes", "<u4"), _read(table, "counts", "<u4")
@@ -195,10 +203,12 @@ def linkable_sets(shared: DataFrame, percent: int) -> DataFrame:
             if b - a >= needed:
                 prefix = tokens[a : b - needed + 1]
                 group = int(mixed(np.array([mixed(prefix).sum(dtype=U64) + U64(n)]))[0].view(np.int64))
-                out.append((int(owner[a]), n, group, prefix.view(np.int64), tokens[a:b].tobytes()))
-        columns = list(zip(*out, strict=True)) or [[] for _ in range(5)]
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary()]
-        return pa.table([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["key", "n", "prefix_group", "prefix", "tokens"])
+                parity = np.bincount((mixed(tokens[a:b]) % U64(PARITY_BITS)).astype(np.int64), minlength=PARITY_BITS) & 1
+                out.append((int(owner[a]), n, n - (b - a), group, prefix.view(np.int64), np.packbits(parity.astype(bool)).tobytes(), tokens[a:b].tobytes()))
+        names = [c.split()[0] for c in SETS.split(", ")]
+        columns = list(zip(*out, strict=True)) or [[] for _ in names]
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.binary()]
+        return pa.table([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=names)
 
     return shared.groupBy("bucket").applyInArrow(run, SETS)
 
@@ -222,40 +232,100 @@ def _near(n: str, m: str, percent: int) -> Column:
     return (F.col(n) * 100 >= F.col(m) * percent) & (F.col(m) * 100 >= F.col(n) * percent)
 
 
+def _heads(sets: DataFrame) -> DataFrame:
+    return sets.groupBy("prefix_group").agg(F.min("key").alias("head"))
+
+
+def _ordered(pairs: DataFrame) -> DataFrame:
+    return pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def _star_pairs(sets: DataFrame, postings: DataFrame, percent: int) -> DataFrame:
-    """Each member with the first of its group, and the first of each group with that of the first group of near size per shingle."""
-    heads = sets.groupBy("prefix_group").agg(F.min("key").alias("head"))
+    """Each member with the first of its group, and per shingle the groups of near size with the one that has the fewest own shingles."""
+    heads = _heads(sets)
     inside = sets.select("key", "prefix_group").join(heads, "prefix_group").select(F.col("head").alias("a"), F.col("key").alias("b"))
     band = F.floor(F.log(F.col("n")) / math.log((100 / percent) ** 0.5))  # sizes of one band are near enough
     banded = postings.withColumn("band", band)
-    centres = banded.groupBy("token", "band").agg(F.min("prefix_group").alias("centre"), F.count(F.lit(1)).alias("k")).where("k > 1")
-    groups = banded.join(centres, ["token", "band"]).where("prefix_group <> centre").select("prefix_group", "centre").distinct()
+    centres = banded.groupBy("token", "band").agg(F.min_by("prefix_group", F.struct("own", "prefix_group")).alias("centre"), F.count(F.lit(1)).alias("k"))
+    groups = banded.join(centres.where("k > 1"), ["token", "band"]).where("prefix_group <> centre").select("prefix_group", "centre").distinct()
     across = groups.join(heads.toDF("centre", "a"), "centre").join(heads.toDF("prefix_group", "b"), "prefix_group").select("a", "b")
-    return inside.unionByName(across).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return _ordered(inside.unionByName(across))
+
 
+def _parts(sets: DataFrame, links: DataFrame) -> DataFrame:
+    """The component of each linkable set so far, as `part`."""
+    found = components(links)
+    light = sets.select("key", "n", "own", "bits", "prefix_group").join(found, F.col("key") == F.col("node"), "left")
+    return written(light.select("key", "n", "own", "bits", "prefix_group", F.coalesce("component", "key").alias("part")), "parts")
 
-def _open_pairs(sets: DataFrame, postings: DataFrame, connected: DataFrame, percent: int) -> DataFrame:
-    """All pairs of members that share a prefix shingle, have near sizes and are not connected so far."""
-    light = sets.select("key", "n", "prefix_group").join(connected, F.col("key") == F.col("node"), "left")
-    light = written(light.select("key", "n", "prefix_group", F.coalesce("component", "key").alias("part")), "parts")
-    split = light.groupBy("prefix_group").agg(F.min("part").alias("x"), F.max("part").alias("y")).where("x < y").select("prefix_group")
-    inner = light.join(split, "prefix_group")
-    other = inner.select("prefix_group", F.col("key").alias("b"), F.col("part").alias("part_b"))
-    pairs = inner.join(other, "prefix_group").where("part < part_b").select(F.col("key").alias("a"), "b")
 
-    spread = postings.join(light.select("prefix_group", "part").distinct(), "prefix_group")
+def _open_postings(parts: DataFrame, postings: DataFrame) -> DataFrame:
+    """Members and their places, for shingles whose list holds members of more than one part."""
+    spread = postings.select("token", "place", "prefix_group").join(parts, "prefix_group")
     open_tokens = spread.groupBy("token").agg(F.min("part").alias("x"), F.max("part").alias("y")).where("x < y").select("token")
-    spread = written(spread.join(open_tokens, "token"), "open")
-    parts = spread.select("token", "part").distinct()
-    meet = parts.join(parts.withColumnRenamed("part", "part_b"), "token").where("part < part_b")
-    left = spread.select("token", "part", F.col("prefix_group").alias("g"), "n")
-    right = spread.select("token", F.col("part").alias("part_b"), F.col("prefix_group").alias("h"), F.col("n").alias("m"))
-    groups = meet.join(left, ["token", "part"]).join(right, ["token", "part_b"]).where(_near("n", "m", percent) & (F.col("g") != F.col("h")))
-    groups = groups.select("g", "part", "h", "part_b").distinct()
-    of_g = light.select(F.col("prefix_group").alias("g"), "part", F.col("key").alias("a"))
-    of_h = light.select(F.col("prefix_group").alias("h"), F.col("part").alias("part_b"), F.col("key").alias("b"))
-    across = groups.join(of_g, ["g", "part"]).join(of_h, ["h", "part_b"]).select("a", "b")
-    return pairs.unionByName(across).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return written(spread.join(open_tokens, "token").select("token", "place", "key", "n", "own", "part", "bits"), "open")
+
+
+def _second_pairs(open_: DataFrame, percent: int) -> DataFrame:
+    """Per shingle, each member outside the largest part with some member of it; another one for each shingle."""
+    sizes = open_.groupBy("token", "part").agg(F.count(F.lit(1)).alias("k"), F.min_by(F.struct("key", "n"), F.xxhash64("key", "token")).alias("some"))
+    largest = sizes.groupBy("token").agg(F.max_by(F.struct("part", "some"), F.struct("k", "part")).alias("x"))
+    largest = largest.select("token", F.col("x.part").alias("part_b"), F.col("x.some.key").alias("b"), F.col("x.some.n").alias("m"))
+    return _ordered(open_.join(largest, "token").where((F.col("part") != F.col("part_b")) & _near("n", "m", percent)).select(F.col("key").alias("a"), "b"))
+
+
+def _could_link(a: dict[str, np.ndarray], b: dict[str, np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows of two blocks of a list that are apart and that no bound rules out."""
+    whole = a["n"][:, None] + b["n"][None, :]
+    overlap = -(-percent * whole // (100 + percent))  # the least intersection that links
+    fits = (a["part"][:, None] != b["part"][None, :]) & (a["place"][:, None] <= a["n"][:, None] - overlap) & (b["place"][None, :] <= b["n"][None, :] - overlap)
+    i, j = np.nonzero(fits)
+    differ = a["own"][i] + b["own"][j] + np.bitwise_count(a["bits"][i] ^ b["bits"][j]).sum(1, dtype=np.int64)  # no more than only one of them has
+    few = differ <= whole[i, j] - 2 * overlap[i, j]
+    return i[few], j[few]
+
+
+def _open_pairs(open_: DataFrame, percent: int, block: int = 2048) -> DataFrame:
+    """All pairs that share a prefix shingle, are apart and could link. Lists are cut into blocks; a part that fills blocks has
+    blocks of its own, which are not compared with each other."""
+
+    def compare(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        one, two = key[1].as_py(), key[2].as_py()
+        label = np.array(table.column("label").to_pylist(), object)
+        rows = {c: table.column(c).to_numpy() for c in ("key", "n", "own", "place", "part")}
+        rows["bits"] = np.frombuffer(b"".join(table.column("bits").to_pylist()), np.uint64).reshape(len(label), PARITY_BITS // 64)
+        left, right = np.flatnonzero(label == one), np.flatnonzero(label == two)
+        other = {c: x[right] for c, x in rows.items()}
+        a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        for start in range(0, len(left), 256):
+            some = {c: x[left[start : start + 256]] for c, x in rows.items()}
+            i, j = _could_link(some, other, percent)
+            a.append(some["key"][i])
+            b.append(other["key"][j])
+        a, b = np.concatenate(a), np.concatenate(b)
+        a, b = np.minimum(a, b), np.maximum(a, b)
+        return pa.table([pa.array(a), pa.array(b)], names=["a", "b"]).group_by(["a", "b"]).aggregate([])
+
+    sizes = open_.groupBy("token", "part").agg(F.count(F.lit(1)).alias("k"))
+    rest = sizes.where(F.col("k") <= block).groupBy("token").agg(F.ceil(F.sum("k") / F.lit(block)).alias("mixed_blocks"))
+    sizes = sizes.join(rest, "token", "left").withColumnsRenamed({"token": "t", "part": "p"})
+    labelled = open_.join(sizes, (F.col("token") == F.col("t")) & (F.col("part") == F.col("p")))
+    pure = F.col("k") > block
+    of_part = F.concat_ws("/", F.col("part").cast("string"), F.pmod(F.xxhash64("key"), F.ceil(F.col("k") / F.lit(block))).cast("string"))
+    of_rest = F.concat(F.lit("/"), F.pmod(F.xxhash64("part"), F.col("mixed_blocks")).cast("string"))
+    labelled = labelled.select("token", "place", "key", "n", "own", "part", "bits", F.when(pure, of_part).otherwise(of_rest).alias("label"), F.when(pure, F.col("part")).alias("pure"))
+    labelled = written(labelled, "labelled")
+    blocks = labelled.select("token", "label", "pure").distinct()
+    other = blocks.select("token", F.col("label").alias("two"), F.col("pure").alias("pure_two"))
+    meet = blocks.withColumnRenamed("label", "one").join(other, "token").where("one <= two AND (pure IS NULL OR pure_two IS NULL OR pure <> pure_two)")
+    sides = meet.select("token", "one", "two", F.explode(F.array_distinct(F.array("one", "two"))).alias("label"))
+    return sides.join(labelled.drop("pure"), ["token", "label"]).groupBy("token", "one", "two").applyInArrow(compare, "a BIGINT, b BIGINT").distinct()
+
+
+def _open_groups(parts: DataFrame) -> DataFrame:
+    """Groups whose members are apart, as lists of their own: all of a prefix is shared there, so the first place will do."""
+    split = parts.groupBy("prefix_group").agg(F.min("part").alias("x"), F.max("part").alias("y")).where("x < y").select("prefix_group")
+    return parts.join(split, "prefix_group").select(F.col("prefix_group").alias("token"), F.lit(0).cast("bigint").alias("place"), "key", "n", "own", "part", "bits")
 
 
 def linked_components(docs: DataFrame, percent: int = 80, width: int = 5, id_col: str = "doc_id", text_col: str = "text", per_slice: int = 3_000_000) -> DataFrame:
@@ -269,10 +339,17 @@ def linked_components(docs: DataFrame, percent: int = 80, width: int = 5, id_col
     total = members.agg(F.sum("n")).first()[0] or 0
     bits = max(5, math.ceil(math.log2(max(1, total / per_slice))))
     sets = written(linkable_sets(shared_shingles(send_shingles(rows, width, seed, bits), bits), percent), "sets")
-    postings = written(sets.select("prefix_group", "n", F.explode("prefix").alias("token")).distinct(), "postings")
-    first = _star_pairs(sets, postings, percent)
-    links = written(verified(first, sets, percent), "links")
-    rest = _open_pairs(sets, postings, components(links), percent).join(first, ["a", "b"], "left_anti")
+    spread = sets.select("prefix_group", "n", "own", F.posexplode("prefix").alias("k", "token"))
+    postings = written(spread.select("prefix_group", "n", "own", "token", (F.col("own") + F.col("k")).alias("place")).distinct(), "postings")
+    asked = written(_star_pairs(sets, postings, percent), "pairs")
+    links = written(verified(asked, sets, percent), "links")
+    second = _second_pairs(_open_postings(_parts(sets, links), postings), percent).join(asked, ["a", "b"], "left_anti")
+    second = written(second, "pairs")
+    links = links.unionByName(written(verified(second, sets, percent), "links"))
+    asked = asked.unionByName(second)
+    parts = _parts(sets, links)
+    apart = _open_postings(parts, postings).unionByName(_open_groups(parts))
+    rest = _open_pairs(apart, percent).join(asked, ["a", "b"], "left_anti")
     links = links.unionByName(written(verified(rest, sets, percent), "links"))
     connected = components(links).withColumnsRenamed({"node": "key", "component": "class"})
     ids = members.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("first_id"))

@@ -72,13 +72,13 @@ GAP = "-"
 
 
 def _sequence(sentences: Column, known: dict[str, str]) -> Column:
-    """The identifiers of an array of sentences as ',a,b,-,'. An enumeration like `1.` or `(a)` before a sentence is no part of it."""
+    """The identifiers of an array of sentences as ',a,b,-,'. An enumeration like `1.` or `(a)` is no sentence and no part of one."""
     table = F.create_map(*[F.lit(x) for pair in known.items() for x in pair])
 
     def identifier(sentence: Column) -> Column:
         plain = F.trim(F.regexp_replace(F.lower(sentence), "[^a-z0-9]+", " "))
         bare = F.regexp_replace(plain, "^(?:[0-9]|[a-z]) ", "")
-        return F.when(plain != "", F.coalesce(F.element_at(table, plain), F.element_at(table, bare), F.lit(GAP)))
+        return F.when(~plain.rlike("^([0-9]*|[a-z])$"), F.coalesce(F.element_at(table, plain), F.element_at(table, bare), F.lit(GAP)))
 
     found = F.filter(F.transform(sentences, identifier), lambda x: x.isNotNull())
     return F.concat(F.lit(","), F.array_join(found, ","), F.lit(","))
@@ -131,7 +131,7 @@ WITH sentences AS (
                                 lambda s: trim(regexp_replace(lower(s), '[^a-z0-9]+', ' ', 'g'))) AS plain
   FROM documents),
 sequences AS (
-  SELECT doc_id, ',' || array_to_string(list_transform(list_filter(plain, lambda s: s <> ''),
+  SELECT doc_id, ',' || array_to_string(list_transform(list_filter(plain, lambda s: NOT regexp_full_match(s, '[0-9]*|[a-z]')),
            lambda s: coalesce({table}[s], {table}[regexp_replace(s, '^(?:[0-9]|[a-z]) ', '')], '{GAP}')), ',') || ',' AS sequence
   FROM sentences),
 {", ".join(steps)}
