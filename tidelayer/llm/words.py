@@ -57,7 +57,7 @@ class Words:
         last = solid & (edge[1:] | np.append(~solid[1:], True)[: len(data)])
         self.starts, self.ends = np.flatnonzero(first), np.flatnonzero(last) + 1
         self.bounds = np.searchsorted(self.starts, offsets)
-        size = 1 << max(22, int(len(data) + 1).bit_length())
+        size = 1 << max(21, int(len(data) + 1).bit_length())
         up, down = _powers(size)
         sums = np.concatenate([np.zeros(1, np.uint64), np.add.accumulate(BYTE_VALUE[data] * up[: len(data)])])
         self.hashes = mixed((sums[self.ends] - sums[self.starts]) * down[self.starts])
