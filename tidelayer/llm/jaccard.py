@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidelayer.llm.components import components
-from tidelayer.llm.texts import id_and_text, written
+from tidelayer.llm.texts import give_back, id_and_text, lean, written
 from tidelayer.llm.words import Words, by_owner, mixed, word_slices
 
 TOKEN_BITS = 40  # of a shingle's hash, after the bits that name its slice
@@ -79,7 +79,7 @@ def set_keys(rows: DataFrame, width: int, seed: int) -> DataFrame:
                 columns = [batch.column("doc_id").slice(a, b - a), pa.array(sets.n, pa.int64()), pa.array(sets.key), pa.array(sets.check)]
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n", "key", "check"])
 
-    return rows.mapInArrow(run, f"doc_id {kind}, n BIGINT, key BIGINT, check BIGINT")
+    return rows.mapInArrow(lean(run), f"doc_id {kind}, n BIGINT, key BIGINT, check BIGINT")
 
 
 def _sent(keys: np.ndarray, sizes: np.ndarray, owner: np.ndarray, hashes: np.ndarray, bits: int) -> pa.RecordBatch:
@@ -130,7 +130,7 @@ def send_shingles(rows: DataFrame, width: int, seed: int, bits: int, batch_size:
         if held:
             yield flush()
 
-    return rows.mapInArrow(run, SEND)
+    return rows.mapInArrow(lean(run), SEND)
 
 
 def _read(table: pa.Table, name: str, kind: str) -> np.ndarray:
@@ -153,6 +153,7 @@ def shared_shingles(sent: DataFrame, bits: int) -> DataFrame:
     """Per slice, the shingles that occur in more than one set, packed by bucket of the set's key."""
 
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        give_back()
         keys, sizes, counts = _read(table, "keys", "<i8"), _read(table, "sizes", "<u4"), _read(table, "counts", "<u4")
         token = _read(table, "low", "<u4").astype(U64) | (_read(table, "high", "u1").astype(U64) << U64(32))
         owner = np.repeat(np.arange(len(keys), dtype=np.int32), counts)
@@ -190,6 +191,7 @@ def linkable_sets(shared: DataFrame, percent: int) -> DataFrame:
     """
 
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        give_back()
         keys, sizes, counts = _read(table, "keys", "<i8"), _read(table, "sizes", "<u4"), _read(table, "counts", "<u4")
         tokens, owner = _read(table, "tokens", "<u8"), np.repeat(keys, counts)
         order = np.lexsort((tokens, owner))

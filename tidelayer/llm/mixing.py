@@ -19,6 +19,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidelayer.llm.texts import written
+
 WORDS = "[^ \\t\\n\\x0b\\f\\r]+"
 STEPS = 50
 
@@ -97,7 +99,7 @@ def mix(
 
     per_block = rows.groupBy("__key", "__block").agg(F.sum("__tokens").alias("in_block"))
     totals = per_block.groupBy(F.col("__key").alias("key")).agg(F.sum("in_block").alias("tokens"))
-    plan = source_weights(totals, budget, max_repetition, target_entropy)
+    plan = written(source_weights(totals, budget, max_repetition, target_entropy), "weights")  # a row per source, whose size Spark then knows
     passes = F.when(F.col("tokens") > 0, F.floor(F.col("quota") / F.col("tokens"))).otherwise(0).cast("int")
     plan = plan.withColumn("passes", passes).withColumn("rest", F.col("quota") - F.col("passes") * F.col("tokens"))
 
@@ -116,6 +118,7 @@ def mix(
     last = inside.where("sum_before < left").groupBy(F.col("__key").alias("last_key")).agg(F.max("place").alias("last"))
 
     plan = plan.join(last, F.col("key") == F.col("last_key"), "left").select("key", "weight", "passes", "last").toDF("__k", "__weight", "__passes", "__last")
+    plan = written(plan, "mixture")
     taken = rows.join(plan, F.col("__key") == F.col("__k"))
     times = F.col("__passes") + F.when(place(F.col("__passes")) <= F.col("__last"), 1).otherwise(0)
     taken = taken.withColumn("__times", times).where("__times > 0").withColumn("__epoch", F.explode(F.sequence(F.lit(0), F.col("__times") - 1)))

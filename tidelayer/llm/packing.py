@@ -24,45 +24,47 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelayer.llm.texts import LONG, WHITE_SPACE, chunks, id_and_text, slices, written
+from tidelayer.llm.texts import LONG, WHITE_SPACE, Remembered, chunks, id_and_text, lean, slices, written
 
 PIECES = "doc_id BIGINT, piece INT, start BIGINT, length BIGINT, ids_crc32 BIGINT"
 PLACED = PIECES + ", sequence_id BIGINT, offset BIGINT"
+MARK = "7"
 WORD = re.compile(f"[^{WHITE_SPACE}]+")
 
 
 class WordTokens:
     """Ids of texts by a tokenizer that drops white space, looked up word by word.
 
-    Words the tokenizer has not seen are given to it in rows that one of its special tokens separates. What it gave is
-    kept as little-endian bytes, up to `most` words.
+    Words the tokenizer has not seen are given to it in rows with a lone digit between them, which is a token of its own;
+    words with that digit are given one by one. What it gave is kept as little-endian bytes, for up to twice `most` words.
     """
 
-    def __init__(self, path: str, most: int = 1_000_000, per_row: int = 200):
+    def __init__(self, path: str, most: int = 300_000, per_row: int = 200):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.most, self.per_row = Tokenizer.from_file(path), most, per_row
-        special = [(t.content, i) for i, t in self.tokenizer.get_added_tokens_decoder().items() if t.special]
-        self.mark, self.mark_id = min(special) if special else ("", -1)
-        self.known: dict[str, bytes] = {}
+        self.tokenizer, self.per_row = Tokenizer.from_file(path), per_row
+        ids = [self.tokenizer.encode(f"x{sep}x", add_special_tokens=False).ids for sep in ("\n", f"\n{MARK}\n")]
+        if len(ids[1]) != len(ids[0]) + 1:
+            raise ValueError(f"{path} does not give {MARK} one token of its own")
+        self.mark_id = ids[1][1]
+        self.known = Remembered(most)
 
     def learn(self, words: set[str]) -> None:
-        if len(self.known) + len(words) > self.most:
-            self.known = {}
-        alone = [w for w in words if not self.mark or self.mark[:2] in w]
-        row_of = [w for w in words if self.mark and self.mark[:2] not in w]
+        known = self.known.young
+        alone = [w for w in words if MARK in w]
+        row_of = [w for w in words if MARK not in w]
         for word, code in zip(alone, self.tokenizer.encode_batch(alone, add_special_tokens=False), strict=True):
-            self.known[word] = np.array(code.ids, "<u4").tobytes()
+            known[word] = np.array(code.ids, "<u4").tobytes()
         rows = [row_of[i : i + self.per_row] for i in range(0, len(row_of), self.per_row)]
         for part in chunks(iter(rows), 64):
-            codes = self.tokenizer.encode_batch([self.mark.join(row) for row in part], add_special_tokens=False)
+            codes = self.tokenizer.encode_batch([f"\n{MARK}\n".join(row) for row in part], add_special_tokens=False)
             for row, code in zip(part, codes, strict=True):
                 ids = np.array(code.ids, "<u4")
                 ends = [*np.flatnonzero(ids == self.mark_id).tolist(), len(ids)]
                 data, start = ids.tobytes(), 0
                 for word, end in zip(row, ends, strict=True):
-                    self.known[word] = data[4 * start : 4 * end]
+                    known[word] = data[4 * start : 4 * end]
                     start = end + 1
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
@@ -76,11 +78,9 @@ class WordTokens:
             yield from (b"".join(map(have, each)) for each in words)
 
     def _have(self, words: set[str]):
-        if new := words.difference(self.known):
-            if len(self.known) + len(new) > self.most:
-                new = words
+        if new := self.known.missing(words):
             self.learn(new)
-        return self.known.__getitem__
+        return self.known.young.__getitem__
 
     def _ids(self, words: list[str]) -> bytes:
         return b"".join(map(self._have(set(words)), words))
@@ -114,7 +114,7 @@ def token_pieces(
             if rows:
                 yield _batch(rows, keep_ids)
 
-    return id_and_text(docs, id_col, text_col).mapInArrow(cut, PIECES + (", ids BINARY" if keep_ids else ""))
+    return id_and_text(docs, id_col, text_col).mapInArrow(lean(cut), PIECES + (", ids BINARY" if keep_ids else ""))
 
 
 def _batch(rows: list[tuple], keep_ids: bool) -> pa.RecordBatch:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelayer.llm.texts import id_and_text, importable
+from tidelayer.llm.texts import id_and_text, importable, lean
 from tidelayer.llm.words import Words, by_owner, word_slices
 
 FEATURES = (
@@ -211,7 +211,7 @@ def _per_batch(rows: DataFrame, schema: str, make) -> DataFrame:
             yield pa.RecordBatch.from_arrays([a for _, a in kept + made], names=[c for c, _ in kept + made])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name != "text")
-    return rows.mapInArrow(run, f"{kinds}, {schema}")
+    return rows.mapInArrow(lean(run), f"{kinds}, {schema}")
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", sample_rows: int = 20_000, may_learn=None, id_col: str = "doc_id", text_col: str = "text") -> AdditiveModel:
@@ -248,7 +248,7 @@ def without_low_quality(docs: DataFrame, model: AdditiveModel, least: float = 0.
             if parts:
                 yield batch.filter(pa.array(np.concatenate(parts) >= least))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return docs.mapInArrow(lean(keep), docs.schema)
 
 
 def is_held_out() -> F.Column:

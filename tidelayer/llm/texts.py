@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import os
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import islice
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,6 +46,43 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Remembered:
+    """What is known about words, in two generations: the older one goes when the younger one is full, and what is asked for
+    again stays. Bounds memory at twice `most` words and keeps frequent words."""
+
+    def __init__(self, most: int):
+        self.most, self.young, self.old = most, {}, {}
+
+    def missing(self, words: set[str]) -> set[str]:
+        """Those not known; the others can be looked up in `young` from now on."""
+        new = words.difference(self.young)
+        if len(self.young) + len(new) > self.most:
+            self.young, self.old = {}, self.young
+            new = words
+        found = {w: self.old[w] for w in new if w in self.old}
+        self.young.update(found)
+        return new.difference(found)
+
+
+def give_back() -> None:
+    """Returns freed memory to the machine: Python workers outlive their tasks, and what they keep others lack."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def lean(run: Callable) -> Callable:
+    """The same function of batches, which gives memory back after its last batch."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return wrapped
+
+
 def slices(texts: list[str], chars: int = 2_000_000) -> Iterator[tuple[int, int]]:
     """Ranges of texts with about so many characters each: bounds what a batch holds at once."""
     start = size = 0

@@ -19,7 +19,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelayer.llm.texts import LONG, WHITE_SPACE, chunks, id_and_text, slices
+from tidelayer.llm.texts import LONG, WHITE_SPACE, Remembered, chunks, id_and_text, lean, slices
 
 # Fixed value: the pre-tokenisation of the vocabulary.
 PRE_TOKENS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -91,13 +91,12 @@ class RankedMerges:
 
 
 class TokenCounter:
-    """Counts whole texts; keeps the counts of up to `most` units."""
+    """Counts whole texts; keeps the counts of up to twice `most` units."""
 
-    def __init__(self, path: str, most: int = 800_000):
-        self.merges, self.most = RankedMerges(path), most
+    def __init__(self, path: str, most: int = 400_000):
+        self.merges, self.known = RankedMerges(path), Remembered(most)
         self.pre = regex.compile(PRE_TOKENS)
         self.special = regex.compile("|".join(map(regex.escape, self.merges.specials)) or r"(?!)")
-        self.known: dict[str, int] = {}
 
     def _learn(self, units: list[str]) -> None:
         owners, tokens, fixed = [], [], np.zeros(len(units), np.int64)
@@ -115,16 +114,13 @@ class TokenCounter:
         index = np.array([distinct.setdefault(t, len(distinct)) for t in tokens], np.int64)
         sizes = self.merges.counts([t.encode("utf-8") for t in distinct])
         counted = np.bincount(np.array(owners, np.int64), weights=sizes[index] if len(index) else None, minlength=len(units))
-        self.known.update(zip(units, (counted[: len(units)].astype(np.int64) + fixed).tolist(), strict=True))
+        self.known.young.update(zip(units, (counted[: len(units)].astype(np.int64) + fixed).tolist(), strict=True))
 
     def _total(self, each: list[list[str]]) -> list[int]:
         units = set().union(*each)
-        new = units.difference(self.known)
-        if len(self.known) + len(new) > self.most:
-            self.known, new = {}, units
-        for part in chunks(iter(new), 200_000):
+        for part in chunks(iter(self.known.missing(units)), 200_000):
             self._learn(part)
-        have = self.known.__getitem__
+        have = self.known.young.__getitem__
         return [sum(map(have, x)) for x in each]
 
     def counts(self, texts: list[str]) -> list[int]:
@@ -155,5 +151,5 @@ def count_tokens(docs: DataFrame, vocabulary: str, limit: int = 512, id_col: str
 
     rows = id_and_text(docs, id_col, text_col).withColumn("n_bytes", F.octet_length("text").cast("bigint"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    counted = rows.mapInArrow(count, f"doc_id {kind}, n_bytes BIGINT, n_tokens BIGINT")
+    counted = rows.mapInArrow(lean(count), f"doc_id {kind}, n_bytes BIGINT, n_tokens BIGINT")
     return counted.withColumn("over_limit", F.col("n_tokens") > limit)

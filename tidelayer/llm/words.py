@@ -19,6 +19,7 @@ BYTE_VALUE[65:91] = BYTE_VALUE[97:123]
 BASE = np.uint64(0x9E3779B97F4A7C15 | 5)
 INVERSE = np.uint64(pow(int(BASE), -1, 2**64))
 WEIGHTS = _random.integers(1, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+SLICE = 1_000_000  # bytes of text whose words are held at once
 IS_SPACE = np.isin(np.arange(256), [32, 9, 10, 11, 12, 13])
 
 
@@ -31,13 +32,20 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-@lru_cache(maxsize=2)
-def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
+def _powers_up_to(size: int) -> tuple[np.ndarray, np.ndarray]:
     up, down = np.full(size, BASE, np.uint64), np.full(size, INVERSE, np.uint64)
     up[0] = down[0] = 1
     return np.multiply.accumulate(up), np.multiply.accumulate(down)
 
 
+_usual_powers = lru_cache(maxsize=1)(lambda: _powers_up_to(SLICE + 2))
+
+
+def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and its inverse; kept for slices of the usual size only."""
+    return _usual_powers() if size <= SLICE + 2 else _powers_up_to(size)
+
+
 def by_owner(hashes: np.ndarray, owner: np.ndarray) -> np.ndarray:
     """The order by owner, then hash; owners are small numbers, which sort in linear time."""
     order = np.argsort(hashes)
@@ -57,8 +65,7 @@ class Words:
         last = solid & (edge[1:] | np.append(~solid[1:], True)[: len(data)])
         self.starts, self.ends = np.flatnonzero(first), np.flatnonzero(last) + 1
         self.bounds = np.searchsorted(self.starts, offsets)
-        size = 1 << max(21, int(len(data) + 1).bit_length())
-        up, down = _powers(size)
+        up, down = _powers(len(data) + 2)
         sums = np.concatenate([np.zeros(1, np.uint64), np.add.accumulate(BYTE_VALUE[data] * up[: len(data)])])
         self.hashes = mixed((sums[self.ends] - sums[self.starts]) * down[self.starts])
 
@@ -81,7 +88,7 @@ class Words:
         return mixed(value), owner, at
 
 
-def word_slices(texts: pa.Array, size: int = 4_000_000) -> Iterator[tuple[int, int, Words]]:
+def word_slices(texts: pa.Array, size: int = SLICE) -> Iterator[tuple[int, int, Words]]:
     """Words of texts (string or binary, without nulls), for ranges of about `size` bytes."""
     texts = texts.cast(pa.large_binary())
     offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
