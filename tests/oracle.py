@@ -6,6 +6,7 @@ Standalone: python -m tests.oracle [sf_dir] [name ...]
 from __future__ import annotations
 
 import math
+import re
 import sys
 import time
 from pathlib import Path
@@ -49,6 +50,11 @@ def rows_of(names: list[str], all_names: list[str], rows) -> list[tuple]:
     return sorted((tuple(plain(r[i]) for i in order) for r in rows), key=repr)
 
 
+def sorted_rows(names: list[str], all_names: list[str], rows) -> list[tuple]:
+    order = [all_names.index(n) for n in names]
+    return [tuple(plain(r[i]) for i in order) for r in rows]
+
+
 def compare(spark, con, sf_dir: str, query, sql: str) -> str | None:
     """None when equal, else what differs."""
     ours = query(spark, sf_dir)
@@ -66,6 +72,10 @@ def compare(spark, con, sf_dir: str, query, sql: str) -> str | None:
     if len(a) != len(b):
         return f"rows: {len(a)} / {len(b)}"
     differing = [(x, y) for x, y in zip(a, b) if x != y]
+    if not differing and re.search(r"ORDER BY [^)]*$", sql):  # a sorted result: in the order of the SQL
+        a, b = (sorted_rows(names, *x) for x in ((ours.columns, ours.collect()), ([d[0] for d in theirs.description], con.execute(sql).fetchall())))
+        differing = [(x, y) for x, y in zip(a, b) if x != y]
+        return f"order differs at {differing[0]}" if differing else None
     return f"{len(differing)} of {len(a)} rows differ, columns {names}, first: {differing[0]}" if differing else None
 
 

@@ -1,4 +1,5 @@
 import datetime as dt
+from decimal import Decimal
 
 import pytest
 from pyspark.errors import PySparkException
@@ -85,10 +86,41 @@ def test_money_is_exact_in_any_order(spark):
         assert row.m == sum(cents) / 100 / len(cents)
 
 
-def test_money_without_a_number(spark):
-    df = spark.createDataFrame([(1.25,), (None,), (float("nan"),)], "v double")
-    row = df.agg(money.total("v").alias("t"), money.mean("v").alias("m")).first()
-    assert (row.t, row.m) == (1.25, 1.25)
+def summed(spark, values, dtype="double"):
+    df = spark.createDataFrame([(v,) for v in values], f"v {dtype}")
+    return df.agg(money.total("v").alias("t"), money.mean("v").alias("m"), money.mean_rounded("v").alias("r")).first()
+
+
+def test_money_that_is_missing(spark):
+    assert tuple(summed(spark, [1.25, None])) == (1.25, 1.25, 1.25)
+    assert tuple(summed(spark, [None])) == (None, None, None)
+
+
+@pytest.mark.parametrize("value", [float("nan"), float("inf"), 1e33])
+def test_money_that_is_no_amount_fails(spark, value):
+    with pytest.raises(PySparkException):
+        summed(spark, [1.25, value])
+
+
+def test_money_is_not_rounded_before_the_end(spark):
+    assert summed(spark, [0.004] * 3).t == 0.012
+    assert summed(spark, [1e17, 1.0]).t == float(10**17 + 1)
+    assert summed(spark, [0.1] * 10 + [1e12, -1e12]).t == 1.0
+    assert summed(spark, [-0.07, 0.01, -41.53]).t == -41.59
+
+
+def test_money_beyond_bigint(spark):
+    """More cents than a BIGINT holds, from amounts that are all plain."""
+    df = spark.range(200_000).select(F.lit(999_999_999.99).alias("v"))
+    wide = df.agg(money.total_of(money.units("v") * F.lit(10_000), money.rest("v"), 6).alias("t")).first().t
+    assert wide == Decimal("999999999.99") * 200_000
+    assert df.agg(money.total("v").alias("t")).first().t == float(Decimal("999999999.99") * 200_000)
+
+
+def test_mean_is_rounded_half_up(spark):
+    assert summed(spark, [41.54, 41.55]).r == 41.55
+    assert summed(spark, [-41.54, -41.55]).r == -41.55
+    assert summed(spark, [1.0, 1.0, 1.01]).r == 1.0
 
 
 def test_geo(spark):

@@ -2,7 +2,7 @@ from pyspark.sql import functions as F
 
 from tidelayer.operators import joins
 from tidelayer.operators.grouped import keep_first
-from tidelayer.operators.joins import fits_broadcast, hot_keys, join_dimension, join_spread
+from tidelayer.operators.joins import estimated_bytes, hot_keys, join_dimension, join_spread
 
 
 def skewed(spark, n=6000):
@@ -19,27 +19,32 @@ def as_set(df):
     return sorted((r["id"], r["k"], r["name"]) for r in df.select("id", "k", "name").collect())
 
 
-def test_fits_broadcast(spark):
-    assert fits_broadcast(dimension(spark), 150)
-    assert not fits_broadcast(dimension(spark), 149)
+def test_bytes_decide(spark):
+    small, size = dimension(spark), estimated_bytes(dimension(spark))
+    assert size > 0
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert "_slot" not in plan(join_dimension(skewed(spark), small, "k", max_bytes=size))
+    assert "_slot" in plan(join_dimension(skewed(spark), small, "k", max_bytes=size - 1))
 
 
 def test_hot_keys(spark):
-    assert [r.k for r in hot_keys(skewed(spark), "k", 0.05).collect()] == [7]
-    assert hot_keys(skewed(spark).where("k is null"), "k", 0.05).count() == 0
+    rows = skewed(spark)
+    assert hot_keys(rows, "k", per_slot=1000) == {7: 3}  # about 2,000 rows and two of the others
+    assert list(hot_keys(rows, "k")) == [7]
+    assert hot_keys(rows.where("k is null"), "k") == {}
 
 
 def test_spread_join_keeps_every_row(spark):
     plain = as_set(skewed(spark).join(dimension(spark), "k", "left"))
     assert len(plain) == 6000
-    assert as_set(join_spread(skewed(spark), dimension(spark), "k", hot_share=0.05, spread=8)) == plain
+    assert as_set(join_spread(skewed(spark), dimension(spark), "k", per_slot=300)) == plain
     assert as_set(join_dimension(skewed(spark), dimension(spark), "k")) == plain
-    assert as_set(join_dimension(skewed(spark), dimension(spark), "k", max_rows=10, hot_share=0.05)) == plain
+    assert as_set(join_dimension(skewed(spark), dimension(spark), "k", max_bytes=0)) == plain
 
 
 def test_spread_join_multiplies_matches_like_a_join(spark):
     twice = dimension(spark).unionByName(dimension(spark))
-    assert as_set(join_spread(skewed(spark), twice, "k", 0.05, 8)) == as_set(skewed(spark).join(twice, "k", "left"))
+    assert as_set(join_spread(skewed(spark), twice, "k", per_slot=300)) == as_set(skewed(spark).join(twice, "k", "left"))
 
 
 def test_hot_key_and_copies_are_dealt_out(spark):
@@ -48,12 +53,14 @@ def test_hot_key_and_copies_are_dealt_out(spark):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
     spark.conf.set("spark.sql.adaptive.enabled", False)
     try:
-        joined = join_spread(copies, dimension(spark), "k", 0.05, 16)
+        spark.conf.set("spark.sql.shuffle.partitions", 8)
+        joined = join_spread(copies, dimension(spark), "k", per_slot=40)
         sizes = [r["count"] for r in joined.groupBy(F.spark_partition_id().alias("p")).count().collect()]
     finally:
-        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
-        spark.conf.unset("spark.sql.adaptive.enabled")
-    assert sum(sizes) == 4000 and max(sizes) < 4000
+        for key in ("autoBroadcastJoinThreshold", "adaptive.enabled"):
+            spark.conf.unset(f"spark.sql.{key}")
+        spark.conf.set("spark.sql.shuffle.partitions", 4)
+    assert sum(sizes) == 4000 and max(sizes) <= 2 * 4000 / 8
 
 
 def test_left_join_on(spark):

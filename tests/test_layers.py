@@ -64,9 +64,8 @@ def test_gold_on_missing_totals_and_duplicates(spark):
     assert summary[3].brand_name is None and summary[3].total_orders == 2 and summary[None].total_revenue is None
 
 
-def test_bronze_cap_is_by_id(spark):
-    rows = feed(spark, [(f"e{i}", "order_created", "10:00:00", 1, "o", "{}") for i in (3, 1, 2)])
-    assert [r.event_id for r in bronze.orders(rows, max_rows=2).orderBy("event_id").collect()] == ["e1", "e2"]
+def test_lenient_times(spark):
+    rows = feed(spark, [("e1", "order_created", "10:00:00", 1, "o", "{}")])
     assert bronze.orders_lenient(rows.withColumn("ts", bronze.F.lit("junk"))).first().event_timestamp is None
 
 

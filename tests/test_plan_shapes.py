@@ -4,7 +4,7 @@ import re
 
 import pytest
 
-import __spark_entry__ as entry
+from tidelayer import suite
 from tidelayer.plans import commerce
 from tidelayer.sources import read_table
 from tidelayer.suite import checks, guards, layers, relational
@@ -66,6 +66,23 @@ def test_top_k_and_percentiles_are_partial(spark, sf):
     assert "TakeOrderedAndProject" in plan(relational.latest_events(spark, sf))
 
 
+@pytest.mark.parametrize("build, tables, key", [
+    (commerce.daily_sales, ("orders", "customer", "nation", "region"), "o_custkey"),
+    (commerce.product_performance, ("lineitem", "part"), "l_partkey"),
+    (commerce.item_chain, ("lineitem", "part", "supplier"), "l_partkey"),
+])
+def test_sales_shuffle_the_fact_once_before_the_first_join(spark, sf, build, tables, key):
+    """With no broadcast: the rows go to the first join as they are read, by the key of the join."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        text = plan(build(*(read_table(spark, sf, t) for t in tables)))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert text.count(f"hashpartitioning({key}") - text.count(f"hashpartitioning({key}") // 2 <= 2
+    below = text[text.rindex(f"SortMergeJoin [{key}") :]
+    assert "HashAggregate" not in below
+
+
 def test_registered_names():
-    names = set(entry.queries())
+    names = set(suite.queries())
     assert not [n for n in names if "pipeline" in n or re.match(r"op\d", n)]

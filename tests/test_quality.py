@@ -18,9 +18,13 @@ def test_late_arrivals_against_brute_force(spark):
         expected[group] = (n + 1, late + (behind is not None), max(filter(None, (lag, behind)), default=None))
         newest = max(newest, at) if newest else at
     df = spark.createDataFrame(rows, "i bigint, at timestamp, g string").repartition(5)
-    for block_rows in (1, 64, 1_000_000):
-        found = quality.late_arrivals(df, "i", "at", "g", block_rows).collect()
-        assert {r.g: (r.n_rows, r.n_late, r.max_lag_seconds) for r in found} == expected
+    for blocks in (1, 4, 33):
+        spark.conf.set("spark.sql.shuffle.partitions", blocks)
+        found = quality.late_arrivals(df, "i", "at", "g").collect()
+        sparse = quality.late_arrivals(df.withColumn("i", F.col("i") * 1_000_000), "i", "at", "g").collect()  # few numbers are used
+        spark.conf.set("spark.sql.shuffle.partitions", 4)
+        for rows in (found, sparse):
+            assert {r.g: (r.n_rows, r.n_late, r.max_lag_seconds) for r in rows} == expected
 
 
 def test_layer_totals_find_a_loss(spark):

@@ -4,8 +4,9 @@ import pytest
 
 import __spark_entry__ as entry
 from tests.oracle import compare, connect
+from tidelayer import suite
 
-QUERIES, ORACLE = entry.queries(), entry.oracle_sql()
+QUERIES, ORACLE = suite.queries(), suite.oracle_sql()
 
 
 @pytest.fixture(scope="module")

@@ -89,9 +89,79 @@ def test_compact_expire_orphans(spark, tmp_path):
     assert [r.version for r in table.expirable(later, retain_last=1).collect()] == [1]
     assert table.expirable(dt.datetime(2001, 1, 1), retain_last=0).count() == 0
     assert table.orphans(later).count() == 0
-    spark.range(3).coalesce(1).write.parquet(f"{table.path}/batch=000009-{'0' * 32}")
+    spark.range(3).coalesce(1).write.parquet(f"{table.path}/data/__batch=000009-{'0' * 32}")
     assert table.orphans(later).count() == 1
     assert table.read().count() == 500
+    assert table.expire(later, retain_last=1) == [1]
+    assert [r.version for r in table.history().collect()] == [2] and table.read().count() == 500
+    assert table.orphans(later).count() == 21  # the files of the version that is gone
+    with pytest.raises(LookupError):
+        table.read(version=1)
+
+
+def names(table, version=None):
+    return {r.file.rsplit("/", 1)[1] for r in table.files(version).collect()}
+
+
+def test_changes_touch_only_files_that_match(spark, tmp_path):
+    rows = spark.range(100).repartitionByRange(5, "id").select("id", (F.col("id") * 2).alias("v"))
+    table = VersionedTable.create(spark, str(tmp_path / "t"), rows)
+    first = names(table)
+    table.update("id = 3", {"v": "-1"})
+    second = names(table)
+    assert len(first) == 5 and len(first & second) == 4
+    table.delete("id >= 90")
+    assert len(second & names(table)) == 4
+    assert sorted(map(tuple, table.read().collect())) == [(i, -1 if i == 3 else 2 * i) for i in range(90)]
+    table.update("id > 1000", {"v": "0"})
+    table.rename_column("v", "w")
+    assert names(table) == names(table, 3)
+    table.delete("id IS NOT NULL")
+    assert table.read().count() == 0 and table.read().columns == ["id", "w"]
+    assert [r.n_rows for r in table.history().orderBy("version").collect()] == [100, 100, 90, 90, 90, 0]
+
+
+def test_compaction_leaves_large_files(spark, tmp_path):
+    table = VersionedTable.create(spark, str(tmp_path / "t"), spark.range(200_000).repartition(2))
+    for i in range(3):
+        table.append(spark.range(i, i + 1))
+    large = {r.file for r in table.files().collect() if r.n_rows > 1000}
+    table.compact(target_bytes=100_000)
+    after = {r.file for r in table.files().collect()}
+    assert len(large) == 2 and large < after and len(after) == 3
+
+
+def test_columns_named_like_the_folders(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "a"), (2, "b")], "batch int, data string")
+    table = VersionedTable.create(spark, str(tmp_path / "t"), rows)
+    assert sorted(map(tuple, table.read().collect())) == [(1, "a"), (2, "b")]
+    with pytest.raises(ValueError, match="__batch"):
+        VersionedTable.create(spark, str(tmp_path / "u"), rows.withColumnRenamed("batch", "__batch"))
+
+
+def test_renamed_partition_column_and_names_used_again(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "x y"), (2, "100%"), (3, None)], "id int, category string")
+    table = VersionedTable.create(spark, str(tmp_path / "t"), rows, ("category",))
+    table.rename_column("category", "kind")
+    again = VersionedTable(spark, table.path)  # the partitioning is part of the history
+    again.append(spark.createDataFrame([(4, "x y")], "id int, kind string"))
+    again.update("kind = '100%'", {"id": "20"})
+    assert {r.kind: (r.n_rows, r.n_files) for r in again.partitions().collect()} == {"x y": (2, 2), "100%": (1, 1), None: (1, 1)}
+    assert sorted(map(tuple, table.read().collect())) == [(1, "x y"), (3, None), (4, "x y"), (20, "100%")]
+    again.add_column("category", "int")
+    assert {r.category for r in again.read().collect()} == {None}
+    again.update("id = 1", {"category": "5"})
+    assert {r.id: r.category for r in table.read().collect()} == {1: 5, 3: None, 4: None, 20: None}
+    with pytest.raises(ValueError):
+        again.add_column("id", "int")
+
+
+def test_a_second_writer_is_seen(spark, metrics):
+    other = VersionedTable(spark, metrics.path)
+    other.append(metrics.read())
+    assert metrics.read().count() == 2
+    metrics.append(other.read())
+    assert other.read().count() == 4
 
 
 def test_rewrite_touches_only_partitions_that_match(spark, tmp_path):

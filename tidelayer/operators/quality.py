@@ -8,13 +8,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidelayer.functions import money, payload
+from tidelayer.session import run_dir
 
 
 def layer_totals(bronze: DataFrame, silver: DataFrame, gold: DataFrame, amount: str, gold_amount: str, gold_rows: str) -> DataFrame:
     """One row: rows and totals of three layers, whether rows agree, whether totals agree within 0.01."""
 
     def totals(df: DataFrame, layer: str, rows: Column, column: str) -> DataFrame:
-        return df.agg(rows.cast("bigint").alias("n"), F.sum(money.units(column)).alias("cents")).select(F.lit(layer).alias("layer"), "n", "cents")
+        return df.agg(rows.cast("bigint").alias("n"), money.total_exact(column).alias("total")).select(F.lit(layer).alias("layer"), "n", "total")
 
     layers = (
         totals(bronze, "bronze", F.count(F.lit(1)), amount)
@@ -27,9 +28,9 @@ def layer_totals(bronze: DataFrame, silver: DataFrame, gold: DataFrame, amount:
 
     return layers.agg(
         *(pick(layer, "n").alias(f"{layer}_rows") for layer in ("bronze", "silver", "gold")),
-        *((pick(layer, "cents").cast("double") / F.lit(100.0)).alias(f"{layer}_total") for layer in ("bronze", "silver", "gold")),
+        *(pick(layer, "total").cast("double").alias(f"{layer}_total") for layer in ("bronze", "silver", "gold")),
         (pick("bronze", "n") == pick("silver", "n")).alias("rows_agree"),
-        (F.abs(pick("bronze", "cents") - pick("gold", "cents")) < 1).alias("totals_agree"),
+        (F.abs(pick("bronze", "total") - pick("gold", "total")) < F.lit("0.01").cast("decimal(3,2)")).alias("totals_agree"),
     )
 
 
@@ -109,43 +110,49 @@ def amounts_that_differ(totals: DataFrame, parts: DataFrame, key: str, total: st
 
     Parts are summed per key before the join, so both sides have one row per key and no key is hot.
     """
-    amount = F.col(price) * F.col(quantity) if quantity else F.col(price)
-    summed = parts.groupBy(key).agg(F.sum(money.units(amount)).alias("part_cents"), F.count(F.lit(1)).alias("parts"))
-    difference = F.col("total_cents") - F.coalesce(F.col("part_cents"), F.lit(0))
+    price_of = F.col(price) * F.col(quantity) if quantity else F.col(price)
+    summed = parts.groupBy(key).agg(money.total_exact(price_of).alias("part_sum"), F.count(F.lit(1)).alias("parts"))
+    parts_total = F.coalesce(F.col("part_sum"), F.lit(0).cast(money.EXACT))
     return (
-        totals.select(key, money.units(total).alias("total_cents"))
+        totals.select(key, money.exact(total).alias("whole"))
         .join(summed, key, "left")
         .select(
             key,
-            (F.col("total_cents") / F.lit(100.0)).alias("total"),
-            (F.coalesce(F.col("part_cents"), F.lit(0)) / F.lit(100.0)).alias("parts_total"),
+            F.col("whole").cast("double").alias("total"),
+            parts_total.cast("double").alias("parts_total"),
             F.coalesce(F.col("parts"), F.lit(0)).cast("bigint").alias("parts"),
-            (difference == 0).alias("consistent"),
+            (F.col("whole") == parts_total).alias("consistent"),
         )
     )
 
 
 def freshness(newest: DataFrame, registry: DataFrame, now: Column) -> DataFrame:
-    """newest(layer, table_name, newest_ts) against the registry's SLA hours, as of `now`."""
+    """newest(layer, table_name, newest_ts) against the registry's SLA hours, as of `now`.
+
+    A registered table without a reading is there too: it has no age and is not fresh.
+    """
     hours = (F.unix_timestamp(now) - F.unix_timestamp("newest_ts")) / 3600
-    return registry.join(newest, ["layer", "table_name"]).select(
+    return registry.join(newest, ["layer", "table_name"], "left").select(
         "layer",
         "table_name",
         "newest_ts",
         "sla_hours",
         hours.alias("age_hours"),
-        (hours <= F.col("sla_hours")).alias("is_fresh"),
+        F.coalesce(hours <= F.col("sla_hours"), F.lit(False)).alias("is_fresh"),
     )
 
 
-def late_arrivals(df: DataFrame, arrival: str, time: str, group: str, block_rows: int = 100_000) -> DataFrame:
+def late_arrivals(df: DataFrame, arrival: str, time: str, group: str) -> DataFrame:
     """Per group: rows, rows older than some row that arrived before them, and the largest lag in seconds.
 
-    `arrival` is a unique running number. The newest time before a row is a running maximum over the
-    whole feed. It is taken in two levels: within blocks of arrival numbers, and over one row per
-    block, so the only step in one task sees one row per `block_rows` rows.
+    `arrival` is a unique number or text that orders the rows. The newest time before a row is a running maximum over the
+    whole feed, taken in two levels: within ranges of arrivals, one per shuffle partition, and over one row per range. The
+    ranges are written once, as they are sampled and would differ in a second reading.
     """
-    blocks = df.select(arrival, time, group).withColumn("_block", F.expr(f"{arrival} div {block_rows}"))
+    ranged = df.select(arrival, time, group).repartitionByRange(arrival).withColumn("_block", F.spark_partition_id())
+    path = run_dir(df.sparkSession, "arrivals")
+    ranged.write.parquet(path)
+    blocks = df.sparkSession.read.schema(ranged.schema).parquet(path)
     tops = blocks.groupBy("_block").agg(F.max(time).alias("_top"))
     before = Window.rowsBetween(Window.unboundedPreceding, -1)
     running = tops.select("_block", F.max("_top").over(before.orderBy("_block")).alias("_before_block"))
@@ -153,7 +160,7 @@ def late_arrivals(df: DataFrame, arrival: str, time: str, group: str, block_rows
     lag = F.unix_micros("_newest") - F.unix_micros(time)
     return (
         blocks.withColumn("_inside", inside)
-        .join(running, "_block")
+        .join(F.broadcast(running), "_block")  # a row per shuffle partition
         .withColumn("_newest", F.greatest("_inside", "_before_block"))
         .groupBy(group)
         .agg(

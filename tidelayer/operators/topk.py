@@ -6,11 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def top_by(df: DataFrame, measure: str, tie_break: str, k: int = 10) -> DataFrame:
-    """k rows with the largest measure; equal measures by the tie-break."""
-    return df.orderBy(F.desc(measure), F.asc(tie_break)).limit(k)
-
-
 def latest(df: DataFrame, time: str, tie_break: str, n: int = 5) -> DataFrame:
     return df.orderBy(F.desc(time), F.asc(tie_break)).limit(n)
 

@@ -8,10 +8,9 @@ from pyspark.sql import functions as F
 from tidelayer.functions.times import event_time, event_time_lenient
 
 
-def orders(feed: DataFrame, max_rows: int | None = None) -> DataFrame:
-    """The feed with event_timestamp; optionally capped at ingest, by event id so that runs agree."""
-    capped = feed.orderBy("event_id").limit(max_rows) if max_rows else feed
-    return capped.withColumn("event_timestamp", event_time("ts"))
+def orders(feed: DataFrame) -> DataFrame:
+    """The feed with event_timestamp."""
+    return feed.withColumn("event_timestamp", event_time("ts"))
 
 
 def orders_lenient(feed: DataFrame) -> DataFrame:

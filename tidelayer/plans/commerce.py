@@ -1,24 +1,29 @@
 """Sales over the star schema: revenue by region, top customers, daily sales, lifetime value, products.
 
-Line items are summed per join key before every join. Each join then has one row per key on both
-sides, or at most one per key and day, so a key with a third of all line items costs its partial sums
-only, and the join reuses the shuffle of the aggregate in front of it.
+Line items are summed per order before they meet the orders, which reuses the shuffle of the sum. Elsewhere a dimension is
+joined straight to the rows and the rows are aggregated once, with partial sums on the map side: sums per join key would
+hardly reduce them. How a dimension gets to the rows is Spark's choice by its size; a hot key of a shuffled join is split at
+run time. Sums of money are exact, see `functions.money`.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidelayer.functions import money
 from tidelayer.operators.joins import join_dimension
 
-FINE = 10_000  # price (2 decimals) times discount factor (2 decimals)
+FINE = 4  # digits of price (2) times discount factor (2)
 
 
-def line_units(lineitem: DataFrame):
-    """Net price of a line in ten-thousandths."""
-    return money.units(F.col("l_extendedprice") * (F.lit(1.0) - F.col("l_discount")), FINE)
+def _kept() -> Column:
+    return F.round(F.lit(1.0) - F.col("l_discount"), 6)
+
+
+def net_price() -> Column:
+    """Exact sum of the net prices of lines, as a decimal."""
+    return money.total_of(money.product_units("l_extendedprice", _kept()), money.product_rest("l_extendedprice", _kept()), FINE)
 
 
 def nations(nation: DataFrame, region: DataFrame) -> DataFrame:
@@ -28,10 +33,10 @@ def nations(nation: DataFrame, region: DataFrame) -> DataFrame:
 
 
 def revenue_per_customer(lineitem: DataFrame, orders: DataFrame) -> DataFrame:
-    """o_custkey, units, orders: line items per order, joined to their orders, summed per customer."""
-    per_order = lineitem.groupBy("l_orderkey").agg(F.sum(line_units(lineitem)).alias("units"))
+    """o_custkey, revenue, orders: line items per order, joined to their orders, summed per customer."""
+    per_order = lineitem.groupBy("l_orderkey").agg(net_price().alias("revenue"))
     placed = per_order.join(orders.select("o_orderkey", "o_custkey"), per_order.l_orderkey == F.col("o_orderkey"))
-    return placed.groupBy("o_custkey").agg(F.sum("units").alias("units"), F.count(F.lit(1)).alias("n_orders"))
+    return placed.groupBy("o_custkey").agg(F.sum("revenue").cast(money.EXACT).alias("revenue"), F.count(F.lit(1)).alias("n_orders"))
 
 
 def revenue_by_region(lineitem: DataFrame, orders: DataFrame, customer: DataFrame, nation: DataFrame, region: DataFrame) -> DataFrame:
@@ -41,13 +46,13 @@ def revenue_by_region(lineitem: DataFrame, orders: DataFrame, customer: DataFram
     per_nation = (
         per_customer.join(homes, per_customer.o_custkey == F.col("c_custkey"))
         .groupBy("n_nationkey")
-        .agg(F.sum("units").alias("units"))
+        .agg(F.sum("revenue").cast(money.EXACT).alias("revenue"))
     )
     named = join_dimension(per_nation, nations(nation, region), "n_nationkey")
     return (
         named.groupBy(F.col("r_name").alias("region"))
-        .agg(F.round(money.total_units("units", FINE), 2).alias("total_revenue"))
-        .orderBy(F.desc("total_revenue"))
+        .agg(F.round(F.sum("revenue"), 2).cast("double").alias("total_revenue"))
+        .orderBy(F.desc("total_revenue"), "region")
     )
 
 
@@ -55,30 +60,28 @@ def top_customers(lineitem: DataFrame, orders: DataFrame, k: int = 10) -> DataFr
     """k customers with the largest revenue; ties by customer."""
     per_customer = revenue_per_customer(lineitem, orders)
     return (
-        per_customer.orderBy(F.desc("units"), "o_custkey")
+        per_customer.orderBy(F.desc("revenue"), "o_custkey")
         .limit(k)
         .select(
             F.col("o_custkey").alias("customer_id"),
-            F.round(F.col("units") / F.lit(float(FINE)), 2).alias("total_revenue"),
+            F.round("revenue", 2).cast("double").alias("total_revenue"),
         )
     )
 
 
 def daily_sales(orders: DataFrame, customer: DataFrame, nation: DataFrame, region: DataFrame) -> DataFrame:
-    """Orders and sales per day and region. Orders are summed per customer and day before the join."""
-    per_day = orders.groupBy("o_custkey", F.to_date("o_orderdate").alias("sales_date")).agg(
-        F.count(F.lit(1)).alias("n"), F.sum(money.units("o_totalprice")).alias("cents")
-    )
-    homes = customer.select("c_custkey", F.col("c_nationkey").alias("n_nationkey"))
+    """Orders and sales per day and region."""
+    homes = customer.select(F.col("c_custkey").alias("o_custkey"), F.col("c_nationkey").alias("n_nationkey"))
+    placed = orders.select("o_custkey", F.to_date("o_orderdate").alias("sales_date"), "o_totalprice")
     per_nation = (
-        per_day.join(homes, per_day.o_custkey == F.col("c_custkey"), "left")
+        placed.join(homes, "o_custkey", "left")
         .groupBy("sales_date", "n_nationkey")
-        .agg(F.sum("n").alias("n"), F.sum("cents").alias("cents"))
+        .agg(F.count(F.lit(1)).alias("n"), money.total_exact("o_totalprice").alias("sales"))
     )
     return (
         join_dimension(per_nation, nations(nation, region), "n_nationkey")
         .groupBy("sales_date", F.col("r_name").alias("region"))
-        .agg(F.sum("n").alias("order_count"), money.total_units("cents").alias("total_sales"))
+        .agg(F.sum("n").alias("order_count"), F.sum("sales").cast("double").alias("total_sales"))
     )
 
 
@@ -86,7 +89,7 @@ def customer_ltv(orders: DataFrame, customer: DataFrame) -> DataFrame:
     """Per customer: orders, lifetime value, mean order, first and last order. Customers without orders have zero."""
     value = orders.groupBy("o_custkey").agg(
         F.count(F.lit(1)).alias("n"),
-        F.sum(money.units("o_totalprice")).alias("cents"),
+        money.total_exact("o_totalprice").cast("double").alias("value"),
         F.to_date(F.min("o_orderdate")).alias("first_order"),
         F.to_date(F.max("o_orderdate")).alias("last_order"),
     )
@@ -94,40 +97,35 @@ def customer_ltv(orders: DataFrame, customer: DataFrame) -> DataFrame:
         F.col("c_custkey").alias("customer_id"),
         F.col("c_name").alias("customer_name"),
         F.coalesce("n", F.lit(0)).cast("bigint").alias("order_count"),
-        (F.coalesce("cents", F.lit(0)).cast("double") / F.lit(100.0)).alias("lifetime_value"),
-        (F.col("cents").cast("double") / F.lit(100.0) / F.col("n")).alias("avg_order_value"),
+        F.coalesce("value", F.lit(0.0)).alias("lifetime_value"),
+        (F.col("value") / F.col("n")).alias("avg_order_value"),
         "first_order",
         "last_order",
     )
 
 
 def product_performance(lineitem: DataFrame, part: DataFrame) -> DataFrame:
-    """Per month and brand: quantity, revenue, distinct products. Lines are summed per product and month first."""
-    per_product = lineitem.groupBy("l_partkey", F.to_date(F.date_trunc("month", "l_shipdate")).alias("period_start")).agg(
-        F.sum(F.col("l_quantity").cast("bigint")).alias("quantity"), F.sum(line_units(lineitem)).alias("units")
+    """Per month and brand: quantity, revenue, distinct products."""
+    brands = part.select(F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("brand"))
+    per_product = (
+        lineitem.join(brands, "l_partkey", "left")
+        .groupBy(F.to_date(F.date_trunc("month", "l_shipdate")).alias("period_start"), "brand", "l_partkey")
+        .agg(F.sum(F.col("l_quantity").cast("bigint")).alias("quantity"), net_price().alias("revenue"))
     )
-    brands = part.select(F.col("p_partkey").alias("l_partkey"), "p_brand")
-    return (
-        per_product.join(brands, "l_partkey", "left")
-        .groupBy("period_start", F.col("p_brand").alias("brand"))
-        .agg(
-            F.sum("quantity").alias("quantity"),
-            money.total_units("units", FINE).alias("revenue"),
-            F.count(F.lit(1)).alias("products"),
-        )
+    return per_product.groupBy("period_start", "brand").agg(
+        F.sum("quantity").alias("quantity"), F.sum("revenue").cast("double").alias("revenue"), F.count(F.lit(1)).alias("products")
     )
 
 
 def item_chain(lineitem: DataFrame, part: DataFrame, supplier: DataFrame) -> DataFrame:
     """Item -> brand, item -> category, supplier -> nation: lines, quantity and revenue per combination."""
-    per_item = lineitem.groupBy("l_partkey", "l_suppkey").agg(
-        F.count(F.lit(1)).alias("n"), F.sum(F.col("l_quantity").cast("bigint")).alias("quantity"), F.sum(line_units(lineitem)).alias("units")
-    )
     kinds = part.select(F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("brand"), F.col("p_type").alias("category"))
     homes = supplier.select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_nationkey").alias("nation_id"))
     return (
-        per_item.join(kinds, "l_partkey", "left")
+        lineitem.join(kinds, "l_partkey", "left")
         .join(homes, "l_suppkey", "left")
         .groupBy("brand", "category", "nation_id")
-        .agg(F.sum("n").alias("lines"), F.sum("quantity").alias("quantity"), money.total_units("units", FINE).alias("revenue"))
+        .agg(
+            F.count(F.lit(1)).alias("lines"), F.sum(F.col("l_quantity").cast("bigint")).alias("quantity"), net_price().cast("double").alias("revenue")
+        )
     )

@@ -13,8 +13,8 @@ from tidelayer.operators.grouped import count_where
 HOURLY_SQL = """
 SELECT event_date, event_hour, city_name,
        count(*) AS order_count,
-       CAST(sum(CAST(order_total AS DECIMAL(18, 2))) AS DOUBLE) AS total_revenue,
-       CAST(round(avg(CAST(order_total AS DECIMAL(18, 2))), 2) AS DOUBLE) AS avg_order_value
+       CAST(sum(CAST(order_total AS DECIMAL(38, 6))) AS DOUBLE) AS total_revenue,
+       CAST(round(avg(CAST(order_total AS DECIMAL(38, 6))), 2) AS DOUBLE) AS avg_order_value
 FROM {silver_orders_sql}
 WHERE event_type = 'order_created'
 GROUP BY event_date, event_hour, city_name
@@ -22,13 +22,13 @@ GROUP BY event_date, event_hour, city_name
 BRANDS_SQL = """
 SELECT brand_name,
        count(*) AS total_orders,
-       CAST(sum(CAST(order_total AS DECIMAL(18, 2))) AS DOUBLE) AS total_revenue,
-       CAST(round(avg(CAST(order_total AS DECIMAL(18, 2))), 2) AS DOUBLE) AS avg_order_value,
+       CAST(sum(CAST(order_total AS DECIMAL(38, 6))) AS DOUBLE) AS total_revenue,
+       CAST(round(avg(CAST(order_total AS DECIMAL(38, 6))), 2) AS DOUBLE) AS avg_order_value,
        count(DISTINCT location_id) AS locations_served
 FROM {silver_orders_sql}
 WHERE event_type = 'order_created'
 GROUP BY brand_name
-ORDER BY total_revenue DESC
+ORDER BY total_revenue DESC, brand_name
 """
 
 
@@ -93,7 +93,7 @@ def brand_ranking(enriched: DataFrame) -> DataFrame:
             F.min("event_date").alias("first_order_date"),
             F.max("event_date").alias("last_order_date"),
         )
-        .orderBy(F.desc("total_revenue"))
+        .orderBy(F.desc("total_revenue"), "brand_id", "brand_name")
     )
 
 

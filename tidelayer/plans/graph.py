@@ -7,13 +7,16 @@ Spark analyses the plan while it is built, so a dry run is: build everything, ex
 
 from __future__ import annotations
 
+import datetime as dt
 import string
+import uuid
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 from graphlib import CycleError, TopologicalSorter
 from pathlib import Path
 
-from pyspark.errors import AnalysisException
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
@@ -149,36 +152,55 @@ class Graph:
 
     # -- execution ----------------------------------------------------------------------------
     def run(self, root: str, only: Iterable[str] | None = None) -> DataFrame:
-        """Materialises the datasets below `root` and reports rows per dataset.
+        """Materialises the datasets below `root` and reports rows and status per dataset.
 
-        Downstream datasets read the written table, so no plan spans two datasets and a lost executor
-        costs one dataset's tasks. A view replaces its table; a stream adds what is new, from its
-        checkpoint. Running again is safe. A full refresh is a run with a new root.
+        Downstream datasets read the written table, so no plan spans two datasets and a lost executor costs one dataset's
+        tasks. A view is written to a folder of this run, and readers are switched to it once it is whole; a stream adds what
+        is new, from its checkpoint. A dataset whose job fails is reported as failed with the message, those that read it as
+        skipped, and their old tables stay; all others run. Running again is safe. A full refresh is a run with a new root.
         """
         wanted = set(only) if only else set(self.datasets)
-        rows = []
+        run_id = uuid.uuid4().hex
+        rows, missing = [], set()
         for name, reads in self._ordered().items():
             if name not in wanted:
                 continue
             dataset = self.datasets[name]
-            plan = dataset.build(lambda upstream: self.table(root, upstream))
-            if dataset.kind == "stream":
-                append_files(plan, self.path(root, name), f"{root}/_checkpoints/{name}")
-                n_rows = self.table(root, name).count()
-            else:
-                counted = Observation()
-                plan.observe(counted, F.count(F.lit(1)).alias("n")).write.mode("overwrite").parquet(self.path(root, name))
-                n_rows = counted.get["n"]
+            if lost := [upstream for upstream in reads if upstream in missing]:
+                missing.add(name)
+                rows.append((name, dataset.layer, dataset.kind, reads, "skipped", None, f"{', '.join(lost)} did not complete"))
+                continue
+            try:
+                n_rows = self._materialise(root, dataset, run_id)
+            except (PySparkException, Py4JJavaError) as error:
+                missing.add(name)
+                rows.append((name, dataset.layer, dataset.kind, reads, "failed", None, str(error).strip().splitlines()[0]))
+                continue
             rows.append((name, dataset.layer, dataset.kind, reads, "completed", n_rows, None))
         return self.spark.createDataFrame(rows, REPORT)
 
+    def _materialise(self, root: str, dataset: Dataset, run_id: str) -> int:
+        plan = dataset.build(lambda upstream: self.table(root, upstream))
+        if dataset.kind == "stream":
+            append_files(plan, self.path(root, dataset.name), f"{root}/_checkpoints/{dataset.name}")
+            return self.table(root, dataset.name).count()
+        counted = Observation()
+        plan.observe(counted, F.count(F.lit(1)).alias("n")).write.parquet(f"{self.path(root, dataset.name)}/{run_id}")
+        current = [(run_id, dt.datetime.now())]
+        switch = self.spark.createDataFrame(current, "run STRING, at TIMESTAMP").coalesce(1)
+        switch.write.mode("append").parquet(f"{root}/_current/{dataset.name}")
+        return counted.get["n"]
+
     def path(self, root: str, name: str) -> str:
         return f"{root}/{self.datasets[name].layer}/{name}"
 
     def table(self, root: str, name: str) -> DataFrame:
         if name not in self.datasets:
             raise MissingUpstream(f"no dataset is named {name}")
-        return self.spark.read.parquet(self.path(root, name))
+        if self.datasets[name].kind == "stream":
+            return self.spark.read.parquet(self.path(root, name))
+        last = self.spark.read.schema("run STRING, at TIMESTAMP").parquet(f"{root}/_current/{name}").orderBy(F.desc("at")).first()
+        return self.spark.read.parquet(f"{self.path(root, name)}/{last['run']}")
 
     def preview(self, root: str, name: str, n: int = 10) -> DataFrame:
         return self.table(root, name).limit(n)

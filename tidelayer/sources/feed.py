@@ -43,12 +43,13 @@ CASE
   ELSE to_json(named_struct('progress_pct', value))
 END
 """
-# Some payloads are cut in half, lack their last brace or lack a quote.
+# Some payloads are cut in half, lack their last brace, lack a quote or have a comma too many.
 _DAMAGED_BODY = """
 CASE
   WHEN event_id % 101 = 0 THEN left(body, length(body) div 2)
   WHEN event_id % 103 = 0 THEN left(body, length(body) - 1)
   WHEN event_id % 107 = 0 THEN concat('{', substring(body, 3))
+  WHEN event_id % 109 = 0 THEN concat(left(body, length(body) - 1), ',}')
   ELSE body
 END
 """

@@ -12,6 +12,11 @@ from tidelayer.sources import read_table
 from tidelayer.sources.feed import order_feed, product_orders
 from tidelayer.suite.common import ORDER_FEED, PRODUCT_ORDERS, cents
 
+TABLES = (
+    "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels",
+    "conversations",
+)
+
 
 def _events(spark: SparkSession, sf: str) -> DataFrame:
     return read_table(spark, sf, "events")
@@ -38,7 +43,7 @@ def qc_stats(spark, sf):
 
 
 def qc_presence(spark, sf):
-    return quality.presence({name: read_table(spark, sf, name) for name in ("events", "orders", "lineitem", "customer", "nation", "part")})
+    return quality.presence({name: read_table(spark, sf, name) for name in TABLES})
 
 
 def qc_nulls(spark, sf):
@@ -150,7 +155,7 @@ ORACLE = {
         UNION ALL SELECT 'first_ts', strftime(min(event_timestamp), '%Y-%m-%dT%H:%M:%S.%f'), NULL FROM feed
         UNION ALL SELECT 'last_ts', strftime(max(event_timestamp), '%Y-%m-%dT%H:%M:%S.%f'), NULL FROM feed""",
     "qc_presence": " UNION ALL ".join(
-        f"SELECT '{t}' AS input, count(*) > 0 AS present FROM {t}" for t in ("events", "orders", "lineitem", "customer", "nation", "part")
+        f"SELECT '{t}' AS input, count(*) > 0 AS present FROM {t}" for t in TABLES
     ),
     "qc_nulls": f"""WITH {ORDER_FEED}, c AS (SELECT count(*) AS n, count(*) FILTER (order_id IS NULL) AS o,
         count(*) FILTER (location_id IS NULL) AS l FROM feed)
@@ -183,7 +188,10 @@ ORACLE = {
         UNION ALL SELECT 'silver', 'order_items', max(l_shipdate), 2 FROM lineitem
         UNION ALL SELECT 'gold', 'daily_sales', max(ts), 4 FROM events WHERE event_type = 'purchase'),
         a AS (SELECT *, (floor(epoch((SELECT max(ts) FROM events))) - floor(epoch(newest_ts))) / 3600 AS age FROM f)
-        SELECT layer, table_name, newest_ts, sla_hours, round(age, 6) AS age_hours, age <= sla_hours AS is_fresh FROM a""",
+        SELECT layer, table_name, newest_ts, sla_hours, round(age, 6) AS age_hours, age <= sla_hours AS is_fresh FROM a
+        UNION ALL SELECT * FROM (VALUES ('bronze', 'raw_inventory', NULL, 24, NULL, FALSE), ('silver', 'customers', NULL, 24, NULL, FALSE),
+            ('silver', 'products', NULL, 24, NULL, FALSE), ('gold', 'customer_lifetime_value', NULL, 24, NULL, FALSE),
+            ('gold', 'product_performance', NULL, 24, NULL, FALSE))""",
     "lineage_two_hop": """WITH n AS (SELECT (SELECT count(*) FROM events) AS e, (SELECT count(*) FROM orders) AS o,
         (SELECT count(*) FROM lineitem) AS l)
         SELECT 'raw_orders' AS bronze_table, 'orders' AS silver_table, 'daily_sales' AS gold_table,

@@ -4,7 +4,7 @@
 ORDER_FEED = """
 raw AS (
   SELECT event_id, ts, user_id, value, CAST(json_extract(props, '$.k') AS INTEGER) AS k,
-         event_id % 101 = 0 OR event_id % 103 = 0 OR event_id % 107 = 0 AS damaged
+         event_id % 101 = 0 OR event_id % 103 = 0 OR event_id % 107 = 0 OR event_id % 109 = 0 AS damaged
   FROM events),
 feed AS (
   SELECT CAST(event_id AS VARCHAR) AS event_id, event_id AS event_no, ts AS event_timestamp, value, k, user_id, damaged,
@@ -92,6 +92,9 @@ blocks AS (
          CAST(trunc(o_totalprice * 30) AS BIGINT) AS gas_used,
          CAST(15000000 AS BIGINT) AS gas_limit,
          o_custkey % 700 AS transaction_count,
+         '0x' || lpad(printf('%x', o_orderkey - 1), 16, '0') AS parent_hash,
+         CAST(floor(epoch(o_orderdate)) AS BIGINT) AS timestamp,
+         CAST(CAST(round(o_totalprice * 100) AS BIGINT) AS VARCHAR) || '0000000000000000' AS total_value_wei,
          CASE o_orderstatus WHEN 'F' THEN 'clerk' || CAST(o_custkey AS VARCHAR) || '@example.com'
               WHEN 'P' THEN 'ref 900-12-' || lpad(CAST(o_orderkey % 10000 AS VARCHAR), 4, '0') ELSE 'plain' END AS extra_data
   FROM orders),

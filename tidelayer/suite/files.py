@@ -18,7 +18,7 @@ def scan_parquet(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def scan_declared(spark: SparkSession, sf: str) -> DataFrame:
-    return read_declared(spark, sf, "customer").where("c_acctbal > 0").select("c_custkey", "c_mktsegment", "c_acctbal")
+    return read_declared(spark, sf, "customer").select("c_custkey", "c_mktsegment", "c_acctbal")
 
 
 def scan_json(spark: SparkSession, sf: str) -> DataFrame:
@@ -26,6 +26,14 @@ def scan_json(spark: SparkSession, sf: str) -> DataFrame:
     return formats.read_json(spark, formats.write_any(events, "json", run_dir(spark, "json")))
 
 
+def scan_json_multiline(spark: SparkSession, sf: str) -> DataFrame:
+    """A JSON document over several lines per region: an array of its nations."""
+    one = F.struct("n_nationkey", "n_name")
+    documents = read_table(spark, sf, "nation").groupBy("n_regionkey").agg(F.to_json(F.collect_list(one), {"pretty": "true"}).alias("value"))
+    path = formats.write_any(documents, "text", run_dir(spark, "json-documents"), partition_by=["n_regionkey"])
+    return formats.read_json(spark, path, "n_nationkey INT, n_name STRING, n_regionkey INT", multiline=True)
+
+
 def scan_csv(spark: SparkSession, sf: str) -> DataFrame:
     customers = read_table(spark, sf, "customer").select("c_custkey", "c_name", "c_acctbal")
     back = formats.read_csv(spark, formats.write_any(customers, "csv", run_dir(spark, "csv"), header="true"))
@@ -67,15 +75,11 @@ def scan_generic(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def scan_range(spark: SparkSession, sf: str) -> DataFrame:
-    """Generated order keys 0 .. largest key, next to the keys that orders have: used and free ones."""
-    orders = read_table(spark, sf, "orders").select("o_orderkey", "o_custkey")
-    last = orders.agg(F.max("o_orderkey")).first()[0]
-    keys = spark.range(last + 1).selectExpr("id", "id % 5 AS slot")
-    return (
-        keys.join(orders, keys.id == orders.o_orderkey, "left")
-        .groupBy("slot")
-        .agg(F.count(F.lit(1)).alias("n_keys"), F.count("o_orderkey").alias("n_used"), F.max("id").alias("last_key"))
-    )
+    """Generated slots next to the order keys that fall into them; a slot may stay empty."""
+    slots = spark.range(101).withColumnRenamed("id", "slot")
+    orders = read_table(spark, sf, "orders").groupBy((F.col("o_orderkey") % 97).alias("slot"))
+    used = orders.agg(F.count(F.lit(1)).alias("n_used"), F.max("o_orderkey").alias("last_key"))
+    return slots.join(used, "slot", "left").select("slot", F.coalesce("n_used", F.lit(0)).cast("bigint").alias("n_used"), "last_key")
 
 
 def envelope_parse(spark: SparkSession, sf: str) -> DataFrame:
@@ -125,9 +129,9 @@ def ctas_customer_summary(spark: SparkSession, sf: str) -> DataFrame:
     table = "customer_summary_" + path.rsplit("-", 1)[1]
     query = """
         SELECT user_id AS customer_id, count(*) AS total_orders,
-               CAST(sum(CAST(rint(value * 100) AS BIGINT)) AS DOUBLE) / 100D AS total_revenue,
+               CAST(sum(CAST(value AS DECIMAL(38, 6))) AS DOUBLE) AS total_revenue,
                min(ts) AS first_order, max(ts) AS last_order
-        FROM {events} WHERE event_type = 'purchase' GROUP BY user_id
+        FROM {events} GROUP BY user_id
     """
     catalog.create_as(spark, table, query, path, events=read_table(spark, sf, "events"))
     return spark.table(table)
@@ -169,6 +173,7 @@ QUERIES = {
         scan_parquet,
         scan_declared,
         scan_json,
+        scan_json_multiline,
         scan_csv,
         scan_csv_schema,
         scan_orc,
@@ -190,17 +195,17 @@ _SUPPLIERS = "count(*) AS n_rows, CAST(sum(CAST(round(s_acctbal * 100) AS BIGINT
 
 ORACLE = {
     "scan_parquet": "SELECT o_orderkey, o_custkey, o_totalprice, CAST(o_orderdate AS DATE) AS o_date FROM orders",
-    "scan_declared": "SELECT c_custkey, c_mktsegment, c_acctbal FROM customer WHERE c_acctbal > 0",
+    "scan_declared": "SELECT c_custkey, c_mktsegment, c_acctbal FROM customer",
     "scan_json": "SELECT event_id, event_type, props, user_id, value FROM events",
+    "scan_json_multiline": "SELECT n_nationkey, n_name, n_regionkey FROM nation",
     "scan_csv": "SELECT c_custkey, c_name, c_acctbal FROM customer",
     "scan_csv_schema": "SELECT p_partkey, p_name, p_retailprice FROM part",
     "scan_orc": "SELECT l_orderkey, l_linenumber, l_quantity, l_returnflag FROM lineitem",
     "scan_text": """SELECT event_type, count(*) AS n_lines,
         CAST(sum(length(event_type || ' ' || CAST(event_id AS VARCHAR))) AS BIGINT) AS n_chars FROM events GROUP BY 1""",
     "scan_generic": " UNION ALL ".join(f"SELECT '{fmt}' AS format, {_SUPPLIERS}" for fmt in ("parquet", "json", "csv", "orc")),
-    "scan_range": """SELECT id % 5 AS slot, count(*) AS n_keys, count(o_orderkey) AS n_used, max(id) AS last_key
-        FROM (SELECT unnest(generate_series(0, (SELECT max(o_orderkey) FROM orders))) AS id)
-        LEFT JOIN orders ON id = o_orderkey GROUP BY 1""",
+    "scan_range": """SELECT slot, count(o_orderkey) AS n_used, max(o_orderkey) AS last_key
+        FROM (SELECT unnest(range(101)) AS slot) LEFT JOIN orders ON o_orderkey % 97 = slot GROUP BY 1""",
     "envelope_parse": """SELECT CASE WHEN event_id % 97 <> 0 THEN 'ORD-' || CAST(event_id AS VARCHAR) END AS message_key,
         CAST(user_id % 8 AS INTEGER) AS message_partition, event_id AS message_offset,
         date_trunc('second', ts) AS message_time,
@@ -218,7 +223,7 @@ ORACLE = {
     "sink_month_partitioned": "SELECT strftime(l_shipdate, '%Y-%m') AS month, count(*) AS n_rows FROM lineitem GROUP BY 1",
     "ctas_customer_summary": """SELECT user_id AS customer_id, count(*) AS total_orders,
         CAST(sum(CAST(round(value * 100) AS BIGINT)) AS DOUBLE) / 100 AS total_revenue,
-        min(ts) AS first_order, max(ts) AS last_order FROM events WHERE event_type = 'purchase' GROUP BY 1""",
+        min(ts) AS first_order, max(ts) AS last_order FROM events GROUP BY 1""",
     "qc_direct_scan": "SELECT count(*) AS table_rows, count(*) AS file_rows, TRUE AS agree FROM orders",
     "seed_events": "SELECT event_id, event_type, user_id, ts AS event_time FROM events WHERE event_type <> 'error'",
     "stream_file": "SELECT c_custkey, c_name, c_mktsegment FROM customer",

@@ -12,7 +12,10 @@ from tidelayer.sources import read_table
 from tidelayer.sources.feed import block_feed
 from tidelayer.suite.common import BLOCKS
 
-PAYLOAD = ["block_number", "block_hash", "miner", "gas_used", "gas_limit", "transaction_count", "decision", "is_quarantined", "validation_reasons"]
+PAYLOAD = [
+    "block_number", "block_hash", "parent_hash", "miner", "gas_used", "gas_limit", "transaction_count", "timestamp", "total_value_wei",
+    "decision", "is_quarantined", "validation_reasons", "processing_time", "message_time",
+]
 
 
 def _blocks(spark: SparkSession, sf: str) -> DataFrame:
@@ -23,6 +26,15 @@ def guarded_blocks(spark: SparkSession, sf: str) -> DataFrame:
     return guard(_blocks(spark, sf), BLOCK_RULES, ["extra_data"])
 
 
+def stamped(blocks: DataFrame) -> DataFrame:
+    """With the time of the message, which is the block's, and the time it was processed."""
+    return blocks.withColumns({"message_time": F.timestamp_seconds("timestamp"), "processing_time": F.current_timestamp()})
+
+
+def without_clock(value: str):
+    return F.regexp_replace(value, '"processing_time":"[^"]*",', "").alias(value)
+
+
 def _joined(reasons: str):
     """Reasons as one text, in their order."""
     return F.concat_ws(",", reasons).alias(reasons)
@@ -38,6 +50,22 @@ def guard_sensitive(spark, sf):
     return read_table(spark, sf, "documents").select("doc_id", classify("text").alias("sensitive_class"))
 
 
+def guard_notes(spark, sf):
+    """Class of a note per event; every class occurs, and some notes come near one without being one."""
+    n = F.col("event_id").cast("string")
+    kind = F.col("event_id") % 8
+    text = (
+        F.when(kind == 0, F.concat(F.lit("key AKIA"), F.lpad(n, 16, "7"), F.lit(" in use")))
+        .when(kind == 1, F.concat(F.lit("token eyJhbGciOi.eyJzdWIi"), n, F.lit(".c2ln")))
+        .when(kind == 2, F.concat(F.lit("0x"), F.lpad(F.lower(F.hex("event_id")), 64, "a")))
+        .when(kind == 3, F.concat(F.lit("id 219-09-"), F.lpad((F.col("event_id") % 10000).cast("string"), 4, "0")))
+        .when(kind == 4, F.concat(F.lit("card 4111-1111-1111-"), F.lpad((F.col("event_id") % 10000).cast("string"), 4, "0")))
+        .when(kind == 5, F.concat(F.lit("to user"), n, F.lit("@example.org")))
+        .when(kind == 6, F.concat(F.lit("AKIA"), n, F.lit(" 0x12 219-09-1 4111-1111 a@b")))
+    )
+    return read_table(spark, sf, "events").select("event_id", text.alias("text")).select("event_id", classify("text").alias("sensitive_class"))
+
+
 def guard_chats(spark, sf):
     """Class of every conversation turn."""
     return read_table(spark, sf, "conversations").select("conv_id", "turn", classify("text").alias("sensitive_class"))
@@ -61,10 +89,8 @@ def guard_orders(spark, sf):
 
 
 def guard_route(spark, sf):
-    """Key, topic and, read back out of the JSON value, what was sent."""
-    sent = route(guarded_blocks(spark, sf), "block_hash", "validated", PAYLOAD)
-    value = F.from_json("value", "block_number BIGINT, gas_used BIGINT, decision STRING, validation_reasons ARRAY<STRING>")
-    return sent.withColumn("v", value).select("key", "topic", "v.*").withColumn("validation_reasons", _joined("validation_reasons"))
+    """Key, topic and value of what is sent; the time of processing, which no two runs share, is left out of the value here."""
+    return route(stamped(guarded_blocks(spark, sf)), "block_hash", "validated", PAYLOAD).select("key", "topic", without_clock("value"))
 
 
 def guard_summary(spark, sf):
@@ -86,6 +112,7 @@ QUERIES = {
     for f in (
         guard_rules,
         guard_sensitive,
+        guard_notes,
         guard_chats,
         guard_decide,
         guard_orders,
@@ -110,6 +137,14 @@ ORACLE = {
         CASE WHEN list_contains(reasons, 'EMPTY_BLOCK') THEN 'EMPTY_BLOCK' END AS flag_empty_block,
         CASE WHEN list_contains(reasons, 'ZERO_MINER') THEN 'ZERO_MINER' END AS flag_zero_miner FROM decided""",
     "guard_sensitive": f"SELECT doc_id, {_CLASS} FROM documents",
+    "guard_notes": f"""SELECT event_id, {_CLASS} FROM (SELECT event_id, CASE event_id % 8
+        WHEN 0 THEN 'key AKIA' || lpad(CAST(event_id AS VARCHAR), 16, '7') || ' in use'
+        WHEN 1 THEN 'token eyJhbGciOi.eyJzdWIi' || event_id || '.c2ln'
+        WHEN 2 THEN '0x' || lpad(printf('%x', event_id), 64, 'a')
+        WHEN 3 THEN 'id 219-09-' || lpad(CAST(event_id % 10000 AS VARCHAR), 4, '0')
+        WHEN 4 THEN 'card 4111-1111-1111-' || lpad(CAST(event_id % 10000 AS VARCHAR), 4, '0')
+        WHEN 5 THEN 'to user' || event_id || '@example.org'
+        WHEN 6 THEN 'AKIA' || event_id || ' 0x12 219-09-1 4111-1111 a@b' END AS text FROM events)""",
     "guard_chats": f"SELECT conv_id, turn, {_CLASS} FROM conversations",
     "guard_decide": f"""WITH {BLOCKS} SELECT block_number, array_to_string(reasons, ',') AS validation_reasons, len(reasons) > 0 AS is_quarantined,
         decision FROM decided""",
@@ -120,7 +155,12 @@ ORACLE = {
         CASE WHEN len(reasons) > 0 THEN 'QUARANTINE' ELSE 'ALLOW' END AS decision, array_to_string(reasons, ',') AS reasons FROM r""",
     "guard_route": f"""WITH {BLOCKS} SELECT block_hash AS key,
         CASE decision WHEN 'QUARANTINE' THEN 'validated-quarantine' ELSE 'validated-allowed' END AS topic,
-        block_number, gas_used, decision, array_to_string(reasons, ',') AS validation_reasons FROM decided""",
+        '{{"block_number":' || block_number || ',"block_hash":"' || block_hash || '","parent_hash":"' || parent_hash || '","miner":"' || miner
+        || '","gas_used":' || gas_used || ',"gas_limit":' || gas_limit || ',"transaction_count":' || transaction_count
+        || ',"timestamp":' || timestamp || ',"total_value_wei":"' || total_value_wei || '","decision":"' || decision
+        || '","is_quarantined":' || (decision = 'QUARANTINE') || ',"validation_reasons":['
+        || array_to_string(list_transform(reasons, lambda r: '"' || r || '"'), ',') || '],"message_time":"'
+        || strftime(make_timestamp(timestamp * 1000000), '%Y-%m-%dT%H:%M:%S') || '.000Z"}}' AS value FROM decided""",
     "guard_summary": f"WITH {BLOCKS} SELECT decision, count(*) AS n FROM decided GROUP BY 1",
     "guard_reasons": f"WITH {BLOCKS} SELECT unnest(reasons) AS reason, count(*) AS n FROM decided GROUP BY 1",
     "guard_sample": f"""WITH {BLOCKS} SELECT block_number, array_to_string(reasons, ',') AS validation_reasons FROM decided

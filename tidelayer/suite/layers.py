@@ -221,7 +221,8 @@ ORACLE = {
     "gold_brand_ranking": f"""WITH {ORDER_FEED} SELECT brand_id, brand_name, count(order_id) AS total_orders,
         round({_REVENUE}, 2) AS total_revenue, {_AVG} AS avg_order_value, count(DISTINCT location_id) AS locations_served,
         min(event_date) AS first_order_date, max(event_date) AS last_order_date
-        FROM enriched WHERE event_type = 'order_created' GROUP BY 1, 2""",
+        FROM enriched WHERE event_type = 'order_created' GROUP BY 1, 2
+        ORDER BY total_revenue DESC NULLS LAST, brand_id NULLS FIRST, brand_name NULLS FIRST""",
     "gold_hourly": f"""WITH {ORDER_FEED} SELECT event_date, event_hour, location_id, city_name, count(order_id) AS order_count,
         {_REVENUE} AS total_revenue, {_REVENUE} / count(order_total) AS avg_order_value,
         count(DISTINCT brand_id) AS unique_brands FROM enriched WHERE event_type = 'order_created' GROUP BY 1, 2, 3, 4""",
@@ -229,7 +230,7 @@ ORACLE = {
         {_REVENUE} AS total_revenue, {_AVG} AS avg_order_value FROM parsed WHERE event_type = 'order_created' GROUP BY 1, 2, 3""",
     "gold_brand_sql": f"""WITH {ORDER_FEED} SELECT brand_name, count(*) AS total_orders, {_REVENUE} AS total_revenue,
         {_AVG} AS avg_order_value, count(DISTINCT location_id) AS locations_served
-        FROM parsed WHERE event_type = 'order_created' GROUP BY 1""",
+        FROM parsed WHERE event_type = 'order_created' GROUP BY 1 ORDER BY total_revenue DESC NULLS LAST, brand_name NULLS FIRST""",
     "gold_delivery": f"""WITH {LIFECYCLE} SELECT CAST(created_at AS DATE) AS order_date, location_id, city_name,
         count(order_id) AS completed_orders, round(avg(kitchen_duration_min), 6) AS avg_kitchen_time_min,
         round(avg(delivery_duration_min), 6) AS avg_delivery_time_min, round(avg(total_duration_min), 6) AS avg_total_time_min,

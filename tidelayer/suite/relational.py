@@ -102,6 +102,19 @@ def join_left(spark, sf):
     return join_dimension(orders, customers, "o_custkey").select("o_orderkey", "o_custkey", "o_totalprice", "c_name", "c_mktsegment")
 
 
+def join_spread(spark, sf):
+    """The same join as if customers were too many to send to every task: hot customers are dealt over slots by their count."""
+    orders = read_table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
+    customers = read_table(spark, sf, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_name", "c_mktsegment")
+    spread = join_dimension(orders, customers, "o_custkey", max_bytes=0)
+    return spread.select("o_orderkey", "o_custkey", "o_totalprice", "c_name", "c_mktsegment")
+
+
+def net_price_by_status(spark, sf):
+    """Sums of amounts with four decimals."""
+    return read_table(spark, sf, "lineitem").groupBy("l_returnflag", "l_linestatus").agg(commerce.net_price().cast("double").alias("net_price"))
+
+
 def join_items_chain(spark, sf):
     return commerce.item_chain(read_table(spark, sf, "lineitem"), read_table(spark, sf, "part"), read_table(spark, sf, "supplier"))
 
@@ -323,6 +336,8 @@ QUERIES = {
         join_broadcast_left,
         join_left_on,
         join_left,
+        join_spread,
+        net_price_by_status,
         join_items_chain,
         agg_basic,
         agg_distinct,
@@ -382,6 +397,10 @@ ORACLE = {
         FROM events LEFT JOIN customer ON user_id = c_custkey GROUP BY user_id, c_mktsegment""",
     "join_left": """SELECT o_orderkey, o_custkey, o_totalprice, c_name, c_mktsegment
         FROM orders LEFT JOIN customer ON o_custkey = c_custkey""",
+    "join_spread": """SELECT o_orderkey, o_custkey, o_totalprice, c_name, c_mktsegment
+        FROM orders LEFT JOIN customer ON o_custkey = c_custkey""",
+    "net_price_by_status": f"""SELECT l_returnflag, l_linestatus, CAST(sum({_LINE}) AS DOUBLE) / 10000 AS net_price
+        FROM lineitem GROUP BY 1, 2""",
     "join_items_chain": f"""SELECT p_brand AS brand, p_type AS category, s_nationkey AS nation_id, count(*) AS lines,
         CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS quantity, CAST(sum({_LINE}) AS DOUBLE) / 10000 AS revenue
         FROM lineitem LEFT JOIN part ON l_partkey = p_partkey LEFT JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1, 2, 3""",
@@ -408,12 +427,12 @@ ORACLE = {
     "revenue_by_region": f"""WITH {SALES}
         SELECT r_name AS region, round(CAST(sum(u) AS DOUBLE) / 10000, 2) AS total_revenue
         FROM per_customer JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey
-        JOIN region ON n_regionkey = r_regionkey GROUP BY 1""",
-    "sort_desc": f"SELECT p_brand, count(*) AS n_parts, {cents('p_retailprice')} AS list_value FROM part GROUP BY 1",
+        JOIN region ON n_regionkey = r_regionkey GROUP BY 1 ORDER BY total_revenue DESC, region""",
+    "sort_desc": f"SELECT p_brand, count(*) AS n_parts, {cents('p_retailprice')} AS list_value FROM part GROUP BY 1 ORDER BY list_value DESC, p_brand",
     "top_customers": f"""WITH {SALES} SELECT o_custkey AS customer_id, round(CAST(u AS DOUBLE) / 10000, 2) AS total_revenue
         FROM per_customer ORDER BY u DESC, o_custkey LIMIT 10""",
     "latest_events": "SELECT event_id, ts, event_type FROM events ORDER BY ts DESC, event_id LIMIT 5",
-    "sort_multi": f"SELECT CAST(floor(epoch(ts)) AS BIGINT) AS ts_seconds, sequence, event_id FROM {_FEED}",
+    "sort_multi": f"SELECT CAST(floor(epoch(ts)) AS BIGINT) AS ts_seconds, sequence, event_id FROM {_FEED} ORDER BY ALL",
     "limit_rows": "SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders ORDER BY o_orderkey LIMIT 100",
     "fn_string": """SELECT event_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts_text,
         'CUST-' || CAST(user_id AS VARCHAR) AS customer_id, event_type IN ('view', 'click') AS is_browse,

@@ -19,7 +19,7 @@ from tidelayer.sources.messages import envelope_stream, unpack
 from tidelayer.streaming import jobs, sinks
 from tidelayer.suite.checks import redelivered
 from tidelayer.suite.common import BLOCKS
-from tidelayer.suite.guards import PAYLOAD
+from tidelayer.suite.guards import PAYLOAD, stamped
 
 PRODUCT_SCHEMA = (
     "event_id STRING, event_type STRING, timestamp STRING, order_id STRING, customer_id STRING, product_id STRING, "
@@ -98,7 +98,7 @@ def stream_route(spark, sf):
     """Guardrails on a stream of blocks; one folder per topic."""
     messages = envelope(block_feed(sources.stream_table(spark, sf, "orders")), "block_hash", "blocks", "block_number", "block_number", "timestamp")
     blocks = unpack(messages, BLOCK_SCHEMA)
-    routed = route(guard(blocks, BLOCK_RULES, ["extra_data"]), "block_hash", "validated", PAYLOAD)
+    routed = route(stamped(guard(blocks, BLOCK_RULES, ["extra_data"])), "block_hash", "validated", PAYLOAD)
     sent = _to_files(spark, routed, "routed", partition_by=["topic"])
     return sent.select("key", "topic", F.get_json_object("value", "$.decision").alias("decision"))
 
