@@ -119,3 +119,32 @@ def test_medallion_is_valid(spark, sf):
     assert reads["silver_orders_sql"] == ["bronze_locations", "bronze_orders"]
     assert reads["gold_brands"] == ["bronze_brands", "silver_orders"]
     assert reads["events_by_type"] == ["events_clean"]
+
+
+def test_a_failing_dataset_is_reported_and_the_others_run(spark, tmp_path):
+    graph, broken = Graph(spark), {"now": False}
+
+    @graph.view("base", "bronze")
+    def _(read):
+        return spark.range(5)
+
+    @graph.view("risky", "silver")
+    def _(read):
+        rows = read("base")
+        return rows.select(F.raise_error(F.lit("no luck")).cast("bigint").alias("id")) if broken["now"] else rows
+
+    @graph.view("after", "gold")
+    def _(read):
+        return read("risky").where("id > 1")
+
+    @graph.view("other", "gold")
+    def _(read):
+        return read("base").where("id > 2")
+
+    root = str(tmp_path / "run")
+    assert {r.status for r in graph.run(root).collect()} == {"completed"}
+    broken["now"] = True
+    report = {r.dataset: r for r in graph.run(root).collect()}
+    assert {n: r.status for n, r in report.items()} == {"base": "completed", "risky": "failed", "after": "skipped", "other": "completed"}
+    assert "no luck" in report["risky"].message and report["after"].n_rows is None and report["other"].n_rows == 2
+    assert graph.table(root, "risky").count() == 5 and graph.table(root, "after").count() == 3  # as the last good run left them

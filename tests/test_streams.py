@@ -1,4 +1,5 @@
 import datetime as dt
+import shutil
 
 import pytest
 from pyspark.errors import AnalysisException, PySparkException
@@ -178,3 +179,22 @@ def test_watermark_needs_a_zoned_timestamp(spark, sf):
     with pytest.raises(AnalysisException):
         raw.withWatermark("ts", "1 minute").schema
     assert dict(stream_table(spark, sf, "events").withWatermark("ts", "1 minute").dtypes)["ts"] == "timestamp"
+
+
+def test_a_neighbour_of_a_table_is_not_read(spark, sf, tmp_path):
+    shutil.copyfile(f"{sf}/events.parquet", tmp_path / "events.parquet")
+    shutil.copyfile(f"{sf}/events.parquet", tmp_path / "events.parquet.old")
+    sinks.append_files(stream_table(spark, str(tmp_path), "events"), str(tmp_path / "out"), str(tmp_path / "checkpoint"))
+    assert spark.read.parquet(str(tmp_path / "out")).count() == spark.read.parquet(f"{sf}/events.parquet").count()
+
+
+def test_deliveries_cut_all_rows_in_order(spark):
+    rows = spark.range(100).select(F.timestamp_seconds(F.col("id") * 60).alias("at"))
+    parts = [rows.where(c).agg(F.min("at"), F.max("at"), F.count("*")).first() for c in jobs.deliveries(rows, "at")]
+    assert sum(p[2] for p in parts) == 100 and len(parts) == 4 and all(a[1] < b[0] for a, b in zip(parts, parts[1:]))
+    assert len(jobs.deliveries(rows.limit(0), "at")) == 1
+
+
+def test_files_by_size(spark):
+    assert jobs.files_for(spark.range(10)) == jobs.LEAST_FILES
+    assert jobs.files_for(spark.range(10**9)) == -(-8 * 10**9 // jobs.FILE_BYTES)

@@ -41,6 +41,22 @@ def create_as(spark: SparkSession, name: str, query: str, path: str | None = Non
     spark.sql(f"CREATE TABLE {name} USING parquet {at} AS {query}", **inputs)
 
 
+def insert_select(spark: SparkSession, name: str, query: str, **inputs: DataFrame) -> None:
+    """INSERT INTO .. SELECT; `{input}` placeholders of the query are DataFrames."""
+    spark.sql(f"INSERT INTO {name} {query}", **inputs)
+
+
+def insert_values(spark: SparkSession, name: str, rows: list[tuple]) -> None:
+    """Adds a few literal rows, in the order of the table's columns."""
+    append_table(spark.createDataFrame(rows, spark.table(name).schema), name)
+
+
+def columns_of(spark: SparkSession, name: str) -> DataFrame:
+    """column_name, column_type as the catalog has them."""
+    described = spark.sql(f"DESCRIBE TABLE {name}")
+    return described.selectExpr("col_name AS column_name", "data_type AS column_type")
+
+
 def load_tables(tables: Mapping[str, DataFrame]) -> None:
     """Overwrites one table per entry: dimensions and facts of a load."""
     for name, df in tables.items():

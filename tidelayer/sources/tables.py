@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType, TimestampNTZType
+from pyspark.sql.types import TimestampNTZType
 
 # Declared schemas: reading with one of these costs no footer inference while a graph is analysed.
 SCHEMAS = {
@@ -45,16 +45,9 @@ def zoned(df: DataFrame) -> DataFrame:
     return df.withColumns(casts) if casts else df
 
 
-_footers: dict[tuple[str, str], StructType] = {}
-
-
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """Schema from the Parquet footer, looked up once per application: a look-up is a Spark job."""
-    path = table_path(sf_dir, name)
-    key = (spark.sparkContext.applicationId, path)
-    if key not in _footers:
-        _footers[key] = spark.read.parquet(path).schema
-    return zoned(spark.read.schema(_footers[key]).parquet(path))
+    """Schema from the Parquet footer as it is now."""
+    return zoned(spark.read.parquet(table_path(sf_dir, name)))
 
 
 def read_declared(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,9 +55,18 @@ def read_declared(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return zoned(spark.read.schema(SCHEMAS[name]).parquet(table_path(sf_dir, name)))
 
 
+def is_folder(spark: SparkSession, path: str) -> bool:
+    """Asked of the file system that the path belongs to."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(place).isDirectory()
+
+
 def stream_table(spark: SparkSession, sf_dir: str, name: str, max_files: int | None = None) -> DataFrame:
-    """The table as a file stream. The glob lets the table be one file or a folder of part files."""
+    """The table as a file stream: its folder, or the one file of that name among its neighbours."""
     reader = spark.readStream.schema(SCHEMAS[name])
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
-    return zoned(reader.parquet(table_path(sf_dir, name) + "*"))
+    path = table_path(sf_dir, name)
+    if is_folder(spark, path):
+        return zoned(reader.parquet(path))
+    return zoned(reader.option("pathGlobFilter", path.rsplit("/", 1)[1]).parquet(path.rsplit("/", 1)[0]))

@@ -4,10 +4,19 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SPREAD = 16
+from tidelayer.operators.joins import estimated_bytes
+
+FILE_BYTES = 128 * 1024 * 1024
+
+
+def use_rocksdb(spark: SparkSession) -> None:
+    """State on disk: a window of deduplication may hold more keys than memory does. A provider that was set stays."""
+    key, default = "spark.sql.streaming.stateStore.providerClass", "HDFSBackedStateStoreProvider"
+    if spark.conf.get(key).endswith(default):
+        spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
 
 def tumbling_counts(stream: DataFrame, time: str, width: str, *keys: str, delay: str | None = None) -> DataFrame:
@@ -15,6 +24,8 @@ def tumbling_counts(stream: DataFrame, time: str, width: str, *keys: str, delay:
 
     With a delay, windows older than the watermark leave the state, and rows later than that are dropped.
     """
+    if delay:
+        use_rocksdb(stream.sparkSession)
     source = stream.withWatermark(time, delay) if delay else stream
     return (
         source.groupBy(F.window(time, width).alias("w"), *keys)
@@ -30,7 +41,8 @@ def dedup_within(stream: DataFrame, keys: Sequence[str], time: str, delay: str)
     steps: first within slots that part the copies of one key over the cluster, then per key on the
     few that are left, so that a key with most of the rows is not one task's work.
     """
-    slot = F.pmod(F.spark_partition_id(), F.lit(SPREAD))
+    use_rocksdb(stream.sparkSession)
+    slot = F.pmod(F.spark_partition_id(), F.lit(shuffle_partitions(stream)))
     return (
         stream.withWatermark(time, delay)
         .withColumn("_slot", slot)
@@ -49,15 +61,33 @@ def from_day(df: DataFrame, time: str, day: int) -> DataFrame:
     return df.where(F.col(time) >= start)
 
 
+def deliveries(df: DataFrame, time: str, parts: int = 4) -> list[Column]:
+    """Conditions that cut a batch table into so many stretches of time with about as many rows each, in order."""
+    micros = F.unix_micros(F.col(time).cast("timestamp"))
+    cuts = df.agg(F.percentile_approx(micros, [i / parts for i in range(1, parts)])).first()[0] or []
+    edges = [None, *sorted(set(cuts)), None]
+    above = [F.lit(True) if low is None else micros > low for low in edges[:-1]]
+    below = [F.lit(True) if high is None else micros <= high for high in edges[1:]]
+    return [a & b for a, b in zip(above, below)]
+
+
 def replay_files(df: DataFrame, path: str, order: Sequence[str], files: int | None = None) -> str:
-    """Rows as files in event order, for a stream that replays them; as many files as shuffle partitions.
+    """Rows as files in event order, for a stream that replays them; by default of about FILE_BYTES, at least `LEAST_FILES`.
 
     Files are cut by ranges of all order columns, so one time with many rows is spread over files.
     """
-    files = files or shuffle_partitions(df)
+    files = files or files_for(df)
     df.repartitionByRange(files, *order).sortWithinPartitions(*order).write.mode("overwrite").parquet(path)
     return path
 
 
+LEAST_FILES = 8
+
+
+def files_for(df: DataFrame, bytes_each: int = FILE_BYTES) -> int:
+    """Files of about that size by Spark's estimate of the rows."""
+    return max(LEAST_FILES, -(-estimated_bytes(df) // bytes_each))
+
+
 def shuffle_partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))

@@ -76,6 +76,17 @@ def to_kafka(stream: DataFrame, servers: str, checkpoint: str, interval: str = "
     )
 
 
+def append_ticking(stream: DataFrame, path: str, checkpoint: str, interval: str = "1 second", fmt: str = "parquet") -> StreamingQuery:
+    """Stream to files by a clock: a micro-batch per interval, until what was there at the start has been processed."""
+    writer = stream.writeStream.format(fmt).outputMode("append").option("path", path).option("checkpointLocation", checkpoint)
+    query = writer.trigger(processingTime=interval).start()
+    try:
+        query.processAllAvailable()
+    finally:
+        query.stop()
+    return query
+
+
 def to_console(stream: DataFrame, mode: str = "update") -> StreamingQuery:
     return drain(stream.writeStream.format("console").outputMode(mode))
 

@@ -1,7 +1,7 @@
 """Streaming queries: each runs a stream over what is available and returns the sink's table.
 
-The tables arrive as files in no particular order, so stateful queries take everything available as
-one micro-batch: a watermark only moves between batches, and no row is late within one.
+The tables arrive as files in no particular order, so stateful queries replay them in event order, in several micro-batches
+between which the watermark moves; `stream_late_drop` delivers some rows too late on purpose.
 """
 
 from __future__ import annotations
@@ -39,11 +39,25 @@ def _to_files(spark: SparkSession, stream: DataFrame, name: str, **options) -> D
     return spark.read.parquet(f"{base}/out")
 
 
+def _delivered(spark: SparkSession, df: DataFrame, base: str):
+    """The stream of a landing folder, once after each delivery of a further stretch of time."""
+    for stretch in jobs.deliveries(df, "ts"):
+        df.where(stretch).write.mode("append").parquet(f"{base}/landing")
+        yield spark.readStream.schema(df.schema).parquet(f"{base}/landing")
+
+
+def _replayed(spark: SparkSession, df: DataFrame, order: list[str]) -> DataFrame:
+    """Rows as a stream in a stated order, a quarter of the files at once."""
+    files = jobs.files_for(df)
+    path = jobs.replay_files(df, run_dir(spark, "replay"), order, files)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", max(1, files // 4)).parquet(path)
+
+
 def stream_envelope(spark, sf):
     """Message files in three or four micro-batches: rows per message partition and its offsets."""
     path = run_dir(spark, "messages")
     messages = _messages(sources.read_table(spark, sf, "events"))
-    files = jobs.shuffle_partitions(messages)
+    files = jobs.files_for(messages)
     messages.repartition(files).write.parquet(path)
     received = _to_files(spark, envelope_stream(spark, path, max_files=max(1, files // 3)), "received")
     return received.groupBy("partition").agg(
@@ -89,7 +103,7 @@ def stream_to_parquet(spark, sf):
 def stream_to_table(spark, sf):
     base = run_dir(spark, "table")
     table = "stream_customers_" + base.rsplit("-", 1)[1]
-    rich = sources.stream_table(spark, sf, "customer").where("c_acctbal > 0").select("c_custkey", "c_nationkey", "c_acctbal")
+    rich = sources.stream_table(spark, sf, "customer").select("c_custkey", "c_nationkey", "c_acctbal")
     sinks.append_table(rich, table, f"{base}/out", f"{base}/checkpoint")
     return spark.table(table)
 
@@ -104,10 +118,11 @@ def stream_route(spark, sf):
 
 
 def stream_tumbling(spark, sf):
-    """Events per five minutes and type."""
+    """Events per five minutes and type, in four deliveries in the order of time."""
     base = run_dir(spark, "tumbling")
-    counts = jobs.tumbling_counts(sources.stream_table(spark, sf, "events"), "ts", "5 minutes", "event_type", delay="10 minutes")
-    sinks.upsert_files(counts, f"{base}/out", f"{base}/checkpoint")
+    for arriving in _delivered(spark, sources.read_table(spark, sf, "events").select("event_id", "ts", "event_type"), base):
+        counts = jobs.tumbling_counts(arriving, "ts", "5 minutes", "event_type", delay="10 minutes")
+        sinks.upsert_files(counts, f"{base}/out", f"{base}/checkpoint")
     return sinks.latest_state(spark, f"{base}/out", ["window_start", "window_end", "event_type"])
 
 
@@ -122,18 +137,39 @@ def stream_then_rollup(spark, sf):
 
 
 def stream_dedup(spark, sf):
-    """A feed with copies, one row per event id kept."""
-    once = jobs.dedup_within(redelivered(sources.stream_table(spark, sf, "events")), ["event_id"], "ts", "10 minutes")
-    return _to_files(spark, once.select("event_id", "user_id", "event_type", "value"), "dedup")
+    """A feed with copies in four deliveries in the order of time, one row per event id kept."""
+    base = run_dir(spark, "dedup")
+    for arriving in _delivered(spark, redelivered(sources.read_table(spark, sf, "events")), base):
+        once = jobs.dedup_within(arriving, ["event_id"], "ts", "10 minutes")
+        sinks.append_files(once.select("event_id", "user_id", "event_type", "value"), f"{base}/out", f"{base}/checkpoint")
+    return spark.read.parquet(f"{base}/out")
 
 
 def stream_replay(spark, sf):
     """Events from a day after the first one on, replayed from time-ordered files in about four micro-batches."""
     events = jobs.from_day(sources.read_table(spark, sf, "events").select("event_id", "ts", "event_type"), "ts", 1)
-    path = jobs.replay_files(events, run_dir(spark, "replay"), ["ts", "event_id"])
-    at_once = max(1, jobs.shuffle_partitions(events) // 4)
-    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", at_once).parquet(path)
-    return _to_files(spark, stream, "replayed")
+    return _to_files(spark, _replayed(spark, events, ["ts", "event_id"]), "replayed")
+
+
+def stream_late_drop(spark, sf):
+    """Windows over three deliveries: one event of ten comes a day late, in the last one; what its window's watermark has passed is gone."""
+    base = run_dir(spark, "late")
+    events = sources.read_table(spark, sf, "events").select("event_id", "ts", "event_type")
+    late, half = F.col("event_id") % 10 == 0, F.col("event_id") % 2 == 0
+    for delivery in (~late & half, ~late & ~half, late):
+        events.where(delivery).write.mode("append").parquet(f"{base}/landing")
+        arriving = spark.readStream.schema(events.schema).parquet(f"{base}/landing")
+        counts = jobs.tumbling_counts(arriving, "ts", "5 minutes", "event_type", delay="1 day")
+        sinks.upsert_files(counts, f"{base}/out", f"{base}/checkpoint")
+    return sinks.latest_state(spark, f"{base}/out", ["window_start", "window_end", "event_type"])
+
+
+def stream_ticks(spark, sf):
+    """Customers to files, a micro-batch per tick of a clock."""
+    base = run_dir(spark, "ticks")
+    stream = sources.stream_table(spark, sf, "customer").select("c_custkey", "c_name")
+    sinks.append_ticking(stream, f"{base}/out", f"{base}/checkpoint")
+    return spark.read.parquet(f"{base}/out")
 
 
 QUERIES = {
@@ -152,6 +188,8 @@ QUERIES = {
         stream_then_rollup,
         stream_dedup,
         stream_replay,
+        stream_late_drop,
+        stream_ticks,
     )
 }
 
@@ -173,13 +211,21 @@ ORACLE = {
     "stream_incremental": """SELECT event_id, event_type, value,
         CAST(CASE WHEN event_type IN ('view', 'click') THEN 1 ELSE 2 END AS INTEGER) AS run FROM events""",
     "stream_to_parquet": "SELECT o_orderkey, o_custkey, o_totalprice, o_orderstatus FROM orders",
-    "stream_to_table": "SELECT c_custkey, c_nationkey, c_acctbal FROM customer WHERE c_acctbal > 0",
+    "stream_to_table": "SELECT c_custkey, c_nationkey, c_acctbal FROM customer",
     "stream_route": f"""WITH {BLOCKS} SELECT block_hash AS key,
         CASE decision WHEN 'QUARANTINE' THEN 'validated-quarantine' ELSE 'validated-allowed' END AS topic, decision FROM decided""",
     "stream_tumbling": _WINDOWS,
     "window_batch": _WINDOWS,
     "stream_then_rollup": "SELECT event_type, count(*) AS event_count FROM events WHERE event_type IS NOT NULL GROUP BY 1",
     "stream_dedup": "SELECT event_id, user_id, event_type, value FROM events",
+    "stream_late_drop": """WITH w AS (SELECT epoch_ms(max(ts)) - 86400000 AS mark FROM events WHERE event_id % 10 <> 0),
+        e AS (SELECT time_bucket(INTERVAL 5 MINUTE, ts) AS window_start, time_bucket(INTERVAL 5 MINUTE, ts) + INTERVAL 5 MINUTE AS window_end,
+              event_id, event_type FROM events)
+        SELECT window_start, window_end, event_type, count(*) AS event_count FROM e, w
+        WHERE event_id % 10 <> 0 AND (event_id % 2 = 0 OR epoch_ms(window_end) > (SELECT epoch_ms(max(ts)) - 86400000 FROM events WHERE event_id % 10 <> 0 AND event_id % 2 = 0))
+           OR event_id % 10 = 0 AND epoch_ms(window_end) > mark
+        GROUP BY 1, 2, 3""",
+    "stream_ticks": "SELECT c_custkey, c_name FROM customer",
     "stream_replay": """SELECT event_id, ts, event_type FROM events
         WHERE ts >= (SELECT date_trunc('second', min(ts)) + INTERVAL 1 DAY FROM events)""",
 }
