@@ -22,18 +22,13 @@ STAGE_TIMES = {
 }
 
 # SQL form of the enrichment; `{bronze_orders}` and `{bronze_locations}` are upstream datasets.
-ENRICHED_SQL = """
-SELECT o.event_id, o.event_type, o.event_timestamp, o.order_id, o.location_id,
-       o.details.brand_id AS brand_id,
-       o.details.brand_name AS brand_name,
-       o.details.total AS order_total,
-       size(o.details.items) AS num_items,
-       hour(o.event_timestamp) AS event_hour,
-       to_date(o.event_timestamp) AS event_date,
-       l.city AS city_name
-FROM (SELECT *, from_json(body, 'brand_id INT, brand_name STRING, total DOUBLE, items ARRAY<STRUCT<quantity: INT>>') AS details
-      FROM {bronze_orders}) o
-LEFT JOIN {bronze_locations} l ON o.location_id = l.id
+ENRICHED_SQL = f"""
+WITH places AS (SELECT id AS place_id, city FROM {{bronze_locations}}),
+read_orders AS (SELECT *, from_json(body, '{payload.BRIEF_BODY}') AS content FROM {{bronze_orders}})
+SELECT event_id, event_type, event_timestamp, CAST(event_timestamp AS DATE) AS event_date, hour(event_timestamp) AS event_hour,
+       order_id, content.total AS order_total, size(content.items) AS num_items, content.brand_id, content.brand_name,
+       location_id, city AS city_name
+FROM read_orders LEFT JOIN places ON place_id = location_id
 """
 
 
