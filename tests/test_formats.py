@@ -3,7 +3,7 @@ from pyspark.errors import PySparkException
 
 from tidelayer.sources import catalog, formats
 
-ROWS = [(1, "oak, red", 31), (2, "\u00e9lan", -7), (3, "x", 0), (4, 'says "no"', 2_000_000), (5, "fir", 8)]
+ROWS = [(1, "oak, red", 31), (2, "\u00e9lan", -7), (3, "x", 0), (4, 'says "no"', 2_000_000), (5, "fir", 801)]
 DDL = "id INT, name STRING, value INT"
 
 
