@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from tests.llm.conftest import PROSE
 from tidelayer.llm.components import components
-from tidelayer.llm.jaccard import linked_components, without_near_copies
+from tidelayer.llm.jaccard import frequent_shingles, linked_components, send_shingles, set_keys, without_near_copies
 from tidelayer.llm.texts import written
 
 
@@ -54,8 +54,21 @@ def test_chains_and_near_groups(spark):
         other[i * 5 + 3] = f"other{i}"
         texts.append(" ".join(other))
     docs = written(spark.createDataFrame(list(enumerate(texts)), "doc_id BIGINT, text STRING").repartition(5), "near")
-    got = sorted(map(tuple, linked_components(docs, per_slice=500).collect()), key=repr)
-    assert got == brute(docs.collect())
+    expected = brute(docs.collect())
+    for hot_share in (0.002, 0.4, 2.0):
+        assert sorted(map(tuple, linked_components(docs, per_slice=500, hot_share=hot_share).collect()), key=repr) == expected
+
+
+def test_frequent_shingles(spark):
+    """A passage that a third of the texts have does not travel to one place, and links nothing by itself."""
+    passage = " ".join(f"p{i}" for i in range(30))
+    texts = [" ".join(f"t{i}x{j}" for j in range(60)) + (" " + passage if i % 3 == 0 else "") for i in range(300)]
+    docs = written(spark.createDataFrame(list(enumerate(texts)), "doc_id BIGINT, text STRING").coalesce(2), "hot")
+    hot = frequent_shingles(set_keys(docs, 5, 0), 300)
+    assert sorted(hot.times.tolist()) == [100] * 26
+    slices = send_shingles(docs, 5, 0, 5, hot).selectExpr("slice >= 32 AS by_key", "length(low) div 4 AS n").groupBy("by_key").sum("n").collect()
+    assert dict(map(tuple, slices))[True] == 2600
+    assert {r.component_id == r.doc_id for r in linked_components(docs).collect()} == {True}
 
 
 def test_threshold_is_met_exactly(spark):

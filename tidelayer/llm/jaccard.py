@@ -2,7 +2,8 @@
 
 1. Every text becomes the set of its shingles (hashes). Texts with equal sets are one member from here on.
 2. Shingles travel in packed slices of the hash range; a slice knows in how many sets each of its shingles occurs and sends
-   back, per set, those that occur in more than one. Only they can be shared.
+   back, per set, those that occur in more than one. Only they can be shared. The few shingles that more than one set in 500
+   has are counted where they are read and need not travel to one place.
 3. Rare shingles come first in the order of a set. Two sets of Jaccard similarity t share a shingle among the first
    n - ceil(t n) + 1 of either, so sets whose first ones are all their own are done. Sets of equal size and equal prefix are
    collapsed into one group.
@@ -28,6 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from tidelayer.llm.components import components
 from tidelayer.llm.texts import give_back, id_and_text, lean, written
@@ -39,6 +41,7 @@ SEND = "slice BIGINT, keys BINARY, sizes BINARY, counts BINARY, low BINARY, high
 BACK = "bucket BIGINT, keys BINARY, sizes BINARY, counts BINARY, tokens BINARY"
 SETS = "key BIGINT, n BIGINT, own BIGINT, prefix_group BIGINT, prefix ARRAY<BIGINT>, bits BINARY, tokens BINARY"
 PARITY_BITS = 512
+HOT_SHARE = 0.002
 
 
 def _runs(sorted_values: np.ndarray) -> np.ndarray:
@@ -68,25 +71,75 @@ class Sets:
         self.key, self.check = (mixed((s[last] - s[self.first]) + self.n.astype(U64)).view(np.int64) for s in sums)
 
 
-def set_keys(rows: DataFrame, width: int, seed: int) -> DataFrame:
-    """`doc_id`, `n`, `key`, `check` per row: equal keys stand for equal sets where the checks are equal too."""
-    kind = rows.schema["doc_id"].dataType.simpleString()
+def set_keys(rows: DataFrame, width: int, seed: int, hot_share: float = HOT_SHARE, chunk: int = 1_000_000) -> DataFrame:
+    """`doc_id`, `n`, `key`, `check` per row: equal keys stand for equal sets where the checks are equal too.
+
+    Besides, with `frequent` true, shingles (as `key`) that more than `hot_share` of the sets of some chunk have, with their
+    number there (as `n`): what is frequent on the whole is so in some chunk.
+    """
+    kind = rows.schema["doc_id"].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, sets_held, size = [], 0, 0
+
+        def frequent() -> pa.RecordBatch:
+            tokens, times = np.unique(np.concatenate(held), return_counts=True)
+            many = times > max(7, hot_share * sets_held)
+            columns = [pa.nulls(int(many.sum()), to_arrow_type(kind)), pa.array(times[many]), pa.array(tokens[many].view(np.int64))]
+            columns += [pa.nulls(int(many.sum()), pa.int64()), pa.array(np.ones(int(many.sum()), bool))]
+            return pa.RecordBatch.from_arrays(columns, names=["doc_id", "n", "key", "check", "frequent"])
+
         for batch in batches:
             for a, b, words in word_slices(batch.column("text")):
                 sets = Sets(words, width, seed)
                 columns = [batch.column("doc_id").slice(a, b - a), pa.array(sets.n, pa.int64()), pa.array(sets.key), pa.array(sets.check)]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n", "key", "check"])
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(np.zeros(b - a, bool))], names=["doc_id", "n", "key", "check", "frequent"])
+                held.append(sets.hashes)
+                sets_held, size = sets_held + b - a, size + len(sets.hashes)
+                if size >= chunk:
+                    yield frequent()
+                    held, sets_held, size = [], 0, 0
+        if held:
+            yield frequent()
+
+    return rows.mapInArrow(lean(run), f"doc_id {kind.simpleString()}, n BIGINT, key BIGINT, check BIGINT, frequent BOOLEAN")
+
 
-    return rows.mapInArrow(lean(run), f"doc_id {kind}, n BIGINT, key BIGINT, check BIGINT")
+class Hot:
+    """The frequent shingles with their number of sets, sorted; fewer than the mean size of a set over `hot_share`."""
 
+    def __init__(self, found: list[tuple[int, int]]):
+        pairs = sorted((key % 2**64, n) for key, n in found)
+        self.hashes, self.times = np.array([p[0] for p in pairs], U64), np.array([p[1] for p in pairs], np.int64)
 
-def _sent(keys: np.ndarray, sizes: np.ndarray, owner: np.ndarray, hashes: np.ndarray, bits: int) -> pa.RecordBatch:
-    """Shingles (in the order of their sets) as one row per slice of the hash range."""
-    part = (hashes >> U64(64 - bits)).astype(np.uint16 if bits <= 16 else np.uint32)
+    def places(self, hashes: np.ndarray) -> np.ndarray:
+        """The place of each hash among the frequent ones, or -1."""
+        if not len(self.hashes):
+            return np.full(len(hashes), -1)
+        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        return np.where(self.hashes[at] == hashes, at, -1)
+
+    def tokens(self, bits: int) -> np.ndarray:
+        """As they are kept per set: rarity, slice and rest of the hash."""
+        return _rarity(np.maximum(self.times, 2)) << U64(56) | (self.hashes >> U64(64 - bits - TOKEN_BITS))
+
+
+def frequent_shingles(members: DataFrame, sets: int, hot_share: float = HOT_SHARE) -> Hot:
+    counts = members.where("frequent").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") > hot_share * sets)
+    return Hot([(row["key"], row["n"]) for row in counts.collect()])
+
+
+def _sent(keys: np.ndarray, sizes: np.ndarray, owner: np.ndarray, hashes: np.ndarray, bits: int, hot: Hot) -> pa.RecordBatch:
+    """Shingles (in the order of their sets) as one row per slice of the hash range.
+
+    Frequent ones go, as their place among these, to further slices by the key of their set.
+    """
+    place = hot.places(hashes)
+    by_key = (keys.view(U64) >> U64(64 - bits)) + U64(1 << bits)
+    part = np.where(place >= 0, by_key[owner], hashes >> U64(64 - bits)).astype(np.uint16 if bits < 16 else np.uint32)
     order = np.argsort(part, kind="stable")
-    part, owner, token = part[order], owner[order], (hashes[order] >> U64(64 - bits - TOKEN_BITS)) & U64((1 << TOKEN_BITS) - 1)
+    token = np.where(place >= 0, place.astype(U64), (hashes >> U64(64 - bits - TOKEN_BITS)) & U64((1 << TOKEN_BITS) - 1))[order]
+    part, owner = part[order], owner[order]
     low, high = token.astype("<u4"), (token >> U64(32)).astype(np.uint8)
     starts = _runs(part)
     rows = []
@@ -100,7 +153,7 @@ def _sent(keys: np.ndarray, sizes: np.ndarray, owner: np.ndarray, hashes: np.nda
     return pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if i else pa.int64()) for i, c in enumerate(columns)], names=names)
 
 
-def send_shingles(rows: DataFrame, width: int, seed: int, bits: int, batch_size: int = 2_000_000) -> DataFrame:
+def send_shingles(rows: DataFrame, width: int, seed: int, bits: int, hot: Hot, batch_size: int = 2_000_000) -> DataFrame:
     """The shingles of all sets, by slice. Sets that occur twice in a task are sent once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -109,7 +162,7 @@ def send_shingles(rows: DataFrame, width: int, seed: int, bits: int, batch_size:
 
         def flush() -> pa.RecordBatch:
             keys, sizes = np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held])
-            return _sent(keys, sizes, np.repeat(np.arange(len(keys)), sizes), np.concatenate([h[2] for h in held]), bits)
+            return _sent(keys, sizes, np.repeat(np.arange(len(keys)), sizes), np.concatenate([h[2] for h in held]), bits, hot)
 
         for batch in batches:
             for _, _, words in word_slices(batch.column("text")):
@@ -149,8 +202,9 @@ def _rarity(times: np.ndarray) -> np.ndarray:
     return np.minimum(np.floor(np.log2(times) * 6), 255).astype(U64)
 
 
-def shared_shingles(sent: DataFrame, bits: int) -> DataFrame:
+def shared_shingles(sent: DataFrame, bits: int, hot: Hot) -> DataFrame:
     """Per slice, the shingles that occur in more than one set, packed by bucket of the set's key."""
+    frequent = hot.tokens(bits)
 
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         give_back()
@@ -159,14 +213,17 @@ def shared_shingles(sent: DataFrame, bits: int) -> DataFrame:
         owner = np.repeat(np.arange(len(keys), dtype=np.int32), counts)
         kept = _once(keys, counts)
         token, owner = token[kept], owner[kept]
-        order = np.argsort(token)
-        token, owner = token[order], owner[order]
-        starts = _runs(token)
-        times = np.diff(np.append(starts, len(token)))
-        many = np.repeat(times > 1, times)
-        owner = owner[many]
-        token = (token[many] | (U64(key[0].as_py()) << U64(TOKEN_BITS))) & U64((1 << 56) - 1)
-        token |= _rarity(np.repeat(times[times > 1], times[times > 1])) << U64(56)
+        if key[0].as_py() >= 1 << bits:
+            token = frequent[token.astype(np.int64)]
+        else:
+            order = np.argsort(token)
+            token, owner = token[order], owner[order]
+            starts = _runs(token)
+            times = np.diff(np.append(starts, len(token)))
+            many = np.repeat(times > 1, times)
+            owner = owner[many]
+            token = (token[many] | (U64(key[0].as_py()) << U64(TOKEN_BITS))) & U64((1 << 56) - 1)
+            token |= _rarity(np.repeat(times[times > 1], times[times > 1])) << U64(56)
         bucket = (keys.view(U64) >> U64(64 - bits)).astype(np.int64)
         order = np.lexsort((owner, bucket[owner]))
         owner, token = owner[order], token[order]
@@ -330,17 +387,21 @@ def _open_groups(parts: DataFrame) -> DataFrame:
     return parts.join(split, "prefix_group").select(F.col("prefix_group").alias("token"), F.lit(0).cast("bigint").alias("place"), "key", "n", "own", "part", "bits")
 
 
-def linked_components(docs: DataFrame, percent: int = 80, width: int = 5, id_col: str = "doc_id", text_col: str = "text", per_slice: int = 3_000_000) -> DataFrame:
+def linked_components(
+    docs: DataFrame, percent: int = 80, width: int = 5, id_col: str = "doc_id", text_col: str = "text", per_slice: int = 3_000_000, hot_share: float = HOT_SHARE
+) -> DataFrame:
     """`doc_id`, `n_shingles`, `component_id` for each row."""
     rows = id_and_text(docs, id_col, text_col)
     for seed in range(8):  # two sets with one key: never seen; another seed tells them apart
-        members = written(set_keys(rows, width, seed), "members")
+        members = written(set_keys(rows, width, seed, hot_share), "members")
+        hot, members = members.where("frequent"), members.where("NOT frequent")
         clash = members.where("n > 0").groupBy("key").agg(F.min("check").alias("x"), F.max("check").alias("y")).where("x <> y")
         if clash.isEmpty():
             break
-    total = members.agg(F.sum("n")).first()[0] or 0
+    total, count = members.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     bits = max(5, math.ceil(math.log2(max(1, total / per_slice))))
-    sets = written(linkable_sets(shared_shingles(send_shingles(rows, width, seed, bits), bits), percent), "sets")
+    hot = frequent_shingles(hot, count, hot_share)
+    sets = written(linkable_sets(shared_shingles(send_shingles(rows, width, seed, bits, hot), bits, hot), percent), "sets")
     spread = sets.select("prefix_group", "n", "own", F.posexplode("prefix").alias("k", "token"))
     postings = written(spread.select("prefix_group", "n", "own", "token", (F.col("own") + F.col("k")).alias("place")).distinct(), "postings")
     asked = written(_star_pairs(sets, postings, percent), "pairs")
