@@ -20,7 +20,8 @@ def whole(text):
 
 def odd_texts(count=400):
     random.seed(1)
-    return ["", "  ", "it's I'LL 's", "<|startoftext|>x <| y", "a<|endoftext|>b"] + ["".join(random.choices(ALPHABET, k=random.randint(0, 60))) for _ in range(count)]
+    latin = ["".join(random.choices(" \nabÉéßÿ×÷µº½'.,!-_7sT<|>\xa0\x85", k=random.randint(0, 60))) for _ in range(count)]
+    return ["", "  ", "it's I'LL 's", "<|startoftext|>x <| y", "a<|endoftext|>b", "A<|ENDOFTEXT|>", "e\u0301. É'S", *latin] + ["".join(random.choices(ALPHABET, k=random.randint(0, 60))) for _ in range(count)]
 
 
 def test_words_give_the_ids_of_the_tokenizer():

@@ -29,7 +29,20 @@ from tidelayer.llm.texts import LONG, WHITE_SPACE, Remembered, chunks, id_and_te
 PIECES = "doc_id BIGINT, piece INT, start BIGINT, length BIGINT, ids_crc32 BIGINT"
 PLACED = PIECES + ", sequence_id BIGINT, offset BIGINT"
 MARK = "7"
-WORD = re.compile(f"[^{WHITE_SPACE}]+")
+LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
+# A word, or its first letters where an ASCII sign follows: the tokenizer never joins letters to such a sign.
+WORD = re.compile(rf"[{LETTERS}]+(?=[!-/:-@\[-`{{-~{WHITE_SPACE}]|\Z)|[^{WHITE_SPACE}]+")
+
+
+def folded(text: str) -> str:
+    """The text in lower case where that is what the tokenizer makes of it, letter by letter: Latin-1 without special tokens."""
+    if "<|" in text:
+        return text
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return text
+    return text.lower()
 
 
 class WordTokens:
@@ -39,7 +52,7 @@ class WordTokens:
     words with that digit are given one by one. What it gave is kept as little-endian bytes, for up to twice `most` words.
     """
 
-    def __init__(self, path: str, most: int = 300_000, per_row: int = 200):
+    def __init__(self, path: str, most: int = 500_000, per_row: int = 200):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -73,7 +86,7 @@ class WordTokens:
                 parts = chunks((m[0] for m in WORD.finditer(texts[a])), 200_000)
                 yield b"".join(self._ids(words) for words in parts)
                 continue
-            words = [WORD.findall(text) for text in texts[a:b]]
+            words = [WORD.findall(folded(text)) for text in texts[a:b]]
             have = self._have(set().union(*words))
             yield from (b"".join(map(have, each)) for each in words)
 
