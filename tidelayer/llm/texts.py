@@ -10,6 +10,7 @@ from itertools import islice
 from pathlib import Path
 
 import pyarrow as pa
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,10 +40,21 @@ def importable(spark: SparkSession) -> None:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """The rows as a table in the shared folder: cuts the lineage, and no lost executor takes them away."""
+    """The rows as a table in the shared folder: cuts the lineage, and no lost executor takes them away.
+
+    What the job has shuffled is of no use any more once the table is there, and Spark is asked to remove it then.
+    """
     spark = df.sparkSession
     path = run_dir(spark, name)
-    df.write.parquet(path)
+    clean_up, before = "spark.sql.classic.shuffleDependency.fileCleanup.enabled", None
+    with contextlib.suppress(PySparkException):  # a Spark that does not know the setting keeps the files for longer
+        before = spark.conf.get(clean_up)
+        spark.conf.set(clean_up, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is not None:
+            spark.conf.set(clean_up, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
