@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from tidelayer.session import run_dir
 
 # The Unicode property White_Space, without U+001C to U+001F that Python's own \s adds.
-WHITE_SPACE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
+WHITE_SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
 LONG = 4_000_000  # characters of a text that is taken in parts
 
