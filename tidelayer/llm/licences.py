@@ -72,7 +72,7 @@ GAP = "-"
 
 
 def _sequence(sentences: Column, known: dict[str, str]) -> Column:
-    """The identifiers of an array of sentences as ',a,b,-,'. An enumeration like `1.` or `(a)` is no sentence and no part of one."""
+    """The identifiers of an array of sentences as ',a,,b,,-,': each has its own commas. An enumeration like `1.` or `(a)` is no sentence and no part of one."""
     table = F.create_map(*[F.lit(x) for pair in known.items() for x in pair])
 
     def identifier(sentence: Column) -> Column:
@@ -81,7 +81,7 @@ def _sequence(sentences: Column, known: dict[str, str]) -> Column:
         return F.when(~plain.rlike("^([0-9]*|[a-z])$"), F.coalesce(F.element_at(table, plain), F.element_at(table, bare), F.lit(GAP)))
 
     found = F.filter(F.transform(sentences, identifier), lambda x: x.isNotNull())
-    return F.concat(F.lit(","), F.array_join(found, ","), F.lit(","))
+    return F.concat(F.lit(","), F.array_join(found, ",,"), F.lit(","))
 
 
 def scan(docs: DataFrame, known: dict[str, str] = SENTENCES, rules: list = RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -91,7 +91,7 @@ def scan(docs: DataFrame, known: dict[str, str] = SENTENCES, rules: list = RULES
     for anchor in ANCHORS:
         may = may | F.contains(F.col("small"), F.lit(anchor))
     rows = rows.select("doc_id", F.when(may, _sequence(F.split("text", SENTENCE_END), known)).otherwise(F.lit(",")).alias("sequence"))
-    ordered = F.array(*[F.struct(F.lit(name).alias("name"), F.lit("," + ",".join(ids) + ",").alias("ids")) for name, ids in rules])
+    ordered = F.array(*[F.struct(F.lit(name).alias("name"), F.lit("," + ",,".join(ids) + ",").alias("ids")) for name, ids in rules])
     start = F.struct(F.col("sequence").alias("rest"), F.array().cast("array<string>").alias("found"))
 
     def apply(state: Column, rule: Column) -> Column:
@@ -120,7 +120,7 @@ def sql(known: dict[str, str] = SENTENCES, rules: list = RULES) -> str:
     table = "MAP {" + ", ".join(f"{_quoted(s)}: {_quoted(i)}" for s, i in known.items()) + "}"
     steps = ["s0 AS (SELECT doc_id, sequence, sequence AS rest, CAST([] AS VARCHAR[]) AS found FROM sequences)"]
     for k, (name, ids) in enumerate(rules):
-        side_by_side = _quoted("," + ",".join(ids) + ",")
+        side_by_side = _quoted("," + ",,".join(ids) + ",")
         steps.append(
             f"s{k + 1} AS (SELECT doc_id, sequence, replace(rest, {side_by_side}, ',{GAP},') AS rest, "
             f"CASE WHEN contains(rest, {side_by_side}) AND NOT list_contains(found, {_quoted(name)}) THEN list_append(found, {_quoted(name)}) ELSE found END AS found FROM s{k})"
@@ -132,7 +132,7 @@ WITH sentences AS (
   FROM documents),
 sequences AS (
   SELECT doc_id, ',' || array_to_string(list_transform(list_filter(plain, lambda s: NOT regexp_full_match(s, '[0-9]*|[a-z]')),
-           lambda s: coalesce({table}[s], {table}[regexp_replace(s, '^(?:[0-9]|[a-z]) ', '')], '{GAP}')), ',') || ',' AS sequence
+           lambda s: coalesce({table}[s], {table}[regexp_replace(s, '^(?:[0-9]|[a-z]) ', '')], '{GAP}')), ',,') || ',' AS sequence
   FROM sentences),
 {", ".join(steps)}
 SELECT doc_id, array_to_string(found, ',') AS licences,
