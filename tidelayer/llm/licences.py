@@ -1,8 +1,10 @@
 """Licence scan by sentence rules, in DataFrame functions only.
 
-A text is cut into sentences, each is normalised (lower case, letters and digits only) and looked up among known licence
-sentences; what is known becomes its identifier, anything else a gap. The identifiers form a sequence that is matched
-against ordered rules: a rule names the identifiers that must stand side by side, the first rule that fits takes them.
+A text is normalised (lower case, letters and digits only) and cut into pieces at the ends of sentences, clauses and lines.
+A known licence sentence is one piece or several in a row: where a text wraps it, with or without comment signs at the start
+of a line, and at which colons or semicolons it is cut does not matter; it begins and ends where pieces do, the longest one
+is taken first. What is known becomes its identifier, any other piece a gap. The identifiers form a sequence that is
+matched against ordered rules: a rule names the identifiers that must stand side by side, the first rule that fits takes them.
 
 Null and empty texts have no licence: `licences` is an empty string. Every row gives one row, repeated rows and rows
 without an id too. Texts are read whole; other columns are not looked at.
@@ -67,20 +69,37 @@ RULES = [
 # Every known sentence holds one of these (a test proves it), so a text without any of them has no known sentence.
 ANCHORS = ("licen", "copyright", "warrant", "permi")
 
-SENTENCE_END = r"[.!?;:]+[ \t\r\n]+|\n"
+PIECE_END = r"[.!?;:]+[ \t\r\n]+|\n"
+COMMENT_WORD = r"\n[ \t]*(?:rem|dnl)[ \t]+"  # any other comment sign has no letters and vanishes anyway
 GAP = "-"
 
 
-def _sequence(sentences: Column, known: dict[str, str]) -> Column:
-    """The identifiers of an array of sentences as ',a,,b,,-,': each has its own commas. An enumeration like `1.` or `(a)` is no sentence and no part of one."""
-    table = F.create_map(*[F.lit(x) for pair in known.items() for x in pair])
+def _pieces(small: Column) -> Column:
+    """The words of a text in lower case as '|piece|next piece|'."""
+    plain = F.regexp_replace(F.regexp_replace(F.translate(small, "|", " "), COMMENT_WORD, "\n"), PIECE_END, "|")
+    return F.concat(F.lit("|"), F.regexp_replace(F.regexp_replace(plain, "[^a-z0-9|]+", " "), r" *\|[ |]*", "|"), F.lit("|"))
 
-    def identifier(sentence: Column) -> Column:
-        plain = F.trim(F.regexp_replace(F.lower(sentence), "[^a-z0-9]+", " "))
-        bare = F.regexp_replace(plain, "^(?:[0-9]|[a-z]) ", "")
-        return F.when(~plain.rlike("^([0-9]*|[a-z])$"), F.coalesce(F.element_at(table, plain), F.element_at(table, bare), F.lit(GAP)))
 
-    found = F.filter(F.transform(sentences, identifier), lambda x: x.isNotNull())
+def _sequence(small: Column, known: dict[str, str]) -> Column:
+    """The identifiers of a text as ',a,,b,,-,': each has its own commas. An enumeration like `1.` or `(a)` is no sentence and no part of one."""
+    longest_first = sorted(known.items(), key=lambda pair: (-len(pair[0]), pair[0]))
+    wrapped = [(words, r"\| ?(?:[0-9a-z][ |])?" + words.replace(" ", "[ |]") + r" ?(?=\|)", "|=" + name) for words, name in longest_first]
+    table = F.array(*[F.struct(F.lit(w).alias("words"), F.lit(p).alias("pattern"), F.lit(n).alias("name")) for w, p, n in wrapped])
+
+    def look_up(state: Column, entry: Column) -> Column:
+        found = F.regexp_replace(state["pieces"], entry["pattern"], entry["name"])
+        return F.struct(F.when(F.contains(state["flat"], entry["words"]), found).otherwise(state["pieces"]).alias("pieces"), state["flat"].alias("flat"))
+
+    def start(pieces: Column) -> Column:
+        return F.struct(pieces.alias("pieces"), F.replace(pieces, F.lit("|"), F.lit(" ")).alias("flat"))
+
+    state = F.transform(F.array(_pieces(small)), lambda pieces: F.aggregate(table, start(pieces), look_up)["pieces"])
+    pieces = F.transform(F.split(state[0], r"\|"), lambda piece: F.trim(piece))
+
+    def identifier(piece: Column) -> Column:
+        return F.when(F.startswith(piece, F.lit("=")), F.substring(piece, 2, 1_000)).when(~piece.rlike("^([0-9]*|[a-z])$"), F.lit(GAP))
+
+    found = F.filter(F.transform(pieces, identifier), lambda x: x.isNotNull())
     return F.concat(F.lit(","), F.array_join(found, ",,"), F.lit(","))
 
 
@@ -90,7 +109,7 @@ def scan(docs: DataFrame, known: dict[str, str] = SENTENCES, rules: list = RULES
     may = F.lit(False)
     for anchor in ANCHORS:
         may = may | F.contains(F.col("small"), F.lit(anchor))
-    rows = rows.select("doc_id", F.when(may, _sequence(F.split("text", SENTENCE_END), known)).otherwise(F.lit(",")).alias("sequence"))
+    rows = rows.select("doc_id", F.when(may, _sequence(F.col("small"), known)).otherwise(F.lit(",")).alias("sequence"))
     ordered = F.array(*[F.struct(F.lit(name).alias("name"), F.lit("," + ",,".join(ids) + ",").alias("ids")) for name, ids in rules])
     start = F.struct(F.col("sequence").alias("rest"), F.array().cast("array<string>").alias("found"))
 
@@ -116,7 +135,7 @@ def _quoted(text: str) -> str:
 
 
 def sql(known: dict[str, str] = SENTENCES, rules: list = RULES) -> str:
-    """The same scan for DuckDB, over `documents`."""
+    """The scan for DuckDB, over `documents` whose known sentences stand in one piece: it does not put wrapped ones together."""
     table = "MAP {" + ", ".join(f"{_quoted(s)}: {_quoted(i)}" for s, i in known.items()) + "}"
     steps = ["s0 AS (SELECT doc_id, sequence, sequence AS rest, CAST([] AS VARCHAR[]) AS found FROM sequences)"]
     for k, (name, ids) in enumerate(rules):
