@@ -92,3 +92,18 @@ def test_filter(awkward, nothing):
     assert kept.columns == awkward.columns
     assert sorted(r.doc_id for r in kept.where(F.col("text").contains("word1x1")).collect()) == [0, 0]  # its row occurs twice
     assert linked_components(nothing).count() == 0 and without_near_copies(nothing).count() == 0
+
+
+def test_filter_tells_rows_of_one_id_apart(spark):
+    """Rows without an id and versions of one id go or stay by their texts, and one of each group stays."""
+    def near(name, k):
+        return " ".join("edit" if i == 7 * k else f"{name}{i}" for i in range(150))
+
+    rows = [(5, near("a", 1)), (None, near("a", 2)), (None, near("b", 1))]  # a near copy and a clean text without ids
+    rows += [(7, near("a", 3)), (7, near("c", 1))]  # a repeated id: a near copy and a clean text
+    rows += [(None, near("d", k)) for k in range(1, 5)] + [(9, near("e", k)) for k in range(1, 4)]  # groups without an id, of one id
+    rows += [(None, near("f", 1)), (11, near("f", 2)), (None, ""), (None, None)]
+    kept = without_near_copies(spark.createDataFrame(rows, "doc_id BIGINT, text STRING").repartition(3)).collect()
+    assert sorted((r.text or "-").split("1")[0][:1] for r in kept) == ["-", "-", "a", "b", "c", "d", "e", "f"]
+    assert {r.doc_id for r in kept if (r.text or "")[:1] in ("a", "f")} == {5, 11}
+    assert {(r.doc_id, r.text) for r in kept} >= {(None, near("b", 1)), (7, near("c", 1))}

@@ -425,7 +425,10 @@ def linked_components(
 
 
 def without_near_copies(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows whose id is the smallest of their component, with all their columns; rows of one id are not told apart."""
-    gone = linked_components(docs, percent, id_col=id_col, text_col=text_col).where("doc_id <> component_id OR doc_id IS NULL AND component_id IS NOT NULL")
-    gone = gone.select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs[id_col].eqNullSafe(F.col("__gone")), "left_anti")
+    """One document of each component, with all its columns: the one with the smallest id, ids that are null last, and of texts
+    with one id the one with the smallest SHA-256. Rows with equal ids and texts stay together, as nothing tells them apart."""
+    sha = F.unhex(F.sha2(F.coalesce(docs[text_col], F.lit("")), 256))
+    name = F.struct(docs[id_col].isNull().alias("no_id"), docs[id_col].alias("id"), sha.alias("sha"))
+    linked = linked_components(docs.select(name.alias("name"), docs[text_col].alias("text")), percent, id_col="name", text_col="text")
+    gone = linked.where("NOT doc_id <=> component_id").select(F.col("doc_id.id").alias("__gone"), F.col("doc_id.sha").alias("__sha"))
+    return docs.join(gone, docs[id_col].eqNullSafe(F.col("__gone")) & (sha == F.col("__sha")), "left_anti")
