@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidelayer.llm import licences, mixing, quality
+from tidelayer.llm.decontamination import contamination, n_hit
 from tidelayer.llm.exact_dedup import exact_duplicates
 from tidelayer.llm.jaccard import linked_components
 from tidelayer.llm.packing import pack
@@ -63,6 +64,19 @@ def op10_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan(documents(spark, sf_dir))
 
 
+def op11_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = contamination(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir.rstrip('/')}/benchmark.parquet"))
+    ids = F.array_join(F.array_sort("items"), ",")
+    return found.select(
+        "row.doc_id",
+        "n_words",
+        n_hit().alias("n_hit"),
+        F.size("items").cast("bigint").alias("n_items"),
+        F.sha2(ids, 256).alias("items_sha256"),
+        (n_hit() > 0).alias("contaminated"),
+    )
+
+
 MAX_REPETITION = 1.25
 
 OP3_SQL = """
@@ -115,6 +129,29 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(t.text) AS
 FROM t JOIN g ON t.text = g.text
 """
 
+OP11_SQL = """
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS words
+  FROM documents),
+b AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS words
+  FROM benchmark),
+items AS (
+  SELECT DISTINCT item_id, least(10, len(words)) AS width, array_to_string(words[i:i + least(10, len(words)) - 1], ' ') AS win
+  FROM (SELECT *, unnest(range(1, greatest(1, len(words) - 9) + 1)) AS i FROM b WHERE len(words) > 0)),
+places AS (
+  SELECT doc_id, i, width, array_to_string(words[i:i + width - 1], ' ') AS win
+  FROM (SELECT *, unnest(range(1, len(words) - width + 2)) AS i FROM d CROSS JOIN (SELECT DISTINCT width FROM items))),
+hits AS (SELECT p.doc_id, p.i, p.width, m.item_id FROM places p JOIN items m USING (width, win)),
+words AS (SELECT doc_id, count(DISTINCT w) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + width)) AS w FROM hits) GROUP BY doc_id),
+named AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS ids
+  FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hits WHERE item_id IS NOT NULL) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(d.words) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN words ON words.doc_id = d.doc_id LEFT JOIN named ON named.doc_id = d.doc_id
+"""
+
 QUERIES = {
     "op1_pack": op1_pack,
     "op2_token_counts": op2_token_counts,
@@ -126,6 +163,7 @@ QUERIES = {
     "op8_repeated_passages": op8_repeated_passages,
     "op9_quality": op9_quality,
     "op10_licences": op10_licences,
+    "op11_decontamination": op11_decontamination,
 }
 
 OP7_SQL = mixing.sql(MAX_REPETITION, "greatest(1, ceil(log(greatest(1, count(*)) / 4096.0) / log(16)))")
@@ -137,4 +175,5 @@ ORACLE = {
     "op6_exact_dedup": OP6_SQL,
     "op7_mix_sources": OP7_SQL,
     "op10_licences": licences.sql(),
+    "op11_decontamination": OP11_SQL,
 }

@@ -56,9 +56,10 @@ def by_owner(hashes: np.ndarray, owner: np.ndarray) -> np.ndarray:
 class Words:
     """Words of a slice of texts: `hashes`, byte ranges `starts`/`ends`, and `bounds`: text i has words bounds[i] to bounds[i + 1]."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, apart: np.ndarray = IS_SPACE):
+        """`apart` tells for each of the 256 bytes whether it stands between words."""
         self.data, self.offsets = data, offsets
-        solid = ~IS_SPACE[data]
+        solid = ~apart[data]
         edge = np.zeros(len(data) + 1, bool)
         edge[offsets] = True
         first = solid & (edge[:-1] | np.append(True, ~solid[:-1])[: len(data)])
