@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidelayer.llm import licences, mixing, quality
@@ -12,6 +12,7 @@ from tidelayer.llm.exact_dedup import exact_duplicates
 from tidelayer.llm.jaccard import linked_components
 from tidelayer.llm.packing import pack
 from tidelayer.llm.passages import repeated_passages
+from tidelayer.llm.spelling import spelling_groups, word_counts
 from tidelayer.llm.texts import documents
 from tidelayer.llm.tokens import count_tokens
 from tidelayer.llm.topk import top_k
@@ -77,6 +78,17 @@ def op11_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    h = F.crc32(F.concat(F.col("doc_id").cast("string"), F.lit(":"), F.col("run")))
+
+    def damage(run: Column) -> Column:
+        """One code point less where 97 divides the hash; a row without an id keeps its words."""
+        at = (h % F.length(run)).cast("int")
+        return F.when(h % 97 == 0, F.concat(F.substring(run, F.lit(1), at), F.substring(run, at + 2, F.length(run)))).otherwise(run)
+
+    return spelling_groups(word_counts(documents(spark, sf_dir), damage=damage))
+
+
 MAX_REPETITION = 1.25
 
 OP3_SQL = """
@@ -152,6 +164,40 @@ SELECT d.doc_id, CAST(len(d.words) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0
 FROM d LEFT JOIN words ON words.doc_id = d.doc_id LEFT JOIN named ON named.doc_id = d.doc_id
 """
 
+OP13_SQL = """
+WITH RECURSIVE crc AS (
+  SELECT list(list_reduce(list_prepend(b, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(CAST(3988292384 AS BIGINT), c >> 1) ELSE c >> 1 END) ORDER BY b) AS t
+  FROM (SELECT unnest(range(256)) AS b)),
+runs AS (
+  SELECT doc_id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run, count(*) AS n
+  FROM (SELECT doc_id, unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-zÀ-ÿ]{5,}')) AS run FROM documents) GROUP BY 1, 2),
+bytes AS (
+  SELECT *, flatten(list_transform(string_split(doc_id || ':' || run, ''), lambda x:
+    CASE WHEN unicode(x) < 128 THEN [CAST(unicode(x) AS BIGINT)] ELSE [CAST(192 + (unicode(x) >> 6) AS BIGINT), CAST(128 + (unicode(x) & 63) AS BIGINT)] END)) AS b
+  FROM runs),
+hashed AS (
+  SELECT run, n, xor(CAST(4294967295 AS BIGINT), list_reduce(list_prepend(CAST(4294967295 AS BIGINT), b),
+    lambda c, x: xor(t[(xor(c, x) & 255) + 1], c >> 8))) AS h
+  FROM bytes, crc),
+changed AS (
+  SELECT CASE WHEN h % 97 = 0 THEN substr(run, 1, CAST(h % length(run) AS BIGINT)) || substr(run, CAST(h % length(run) + 2 AS BIGINT)) ELSE run END AS word, n FROM hashed),
+w AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM changed WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3),
+rest AS (
+  SELECT word, n, i, length(word) AS size, substr(word, 1, i - 1) || substr(word, i + 1) AS rest
+  FROM (SELECT *, unnest(range(1, length(word) + 1)) AS i FROM w)),
+near AS (
+  SELECT a.word, b.word AS other, b.n FROM rest a JOIN rest b ON a.rest = b.rest AND a.i = b.i AND a.size = b.size AND a.word <> b.word
+  UNION SELECT r.word, s.word, s.n FROM rest r JOIN w s ON s.word = r.rest
+  UNION SELECT s.word, r.word, r.n FROM rest r JOIN w s ON s.word = r.rest),
+best AS (SELECT word, count(*) AS n_near, first(other ORDER BY n DESC, other) AS other, max(n) AS other_n FROM near GROUP BY word),
+forms AS (
+  SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN other_n >= 2 * w.n THEN other END AS form, CASE WHEN other_n >= 2 * w.n THEN other_n END AS form_n
+  FROM w LEFT JOIN best ON best.word = w.word),
+path AS (SELECT word, word AS at FROM forms UNION ALL SELECT p.word, f.form FROM path p JOIN forms f ON f.word = p.at WHERE f.form IS NOT NULL)
+SELECT f.word, f.n, CAST(f.n_near AS BIGINT) AS n_near, f.form, CAST(f.form_n AS BIGINT) AS form_n, p.at AS root
+FROM forms f JOIN (SELECT p.word, p.at FROM path p JOIN forms e ON e.word = p.at WHERE e.form IS NULL) p ON p.word = f.word
+"""
+
 QUERIES = {
     "op1_pack": op1_pack,
     "op2_token_counts": op2_token_counts,
@@ -164,6 +210,7 @@ QUERIES = {
     "op9_quality": op9_quality,
     "op10_licences": op10_licences,
     "op11_decontamination": op11_decontamination,
+    "op13_spelling": op13_spelling,
 }
 
 OP7_SQL = mixing.sql(MAX_REPETITION, "greatest(1, ceil(log(greatest(1, count(*)) / 4096.0) / log(16)))")
@@ -176,4 +223,5 @@ ORACLE = {
     "op7_mix_sources": OP7_SQL,
     "op10_licences": licences.sql(),
     "op11_decontamination": OP11_SQL,
+    "op13_spelling": OP13_SQL,
 }
