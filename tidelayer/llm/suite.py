@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidelayer.llm import licences, mixing, quality
+from tidelayer.llm.conversations import audits, conversation_digests, plan_repair, repaired_turns
 from tidelayer.llm.decontamination import contamination, n_hit
 from tidelayer.llm.exact_dedup import exact_duplicates
 from tidelayer.llm.jaccard import linked_components
@@ -78,6 +79,31 @@ def op11_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def damaged(conversations: DataFrame) -> DataFrame:
+    """Rows dropped, emptied, left open, repeated or given another role, by a hash of conversation and turn."""
+    space = F.lit(" ")
+    h = F.crc32(F.concat_ws(":", *(F.coalesce(F.col(c).cast("string"), space) for c in ("conv_id", "turn")))) % 20
+    text = F.coalesce("text", space)
+    rows = conversations.where(h != 0).select(
+        "conv_id",
+        "turn",
+        F.when(h == 4, "user").otherwise(F.coalesce("role", space)).alias("role"),
+        F.when(h == 1, "").when(h == 2, F.regexp_replace(text, "[.!?]", "")).otherwise(text).alias("text"),
+        F.explode(F.array_repeat(F.lit(0), F.when(h == 3, 2).otherwise(1))).alias("copy"),
+    )
+    return rows.drop("copy")
+
+
+def op12_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = spark.read.parquet(f"{sf_dir.rstrip('/')}/conversations.parquet")
+    repair = plan_repair(damaged(conversations))
+    ids = conversations.select("conv_id").distinct()
+    found, digests = audits(repair).withColumnRenamed("conv_id", "id"), conversation_digests(repaired_turns(repair)).withColumnRenamed("conv_id", "same")
+    whole = ids.join(found, F.col("conv_id").eqNullSafe(F.col("id")), "left").join(digests, F.col("conv_id").eqNullSafe(F.col("same")), "left")
+    counts = [F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return whole.select("conv_id", *counts, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
 def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     h = F.crc32(F.concat(F.col("doc_id").cast("string"), F.lit(":"), F.col("run")))
 
@@ -164,6 +190,56 @@ SELECT d.doc_id, CAST(len(d.words) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0
 FROM d LEFT JOIN words ON words.doc_id = d.doc_id LEFT JOIN named ON named.doc_id = d.doc_id
 """
 
+OP12_SQL = """
+WITH RECURSIVE crc AS (
+  SELECT list(list_reduce(list_prepend(b, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(CAST(3988292384 AS BIGINT), c >> 1) ELSE c >> 1 END) ORDER BY b) AS t
+  FROM (SELECT unnest(range(256)) AS b)),
+coded AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, t,
+         list_transform(string_split(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '), ''), lambda x: CAST(unicode(x) AS BIGINT)) AS b
+  FROM conversations, crc),
+hashed AS (
+  SELECT * EXCLUDE (t, b), xor(CAST(4294967295 AS BIGINT), list_reduce(list_prepend(CAST(4294967295 AS BIGINT), b), lambda c, x: xor(t[(xor(c, x) & 255) + 1], c >> 8))) % 20 AS h
+  FROM coded),
+damaged AS (
+  SELECT conv_id, turn, CASE WHEN h = 4 THEN 'user' ELSE role END AS role,
+         CASE h WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(CASE h WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy
+  FROM hashed),
+placed AS (
+  SELECT *, left(role, 1) AS i, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text)) AS k,
+         regexp_replace(text, '[\\x20\\x09-\\x0D]+$', '') AS solid
+  FROM damaged),
+r AS (
+  SELECT *, lag(i) OVER (PARTITION BY conv_id ORDER BY k) AS i0,
+         CASE WHEN solid = '' THEN 'b' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY k) > 1 THEN 'd' WHEN right(solid, 1) NOT IN ('.', '!', '?') THEN 't' ELSE '' END AS fault
+  FROM placed),
+ins(a, b, cost, letters, added) AS (VALUES
+  (0, 0, 0, '', []), (1, 1, 0, '', []), (2, 2, 0, '', []), (3, 3, 0, '', []), (0, 2, 5, 'I', ['user:']), (1, 2, 5, 'I', ['user:']), (3, 2, 5, 'I', ['user:']),
+  (2, 3, 5, 'I', ['assistant:']), (0, 3, 10, 'II', ['user:', 'assistant:']), (1, 3, 10, 'II', ['user:', 'assistant:'])),
+act(a, b, letter, i) AS (VALUES
+  (0, 0, 'D', NULL), (1, 1, 'D', NULL), (2, 2, 'D', NULL), (3, 3, 'D', NULL), (0, 1, 'K', 's'), (0, 2, 'K', 'u'), (1, 2, 'K', 'u'), (3, 2, 'K', 'u'), (2, 3, 'K', 'a'),
+  (0, 2, 'R', NULL), (1, 2, 'R', NULL), (3, 2, 'R', NULL), (2, 3, 'R', NULL)),
+way AS (
+  SELECT conv_id, CAST(0 AS BIGINT) AS k, 0 AS state, CAST(0 AS BIGINT) AS cost, '' AS audit, CAST([] AS VARCHAR[]) AS lines FROM (SELECT DISTINCT conv_id FROM r)
+  UNION ALL
+  SELECT w.conv_id, w.k + 1, act.b, w.cost + ins.cost + CASE letter WHEN 'D' THEN 2 WHEN 'R' THEN 1 ELSE 0 END + CASE WHEN letter <> 'D' AND fault = 't' THEN 5 ELSE 0 END,
+         w.audit || ins.letters || letter,
+         list_concat(w.lines, ins.added, CASE letter WHEN 'D' THEN [] WHEN 'K' THEN [role || ':' || text] ELSE [CASE act.b WHEN 2 THEN 'user:' ELSE 'assistant:' END || text] END)
+  FROM way w JOIN ins ON ins.a = w.state JOIN act ON act.a = ins.b JOIN r ON r.conv_id IS NOT DISTINCT FROM w.conv_id AND r.k = w.k + 1
+  WHERE (letter = 'D' OR fault NOT IN ('b', 'd')) AND (letter <> 'K' OR act.i = r.i)
+  QUALIFY row_number() OVER (PARTITION BY w.conv_id, act.b ORDER BY w.cost + ins.cost + CASE letter WHEN 'D' THEN 2 WHEN 'R' THEN 1 ELSE 0 END + CASE WHEN letter <> 'D' AND fault = 't' THEN 5 ELSE 0 END, w.audit || ins.letters || letter) = 1),
+counts AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'b') AS blank, count(*) FILTER (fault = 'd') AS duplicate,
+         count(*) FILTER (fault = 't') AS truncated, count(*) FILTER (i0 || i NOT IN ('su', 'ua', 'au')) AS illegal, max(k) AS n FROM r GROUP BY conv_id),
+best AS (
+  SELECT c.*, w.cost + ins.cost AS cost, w.audit || ins.letters AS audit, array_to_string(list_concat(w.lines, ins.added), chr(10)) AS left_over
+  FROM counts c JOIN way w ON w.conv_id IS NOT DISTINCT FROM c.conv_id AND w.k = c.n JOIN ins ON ins.a = w.state AND ins.b IN (0, 3)
+  QUALIFY row_number() OVER (PARTITION BY c.conv_id ORDER BY w.cost + ins.cost, w.audit || ins.letters) = 1)
+SELECT o.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+       coalesce(illegal, 0) AS illegal, CAST(coalesce(cost, 0) AS BIGINT) AS cost, coalesce(audit, '') AS audit, sha256(coalesce(left_over, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN best ON best.conv_id IS NOT DISTINCT FROM o.conv_id
+"""
+
 OP13_SQL = """
 WITH RECURSIVE crc AS (
   SELECT list(list_reduce(list_prepend(b, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(CAST(3988292384 AS BIGINT), c >> 1) ELSE c >> 1 END) ORDER BY b) AS t
@@ -210,6 +286,7 @@ QUERIES = {
     "op9_quality": op9_quality,
     "op10_licences": op10_licences,
     "op11_decontamination": op11_decontamination,
+    "op12_conversations": op12_conversations,
     "op13_spelling": op13_spelling,
 }
 
@@ -223,5 +300,6 @@ ORACLE = {
     "op7_mix_sources": OP7_SQL,
     "op10_licences": licences.sql(),
     "op11_decontamination": OP11_SQL,
+    "op12_conversations": OP12_SQL,
     "op13_spelling": OP13_SQL,
 }
