@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tidelayer.suite import checks, files, guards, layers, relational, streams, tables
+from tidelayer.suite import checks, files, guards, layers, mechanisms, relational, streams, tables
 
-_PARTS = (files, relational, layers, guards, checks, tables, streams)
+_PARTS = (files, relational, layers, guards, checks, tables, streams, mechanisms)
 
 
 def queries():
