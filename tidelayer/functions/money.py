@@ -1,9 +1,9 @@
 """Exact sums of money.
 
 A sum of doubles changes in its last digits with the order of the rows, so two runs over the same 100 TB would not agree.
-Here an amount that is a whole number of units (cents by default) is summed in BIGINT, in two halves of six digits so that
-no sum overflows below 9e12 rows per group; any other amount (more decimals, or a billion and more) is summed as
-DECIMAL(38, 6). Nothing is rounded before the end, and what is no number, or out of the range of a decimal, fails the job
+Here an amount that is a whole number of units (cents by default) is summed in BIGINT, in two halves (20 bits and the rest, which
+is a shift and a mask) so that no sum overflows below 8e12 rows per group; any other amount (more decimals, or a billion and more) is summed as
+DECIMAL(38, 6), so a seventh decimal is lost. Nothing else is rounded before the end, and what is no number, or out of the range of a decimal, fails the job
 rather than leave the sum. A missing amount stays missing.
 """
 
@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-HALF = 1_000_000
+HALF_BITS = 20
 PLAIN_BELOW = 1e9
 EXACT = "decimal(38,6)"
 
@@ -46,9 +46,8 @@ def _unit(digits: int) -> Column:
 
 def total_of(whole: Column, others: Column, digits: int = 2) -> Column:
     """Exact sum of units and of the amounts that are none, as a decimal."""
-    half = F.lit(HALF).cast("bigint")
-    high, low = F.sum(F.floor(whole / half)), F.sum(F.pmod(whole, half))
-    joined = (high.cast("decimal(20,0)") * F.lit(HALF).cast("decimal(7,0)") + low.cast("decimal(20,0)")) * _unit(digits)
+    high, low = F.sum(F.shiftright(whole, HALF_BITS)), F.sum(whole.bitwiseAND(F.lit(2**HALF_BITS - 1)))
+    joined = (high.cast("decimal(20,0)") * F.lit(2**HALF_BITS).cast("decimal(7,0)") + low.cast("decimal(20,0)")) * _unit(digits)
     other = F.sum(others)
     return F.when(high.isNotNull() | other.isNotNull(), F.coalesce(joined.cast(EXACT), F.lit(0).cast(EXACT)) + F.coalesce(other, F.lit(0).cast(EXACT)))
 
@@ -77,12 +76,16 @@ def mean_rounded(amount: str | Column, digits: int = 2) -> Column:
     return F.signum(sums.cast("double")) * F.rint(rounded) / F.lit(float(10**digits))
 
 
-def product_units(price: str | Column, kept: Column) -> Column:
-    """Ten-thousandths of price times a share, both with two decimals; NULL where either has more."""
-    return units(price) * units(kept)
+def net_units(price: str | Column, discount: str | Column) -> Column:
+    """Ten-thousandths of price less discount share, both with two decimals; NULL where either has more.
 
+    Used for a column of its own: the sum reads it twice, and the units are found once.
+    """
+    return units(price) * (F.lit(100).cast("bigint") - units(discount))
 
-def product_rest(price: str | Column, kept: Column) -> Column:
-    """Price times share as a decimal where `product_units` has no whole number."""
-    whole = product_units(price, kept)
-    return F.when(whole.isNull() & _col(price).isNotNull() & kept.isNotNull(), (exact(price) * exact(kept)).cast(EXACT))
+
+def net_total(net: Column, price: str | Column, discount: str | Column) -> Column:
+    """Exact sum of net prices, as a decimal, from a column of `net_units` and, where that is NULL, from decimals."""
+    price, discount = _col(price), _col(discount)
+    other = exact(price) * exact(F.round(F.lit(1.0) - discount, 6))
+    return total_of(net, F.when(net.isNull() & price.isNotNull() & discount.isNotNull(), other.cast(EXACT)), 4)

@@ -14,16 +14,17 @@ from pyspark.sql import functions as F
 from tidelayer.functions import money
 from tidelayer.operators.joins import join_dimension
 
-FINE = 4  # digits of price (2) times discount factor (2)
+NET = "_net_units"
 
 
-def _kept() -> Column:
-    return F.round(F.lit(1.0) - F.col("l_discount"), 6)
+def with_net(lineitem: DataFrame) -> DataFrame:
+    """Lines with the units that `net_price` sums, as a column of their own."""
+    return lineitem.withColumn(NET, money.net_units("l_extendedprice", "l_discount"))
 
 
 def net_price() -> Column:
     """Exact sum of the net prices of lines, as a decimal."""
-    return money.total_of(money.product_units("l_extendedprice", _kept()), money.product_rest("l_extendedprice", _kept()), FINE)
+    return money.net_total(F.col(NET), "l_extendedprice", "l_discount")
 
 
 def nations(nation: DataFrame, region: DataFrame) -> DataFrame:
@@ -34,7 +35,7 @@ def nations(nation: DataFrame, region: DataFrame) -> DataFrame:
 
 def revenue_per_customer(lineitem: DataFrame, orders: DataFrame) -> DataFrame:
     """o_custkey, revenue, orders: line items per order, joined to their orders, summed per customer."""
-    per_order = lineitem.groupBy("l_orderkey").agg(net_price().alias("revenue"))
+    per_order = with_net(lineitem).groupBy("l_orderkey").agg(net_price().alias("revenue"))
     placed = per_order.join(orders.select("o_orderkey", "o_custkey"), per_order.l_orderkey == F.col("o_orderkey"))
     return placed.groupBy("o_custkey").agg(F.sum("revenue").cast(money.EXACT).alias("revenue"), F.count(F.lit(1)).alias("n_orders"))
 
@@ -108,7 +109,7 @@ def product_performance(lineitem: DataFrame, part: DataFrame) -> DataFrame:
     """Per month and brand: quantity, revenue, distinct products."""
     brands = part.select(F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("brand"))
     per_product = (
-        lineitem.join(brands, "l_partkey", "left")
+        with_net(lineitem).join(brands, "l_partkey", "left")
         .groupBy(F.to_date(F.date_trunc("month", "l_shipdate")).alias("period_start"), "brand", "l_partkey")
         .agg(F.sum(F.col("l_quantity").cast("bigint")).alias("quantity"), net_price().alias("revenue"))
     )
@@ -122,7 +123,7 @@ def item_chain(lineitem: DataFrame, part: DataFrame, supplier: DataFrame) -> Dat
     kinds = part.select(F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("brand"), F.col("p_type").alias("category"))
     homes = supplier.select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_nationkey").alias("nation_id"))
     return (
-        lineitem.join(kinds, "l_partkey", "left")
+        with_net(lineitem).join(kinds, "l_partkey", "left")
         .join(homes, "l_suppkey", "left")
         .groupBy("brand", "category", "nation_id")
         .agg(

@@ -13,10 +13,14 @@ FILE_BYTES = 128 * 1024 * 1024
 
 
 def use_rocksdb(spark: SparkSession) -> None:
-    """State on disk: a window of deduplication may hold more keys than memory does. A provider that was set stays."""
+    """State on disk: a window of deduplication may hold more keys than memory does. A provider that was set stays.
+
+    A micro-batch then saves its changes only, not the whole state.
+    """
     key, default = "spark.sql.streaming.stateStore.providerClass", "HDFSBackedStateStoreProvider"
     if spark.conf.get(key).endswith(default):
         spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+        spark.conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")
 
 
 def tumbling_counts(stream: DataFrame, time: str, width: str, *keys: str, delay: str | None = None) -> DataFrame:
@@ -74,13 +78,33 @@ def deliveries(df: DataFrame, time: str, parts: int = 4) -> list[Column]:
 def replay_files(df: DataFrame, path: str, order: Sequence[str], files: int | None = None) -> str:
     """Rows as files in event order, for a stream that replays them; by default of about FILE_BYTES, at least `LEAST_FILES`.
 
-    Files are cut by ranges of all order columns, so one time with many rows is spread over files.
+    Files are cut by ranges of all order columns, so one time with many rows is spread over files. They are written once, by
+    tasks that end in any order; as a stream takes files by their time, these are then set in the order of the ranges.
     """
     files = files or files_for(df)
     df.repartitionByRange(files, *order).sortWithinPartitions(*order).write.mode("overwrite").parquet(path)
+    order_times(df.sparkSession, path)
     return path
 
 
+def order_times(spark: SparkSession, path: str) -> None:
+    """Gives the data files of a folder times in the order of their names, a millisecond apart; fails where these are not kept."""
+    context = spark.sparkContext
+    folder = context._jvm.org.apache.hadoop.fs.Path(path)
+    system = folder.getFileSystem(context._jsc.hadoopConfiguration())
+
+    def listed():
+        return sorted((s for s in system.listStatus(folder) if s.getPath().getName().startswith("part-")), key=lambda s: s.getPath().getName())
+
+    found = listed()
+    newest = max((s.getModificationTime() for s in found), default=0)
+    wanted = [newest - len(found) + k for k in range(1, len(found) + 1)]
+    for status, time in zip(found, wanted):
+        system.setTimes(status.getPath(), time, -1)
+    if [s.getModificationTime() for s in listed()] != wanted:
+        raise RuntimeError(f"the file system of {path} does not keep the times that order a replay")
+
+
 LEAST_FILES = 8
 
 

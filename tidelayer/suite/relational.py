@@ -112,7 +112,8 @@ def join_spread(spark, sf):
 
 def net_price_by_status(spark, sf):
     """Sums of amounts with four decimals."""
-    return read_table(spark, sf, "lineitem").groupBy("l_returnflag", "l_linestatus").agg(commerce.net_price().cast("double").alias("net_price"))
+    lines = commerce.with_net(read_table(spark, sf, "lineitem"))
+    return lines.groupBy("l_returnflag", "l_linestatus").agg(commerce.net_price().cast("double").alias("net_price"))
 
 
 def join_items_chain(spark, sf):

@@ -39,13 +39,6 @@ def _to_files(spark: SparkSession, stream: DataFrame, name: str, **options) -> D
     return spark.read.parquet(f"{base}/out")
 
 
-def _delivered(spark: SparkSession, df: DataFrame, base: str):
-    """The stream of a landing folder, once after each delivery of a further stretch of time."""
-    for stretch in jobs.deliveries(df, "ts"):
-        df.where(stretch).write.mode("append").parquet(f"{base}/landing")
-        yield spark.readStream.schema(df.schema).parquet(f"{base}/landing")
-
-
 def _replayed(spark: SparkSession, df: DataFrame, order: list[str]) -> DataFrame:
     """Rows as a stream in a stated order, a quarter of the files at once."""
     files = jobs.files_for(df)
@@ -118,11 +111,12 @@ def stream_route(spark, sf):
 
 
 def stream_tumbling(spark, sf):
-    """Events per five minutes and type, in four deliveries in the order of time."""
+    """Events per five minutes and type, replayed in the order of time in about four micro-batches of one query."""
+    events = sources.read_table(spark, sf, "events").select("event_id", "ts", "event_type")
+    arriving = _replayed(spark, events, ["ts", "event_id"])
     base = run_dir(spark, "tumbling")
-    for arriving in _delivered(spark, sources.read_table(spark, sf, "events").select("event_id", "ts", "event_type"), base):
-        counts = jobs.tumbling_counts(arriving, "ts", "5 minutes", "event_type", delay="10 minutes")
-        sinks.upsert_files(counts, f"{base}/out", f"{base}/checkpoint")
+    counts = jobs.tumbling_counts(arriving, "ts", "5 minutes", "event_type", delay="10 minutes")
+    sinks.upsert_files(counts, f"{base}/out", f"{base}/checkpoint")
     return sinks.latest_state(spark, f"{base}/out", ["window_start", "window_end", "event_type"])
 
 
@@ -137,12 +131,10 @@ def stream_then_rollup(spark, sf):
 
 
 def stream_dedup(spark, sf):
-    """A feed with copies in four deliveries in the order of time, one row per event id kept."""
-    base = run_dir(spark, "dedup")
-    for arriving in _delivered(spark, redelivered(sources.read_table(spark, sf, "events")), base):
-        once = jobs.dedup_within(arriving, ["event_id"], "ts", "10 minutes")
-        sinks.append_files(once.select("event_id", "user_id", "event_type", "value"), f"{base}/out", f"{base}/checkpoint")
-    return spark.read.parquet(f"{base}/out")
+    """A feed with copies, replayed in the order of time in about four micro-batches of one query; one row per event id kept."""
+    feed = redelivered(sources.read_table(spark, sf, "events").select("event_id", "ts", "user_id", "event_type", "value"))
+    once = jobs.dedup_within(_replayed(spark, feed, ["ts", "event_id"]), ["event_id"], "ts", "10 minutes")
+    return _to_files(spark, once.select("event_id", "user_id", "event_type", "value"), "dedup")
 
 
 def stream_replay(spark, sf):
