@@ -107,3 +107,9 @@ def test_wrapped_canonical_texts(spark):
 
 def test_known_words_inside_a_longer_piece_are_no_sentence(spark):
     assert found(spark, ["It was not released under the MIT License.", "Released under the\nMIT License of old.", "=mit-notice"]) == [("", 0, 0)] * 3
+
+
+def test_sentences_of_a_caller(spark):
+    docs = spark.createDataFrame([(1, "This is public domain work."), (2, "Nothing.")], "doc_id BIGINT, text STRING")
+    got = {r.doc_id: r.licences for r in scan(docs, known={"this is public domain work": "pd"}, rules=[("PD", ["pd"])]).collect()}
+    assert got == {1: "PD", 2: ""}

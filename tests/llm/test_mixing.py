@@ -78,3 +78,10 @@ def test_awkward_rows(awkward, nothing):
 def test_native(spark):
     plan = mix(docs(spark), max_repetition=1.25)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_rows_without_ids_are_spread(spark):
+    rows = [(None, f"text {i} of ten words that make it long enough", "s") for i in range(100)] + [(i, "w " * 2000, "t") for i in range(10)]
+    docs = spark.createDataFrame(rows, "doc_id BIGINT, text STRING, source STRING")
+    taken = mix(docs, budget=11_000, max_repetition=0.5, block_rows=8).where("source = 's'").count()
+    assert 40 <= taken <= 60  # half of them, not all or none

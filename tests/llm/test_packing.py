@@ -85,3 +85,11 @@ def test_few_sequences():
     for n in sizes:
         bins.place(n)
     assert bins.made <= 1.01 * sum(sizes) / 4096 + 1
+
+
+def test_ids_of_any_type(spark):
+    docs = spark.createDataFrame([("a", "some words"), ("b", "more"), (None, None)], "doc_id STRING, text STRING")
+    got = pack(docs, PATH).collect()
+    assert sorted((r.doc_id or "", r.offset >= 0) for r in got) == [("", True), ("a", True), ("b", True)]
+    struct = pack(docs.selectExpr("struct(doc_id) AS doc_id", "text"), PATH)
+    assert {r.doc_id.doc_id for r in struct.collect()} == {"a", "b", None}

@@ -80,3 +80,18 @@ def test_awkward_rows(spark, awkward, nothing, sf):
         assert stage(spark, nothing.select(*docs.columns), sf).count() == 0, name
         docs = written(stage(spark, docs, sf), "awkward-stage")
     assert docs.count() > 0
+
+
+@pytest.mark.parametrize("number", range(5))
+def test_each_stage_takes_awkward_rows(spark, awkward, sf, number):
+    """Nulls, empty and very long texts, repeated rows and columns of odd names, given to every stage by itself."""
+    name, stage = corpus_pipeline.STAGES[number]
+    got = stage(spark, awkward, sf)
+    rows = got.collect()
+    assert name == "pack" or got.columns == awkward.columns
+    if name in ("exact dedup", "near dedup"):
+        assert len({(r.doc_id, r.text or "") for r in rows}) == len(rows) and any(r.doc_id is None for r in rows)
+    if name == "mix":
+        assert {r.text for r in rows} <= {r.text for r in awkward.collect()}
+    if name == "pack":
+        assert {r.doc_id for r in rows} == {r.doc_id for r in awkward.collect()} and len(rows) >= awkward.count()

@@ -2,6 +2,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
+from tidelayer.llm import quality
 from tidelayer.llm.quality import FEATURES, features_of, fit, is_held_out, score, train, without_low_quality
 from tidelayer.llm.texts import documents
 from tidelayer.llm.words import Words, word_slices
@@ -60,3 +61,12 @@ def test_awkward_rows(spark, awkward, nothing):
     assert kept.columns == awkward.columns and kept.count() == sum(r.score >= 0.5 for r in scores)
     assert score(nothing, model).count() == 0 and without_low_quality(nothing, model).count() == 0
     assert train(nothing, labels).scores(np.zeros((1, len(FEATURES)))).tolist() == [0.5]
+
+
+def test_ids_that_come_many_times_are_bounded(spark, monkeypatch):
+    docs = spark.range(3000).select(F.lit(5).cast("bigint").alias("doc_id"), F.concat_ws(" ", F.lit("some words"), F.col("id")).alias("text"))
+    labels = spark.createDataFrame([(5, 1)] * 3, "doc_id BIGINT, quality INT")
+    seen = []
+    monkeypatch.setattr(quality, "fit", lambda x, y: seen.append(len(y)))
+    quality.train(docs, labels, sample_rows=100)
+    assert seen == [400]

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelayer.llm.texts import id_and_text, written
+from tidelayer.llm.texts import id_and_text, one_of_each, written
 
 SLOT_BITS = 32  # quotient bits; the remainder has the other 32
 FILTER = "segment BIGINT, slots BINARY, remainders BINARY, counters BINARY"
@@ -146,7 +146,10 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 
 def without_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows that stay, with all their columns. Rows with equal ids and texts stay together, as nothing tells them apart."""
-    dropped = exact_duplicates(docs, id_col, text_col).where("NOT kept").select(F.col("doc_id").alias("__dropped"), F.col("text_sha256").alias("__sha"))
+    """The rows that stay, with all their columns: one of each text, also where a row is given more than once."""
+    found = exact_duplicates(docs, id_col, text_col)
+    dropped = found.where("NOT kept").select(F.col("doc_id").alias("__dropped"), F.col("text_sha256").alias("__sha"))
     is_dropped = docs[id_col].eqNullSafe(F.col("__dropped")) & (F.sha2(F.coalesce(docs[text_col], F.lit("")), 256) == F.col("__sha"))
-    return docs.join(dropped, is_dropped, "left_anti")
+    in_group = found.where("kept AND group_size > 1").groupBy(F.struct("doc_id").alias("name"), "text_sha256").agg(F.count(F.lit(1)).alias("n"))
+    repeated = in_group.where("n > 1").select(F.col("name.doc_id").alias("id"), F.col("text_sha256").alias("sha"))
+    return one_of_each(docs.join(dropped, is_dropped, "left_anti"), repeated, id_col, text_col)

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from tidelayer.llm.components import components
-from tidelayer.llm.texts import give_back, id_and_text, lean, written
+from tidelayer.llm.texts import give_back, id_and_text, lean, one_of_each, written
 from tidelayer.llm.words import Words, by_owner, mixed, word_slices
 
 TOKEN_BITS = 40  # of a shingle's hash, after the bits that name its slice
@@ -426,9 +426,13 @@ def linked_components(
 
 def without_near_copies(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One document of each component, with all its columns: the one with the smallest id, ids that are null last, and of texts
-    with one id the one with the smallest SHA-256. Rows with equal ids and texts stay together, as nothing tells them apart."""
+    with one id the one with the smallest SHA-256, and of rows with one id and
+    one text one. Texts without words are linked with nothing, so they stay."""
     sha = F.unhex(F.sha2(F.coalesce(docs[text_col], F.lit("")), 256))
     name = F.struct(docs[id_col].isNull().alias("no_id"), docs[id_col].alias("id"), sha.alias("sha"))
     linked = linked_components(docs.select(name.alias("name"), docs[text_col].alias("text")), percent, id_col="name", text_col="text")
     gone = linked.where("NOT doc_id <=> component_id").select(F.col("doc_id.id").alias("__gone"), F.col("doc_id.sha").alias("__sha"))
-    return docs.join(gone, docs[id_col].eqNullSafe(F.col("__gone")) & (sha == F.col("__sha")), "left_anti")
+    repeated = linked.where("doc_id <=> component_id AND n_shingles > 0").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    repeated = repeated.select("doc_id.id", F.lower(F.hex("doc_id.sha")).alias("sha"))
+    stay = docs.join(gone, docs[id_col].eqNullSafe(F.col("__gone")) & (sha == F.col("__sha")), "left_anti")
+    return one_of_each(stay, repeated, id_col, text_col)

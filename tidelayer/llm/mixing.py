@@ -7,7 +7,8 @@ and for the rest a prefix of a permutation of its blocks, cut at the document wh
 `block_rows` rows whatever the size of their source, so only the block that the cut falls in is ever put in order.
 
 Tokens are words unless another expression is given. A null text has none. A null source is a source of its own, also next
-to one of any name. Rows with the same id share a place in the permutation and come or go together. Sources without tokens
+to one of any name. Rows with the same id share a place in the permutation and come or go
+together; those without an id are placed by their text. Sources without tokens
 give no rows of a partial pass. Names that begin with two underscores are the operator's own. Empty tables give no rows. Within a source the rows taken exceed its quota by less than the
 tokens of one id.
 """
@@ -86,7 +87,7 @@ def mix(
     default as many as there are.
     """
     digits = max(1, math.ceil(math.log(max(1, docs.count()) / block_rows, 16))) if block_rows else 1
-    name = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
+    name = F.coalesce(F.col(id_col).cast("string"), F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary")))
     block = F.substring(F.md5(F.concat(F.lit(f"{seed}|block|"), name).cast("binary")), 1, digits)
     key = F.coalesce(F.concat(F.lit("s"), F.col(source_col)), F.lit("n"))
     rows = docs.withColumns({"__key": key, "__block": block, "__name": name, "__tokens": tokens if tokens is not None else words_in(F.col(text_col))})
@@ -132,7 +133,7 @@ def sql(max_repetition: float, digits: str, seed: str = "mix") -> str:
     middle = weights.format(e="(low + high) / 2")
     return f"""
 WITH RECURSIVE n AS (SELECT {digits} AS digits FROM documents),
-r AS (SELECT doc_id, coalesce('s' || source, 'n') AS k, coalesce(CAST(doc_id AS VARCHAR), '') AS name, source,
+r AS (SELECT doc_id, coalesce('s' || source, 'n') AS k, coalesce(CAST(doc_id AS VARCHAR), md5(coalesce(text, ''))) AS name, source,
              CAST(len(regexp_extract_all(coalesce(text, ''), '[^ \\t\\n\\x0b\\f\\r]+')) AS BIGINT) AS tokens FROM documents),
 rows_ AS (SELECT r.*, substr(md5('{seed}|block|' || name), 1, CAST((SELECT digits FROM n) AS INTEGER)) AS block FROM r),
 totals AS (SELECT k, CAST(sum(tokens) AS BIGINT) AS tokens FROM rows_ GROUP BY k),

@@ -23,11 +23,12 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidelayer.llm.texts import LONG, WHITE_SPACE, Remembered, chunks, id_and_text, lean, slices, written
 
-PIECES = "doc_id BIGINT, piece INT, start BIGINT, length BIGINT, ids_crc32 BIGINT"
-PLACED = PIECES + ", sequence_id BIGINT, offset BIGINT"
+PIECES = "piece INT, start BIGINT, length BIGINT, ids_crc32 BIGINT"
+PLACED = "sequence_id BIGINT, offset BIGINT"
 MARK = "7"
 LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 # A word, or its first letters where an ASCII sign follows: the tokenizer never joins letters to such a sign.
@@ -122,16 +123,18 @@ def token_pieces(
                     part = data[at : at + 4 * length]
                     rows.append((name, k, at // 4, len(part) // 4, zlib.crc32(part), *([part] if keep_ids else [])))
                 if len(rows) >= 5_000:
-                    yield _batch(rows, keep_ids)
+                    yield _batch(rows, keep_ids, batch.schema.field("doc_id").type)
                     rows = []
             if rows:
-                yield _batch(rows, keep_ids)
+                yield _batch(rows, keep_ids, batch.schema.field("doc_id").type)
 
-    return id_and_text(docs, id_col, text_col).mapInArrow(lean(cut), PIECES + (", ids BINARY" if keep_ids else ""))
+    rows = id_and_text(docs, id_col, text_col)
+    more = T.StructType.fromDDL(PIECES + (", ids BINARY" if keep_ids else "")).fields
+    return rows.mapInArrow(lean(cut), T.StructType([rows.schema["doc_id"], *more]))
 
 
-def _batch(rows: list[tuple], keep_ids: bool) -> pa.RecordBatch:
-    kinds = {"doc_id": pa.int64(), "piece": pa.int32(), "start": pa.int64(), "length": pa.int64(), "ids_crc32": pa.int64()}
+def _batch(rows: list[tuple], keep_ids: bool, id_type: pa.DataType) -> pa.RecordBatch:
+    kinds = {"doc_id": id_type, "piece": pa.int32(), "start": pa.int64(), "length": pa.int64(), "ids_crc32": pa.int64()}
     kinds |= {"ids": pa.binary()} if keep_ids else {}
     columns = zip(*rows, strict=True)
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds.values(), strict=True)], names=list(kinds))
@@ -191,7 +194,8 @@ def pack_pieces(pieces: DataFrame, length: int = 4096, open_bins: int = 65_536,
             yield pa.RecordBatch.from_arrays([*batch.columns, *more], names=[*batch.schema.names, "sequence_id", "offset"])
 
     dealt = pieces.select("doc_id", "piece", "start", "length", "ids_crc32").repartition(tasks, dealt_by)
-    return dealt.sortWithinPartitions(F.desc("length"), dealt_by, "doc_id", "piece").mapInArrow(place, PLACED)
+    schema = T.StructType([*dealt.schema.fields, *T.StructType.fromDDL(PLACED).fields])
+    return dealt.sortWithinPartitions(F.desc("length"), dealt_by, "doc_id", "piece").mapInArrow(place, schema)
 
 
 def pack(

@@ -215,7 +215,11 @@ def _per_batch(rows: DataFrame, schema: str, make) -> DataFrame:
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", sample_rows: int = 20_000, may_learn=None, id_col: str = "doc_id", text_col: str = "text") -> AdditiveModel:
-    """Fits on about `sample_rows` labelled rows; `may_learn` is a condition on `doc_id` (all rows if None)."""
+    """Fits on about `sample_rows` labelled rows; `may_learn` is a condition on `doc_id` (all rows if None).
+
+    Ids are drawn by hash. Where ids come many times, no more than four times `sample_rows` rows reach the driver, those of the
+    least hash of what they hold.
+    """
     known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", F.col(label).cast("double").alias("y"))
     rows = id_and_text(docs, id_col, text_col)
     if may_learn is not None:
@@ -228,7 +232,9 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", sample_row
         return dict(zip(names, features_of(words).T, strict=True))
 
     seen = _per_batch(rows.where(chosen), ", ".join(f"{c} DOUBLE" for c in names), columns)
-    sample = seen.join(known.where(chosen), "doc_id").orderBy("doc_id", "y", *names).toPandas()
+    joined = seen.join(known.where(chosen), "doc_id")
+    bounded = joined.orderBy(F.xxhash64("doc_id", "y", *names), "doc_id", "y", *names).limit(4 * sample_rows)
+    sample = bounded.orderBy("doc_id", "y", *names).toPandas()
     return fit(sample[names].to_numpy(float), sample["y"].to_numpy(float))
 
 

@@ -58,6 +58,24 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def one_of_each(rows: DataFrame, repeated: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The rows, of which those with one id and one text are reduced to one: the least by its other columns, as text.
+
+    `repeated` names them: `id` and `sha` (the SHA-256 of the text, in hex) of what occurs more than once. Others are not shuffled
+    where that list is small. The least is combined on the map side, so a row that is given a million times meets in no task.
+    """
+    repeated = written(repeated.select(F.col("id").alias("__id"), F.col("sha").alias("__sha")), "repeated-rows")
+    if repeated.isEmpty():
+        return rows
+    sha = F.sha2(F.coalesce(rows[text_col], F.lit("")), 256)
+    same = rows[id_col].eqNullSafe(repeated["__id"]) & (sha == repeated["__sha"])
+    whole = F.struct(*(rows[f"`{c}`"] for c in rows.columns))
+    least = F.min_by("__row", F.to_json(F.col("__row"))).alias("__row")
+    some = rows.join(repeated, same, "left_semi").select(F.struct(rows[id_col]).alias("__name"), sha.alias("__sha"), whole.alias("__row"))
+    reduced = some.groupBy("__name", "__sha").agg(least).select("__row.*")
+    return rows.join(repeated, same, "left_anti").unionByName(reduced)
+
+
 class Remembered:
     """What is known about words, in two generations: the older one goes when the younger one is full, and what is asked for
     again stays. Bounds memory at twice `most` words and keeps frequent words."""
