@@ -2,19 +2,40 @@ import hashlib
 from collections import Counter
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from tidelayer.llm.exact_dedup import CountingQuotientFilter, exact_duplicates, repeated_fingerprints, without_copies
 
 
+@pytest.mark.parametrize("width", [20, 40, 57, 64])
+def test_filters_give_the_multiset_back(width):
+    random = np.random.default_rng(width)
+    for size in (0, 1, 2, 50, 3000):
+        values = random.integers(0, 2**64, size, dtype=np.uint64) >> np.uint64(64 - width)
+        if size == 50:
+            values[:30] = values[0] + np.arange(30, dtype=np.uint64) % np.uint64(3)  # one long run
+        some = np.concatenate([values, values[: size // 3], np.repeat(values[:1], 70_000 if width == 20 else 300)])
+        whole = CountingQuotientFilter.of(some, width)
+        again = CountingQuotientFilter.unpacked(width, *whole.packed())
+        for f in (whole, again):
+            found, counts = f.entries()
+            assert dict(zip(found.tolist(), counts.tolist())) == Counter(some.tolist()) and (np.diff(found.astype(object)) > 0).all()
+
+
 def test_filters_merge_without_loss():
     random = np.random.default_rng(3)
-    values = random.integers(0, 2**64, 500, dtype=np.uint64)
-    parts = [random.choice(values, 400) for _ in range(4)]
-    whole = CountingQuotientFilter.merged([CountingQuotientFilter.unpacked(*CountingQuotientFilter.of(p).packed()) for p in parts])
-    assert dict(zip(whole.fingerprints().tolist(), whole.counters.tolist())) == Counter(np.concatenate(parts).tolist())
-    again = CountingQuotientFilter.merged([s for _, s in whole.segments(4)])
-    assert (again.fingerprints() == whole.fingerprints()).all() and (again.counters == whole.counters).all()
+    values = random.integers(0, 2**50, 500, dtype=np.uint64)
+    parts = [random.choice(values, n) for n in (400, 3, 90, 2000)]
+    whole = CountingQuotientFilter.merged([CountingQuotientFilter.of(p, 50) for p in parts])
+    assert dict(zip(*(x.tolist() for x in whole.entries()))) == Counter(np.concatenate(parts).tolist())
+
+
+def test_an_entry_takes_less_than_six_bytes():
+    n = int(0.75 * 2**16)
+    values = np.unique(np.random.default_rng(1).integers(0, 2**48, n, dtype=np.uint64))
+    whole = CountingQuotientFilter.counted(values, np.ones(len(values), np.int64), 48)
+    assert whole.quotients == 16 and whole.bytes() / len(values) < 6
 
 
 def test_repeated_fingerprints(spark):

@@ -1,12 +1,12 @@
 """Exact deduplication by counting quotient filters.
 
-Every partition puts the 64-bit fingerprints of its texts into a counting quotient filter: a fingerprint is cut into a
-quotient (the slot) and a remainder, and a slot's remainders are kept in order with a counter each, so copies within a
-partition cost one counter. Filters with the same number of slots merge without loss, slot by slot, by their sorted
-remainders. A filter travels in segments of neighbouring slots; one task merges the segments of the same slots. Only texts
-whose fingerprint counts more than one go on to the byte verification, which groups them by the whole text. Fingerprints of
-more than a thousandth of all rows are known as few; their texts are reduced where they are read and then meet in `spread`
-shares first.
+Every partition puts the fingerprints of its texts into counting quotient filters: a fingerprint is cut into a quotient (the slot)
+and a remainder (what the slot holds), and copies within a partition cost one counter. A filter travels in segments of neighbouring
+quotients; one task merges the segments of the same quotients, without loss, as each gives its fingerprints in order of their
+remainders. Fingerprints have as many bits as leave 32 to the remainders of the merged filters. Only texts whose fingerprint
+counts more than one go on to the byte verification, which groups them by the whole text. Fingerprints of more than a thousandth
+of all rows are known as few; their texts are dealt over `spread` shares, reduced where they are read, and then meet. The documents
+are read twice: for fingerprints and digests, which are written, and for the texts to be verified.
 
 A null text is an empty one. The row with the largest id stays; ids that are null count as smallest, and `kept` is true for
 each row that has the kept id, so one id given twice to equal texts stays twice. Empty tables give no rows.
@@ -24,117 +24,180 @@ from pyspark.sql import functions as F
 
 from tidelayer.llm.texts import id_and_text, one_of_each, written
 
-SLOT_BITS = 32  # quotient bits; the remainder has the other 32
-FILTER = "segment BIGINT, slots BINARY, remainders BINARY, counters BINARY"
+REMAINDER_BITS = 32  # of the merged filters, before texts are verified
+LOAD = 0.75
+FILTER = "segment BIGINT, quotients INT, slots BINARY, marks BINARY"
 
 
 class CountingQuotientFilter:
-    """Remainders in order of their slots, sorted within a slot, with a counter each. Empty slots take no space."""
+    """Remainders of fingerprints of `width` bits, in runs of equal quotients (their first `quotients` bits).
 
-    def __init__(self, slots: np.ndarray, remainders: np.ndarray, counters: np.ndarray):
-        self.slots, self.remainders, self.counters = slots, remainders, counters
+    A run lies at the slot of its quotient or, where that is taken, behind the run before it. Three bits tell what is where:
+    quotients that occur, slots that end a run, and slots that hold no remainder but the counter of the one before (how often
+    it occurs beyond once). Slots have as many whole bytes as a remainder needs; quotients are never stored.
+    """
+
+    def __init__(self, width: int, quotients: int, slots: np.ndarray, occupied: np.ndarray, ends: np.ndarray, counters: np.ndarray):
+        self.width, self.quotients, self.slots = width, quotients, slots
+        self.occupied, self.ends, self.counters = occupied, ends, counters
+
+    @classmethod
+    def of(cls, fingerprints: np.ndarray, width: int) -> CountingQuotientFilter:
+        return cls.counted(*np.unique(fingerprints.view(np.uint64), return_counts=True), width)
 
     @classmethod
-    def of(cls, fingerprints: np.ndarray) -> CountingQuotientFilter:
-        values, counters = np.unique(fingerprints.view(np.uint64), return_counts=True)
-        return cls((values >> np.uint64(64 - SLOT_BITS)).astype(np.uint32), values.astype(np.uint32), counters.astype(np.uint64))
+    def counted(cls, values: np.ndarray, counts: np.ndarray, width: int) -> CountingQuotientFilter:
+        """From distinct fingerprints in order, and how often each occurs."""
+        more = counts.astype(np.uint64) - np.uint64(1)
+        quotients = min(width - 1, max(1, math.ceil(math.log2(max(1, (len(values) + np.count_nonzero(more)) / LOAD)))))
+        bits = width - quotients
+        size = -(-bits // 8)
+        digits = [more >> np.uint64(k) for k in range(0, 64, 8 * size)]  # a counter takes as many slots as it needs
+        long = 1 + sum((d > 0).astype(np.int64) for d in digits)  # slots of an entry
+        quotient = (values >> np.uint64(bits)).astype(np.int64)
+        before = np.cumsum(long) - long
+        place = before + np.maximum.accumulate(quotient - before) if len(values) else before
+        whole = max(1 << quotients, int(place[-1] + long[-1]) if len(values) else 0)
+        numbers = np.zeros(whole, np.uint64)
+        numbers[place] = values & np.uint64((1 << bits) - 1)
+        counters = np.zeros(whole, bool)
+        for k, rest in enumerate(digits, 1):
+            some = rest > 0
+            counters[place[some] + k] = True
+            numbers[place[some] + k] = rest[some]  # its low bytes
+        occupied, ends = np.zeros(whole, bool), np.zeros(whole, bool)
+        occupied[quotient] = True
+        last = np.append(quotient[1:] != quotient[:-1], True)[: len(quotient)]
+        ends[place[last] + long[last] - 1] = True
+        slots = numbers.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :size].copy()
+        return cls(width, quotients, slots, occupied, ends, counters)
+
+    def entries(self) -> tuple[np.ndarray, np.ndarray]:
+        """Fingerprints in order and how often each occurs, by walking the runs: the k-th end belongs to the k-th quotient."""
+        quotient, end = np.flatnonzero(self.occupied), np.flatnonzero(self.ends)
+        start = np.maximum(quotient, np.append(0, end[:-1] + 1)[: len(end)])
+        long = end - start + 1
+        place = np.repeat(start - (np.cumsum(long) - long), long) + np.arange(long.sum())
+        run = np.repeat(quotient, long)
+        held = ~self.counters[place]
+        place, run = place[held], run[held]
+        size = self.slots.shape[1]
+        numbers = np.zeros((len(self.slots) + 2, 8), np.uint8)
+        numbers[:-2, :size] = self.slots
+        numbers = numbers.view("<u8").ravel()
+        flags = np.append(self.counters, [False, False])
+        counts, k, some = np.ones(len(place), np.int64), 0, np.arange(len(place))
+        while len(some := some[flags[place[some] + k + 1]]):
+            counts[some] += (numbers[place[some] + k + 1] << np.uint64(8 * size * k)).astype(np.int64)
+            k += 1
+        return (run.astype(np.uint64) << np.uint64(self.width - self.quotients)) | numbers[place], counts
 
     @classmethod
     def merged(cls, filters: list[CountingQuotientFilter]) -> CountingQuotientFilter:
-        """Lossless: slot and remainder give back the fingerprint, and counters of equal ones add up."""
-        whole = np.concatenate([f.fingerprints() for f in filters])
-        order = np.argsort(whole, kind="stable")  # a merge of sorted runs
-        whole = whole[order]
-        starts = np.flatnonzero(np.append(True, whole[1:] != whole[:-1])) if len(whole) else np.empty(0, np.int64)
-        counters = np.add.reduceat(np.concatenate([f.counters for f in filters])[order], starts) if len(whole) else np.empty(0, np.uint64)
-        values = whole[starts]
-        return cls((values >> np.uint64(64 - SLOT_BITS)).astype(np.uint32), values.astype(np.uint32), counters)
-
-    def fingerprints(self) -> np.ndarray:
-        return (self.slots.astype(np.uint64) << np.uint64(64 - SLOT_BITS)) | self.remainders.astype(np.uint64)
-
-    def segments(self, bits: int) -> Iterator[tuple[int, CountingQuotientFilter]]:
-        """The filter cut where the first `bits` bits of the slot change."""
-        number = (self.slots >> np.uint32(SLOT_BITS - bits)) if bits else np.zeros_like(self.slots)
-        starts = [*np.flatnonzero(np.append(True, number[1:] != number[:-1])).tolist(), len(number)] if len(number) else []
-        for a, b in zip(starts, starts[1:], strict=False):
-            yield int(number[a]), CountingQuotientFilter(self.slots[a:b], self.remainders[a:b], self.counters[a:b])
-
-    def packed(self) -> tuple[bytes, bytes, bytes]:
-        return self.slots.astype("<u4").tobytes(), self.remainders.astype("<u4").tobytes(), self.counters.astype("<u8").tobytes()
+        """Lossless, whatever the sizes: each filter's runs give its fingerprints in order, and counters of equal ones add up."""
+        return cls.counted(*added([f.entries() for f in filters]), filters[0].width)
+
+    def bytes(self) -> int:
+        return self.slots.nbytes + -(-3 * len(self.slots) // 8)
+
+    def packed(self) -> tuple[int, bytes, bytes]:
+        return self.quotients, self.slots.tobytes(), np.packbits(np.concatenate([self.occupied, self.ends, self.counters])).tobytes()
 
     @classmethod
-    def unpacked(cls, slots: bytes, remainders: bytes, counters: bytes) -> CountingQuotientFilter:
-        return cls(np.frombuffer(slots, "<u4"), np.frombuffer(remainders, "<u4"), np.frombuffer(counters, "<u8"))
+    def unpacked(cls, width: int, quotients: int, slots: bytes, marks: bytes) -> CountingQuotientFilter:
+        numbers = np.frombuffer(slots, np.uint8).reshape(-1, -(-(width - quotients) // 8))
+        bits = np.unpackbits(np.frombuffer(marks, np.uint8), count=3 * len(numbers)).astype(bool)
+        return cls(width, quotients, numbers, *np.split(bits, 3))
 
 
-def partition_filters(fingerprints: DataFrame, bits: int, most: int = 2_000_000) -> DataFrame:
-    """The filter of each partition of a column `fp`, in segments; a filter that reaches `most` entries is sent off."""
+def added(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted runs of values with counts made one."""
+    values, counts = (np.concatenate(x) for x in zip(*parts, strict=True))
+    order = np.argsort(values, kind="stable")  # a merge of sorted runs
+    values, counts = values[order], counts[order]
+    starts = np.flatnonzero(np.append(True, values[1:] != values[:-1])[: len(values)])
+    return values[starts], np.add.reduceat(counts, starts) if len(starts) else counts
+
+
+def partition_filters(fingerprints: DataFrame, width: int, bits: int, most: int = 2_000_000) -> DataFrame:
+    """The filters of each partition of a column `fp`, one per segment (the first `bits` bits); sent off at `most` entries."""
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        open_, size = [], 0
+        parts, size = [], 0
         for batch in batches:
-            open_.append(CountingQuotientFilter.of(batch.column("fp").to_numpy(zero_copy_only=False)))
-            size += len(open_[-1].slots)
+            parts.append(np.unique(batch.column("fp").to_numpy(zero_copy_only=False).view(np.uint64), return_counts=True))
+            size += len(parts[-1][0])
             if size >= most:
-                whole = CountingQuotientFilter.merged(open_)
-                open_, size = [whole], len(whole.slots)
+                parts = [added(parts)]
+                size = len(parts[0][0])
                 if size >= most // 2:
-                    yield _packed_batch(whole, bits)
-                    open_, size = [], 0
-        if open_:
-            yield _packed_batch(CountingQuotientFilter.merged(open_), bits)
+                    yield _packed_batch(*parts[0], width, bits)
+                    parts, size = [], 0
+        if parts:
+            yield _packed_batch(*added(parts), width, bits)
 
     return fingerprints.mapInArrow(build, FILTER)
 
 
-def _packed_batch(whole: CountingQuotientFilter, bits: int) -> pa.RecordBatch:
-    rows = [(number, *part.packed()) for number, part in whole.segments(bits)]
+def _packed_batch(values: np.ndarray, counts: np.ndarray, width: int, bits: int) -> pa.RecordBatch:
+    inner = np.uint64(width - bits)
+    number = values >> inner
+    cuts = np.append(np.flatnonzero(np.append(True, number[1:] != number[:-1])[: len(number)]), len(number)).tolist()
+    rows = []
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        part = CountingQuotientFilter.counted(values[a:b] & ((np.uint64(1) << inner) - np.uint64(1)), counts[a:b], width - bits)
+        rows.append((int(number[a]), *part.packed()))
     columns = list(zip(*rows, strict=True)) or [[], [], [], []]
-    kinds = [pa.int64(), pa.binary(), pa.binary(), pa.binary()]
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["segment", "slots", "remainders", "counters"])
+    kinds = [pa.int64(), pa.int32(), pa.binary(), pa.binary()]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["segment", "quotients", "slots", "marks"])
+
+
+def segment_bits(rows: int, per_segment: int) -> int:
+    return max(5, math.ceil(math.log2(max(1, rows / per_segment))))
 
 
-def repeated_fingerprints(fingerprints: DataFrame, rows: int, per_segment: int = 1_000_000) -> DataFrame:
-    """Fingerprints (column `fp`) that count more than one over all partitions, with their count `n`."""
-    bits = max(5, math.ceil(math.log2(max(1, rows / per_segment))))
+def repeated_fingerprints(fingerprints: DataFrame, rows: int, per_segment: int = 1_000_000, width: int = 64) -> DataFrame:
+    """Fingerprints (column `fp`, of `width` bits) that count more than one over all partitions, with their count `n`."""
+    bits = segment_bits(rows, per_segment)
 
     def merge(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: list[CountingQuotientFilter] = []
         for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in ("slots", "remainders", "counters")]
-            parts = [CountingQuotientFilter.merged([*parts, *(CountingQuotientFilter.unpacked(*x) for x in zip(*columns, strict=True))])]
-        whole = parts[0]
-        many = whole.counters > 1
-        found = whole.fingerprints()[many].view(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(whole.counters[many].astype(np.int64))], names=["fp", "n"])
+            columns = [batch.column(c).to_pylist() for c in ("quotients", "slots", "marks")]
+            parts += [CountingQuotientFilter.unpacked(width - bits, *x) for x in zip(*columns, strict=True)]
+        values, counts = CountingQuotientFilter.merged(parts).entries()
+        many = counts > 1
+        found = (values[many] | np.uint64(key[0].as_py() << (width - bits))).view(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(counts[many])], names=["fp", "n"])
 
-    return partition_filters(fingerprints, bits).groupBy("segment").applyInArrow(merge, "fp BIGINT, n BIGINT")
+    return partition_filters(fingerprints, width, bits).groupBy("segment").applyInArrow(merge, "fp BIGINT, n BIGINT")
 
 
 def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", spread: int = 64) -> DataFrame:
     """`doc_id`, `keep_id`, `group_size`, `kept`, `text_sha256` for each row."""
-    rows = id_and_text(docs, id_col, text_col).withColumn("fp", F.xxhash64("text"))
-    total = docs.count()
-    repeated = written(repeated_fingerprints(rows.select("fp"), total), "repeated")
-    hot = F.broadcast(repeated.where(F.col("n") * 1000 > total).select("fp"))  # fewer than 1000, as their counts add up to no more than all
-    rare = repeated.where(F.col("n") * 1000 <= total).select("fp")
-    share = F.pmod(F.xxhash64("doc_id"), F.lit(spread))
-    in_shares = [
-        part.groupBy("fp", "text", how.alias("share")).agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("n"))
-        for part, how in ((rows.join(hot, "fp", "left_semi"), share), (rows.join(rare, "fp", "left_semi"), F.lit(0)))
-    ]
+    rows = id_and_text(docs, id_col, text_col)
+    light = written(rows.select("doc_id", F.xxhash64("text").alias("hash"), F.unhex(F.sha2("text", 256)).alias("sha")), "fingerprints")
+    total = light.count()
+    width = min(63, REMAINDER_BITS + max(8, math.ceil(math.log2(max(1, total / LOAD)))))
+    fp = F.shiftrightunsigned("hash", 64 - width)
+    light = light.select("doc_id", fp.alias("fp"), "sha")
+    repeated = written(repeated_fingerprints(light.select("fp"), total, width=width), "repeated")
+    is_hot = F.col("n") * 1000 > total
+    hot = F.broadcast(repeated.where(is_hot).select("fp", F.lit(True).alias("hot")))  # fewer than 1000, as their counts add up to no more than all
+    shares = F.when(is_hot, F.sequence(F.lit(0), F.lit(spread - 1))).otherwise(F.array(F.lit(0)))
+    dealt = repeated.select("fp", F.explode(shares.cast("array<bigint>")).alias("share"))
+    texts = rows.select("doc_id", "text", F.shiftrightunsigned(F.xxhash64("text"), 64 - width).alias("fp")).join(hot, "fp", "left")
+    texts = texts.withColumn("share", F.when(F.col("hot"), F.pmod(F.xxhash64("doc_id"), F.lit(spread))).otherwise(F.lit(0)).cast("bigint"))
     verified = (
-        in_shares[0]
-        .unionByName(in_shares[1])
+        texts.join(dealt, ["fp", "share"], "left_semi")
+        .groupBy("fp", "text", "share")
+        .agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("n"))
         .groupBy("fp", "text")
         .agg(F.max("keep_id").alias("keep_id"), F.sum("n").alias("group_size"))
         .where("group_size > 1")
-        .select("fp", F.sha2("text", 256).alias("sha"), "keep_id", "group_size")
+        .select("fp", F.unhex(F.sha2("text", 256)).alias("sha"), "keep_id", "group_size")
     )
-    light = rows.select("doc_id", "fp", F.sha2("text", 256).alias("text_sha256"))
-    same = (light["fp"] == verified["fp"]) & (light["text_sha256"] == verified["sha"])
-    joined = light.join(verified, same, "left").select(light["*"], "keep_id", "group_size")
+    joined = light.join(verified, ["fp", "sha"], "left").withColumn("text_sha256", F.lower(F.hex("sha")))
     in_group = F.col("group_size").isNotNull()
     return joined.select(
         "doc_id",
