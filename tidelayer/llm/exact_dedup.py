@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelayer.llm.texts import id_and_text, one_of_each, written
+from tidelayer.llm.texts import give_back, id_and_text, lean, one_of_each, written
 
 REMAINDER_BITS = 32  # of the merged filters, before texts are verified
 LOAD = 0.75
@@ -136,7 +136,7 @@ def partition_filters(fingerprints: DataFrame, width: int, bits: int, most: int
         if parts:
             yield _packed_batch(*added(parts), width, bits)
 
-    return fingerprints.mapInArrow(build, FILTER)
+    return fingerprints.mapInArrow(lean(build), FILTER)
 
 
 def _packed_batch(values: np.ndarray, counts: np.ndarray, width: int, bits: int) -> pa.RecordBatch:
@@ -166,6 +166,8 @@ def repeated_fingerprints(fingerprints: DataFrame, rows: int, per_segment: int =
             columns = [batch.column(c).to_pylist() for c in ("quotients", "slots", "marks")]
             parts += [CountingQuotientFilter.unpacked(width - bits, *x) for x in zip(*columns, strict=True)]
         values, counts = CountingQuotientFilter.merged(parts).entries()
+        parts.clear()
+        give_back()
         many = counts > 1
         found = (values[many] | np.uint64(key[0].as_py() << (width - bits))).view(np.int64)
         yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(counts[many])], names=["fp", "n"])

@@ -53,7 +53,7 @@ class WordTokens:
     words with that digit are given one by one. What it gave is kept as little-endian bytes, for up to twice `most` words.
     """
 
-    def __init__(self, path: str, most: int = 300_000, per_row: int = 200):
+    def __init__(self, path: str, most: int = 200_000, per_row: int = 200):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
