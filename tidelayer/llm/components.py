@@ -8,10 +8,12 @@ from pyspark.sql import functions as F
 from tidelayer.llm.texts import written
 
 
-def _digest(edges: DataFrame) -> tuple:
-    """Number of edges and two sums over their hashes: equal for equal sets."""
-    h = F.xxhash64("a", "b").cast("decimal(38,0)")
-    return tuple(edges.agg(F.count(F.lit(1)), F.sum(h), F.sum(F.xxhash64("b", "a").cast("decimal(38,0)"))).first())
+def _is_done(edges: DataFrame) -> bool:
+    """Whether each edge goes from a node that has no other to the smallest of its component."""
+    ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down"))
+    ends = ends.unionByName(edges.select(F.col("b").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    nodes = ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return nodes.agg(F.count_if(F.expr("up > 1 OR (up = 1 AND down = 1)"))).first()[0] == 0
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -22,9 +24,7 @@ def components(edges: DataFrame) -> DataFrame:
     lineage; the rounds grow with the logarithm of the largest component.
     """
     edges = written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "edges")
-    before = None
-    while (now := _digest(edges)) != before and now[0]:
-        before = now
+    while not _is_done(edges):
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()

@@ -313,11 +313,18 @@ def _star_pairs(sets: DataFrame, postings: DataFrame, percent: int) -> DataFrame
 
 def _parts(sets: DataFrame, links: DataFrame) -> DataFrame:
     """The component of each linkable set so far, as `part`."""
-    found = components(links)
-    light = sets.select("key", "n", "own", "bits", "prefix_group").join(found, F.col("key") == F.col("node"), "left")
+    light = sets.select("key", "n", "own", "bits", "prefix_group").join(components(links), F.col("key") == F.col("node"), "left")
     return written(light.select("key", "n", "own", "bits", "prefix_group", F.coalesce("component", "key").alias("part")), "parts")
 
 
+def _joined_parts(parts: DataFrame, links: DataFrame) -> DataFrame:
+    """The parts when further links are known. Only links between parts count, so what is connected already is not walked again."""
+    of_a, of_b = (parts.select(F.col("key").alias(x), F.col("part").alias(f"part_{x}")) for x in "ab")
+    between = links.join(of_a, "a").join(of_b, "b").select(F.col("part_a").alias("a"), F.col("part_b").alias("b"))
+    found = components(between)
+    return parts.join(found, F.col("part") == F.col("node"), "left").withColumn("part", F.coalesce("component", "part")).select(parts.columns)
+
+
 def _open_postings(parts: DataFrame, postings: DataFrame) -> DataFrame:
     """Members and their places, for shingles whose list holds members of more than one part."""
     spread = postings.select("token", "place", "prefix_group").join(parts, "prefix_group")
@@ -405,16 +412,14 @@ def linked_components(
     spread = sets.select("prefix_group", "n", "own", F.posexplode("prefix").alias("k", "token"))
     postings = written(spread.select("prefix_group", "n", "own", "token", (F.col("own") + F.col("k")).alias("place")).distinct(), "postings")
     asked = written(_star_pairs(sets, postings, percent), "pairs")
-    links = written(verified(asked, sets, percent), "links")
-    second = _second_pairs(_open_postings(_parts(sets, links), postings), percent).join(asked, ["a", "b"], "left_anti")
+    parts = _parts(sets, written(verified(asked, sets, percent), "links"))
+    second = _second_pairs(_open_postings(parts, postings), percent).join(asked, ["a", "b"], "left_anti")
     second = written(second, "pairs")
-    links = links.unionByName(written(verified(second, sets, percent), "links"))
     asked = asked.unionByName(second)
-    parts = _parts(sets, links)
+    parts = written(_joined_parts(parts, written(verified(second, sets, percent), "links")), "parts")
     apart = _open_postings(parts, postings).unionByName(_open_groups(parts))
     rest = _open_pairs(apart, percent).join(asked, ["a", "b"], "left_anti")
-    links = links.unionByName(written(verified(rest, sets, percent), "links"))
-    connected = components(links).withColumnsRenamed({"node": "key", "component": "class"})
+    connected = _joined_parts(parts, written(verified(rest, sets, percent), "links")).select("key", F.col("part").alias("class"))
     ids = members.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("first_id"))
     ids = ids.join(connected, "key", "left").select("key", F.coalesce("class", "key").alias("class"), "first_id")
     least = ids.groupBy("class").agg(F.min("first_id").alias("component_id"))
