@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from tests.llm.conftest import PROSE
-from tidelayer.llm.passages import SEND, References, _sliced, compact_windows, frequent_shingles, repeated_passages, sequence_keys, shared_passages, window_pairs
+from tidelayer.llm.passages import SEND, References, _sliced, compact_windows, frequent_shingles, repeated_passages, sequence_keys, shared_passages, similar_ranges, window_pairs
 from tidelayer.llm.texts import written
 from tidelayer.llm.words import mixed
 
@@ -143,3 +143,59 @@ def test_recall_against_all_pairs(spark, hot_share):
         linked = {i for i in mine for x in mine if i != x and similar(passages[i][1], passages[x][1])}
         assert len(linked & named) >= 0.9 * len(linked), (kind, len(linked & named), len(linked))
         assert kind != "none" or not linked and not named & set(mine)
+
+
+def linked_by_brute_force(a, b, least=46):
+    """Whether any ranges of the two shingle sequences, of that width at least, are similar enough."""
+    sets = []
+    for side, other in ((a, set(b)), (b, set(a))):
+        every = {frozenset(side[i:j]) for i in range(len(side) - least + 1) for j in range(i + least, len(side) + 1)}
+        sets.append([s for s in every if 5 * len(s & other) >= 4 * len(s)])
+    return any(5 * len(p & q) >= 4 * len(p | q) for p in sets[0] for q in sets[1])
+
+
+def shingle_list(words):
+    return [tuple(words[i : i + 5]) for i in range(len(words) - 4)]
+
+
+def test_similar_ranges_are_found_if_there_are_any():
+    r, both = random.Random(5), 0
+    for k in range(120):
+        base = prose(f"base{k % 9}", 62) if k % 3 else (prose(f"few{k}", 23) * 3)[:62]
+        side = list(base)
+        for _ in range(r.choice([0, 1, 2, 2, 3])):
+            at = r.randrange(10, 55)
+            side[at : at + r.choice([0, 1, 2])] = prose(r.random(), r.choice([0, 1, 2]))
+        if k % 5 == 0:
+            side = side[30:] + side[:30]
+        a, b = shingle_list(prose(f"s{k}", r.randrange(8)) + base), shingle_list(side + prose(f"t{k}", r.randrange(8)))
+        number = {s: i for i, s in enumerate(dict.fromkeys(a + b))}
+        got = similar_ranges(*(np.array([number[s] for s in x], np.uint64) for x in (a, b)), 46, 80)
+        assert bool(got) == linked_by_brute_force(a, b), k
+        for p, q, t, u, similarity in got:
+            left, right = set(a[p:q]), set(b[t:u])
+            assert min(q - p, u - t) >= 46 and similarity == len(left & right) / len(left | right) >= 0.8
+        both += bool(got)
+    assert 20 < both < 110
+
+
+def test_classes_are_those_of_brute_force(spark):
+    """Edited copies of few passages, each similar to some others only: no link between two classes is left out, however few windows meet."""
+    r, texts = random.Random(23), {}
+    for i in range(24):
+        passage = prose(f"source{i % 4}", 60)
+        for at in r.sample([6, 24, 36, 54], 1 + i % 2):
+            passage[at] = f"edit{i}x{at}"
+        texts[i] = passage + prose(f"tail{i}", r.randrange(3))
+    sides = {i: shingle_list(t) for i, t in texts.items()}
+    class_of = {i: i for i in texts}
+    links = [(a, x) for a in texts for x in texts if a < x and len(set(sides[a]) & set(sides[x])) >= 41 and linked_by_brute_force(sides[a], sides[x])]
+    for _ in texts:
+        for a, x in links:
+            class_of[a] = class_of[x] = min(class_of[a], class_of[x])
+    alone = set(texts) - {i for pair in links for i in pair}
+    assert alone and len(set(class_of.values()) - alone) > 1
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in texts.items()], "doc_id BIGINT, text STRING").repartition(3)
+    got = repeated_passages(docs, hashes=1, enough=1).collect()
+    named = {i: c for row in got for i, c in ((row.doc_id, row.class_id), (row.of_doc_id, row.class_id))}
+    assert named == {i: c for i, c in class_of.items() if i not in alone}

@@ -1,5 +1,6 @@
 """Substring deduplication by compact windows: passages that two texts share, found wherever they stand.
 
+0. Shingles are marked that two texts have; only regions where enough of them stand together are looked at from then on.
 1. A text is the sequence of its word shingles. Under each of several hash functions, the Cartesian tree over the hash
    values groups all subsequences of at least the least length by their smallest value: a node at c whose range is l to r
    stands for every subsequence that starts in l..c and ends in c..r. Two texts can share a passage only if windows of
@@ -14,6 +15,9 @@
    sides lies a candidate.
 4. Candidates are verified on the shingles of the texts themselves: the passages are trimmed to what they share, and stay if
    both have the least number of words and their sets of shingles have the least Jaccard similarity.
+5. Documents that links connect are a class. What windows and star-wise lists leave out is found across classes: shingles that
+   texts of two classes have are marked again, and regions that have enough of them in common are searched for any two similar
+   ranges. So no link between two classes is left out; inside a class not all pairs are listed.
 
 Texts with equal word sequences are one text from the beginning; the result names each of them with the one that stands for
 them. Texts that are null, empty or shorter than the least length share nothing. Rows without an id cannot be named and are
@@ -30,6 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidelayer.llm.components import components
 from tidelayer.llm.jaccard import _ranges, _read, _runs
 from tidelayer.llm.texts import give_back, id_and_text, lean, written
 from tidelayer.llm.words import Words, mixed, word_slices
@@ -39,10 +44,14 @@ WIDTH = 5
 AHEAD = (16, -16, 34, -34)
 GRID = 32
 HOT_SHARE = 0.002
+ROUNDS = 2  # of marking shingles that classes share
 PER_LIST = 200_000  # texts of a frequent shingle that meet in one list at most
+MARK = "slice BIGINT, keys BINARY, classes BINARY, sizes BINARY, counts BINARY, low BINARY, high BINARY, step BINARY, far BINARY"
+BACK = "bucket BIGINT, keys BINARY, sizes BINARY, counts BINARY, at BINARY, shared BINARY, hashes BINARY"
+REGIONS = "key BIGINT, start BIGINT, hashes BINARY"
 SEND = "slice BIGINT, keys BINARY, counts BINARY, low BINARY, high BINARY, hash BINARY, at BINARY, back BINARY, on BINARY, near BINARY"
 PAIRS = "bucket BIGINT, a BINARY, x BINARY, hash BINARY, place BINARY"
-SPAN = "key BIGINT, s BIGINT, e BIGINT"
+SPAN = "key BIGINT, s BIGINT, e BIGINT, first BIGINT, hashes BINARY"
 CANDIDATES = "a BIGINT, x BIGINT, sa BIGINT, ea BIGINT, sx BIGINT, ex BIGINT"
 PASSAGES = "a BIGINT, a_first BIGINT, a_words BIGINT, x BIGINT, x_first BIGINT, x_words BIGINT, similarity DOUBLE"
 
@@ -122,6 +131,25 @@ class References:
         self.hashes, self.ids = np.array([t[0] for t in triples], U64), np.array([t[1] for t in triples], np.int64)
         self.lists = np.array([-(-t[2] // per_list) for t in triples], U64)
         self.windows = np.zeros((0, 6), np.int64)
+        self.cross = np.ones(len(triples), bool)
+
+    def meet(self, regions: DataFrame) -> None:
+        """Finds which of them texts of two classes have: regions come with the `class` of their text."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                r = Regions(batch)
+                places, of = self.places(r.hashes), np.repeat(batch.column("class").to_numpy(), r.n)
+                order = np.argsort(places, kind="stable")
+                order = order[places[order] >= 0]
+                starts = _runs(places[order])
+                columns = [places[order][starts], *(f.reduceat(of[order], starts) if len(starts) else starts for f in (np.minimum, np.maximum))]
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["place", "low", "high"])
+
+        self.cross = np.zeros(len(self.hashes), bool)
+        if len(self.hashes):
+            found = regions.mapInArrow(lean(run), "place BIGINT, low BIGINT, high BIGINT").groupBy("place").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+            self.cross[[r["place"] for r in found.where("low < high").collect()]] = True
 
     def places(self, hashes: np.ndarray) -> np.ndarray:
         """The place of each hash among the frequent ones, or -1."""
@@ -130,29 +158,40 @@ class References:
         at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
         return np.where(self.hashes[at] == hashes, at, -1)
 
-    def fill(self, rows: DataFrame, hashes: int, least: int) -> None:
-        """Finds the windows in the few texts that are named."""
+    def fill(self, regions: DataFrame, hashes: int, least: int) -> None:
+        """Finds, for each frequent shingle, a text with it and its windows there."""
         if not len(self.hashes):
             return
-        spark, salts = rows.sparkSession, mixed(np.arange(1, hashes + 1, dtype=U64))
+        spark, salts = regions.sparkSession, mixed(np.arange(1, hashes + 1, dtype=U64))
         names = ["place", "number", "key", "at", "back", "on"]
 
+        def having(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                r = Regions(batch)
+                places = self.places(r.hashes)
+                place, first = np.unique(places, return_index=True)
+                key = np.repeat(r.key, r.n)[first]
+                yield pa.RecordBatch.from_arrays([pa.array(place[place >= 0]), pa.array(key[place >= 0])], names=["place", "key"])
+
+        chosen = regions.mapInArrow(having, "place BIGINT, key BIGINT").groupBy("place").agg(F.min("key").alias("key")).collect()
+        self.keys = np.zeros(len(self.hashes), np.int64)
+        for r in chosen:
+            self.keys[r["place"]] = r["key"]
+
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                ids = batch.column("doc_id").to_numpy()
-                for a, _, words in word_slices(batch.column("text")):
-                    s = Sequences(words)
-                    text_of, places = np.repeat(np.arange(len(s.n)), s.n), self.places(s.hashes)
-                    for i, salt in enumerate(salts):
-                        low, at, high = compact_windows(mixed(s.hashes ^ salt), s.first, s.last, least)
-                        place, text = places[at], text_of[at]
-                        own = (place >= 0) & (self.ids[np.maximum(place, 0)] == ids[a + text])
-                        place, text, low, at, high = (x[own] for x in (place, text, low, at, high))
-                        columns = [place, np.full(len(at), i), s.key[text], at - s.first[text], at - low, high - at]
-                        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=names)
-
-        few = spark.createDataFrame([(int(i),) for i in np.unique(self.ids)], "doc_id BIGINT")
-        found = rows.join(F.broadcast(few), "doc_id").mapInArrow(run, ", ".join(f"{c} BIGINT" for c in names))
+                r = Regions(batch)
+                region_of, places = np.repeat(np.arange(len(r.n)), r.n), self.places(r.hashes)
+                for i, salt in enumerate(salts):
+                    low, at, high = compact_windows(mixed(r.hashes ^ salt), r.first, r.last, least)
+                    place, region = places[at], region_of[at]
+                    own = (place >= 0) & (self.keys[np.maximum(place, 0)] == r.key[region])
+                    place, region, low, at, high = (x[own] for x in (place, region, low, at, high))
+                    columns = [place, np.full(len(at), i), r.key[region], at - r.first[region] + r.start[region], at - low, high - at]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=names)
+
+        few = spark.createDataFrame([(r["key"],) for r in chosen], "key BIGINT").distinct()
+        found = regions.join(F.broadcast(few), "key").mapInArrow(lean(run), ", ".join(f"{c} BIGINT" for c in names))
         best = found.groupBy("place", "number").agg(F.max_by(F.struct("key", "at", "back", "on"), F.col("back") + F.col("on")).alias("w"))
         windows = best.select("place", "number", "w.*").orderBy("place", "number").collect()
         self.windows = np.array([list(r) for r in windows], np.int64).reshape(-1, 6)
@@ -177,52 +216,217 @@ def _binary(rows: list[tuple], names: list[str]) -> list[pa.Array]:
     return [pa.array(c, pa.binary() if i else pa.int64()) for i, c in enumerate(columns)]
 
 
-def send_windows(rows: DataFrame, hashes: int, least: int, bits: int, hot: References, batch_size: int = 400_000) -> DataFrame:
-    """The windows of all texts under all hash functions, by slice of their value. Equal texts in a task are sent once.
+def _held_back(bits: int) -> np.uint64:
+    """The bits of a hash that travel: 48 beside those of the slice."""
+    return U64((2**64 - 1) ^ ((1 << max(0, 16 - bits)) - 1))
 
-    Windows around frequent shingles go to further slices, by the shingle and what stands `AHEAD[0]` shingles on: texts that share
-    more than the shingle meet wherever they lie. Where that list may be too long still, it is dealt by text over several.
+
+def _marks(held: list[tuple], bits: int, hot: References) -> list[tuple]:
+    keys, classes, sizes, last, hashes, at = (np.concatenate(x) for x in zip(*held, strict=True))
+    owner = np.repeat(np.arange(len(keys)), sizes)
+    place = hot.places(hashes)
+    by_key = (keys.view(U64) >> U64(64 - bits)) + U64(1 << bits)
+    part = np.where(place >= 0, by_key[owner], hashes >> U64(64 - bits)).astype(np.uint32)
+    token = np.where(place >= 0, place.astype(U64), (hashes >> U64(16 - bits)) & U64((1 << 48) - 1))
+    order = np.argsort(part, kind="stable")
+    part, owner, token, at = part[order], owner[order], token[order], at[order]
+    new = np.append(True, (owner[1:] != owner[:-1]) | (part[1:] != part[:-1]))[: len(owner)]
+    step = np.where(new, at, at - np.append(0, at[:-1])[: len(at)]).astype("<u4")
+    rows, starts = [], _runs(part)
+    for a, b in _ranges(starts, len(part)):
+        runs = np.flatnonzero(new[a:b])
+        who = owner[a:b][runs]
+        counts = np.diff(np.append(runs, b - a)).astype("<u4")
+        small = [token[a:b].astype("<u4"), (token[a:b] >> U64(32)).astype("<u2"), step[a:b].astype("<u2"), (step[a:b] >> 16).astype("<u2")]
+        rows.append((int(part[a]), *(x.tobytes() for x in (keys[who], classes[who], last[who].astype("<u4"), counts, *small))))
+    return rows
+
+
+def send_marks(rows: DataFrame, least: int, bits: int, hot: References, batch_size: int = 2_000_000) -> DataFrame:
+    """All shingles of all texts that are long enough, or of regions with the `class` of their text, by slice of the hash range.
+
+    A text that occurs twice in a task is sent once. Frequent shingles go to further slices by the key of their text.
     """
-    names = [c.split()[0] for c in SEND.split(", ")]
-    salts = mixed(np.arange(1, hashes + 1, dtype=U64))
+    names, mask = [c.split()[0] for c in MARK.split(", ")], _held_back(bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         held, size = [], 0
         for batch in batches:
-            for _, _, words in word_slices(batch.column("text")):
-                s = Sequences(words)
-                fresh = np.zeros(len(s.n), bool)
-                for i in np.flatnonzero(s.n >= least).tolist():
-                    key = int(s.key[i])
-                    if key not in seen:
-                        fresh[i] = True
-                        seen.add(key)
+            if "text" in batch.schema.names:
+                parts = ((s.key, s.key, s.n, s.hashes & mask, np.zeros(len(s.n), np.int64), True) for _, _, w in word_slices(batch.column("text")) for s in [Sequences(w)])
+            else:
+                r = Regions(batch)
+                parts = [(r.key, batch.column("class").to_numpy(), r.n, r.hashes, r.start, False)]
+            for key, class_, n, hashes, start, once in parts:
+                taken = n >= least
+                for i in np.flatnonzero(taken).tolist() if once else []:
+                    taken[i] = int(key[i]) not in seen
+                    seen.add(int(key[i]))
                 if len(seen) > 1_000_000:
                     seen.clear()
-                if not fresh.any():
-                    continue
-                text_of = np.repeat(np.arange(len(s.n)), s.n)
-                places = hot.places(s.hashes)
-                wide = (mixed(s.hashes) >> U64(32)).astype("<u4")
-                for i, salt in enumerate(salts):
-                    values = mixed(s.hashes ^ salt)
-                    low, at, high = compact_windows(values, s.first[fresh], s.last[fresh], least)
-                    text = text_of[at]
-                    near = np.zeros((len(at), len(AHEAD)), "<u4")
-                    for j, step in enumerate(AHEAD):
-                        inside = (at + step >= s.first[text]) & (at + step < s.last[text])
-                        near[inside, j] = wide[at[inside] + step]
-                    place = places[at]
-                    held.append((s.key[text], values[at], place, np.full(len(at), i, np.uint8), at - s.first[text], at - low, high - at, near))
-                    size += len(at)
+                place = np.arange(len(hashes)) - np.repeat(np.cumsum(n) - n - start, n)  # in the text
+                every = np.repeat(taken, n)
+                held.append((key[taken], class_[taken], n[taken], (start + n)[taken], hashes[every], place[every]))
+                size += len(held[-1][4])
                 if size >= batch_size:
-                    yield pa.RecordBatch.from_arrays(_binary(_sliced(held, bits, hot), names), names=names)
+                    yield pa.RecordBatch.from_arrays(_binary(_marks(held, bits, hot), names), names=names)
                     held, size = [], 0
-        if held:
+        if size:
+            yield pa.RecordBatch.from_arrays(_binary(_marks(held, bits, hot), names), names=names)
+
+    return rows.mapInArrow(lean(run), MARK)
+
+
+def marked(sent: DataFrame, bits: int, hot: References) -> DataFrame:
+    """Shingles that texts of two classes have, and others that occur more than once, packed by bucket of the text's key."""
+    names = [c.split()[0] for c in BACK.split(", ")]
+
+    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        give_back()
+        slice_ = key[0].as_py()
+        keys, classes, counts = _read(table, "keys", "<i8"), _read(table, "classes", "<i8"), _read(table, "counts", "<u4").astype(np.int64)
+        sizes = _read(table, "sizes", "<u4")
+        token = _read(table, "low", "<u4").astype(U64) | (_read(table, "high", "<u2").astype(U64) << U64(32))
+        at = _read(table, "step", "<u2").astype(np.int64) + (_read(table, "far", "<u2").astype(np.int64) << 16)
+        owner = np.repeat(np.arange(len(keys)), counts)
+        begin, at = np.cumsum(counts) - counts, np.append(0, np.cumsum(at))
+        at = at[1:] - np.repeat(at[begin], counts)
+        once = np.zeros(len(keys), bool)  # what several tasks have sent is taken once
+        once[np.unique(mixed(keys.view(U64) ^ mixed(at[begin].astype(U64))), return_index=True)[1]] = True
+        taken = once[owner]
+        token, at, owner = token[taken], at[taken], owner[taken]
+        if slice_ >= 1 << bits:
+            shared, hashes = hot.cross[token.astype(np.int64)], hot.hashes[token.astype(np.int64)]
+        else:
+            hashes = (U64(slice_) << U64(64 - bits)) | (token << U64(16 - bits))
+            order = np.argsort(token, kind="stable")
+            starts = _runs(token[order])
+            of = classes[owner[order]]
+            differ = np.minimum.reduceat(of, starts) != np.maximum.reduceat(of, starts)
+            shared = np.empty(len(order), bool)
+            shared[order] = np.repeat(differ, np.diff(np.append(starts, len(order))))
+        kept = shared.copy()
+        rest = np.flatnonzero(~shared)
+        rest = rest[np.lexsort((keys[owner[rest]], token[rest]))]
+        same = (token[rest][1:] == token[rest][:-1]) & (keys[owner[rest]][1:] == keys[owner[rest]][:-1])
+        kept[rest[1:][same]] = kept[rest[:-1][same]] = True
+        owner, at, shared, hashes = owner[kept], at[kept], shared[kept], hashes[kept]
+        bucket = (keys.view(U64) >> U64(64 - bits)).astype(np.int64)[owner]
+        order = np.argsort(bucket, kind="stable")
+        owner, at, shared, hashes, bucket = (x[order] for x in (owner, at, shared, hashes, bucket))
+        rows, starts = [], _runs(bucket)
+        for a, b in _ranges(starts, len(bucket)):
+            runs = _runs(owner[a:b])
+            who = owner[a:b][runs]
+            counts = np.diff(np.append(runs, b - a)).astype("<u4")
+            small = (keys[who], sizes[who], counts, at[a:b].astype("<u4"), shared[a:b], hashes[a:b])
+            rows.append((int(bucket[a]), *(x.tobytes() for x in small)))
+        return pa.table(_binary(rows, names), names=names)
+
+    return sent.groupBy("slice").applyInArrow(run, BACK)
+
+
+def _open(score: np.ndarray, text: np.ndarray) -> np.ndarray:
+    """Which positions lie in some range of their text whose scores add up to no less than 0."""
+    first = np.append(True, text[1:] != text[:-1])[: len(text)]
+    number = np.cumsum(first) - 1
+    far = (np.abs(score).sum() + 1) * 2
+    sums = np.cumsum(score) - far * number  # so lowest sums before and highest behind never reach into another text
+    before = sums - score
+    return np.minimum.accumulate(before) <= np.maximum.accumulate(sums[::-1])[::-1]
+
+
+def regions_of(back: DataFrame, least: int, percent: int) -> DataFrame:
+    """Ranges of texts where a passage with a link can lie: at least `percent` of the values of some range there are shared.
+
+    A shingle that is not gets a value of its own in its place, unless the text repeats it.
+    """
+
+    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        give_back()
+        counts = _read(table, "counts", "<u4")
+        owner, sizes = np.repeat(_read(table, "keys", "<i8"), counts), np.repeat(_read(table, "sizes", "<u4").astype(np.int64), counts)
+        at, shared, hashes = _read(table, "at", "<u4").astype(np.int64), _read(table, "shared", "?"), _read(table, "hashes", "<u8")
+        order = np.lexsort((at, owner))
+        starts = _runs(owner[order])
+        times = np.diff(np.append(starts, len(order)))
+        order = order[np.repeat(100 * times >= percent * least, times)]  # others have too few for any range
+        owner, sizes, at, shared, hashes = owner[order], sizes[order], at[order], shared[order], hashes[order]
+        starts = _runs(owner)
+        if not len(starts):
+            return pa.table([pa.array([], pa.int64()), pa.array([], pa.int64()), pa.array([], pa.binary())], names=["key", "start", "hashes"])
+        times = np.diff(np.append(starts, len(owner)))
+        slack = times * (100 - percent) // percent + 1  # so many others on either side can the shared ones make up for
+        low = np.maximum(0, at[starts] - slack)
+        sizes = np.minimum(at[starts + times - 1] + 1 + slack, np.maximum.reduceat(sizes, starts)) - low
+        begin = np.cumsum(sizes) - sizes
+        place = np.repeat(begin - low, times) + at
+        score, value = np.full(sizes.sum(), -percent, np.int64), np.zeros(sizes.sum(), U64)
+        score[place], value[place] = np.where(shared, 100 - percent, 0), hashes
+        text = np.repeat(np.arange(len(sizes)), sizes)
+        real = np.zeros(len(score), bool)
+        real[place] = True
+        filler = np.flatnonzero(~real)
+        value[filler] = mixed(mixed((filler - begin[text[filler]] + low[text[filler]]).astype(U64)) ^ owner[starts][text[filler]].view(U64))
+        inside = _open(score, text)
+        edge = np.flatnonzero(np.append(True, (inside[1:] != inside[:-1]) | (text[1:] != text[:-1])))
+        out = [[], [], []]
+        for a, b in _ranges(edge, len(inside)):
+            if inside[a] and b - a >= least:
+                out[0].append(int(owner[starts[text[a]]]))
+                out[1].append(int(a - begin[text[a]] + low[text[a]]))
+                out[2].append(value[a:b].tobytes())
+        return pa.table([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["key", "start", "hashes"])
+
+    return back.groupBy("bucket").applyInArrow(run, REGIONS)
+
+
+class Regions:
+    """Shingles of the regions of a batch, in order."""
+
+    def __init__(self, batch: pa.RecordBatch):
+        parts = [np.frombuffer(x, "<u8") for x in batch.column("hashes").to_pylist()]
+        self.key, self.start = batch.column("key").to_numpy(), batch.column("start").to_numpy()
+        self.n = np.array([len(x) for x in parts], np.int64)
+        self.hashes = np.concatenate([np.zeros(0, U64), *parts])
+        self.first = np.cumsum(self.n) - self.n
+        self.last = self.first + self.n
+
+
+def send_windows(regions: DataFrame, hashes: int, least: int, bits: int, hot: References, batch_size: int = 400_000) -> DataFrame:
+    """The windows of all regions under all hash functions, by slice of their value.
+
+    Windows around frequent shingles go to further slices, by the shingle and what stands `AHEAD[0]` shingles on: texts that share
+    more than the shingle meet wherever they lie. Where that list may be too long still, it is dealt by text over several.
+    """
+    names = [c.split()[0] for c in SEND.split(", ")]
+    salts = mixed(np.arange(1, hashes + 1, dtype=U64))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            r = Regions(batch)
+            region_of, places = np.repeat(np.arange(len(r.n)), r.n), hot.places(r.hashes)
+            wide = (mixed(r.hashes) >> U64(32)).astype("<u4")
+            for i, salt in enumerate(salts):
+                values = mixed(r.hashes ^ salt)
+                low, at, high = compact_windows(values, r.first, r.last, least)
+                region = region_of[at]
+                near = np.zeros((len(at), len(AHEAD)), "<u4")
+                for j, step in enumerate(AHEAD):
+                    inside = (at + step >= r.first[region]) & (at + step < r.last[region])
+                    near[inside, j] = wide[at[inside] + step]
+                begin = r.start[region] - r.first[region]
+                held.append((r.key[region], values[at], places[at], np.full(len(at), i, np.uint8), at + begin, at - low, high - at, near))
+                size += len(at)
+            if size >= batch_size:
+                yield pa.RecordBatch.from_arrays(_binary(_sliced(held, bits, hot), names), names=names)
+                held, size = [], 0
+        if size:
             yield pa.RecordBatch.from_arrays(_binary(_sliced(held, bits, hot), names), names=names)
 
-    return rows.mapInArrow(lean(run), SEND)
+    return regions.mapInArrow(lean(run), SEND)
 
 
 def _sliced(held: list[tuple], bits: int, hot: References) -> list[tuple]:
@@ -354,24 +558,24 @@ def candidates(pairs: DataFrame, hashes: int, enough: int, least: int) -> DataFr
     return pairs.groupBy("bucket").applyInArrow(run, CANDIDATES)
 
 
-def span_shingles(rows: DataFrame, spans: DataFrame) -> DataFrame:
-    """The shingles of ranges of texts: `key`, `s`, `e`, `hashes`. Spans have the id of a text that has the key."""
+def span_shingles(regions: DataFrame, spans: DataFrame, least: int) -> DataFrame:
+    """The shingles of ranges `s` to `e` of texts, as far as regions go; `first` is where they begin."""
+    names = [c.split()[0] for c in SPAN.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, wanted = batch.column("key").to_pylist(), batch.column("spans").to_pylist()
-            for a, b, words in word_slices(batch.column("text")):
-                s, out = Sequences(words), []
-                for i in range(a, b):
-                    if int(s.key[i - a]) == keys[i]:
-                        own = s.hashes[s.first[i - a] : s.last[i - a]]
-                        out += [(keys[i], w["s"], w["e"], own[w["s"] : w["e"]].tobytes()) for w in wanted[i]]
-                columns = list(zip(*out, strict=True)) or [[] for _ in range(4)]
-                kinds = [pa.int64()] * 3 + [pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["key", "s", "e", "hashes"])
+            out = []
+            for key, start, hashes, wanted in zip(*(batch.column(c).to_pylist() for c in ("key", "start", "hashes", "spans")), strict=True):
+                for w in wanted:
+                    first, last = max(w["s"], start), min(w["e"], start + len(hashes) // 8)
+                    if last - first >= least:
+                        out.append((key, w["s"], w["e"], first, hashes[8 * (first - start) : 8 * (last - start)]))
+            columns = list(zip(*out, strict=True)) or [[] for _ in names]
+            kinds = [pa.int64()] * 4 + [pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=names)
 
-    per_text = spans.groupBy("doc_id", "key").agg(F.collect_set(F.struct("s", "e")).alias("spans"))  # ends on a grid: a bounded number per text
-    return rows.join(per_text, "doc_id").select("key", "spans", "text").mapInArrow(lean(run), f"{SPAN}, hashes BINARY")
+    per_text = spans.groupBy("key").agg(F.collect_set(F.struct("s", "e")).alias("spans"))  # ends on a grid: a bounded number per text
+    return regions.join(per_text, "key").select("key", "start", "hashes", "spans").mapInArrow(lean(run), SPAN)
 
 
 def _segments(shared: np.ndarray, gap: int) -> list[tuple[int, int]]:
@@ -406,25 +610,192 @@ def shared_passages(a: np.ndarray, x: np.ndarray, least: int, percent: int) -> l
     return found
 
 
-def verified_passages(found: DataFrame, spans: DataFrame, least: int, percent: int) -> DataFrame:
+def _before(values: np.ndarray) -> np.ndarray:
+    """Where each value stood last, or -1."""
+    order = np.argsort(values, kind="stable")
+    before = np.full(len(values), -1)
+    same = values[order][1:] == values[order][:-1]
+    before[order[1:][same]] = order[:-1][same]
+    return before
+
+
+def fewest_values(values: np.ndarray, least: int) -> int:
+    """The least number of distinct values of a range of that width."""
+    before, begin = _before(values), np.arange(len(values) - least + 1)
+    if (np.arange(len(values)) - before >= least)[before >= 0].all():
+        return least
+    return int((np.lib.stride_tricks.sliding_window_view(before, least) < begin[:, None]).sum(1).min())
+
+
+def distinct_ranges(values: np.ndarray, shared: np.ndarray, least: int, fewest: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ranges of at least that width, one for each set of values they have, that share enough values to be similar to a set of
+    `fewest` values or more. Values are small numbers; `shared` is true where the other side has them.
+
+    A range that is wider begins and ends with a shared value that it has nowhere else: without others it is more similar.
+    """
+    before, mine, last = _before(values), shared[values], len(values) - least
+    marks = mixed(values.astype(U64) + U64(1))
+    enough = mine.any() and len(np.unique(values[mine])) * 100 // percent  # no more distinct values than these can be similar
+    view, found = np.lib.stride_tricks.sliding_window_view, []
+
+    def fits(size: np.ndarray, both: np.ndarray) -> np.ndarray:
+        return (both * 100 >= percent * size) & (both * (100 + percent) >= percent * (size + fewest))
+
+    for i in range(0, last + 1, 4096):
+        some = np.arange(i, min(i + 4096, last + 1))
+        new = view(before, least)[some] < some[:, None]
+        good = fits(new.sum(1), (new & view(mine, least)[some]).sum(1))
+        name = np.where(new[good], view(marks, least)[some[good]], U64(0)).sum(1, dtype=U64)
+        found.append((some[good], some[good] + least, name))
+    starts = np.flatnonzero(mine[: last + 1])
+    beyond, width = np.full(len(values) + 1, len(values)), len(values)
+    beyond[before[before >= 0]] = np.flatnonzero(before >= 0)  # where the value of a place comes again
+    starts, width = starts[beyond[starts] - starts >= least], min(width, 2 * enough + least)
+    while len(starts):
+        length = len(values) + width
+        padded = [np.concatenate([x, fill]) for x, fill in ((before, np.full(width, length)), (mine, np.zeros(width, bool)), (marks, np.zeros(width, U64)))]
+        short = []
+        for i in range(0, len(starts), max(1, 1_000_000 // width)):
+            some = starts[i : i + max(1, 1_000_000 // width)]
+            new = view(padded[0], width)[some] < some[:, None]
+            ours = new & view(padded[1], width)[some]
+            size, both, step = np.cumsum(new, 1), np.cumsum(ours, 1), np.arange(width)
+            good = ours & (step >= least) & (step < (beyond[some] - some)[:, None]) & fits(size, both)
+            short.append(some[(size[:, -1] <= enough) & (some + width < len(values)) & (beyond[some] - some > width)])
+            part, end = np.nonzero(good)
+            if len(part):
+                rows, at = np.unique(part, return_inverse=True)
+                name = np.cumsum(np.where(new[rows], view(padded[2], width)[some[rows]], U64(0)), 1, dtype=U64)
+                found.append((some[part], some[part] + end + 1, name[at, end]))
+        starts, width = np.concatenate(short), 2 * width  # ranges of so few values that wider ones can be similar too
+    begin, end, name = (np.concatenate(x) for x in zip(*found, strict=True))
+    one = np.unique(name, return_index=True)[1]
+    return begin[one], end[one]
+
+
+def similar_ranges(a: np.ndarray, x: np.ndarray, least: int, percent: int, block: int = 1000) -> list[tuple[int, int, int, int, float]]:
+    """Two ranges that are similar enough, if there are any: (a from, a to, x from, x to, similarity). All are looked at."""
+    names, of = np.unique(np.concatenate([a, x]), return_inverse=True)
+    sides = of[: len(a)], of[len(a) :]
+    shared = np.isin(np.arange(len(names)), sides[0]) & np.isin(np.arange(len(names)), sides[1])
+    column = np.cumsum(shared) - 1
+    fewest = [fewest_values(side, least) for side in sides]
+    ranges = []
+    for k, side in enumerate(sides):
+        often = np.bincount(side)[side] > 1
+        inside = _open(np.where(shared[side], 100 - percent, np.where(often, 0, -percent)), np.zeros(len(side), np.int64))
+        parts = [(s, *distinct_ranges(side[s:e], shared, least, fewest[1 - k], percent)) for s, e in _ranges(_runs(inside), len(side)) if inside[s] and e - s >= least]
+        ranges.append([np.concatenate([np.zeros(0, np.int64), *(s + part[j] for s, *part in parts)]) for j in (0, 1)])
+        if not len(ranges[k][0]):
+            return []
+
+    def rows(k: int, i: int) -> tuple[np.ndarray, np.ndarray]:
+        begin, end = (r[i : i + block] for r in ranges[k])
+        out, size = np.zeros((len(begin), int(shared.sum())), np.float32), np.zeros(len(begin), np.int64)
+        for j, (s, e) in enumerate(zip(begin.tolist(), end.tolist(), strict=True)):
+            value = np.unique(sides[k][s:e])
+            out[j, column[value[shared[value]]]], size[j] = 1, len(value)
+        return out, size
+
+    for i in range(0, len(ranges[0][0]), block):
+        left, size = rows(0, i)
+        for j in range(0, len(ranges[1][0]), block):
+            right, other = rows(1, j)
+            both = np.rint(left @ right.T).astype(np.int64)
+            whole = size[:, None] + other - both
+            if (100 * both >= percent * whole).any():
+                p, q = np.unravel_index(np.argmax(both / whole), both.shape)
+                return [(*(int(r[i + p]) for r in ranges[0]), *(int(r[j + q]) for r in ranges[1]), float(both[p, q] / whole[p, q]))]
+    return []
+
+
+def verified_passages(found: DataFrame, least: int, percent: int, whole: bool = False) -> DataFrame:
+    """Passages in pairs of ranges: `a`, `first_a`, `of_a` and the same of `x`. If `whole`, pairs without any are searched for ranges of all kinds."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = batch.to_pydict()
             out = []
             for i in range(batch.num_rows):
                 a, x = np.frombuffer(rows["of_a"][i], "<u8"), np.frombuffer(rows["of_x"][i], "<u8")
-                for p, q, t, u, similarity in shared_passages(a, x, least, percent):
+                both = shared_passages(a, x, least, percent)
+                if whole and not both:
+                    both = similar_ranges(a, x, least, percent)
+                for p, q, t, u, similarity in both:
                     more = WIDTH - 1
-                    out.append((rows["a"][i], rows["sa"][i] + p, q - p + more, rows["x"][i], rows["sx"][i] + t, u - t + more, similarity))
+                    out.append((rows["a"][i], rows["first_a"][i] + p, q - p + more, rows["x"][i], rows["first_x"][i] + t, u - t + more, similarity))
             columns = list(zip(*out, strict=True)) or [[] for _ in range(7)]
             kinds = [pa.int64()] * 6 + [pa.float64()]
             names = [c.split()[0] for c in PASSAGES.split(", ")]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=names)
 
-    of_a = spans.toDF("a", "sa", "ea", "of_a")
-    of_x = spans.toDF("x", "sx", "ex", "of_x")
-    both = found.join(of_a, ["a", "sa", "ea"]).join(of_x, ["x", "sx", "ex"])
-    return both.select("a", "sa", "x", "sx", "of_a", "of_x").mapInArrow(lean(run), PASSAGES).distinct()
+    return found.select("a", "first_a", "x", "first_x", "of_a", "of_x").mapInArrow(lean(run), PASSAGES).distinct()
+
+
+def _bits(slices: float) -> int:
+    return min(16, max(5, math.ceil(math.log2(max(1, slices)))))
+
+
+def _ids(passages: DataFrame, first: DataFrame) -> DataFrame:
+    """The documents that stand for the texts of each passage."""
+    ends = passages.select("a", "x").distinct().join(first.select(F.col("key").alias("a"), F.col("first_id").alias("id_a")), "a")
+    ends = ends.join(first.select(F.col("key").alias("x"), F.col("first_id").alias("id_x")), "x")
+    return ends.where("id_a <> id_x").select(F.col("id_a").alias("a"), F.col("id_x").alias("b"))
+
+
+def region_shingles(regions: DataFrame, least: int) -> DataFrame:
+    """A row per distinct shingle of each region: `token`, `key`, `start`, `class`, `fewest` (distinct ones of any passage at least)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for key, start, hashes, class_ in zip(*(batch.column(c).to_pylist() for c in ("key", "start", "hashes", "class")), strict=True):
+                values = np.frombuffer(hashes, "<u8")
+                token = np.unique(values).view(np.int64)
+                rest = [np.full(len(token), v, np.int64) for v in (key, start, class_, fewest_values(values, least))]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (token, *rest)], names=["token", "key", "start", "class", "fewest"])
+
+    return regions.mapInArrow(lean(run), "token BIGINT, key BIGINT, start BIGINT, class BIGINT, fewest BIGINT")
+
+
+def across_classes(regions: DataFrame, first: DataFrame, linked: DataFrame, hot: References, bits: int, least: int, percent: int) -> DataFrame:
+    """Passages that link texts of different classes: all pairs that could have one are searched.
+
+    Shingles are marked once more, now where texts of different classes have them, and what regions remain is marked again.
+    Regions that are equal link with one of them, which stands for all. Two regions that have enough shingles in common are
+    compared as a whole.
+    """
+    spark = regions.sparkSession
+    classes = first.join(linked, F.col("first_id") == F.col("node"), "left").select("key", F.coalesce("component", "first_id").alias("class"))
+    for _ in range(ROUNDS):
+        rest = regions.join(classes, "key")
+        hot.meet(rest)
+        regions = written(regions_of(marked(send_marks(rest, least, bits, hot), bits, hot), least, percent), "open")
+    rest = regions.join(classes, "key")
+    alike = rest.groupBy("hashes").agg(F.min(F.struct("key", "start", "class")).alias("one"))
+    one = written(alike.select("one.*", "hashes"), "one")
+    words = (F.octet_length("hashes") / 8 + (WIDTH - 1)).cast("bigint")
+    equal = rest.alias("r").join(alike, "hashes").where("r.class <> one.class")
+    equal = equal.select(F.col("one.key").alias("a"), F.col("one.start").alias("a_first"), words.alias("a_words"), F.col("r.key").alias("x"), F.col("r.start").alias("x_first"), words.alias("x_words"), F.lit(1.0).alias("similarity"))
+    tokens = written(region_shingles(one, least), "tokens")
+    left, right = (tokens.toDF("token", *(f"{c}_{side}" for c in ("key", "start", "class", "fewest"))) for side in "ax")
+    ends = ["key_a", "start_a", "key_x", "start_x"]
+    meet = left.join(right, "token").where("class_a <> class_x AND key_a < key_x").groupBy(*ends, "fewest_a", "fewest_x").count()
+    meet = written(meet.where((100 + percent) * F.col("count") >= percent * (F.col("fewest_a") + F.col("fewest_x"))).select(*ends, "count"), "meet")
+    of_a = one.select(F.col("key").alias("key_a"), F.col("start").alias("start_a"), F.col("hashes").alias("of_a"))
+    of_x = one.select(F.col("key").alias("key_x"), F.col("start").alias("start_x"), F.col("hashes").alias("of_x"))
+
+    def searched(pairs: DataFrame) -> DataFrame:
+        both = pairs.select(*ends).join(of_a, ["key_a", "start_a"]).join(of_x, ["key_x", "start_x"])
+        both = both.select(F.col("key_a").alias("a"), F.col("start_a").alias("first_a"), F.col("key_x").alias("x"), F.col("start_x").alias("first_x"), "of_a", "of_x")
+        return verified_passages(both.repartition(8 * spark.sparkContext.defaultParallelism), least, percent, whole=True)
+
+    # each region with the one it has most in common with; then all pairs that are still apart
+    best = meet.groupBy("key_a", "start_a").agg(F.max_by(F.struct("key_x", "start_x"), "count").alias("x")).select("key_a", "start_a", "x.*")
+    near = written(equal.unionByName(searched(best)), "near")
+    linked = components(linked.toDF("a", "b").unionByName(_ids(near, first)))
+    classes = first.join(linked, F.col("first_id") == F.col("node"), "left").select("key", F.coalesce("component", "first_id").alias("class"))
+    apart = meet.join(best, ends, "left_anti").join(classes.toDF("key_a", "class_a"), "key_a").join(classes.toDF("key_x", "class_x"), "key_x")
+    return near.unionByName(searched(written(apart.where("class_a <> class_x").select(*ends), "apart")))
 
 
 def repeated_passages(
@@ -433,23 +804,33 @@ def repeated_passages(
 ) -> DataFrame:
     """Passages of documents that repeat a passage of another one.
 
-    `doc_id`, `first_word`, `n_words` (the passage), `of_doc_id`, `of_first_word`, `of_n_words` (what it repeats), `similarity`.
+    `doc_id`, `first_word`, `n_words` (the passage), `of_doc_id`, `of_first_word`, `of_n_words` (what it repeats), `similarity`, `class_id`.
     """
     least = least_words - WIDTH + 1
     rows = id_and_text(docs, id_col, text_col).where("doc_id IS NOT NULL")
     members = written(sequence_keys(rows, hot_share), "members")
     hot, members = members.where("frequent"), members.where("NOT frequent")
     hot = frequent_shingles(hot, members.count(), hot_share)
-    hot.fill(rows, hashes, least)
-    total = members.where(F.col("words") >= least_words).agg(F.sum("words")).first()[0] or 0
-    bits = max(5, math.ceil(math.log2(max(1, total * 2 * hashes / least / per_slice))))
-    pairs = window_pairs(send_windows(rows, hashes, least, bits, hot), bits, hot)
+    long = members.where(F.col("words") >= least_words)
+    bits = _bits((long.agg(F.sum("words")).first()[0] or 0) / 1_000_000)
+    hot.hashes = hot.hashes & _held_back(bits)
+    regions = written(regions_of(marked(send_marks(rows, least, bits, hot), bits, hot), least, percent), "regions")
+    hot.fill(regions, hashes, least)
+    positions = regions.agg(F.sum(F.octet_length("hashes")) / 8).first()[0] or 0
+    slices = _bits(positions * 2 * hashes / least / per_slice)
+    pairs = window_pairs(send_windows(regions, hashes, least, slices, hot), slices, hot)
     found = written(candidates(pairs, hashes, enough, least), "candidates")
-    first = members.where(F.col("words") >= least_words).groupBy("key").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("k"))
     sides = found.select(F.col("a").alias("key"), F.col("sa").alias("s"), F.col("ea").alias("e"))
     sides = sides.unionByName(found.select(F.col("x").alias("key"), F.col("sx").alias("s"), F.col("ex").alias("e"))).distinct()
-    spans = written(span_shingles(rows, sides.join(first, "key").select(F.col("first_id").alias("doc_id"), "key", "s", "e")), "spans").distinct()
-    passages = verified_passages(found, spans, least, percent)
+    spans = written(span_shingles(regions, sides, least), "spans")
+    of_a, of_x = spans.toDF("a", "sa", "ea", "first_a", "of_a"), spans.toDF("x", "sx", "ex", "first_x", "of_x")
+    passages = written(verified_passages(found.join(of_a, ["a", "sa", "ea"]).join(of_x, ["x", "sx", "ex"]), least, percent), "passages")
+    first = written(long.groupBy("key").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("k")), "first")
+    copies = written(long.join(first.where("k > 1"), "key").where("doc_id <> first_id").distinct(), "copies")
+    linked = components(_ids(passages, first).unionByName(copies.select(F.col("doc_id").alias("a"), F.col("first_id").alias("b"))))
+    more = written(across_classes(regions, first, linked, hot, bits, least, percent), "across")
+    merged = components(linked.toDF("a", "b").unionByName(_ids(more, first)))
+    passages = passages.unionByName(more)
     named = passages.join(first.select(F.col("key").alias("a"), F.col("first_id").alias("id_a")), "a")
     named = named.join(first.select(F.col("key").alias("x"), F.col("first_id").alias("id_x")), "x").where("id_a <> id_x")
     later = F.col("id_x") > F.col("id_a")
@@ -462,10 +843,9 @@ def repeated_passages(
         side("id_a", "id_x").alias("of_doc_id"), side("a_first", "x_first").alias("of_first_word"), side("a_words", "x_words").alias("of_n_words"),
         "similarity",
     )
-    copies = members.join(first.where("k > 1"), "key").where("doc_id <> first_id").distinct()
     zero = F.lit(0).cast("bigint")
     copies = copies.select(
         "doc_id", zero.alias("first_word"), F.col("words").alias("n_words"), F.col("first_id").alias("of_doc_id"), zero.alias("of_first_word"),
         F.col("words").alias("of_n_words"), F.lit(1.0).alias("similarity"),
     )
-    return repeats.distinct().unionByName(copies)
+    return repeats.distinct().unionByName(copies).join(merged.toDF("doc_id", "class_id"), "doc_id").select(*copies.columns, "class_id")
