@@ -1,12 +1,14 @@
 import random
+from pathlib import Path
 
 import numpy as np
 import pytest
 
 from tests.llm.conftest import PROSE
-from tidelayer.llm.passages import SEND, References, _sliced, compact_windows, frequent_shingles, repeated_passages, sequence_keys, shared_passages, similar_ranges, window_pairs
+from tidelayer.llm.passages import SEND, References, _ranges_of_single, _sliced, compact_windows, frequent_shingles, repeated_passages, sequence_keys, shared_passages, similar_ranges, window_pairs
 from tidelayer.llm.texts import written
 from tidelayer.llm.words import mixed
+from tidelayer.session import shared_dir
 
 
 def prose(seed, n):
@@ -199,3 +201,42 @@ def test_classes_are_those_of_brute_force(spark):
     got = repeated_passages(docs, hashes=1, enough=1).collect()
     named = {i: c for row in got for i, c in ((row.doc_id, row.class_id), (row.of_doc_id, row.class_id))}
     assert named == {i: c for i, c in class_of.items() if i not in alone}
+
+
+def test_ranges_without_repeats_are_those_of_brute_force():
+    """Replaced, left out, added and moved values: a pair is found if any two ranges are similar, and only then."""
+    r, both = random.Random(3), 0
+    for _ in range(600):
+        a, x, least = list(range(100, 100 + r.randrange(8, 20))), [], r.choice([4, 5, 6])
+        x = list(a)
+        for _ in range(r.randrange(5)):
+            i, kind = r.randrange(len(x)), r.randrange(4)
+            x = [x[:i] + [r.randrange(10**6, 10**9)] + x[i + 1 :], x[:i] + x[i + 1 :], x[:i] + [r.randrange(10**6, 10**9)] + x[i:], x[i:] + x[:i]][kind]
+        for _ in range(r.randrange(4)):
+            a[r.randrange(len(a))] = r.randrange(10**9, 10**12)
+        if len(x) < least:
+            continue
+        got = _ranges_of_single(np.array(a), np.array(x), least, 80)
+        assert bool(got) == linked_by_brute_force(a, x, least), (a, x, least)
+        for p, q, t, u, similarity in got:
+            left, right = set(a[p:q]), set(x[t:u])
+            assert min(q - p, u - t) >= least and similarity == len(left & right) / len(left | right) >= 0.8
+        both += bool(got)
+    assert 200 < both < 580
+
+
+def test_no_row_per_pair_of_a_group_that_stays_apart(spark):
+    """Copies of one passage, each with two edits of its own: all pairs have enough in common to be looked at, none is similar."""
+    r, passage, n = random.Random(4), prose("apart", 66), 160
+    rows = []
+    for i in range(n):
+        text = list(passage)
+        for at in (r.choice([20, 21, 22]), r.choice([42, 43, 44])):
+            text[at] = f"edit{i}x{at}"
+        rows.append((i, " ".join(prose(f"a{i}", 20) + text + prose(f"b{i}", 20))))
+    folder = Path(shared_dir(spark)) / "tidelayer"
+    before = set(folder.glob("*"))
+    got = repeated_passages(spark.createDataFrame(rows, "doc_id BIGINT, text STRING").repartition(3))
+    assert got.count() == 0
+    sizes = [spark.read.parquet(str(f)).count() for f in set(folder.glob("*")) - before if list(f.glob("*.parquet"))]
+    assert max(sizes) < 40 * n < n * (n - 1) / 2

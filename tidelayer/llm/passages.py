@@ -16,8 +16,9 @@
 4. Candidates are verified on the shingles of the texts themselves: the passages are trimmed to what they share, and stay if
    both have the least number of words and their sets of shingles have the least Jaccard similarity.
 5. Documents that links connect are a class. What windows and star-wise lists leave out is found across classes: shingles that
-   texts of two classes have are marked again, and regions that have enough of them in common are searched for any two similar
-   ranges. So no link between two classes is left out; inside a class not all pairs are listed.
+   texts of two classes have are marked again, and blocks of regions that have a shingle of their signatures in common are
+   compared, pair by pair, for any two similar ranges. So no link between two classes is left out; inside a class not all pairs
+   are listed. Pairs have no row of their own, but those of large groups that stay apart are all looked at.
 
 Texts with equal word sequences are one text from the beginning; the result names each of them with the one that stands for
 them. Texts that are null, empty or shorter than the least length share nothing. Rows without an id cannot be named and are
@@ -44,11 +45,13 @@ WIDTH = 5
 AHEAD = (16, -16, 34, -34)
 GRID = 32
 HOT_SHARE = 0.002
-ROUNDS = 2  # of marking shingles that classes share
+LEVELS = tuple(round(f * 2**32) for f in (0, 0.1, 0.15, 0.2, 0.25, 0.3, 0.4, 0.6, 0.8))  # of the order of shingles in signatures
+PER_BLOCK = 512  # regions of a block, about
 PER_LIST = 200_000  # texts of a frequent shingle that meet in one list at most
 MARK = "slice BIGINT, keys BINARY, classes BINARY, sizes BINARY, counts BINARY, low BINARY, high BINARY, step BINARY, far BINARY"
 BACK = "bucket BIGINT, keys BINARY, sizes BINARY, counts BINARY, at BINARY, shared BINARY, hashes BINARY"
-REGIONS = "key BIGINT, start BIGINT, hashes BINARY"
+REGIONS = "key BIGINT, start BIGINT, hashes BINARY, shared BINARY"
+SIGNATURES = "token BIGINT, key BIGINT, start BIGINT, class BIGINT, anchor BIGINT"
 SEND = "slice BIGINT, keys BINARY, counts BINARY, low BINARY, high BINARY, hash BINARY, at BINARY, back BINARY, on BINARY, near BINARY"
 PAIRS = "bucket BIGINT, a BINARY, x BINARY, hash BINARY, place BINARY"
 SPAN = "key BIGINT, s BIGINT, e BIGINT, first BIGINT, hashes BINARY"
@@ -211,9 +214,9 @@ def frequent_shingles(members: DataFrame, texts: int, hot_share: float) -> Refer
     return References([(r["key"], r["doc_id"], r["n"]) for r in counts.where(F.col("n") > hot_share * texts).collect()])
 
 
-def _binary(rows: list[tuple], names: list[str]) -> list[pa.Array]:
+def _binary(rows: list[tuple], names: list[str], numbers: int = 1) -> list[pa.Array]:
     columns = list(zip(*rows, strict=True)) or [[] for _ in names]
-    return [pa.array(c, pa.binary() if i else pa.int64()) for i, c in enumerate(columns)]
+    return [pa.array(c, pa.int64() if i < numbers else pa.binary()) for i, c in enumerate(columns)]
 
 
 def _held_back(bits: int) -> np.uint64:
@@ -340,8 +343,9 @@ def _open(score: np.ndarray, text: np.ndarray) -> np.ndarray:
 def regions_of(back: DataFrame, least: int, percent: int) -> DataFrame:
     """Ranges of texts where a passage with a link can lie: at least `percent` of the values of some range there are shared.
 
-    A shingle that is not gets a value of its own in its place, unless the text repeats it.
+    A shingle that is not gets a value of its own in its place, unless the text repeats it. `shared` has a byte per shingle.
     """
+    names = [c.split()[0] for c in REGIONS.split(", ")]
 
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         give_back()
@@ -355,7 +359,7 @@ def regions_of(back: DataFrame, least: int, percent: int) -> DataFrame:
         owner, sizes, at, shared, hashes = owner[order], sizes[order], at[order], shared[order], hashes[order]
         starts = _runs(owner)
         if not len(starts):
-            return pa.table([pa.array([], pa.int64()), pa.array([], pa.int64()), pa.array([], pa.binary())], names=["key", "start", "hashes"])
+            return pa.table(_binary([], names, 2), names=names)
         times = np.diff(np.append(starts, len(owner)))
         slack = times * (100 - percent) // percent + 1  # so many others on either side can the shared ones make up for
         low = np.maximum(0, at[starts] - slack)
@@ -371,13 +375,11 @@ def regions_of(back: DataFrame, least: int, percent: int) -> DataFrame:
         value[filler] = mixed(mixed((filler - begin[text[filler]] + low[text[filler]]).astype(U64)) ^ owner[starts][text[filler]].view(U64))
         inside = _open(score, text)
         edge = np.flatnonzero(np.append(True, (inside[1:] != inside[:-1]) | (text[1:] != text[:-1])))
-        out = [[], [], []]
+        out = []
         for a, b in _ranges(edge, len(inside)):
             if inside[a] and b - a >= least:
-                out[0].append(int(owner[starts[text[a]]]))
-                out[1].append(int(a - begin[text[a]] + low[text[a]]))
-                out[2].append(value[a:b].tobytes())
-        return pa.table([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["key", "start", "hashes"])
+                out.append((int(owner[starts[text[a]]]), int(a - begin[text[a]] + low[text[a]]), value[a:b].tobytes(), (score[a:b] > 0).tobytes()))
+        return pa.table(_binary(out, names, 2), names=names)
 
     return back.groupBy("bucket").applyInArrow(run, REGIONS)
 
@@ -673,10 +675,61 @@ def distinct_ranges(values: np.ndarray, shared: np.ndarray, least: int, fewest:
     return begin[one], end[one]
 
 
+def _ranges_of_single(a: np.ndarray, x: np.ndarray, least: int, percent: int, cells: int = 200_000) -> list[tuple[int, int, int, int, float]]:
+    """`similar_ranges` of sequences in which no value stands twice: for each range of `a` that can be the best one, the best of `x`.
+
+    What is shared counts 100 + `percent`, each place of either range takes `percent` off: ranges are similar where the sum is no
+    less than 0. A best range of `a` has the least width, or begins and ends where a run that stands in `x` as well does: with more
+    of that run, or without it, the sum would be greater.
+    """
+    order = np.argsort(a)
+    found = order[np.minimum(np.searchsorted(a[order], x), len(a) - 1)]
+    place = np.where(a[found] == x, found, -1)  # in a, of each value of x
+    other = np.full(len(a) + 1, -2)
+    other[place[place >= 0]] = np.flatnonzero(place >= 0)
+    mine, follows = other[:-1] >= 0, (other[1:] >= 0) & (other[1:] == other[:-1] + 1)
+    first, last = np.flatnonzero(mine & ~np.append(False, follows[:-1])), np.flatnonzero(mine & ~follows) + 1
+    sums = np.append(0, np.cumsum(mine))
+
+    def best(b: np.ndarray, e: np.ndarray) -> list[tuple[int, int, int, int, float]]:
+        both, width = sums[e] - sums[b], e - b
+        good = (100 * both >= percent * width) & ((100 + percent) * both >= percent * (width + least))
+        b, e = b[good], e[good]
+        step = max(1, cells // len(x))
+        for i in range(0, len(b), step):
+            from_, to = b[i : i + step, None], e[i : i + step, None]
+            total = np.zeros((len(from_), len(x) + 1), np.int64)
+            np.cumsum(np.where((place >= from_) & (place < to), 100, -percent), 1, out=total[:, 1:])
+            most = total[:, least:] - np.minimum.accumulate(total[:, : len(x) + 1 - least], 1)
+            hit = np.flatnonzero(most.max(1) >= percent * (to - from_)[:, 0])
+            if len(hit):
+                h = hit[0]
+                p, q, u = int(from_[h, 0]), int(to[h, 0]), int(np.argmax(most[h])) + least
+                t = int(np.argmin(total[h, : u - least + 1]))
+                shared = int(((place[t:u] >= p) & (place[t:u] < q)).sum())
+                return [(p, q, t, u, shared / (q - p + u - t - shared))]
+        return []
+
+    begin = np.arange(len(a) - least + 1)
+    if links := best(begin, begin + least):
+        return links
+    step = max(1, cells // max(1, len(last)))
+    for i in range(0, len(first), step):
+        b, e = (z.ravel() for z in np.broadcast_arrays(first[i : i + step, None], last))
+        wide = e - b > least
+        if links := best(b[wide], e[wide]):
+            return links
+    return []
+
+
 def similar_ranges(a: np.ndarray, x: np.ndarray, least: int, percent: int, block: int = 1000) -> list[tuple[int, int, int, int, float]]:
     """Two ranges that are similar enough, if there are any: (a from, a to, x from, x to, similarity). All are looked at."""
     names, of = np.unique(np.concatenate([a, x]), return_inverse=True)
     sides = of[: len(a)], of[len(a) :]
+    if min(len(a), len(x)) < least:
+        return []
+    if all(len(np.unique(side)) == len(side) for side in sides):
+        return _ranges_of_single(*sides, least, percent)
     shared = np.isin(np.arange(len(names)), sides[0]) & np.isin(np.arange(len(names)), sides[1])
     column = np.cumsum(shared) - 1
     fewest = [fewest_values(side, least) for side in sides]
@@ -709,8 +762,8 @@ def similar_ranges(a: np.ndarray, x: np.ndarray, least: int, percent: int, block
     return []
 
 
-def verified_passages(found: DataFrame, least: int, percent: int, whole: bool = False) -> DataFrame:
-    """Passages in pairs of ranges: `a`, `first_a`, `of_a` and the same of `x`. If `whole`, pairs without any are searched for ranges of all kinds."""
+def verified_passages(found: DataFrame, least: int, percent: int) -> DataFrame:
+    """Passages in pairs of ranges: `a`, `first_a`, `of_a` and the same of `x`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -718,10 +771,7 @@ def verified_passages(found: DataFrame, least: int, percent: int, whole: bool =
             out = []
             for i in range(batch.num_rows):
                 a, x = np.frombuffer(rows["of_a"][i], "<u8"), np.frombuffer(rows["of_x"][i], "<u8")
-                both = shared_passages(a, x, least, percent)
-                if whole and not both:
-                    both = similar_ranges(a, x, least, percent)
-                for p, q, t, u, similarity in both:
+                for p, q, t, u, similarity in shared_passages(a, x, least, percent):
                     more = WIDTH - 1
                     out.append((rows["a"][i], rows["first_a"][i] + p, q - p + more, rows["x"][i], rows["first_x"][i] + t, u - t + more, similarity))
             columns = list(zip(*out, strict=True)) or [[] for _ in range(7)]
@@ -743,59 +793,146 @@ def _ids(passages: DataFrame, first: DataFrame) -> DataFrame:
     return ends.where("id_a <> id_x").select(F.col("id_a").alias("a"), F.col("id_x").alias("b"))
 
 
-def region_shingles(regions: DataFrame, least: int) -> DataFrame:
-    """A row per distinct shingle of each region: `token`, `key`, `start`, `class`, `fewest` (distinct ones of any passage at least)."""
+def signatures(regions: DataFrame, least: int, percent: int) -> DataFrame:
+    """Rows per region, of which two similar ranges of different classes have at least one `token` in common; `anchor` is the least of them.
+
+    All shingles have one order: those that one class has alone come first, then by hash. Of what two similar ranges share, let t be
+    the first in that order. What comes before t is not shared, so at most 100 - `percent` of a hundred in either range do. A
+    shingle is taken if it lies in such a range; what comes before it is counted down to the next lower one of `LEVELS`.
+    """
+    names = [c.split()[0] for c in SIGNATURES.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for key, start, hashes, class_ in zip(*(batch.column(c).to_pylist() for c in ("key", "start", "hashes", "class")), strict=True):
-                values = np.frombuffer(hashes, "<u8")
-                token = np.unique(values).view(np.int64)
-                rest = [np.full(len(token), v, np.int64) for v in (key, start, class_, fewest_values(values, least))]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (token, *rest)], names=["token", "key", "start", "class", "fewest"])
+            r = Regions(batch)
+            text, shared = np.repeat(np.arange(len(r.n)), r.n), np.frombuffer(b"".join(batch.column("shared").to_pylist()), bool)
+            rank = (mixed(r.hashes) >> U64(32)).astype(np.int64)
+            order = np.lexsort((r.hashes, text))
+            same = (text[order][1:] == text[order][:-1]) & (r.hashes[order][1:] == r.hashes[order][:-1])
+            often = np.zeros(len(text), bool)
+            often[order[1:][same]] = often[order[:-1][same]] = True
+            taken = np.zeros(len(text), bool)
+            for low, high in zip(LEVELS, (*LEVELS[1:], 1 << 32), strict=True):
+                inside = _open(np.where(shared & (rank >= low), 100 - percent, np.where(often, 0, -percent)), text)
+                edge = np.flatnonzero(np.append(True, (inside[1:] != inside[:-1]) | (text[1:] != text[:-1]))[: len(text)])
+                sizes = np.diff(np.append(edge, len(text)))
+                taken |= inside & np.repeat(sizes >= least, sizes) & shared & (rank >= low) & (rank < high)
+            order = order[taken[order] & ~np.append(False, same)[: len(order)]]  # each shingle of a region once
+            owner, rank = text[order], rank[order]
+            order = order[np.lexsort((rank, owner))]
+            owner, starts = text[order], _runs(text[order])
+            token = r.hashes[order].view(np.int64)
+            anchor = np.repeat(token[starts], np.diff(np.append(starts, len(order))))
+            columns = (token, r.key[owner], r.start[owner], batch.column("class").to_numpy()[owner], anchor)
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=names)
+
+    return regions.mapInArrow(lean(run), SIGNATURES)
+
+
+def _may_be_similar(shared: np.ndarray, fewest: np.ndarray, least: int, percent: int) -> np.ndarray:
+    """Which rows of `shared` have a range that could be similar to a set of `fewest` values or more, if no value stands twice there.
+
+    Wide ranges are made of narrower ones, of which one shares as large a part.
+    """
+    sums = np.concatenate([np.zeros((len(shared), 1), np.int32), np.cumsum(shared, 1, dtype=np.int32)], 1)
+    found = np.zeros(len(shared), bool)
+    for width in range(least, min(2 * -(-100 * least // percent), shared.shape[1] + 1)):
+        need = np.maximum(-(-percent * width // 100), -(-percent * (width + fewest) // (100 + percent)))
+        found |= (sums[:, width:] - sums[:, :-width]).max(1) >= need
+    return found
+
+
+class Block:
+    """Regions that are compared with each other: values as small numbers, and for each value the regions `posts` that have it."""
+
+    def __init__(self, table: pa.Table, least: int, percent: int):
+        self.regions, self.least, self.percent = Regions(table), least, percent
+        r, count = self.regions, len(self.regions.n)
+        names, values = np.unique(r.hashes, return_inverse=True)
+        self.values = np.split(values, r.first[1:])
+        self.single = np.array([len(np.unique(v)) == len(v) for v in self.values], bool)
+        self.fewest = np.array([least if one else fewest_values(v, least) for v, one in zip(self.values, self.single, strict=True)])
+        self.root = np.unique(table.column("class").to_numpy(), return_inverse=True)[1]
+        pairs = np.unique(values * count + np.repeat(np.arange(count), r.n))
+        self.posts, self.begin = pairs % count, np.searchsorted(pairs, np.arange(len(names) + 1) * count)
+
+    def near(self, a: int, allowed: np.ndarray) -> np.ndarray:
+        """The allowed regions of other classes that may have a range similar to one of region `a`, those that share most first."""
+        value, place = np.unique(self.values[a], return_index=True)
+        times = self.begin[value + 1] - self.begin[value]
+        places = np.repeat(self.begin[value] - np.cumsum(times) + times, times) + np.arange(times.sum())
+        posts, at = self.posts[places], np.repeat(place, times)
+        both = np.bincount(posts, minlength=len(self.root))
+        some = allowed & (self.root != self.root[a]) & ((100 + self.percent) * both >= self.percent * (self.fewest[a] + self.fewest))
+        found = np.flatnonzero(some)
+        if self.single[a] and len(found):
+            row, good = np.cumsum(some) - 1, some[posts]
+            posts, at = row[posts[good]], at[good]
+            kept = []
+            for i in range(0, len(found), 500):
+                part = (posts >= i) & (posts < i + 500)
+                shared = np.zeros((len(found[i : i + 500]), len(self.values[a])), bool)
+                shared[posts[part] - i, at[part]] = True
+                kept.append(found[i : i + 500][_may_be_similar(shared, self.fewest[found[i : i + 500]], self.least, self.percent)])
+            found = np.concatenate(kept)
+        return found[np.argsort(-both[found], kind="stable")]
+
+    def links(self, left: np.ndarray, right: np.ndarray) -> Iterator[tuple[int, int, list[tuple[int, int, int, int, float]]]]:
+        """Pairs of regions of classes that no pair before has connected, with their similar ranges; `left` and `right` say who is compared with whom."""
+        for a in np.flatnonzero(left).tolist():
+            allowed = right.copy()
+            allowed[: a + 1] &= ~left[: a + 1]  # pairs of one block once
+            for x in self.near(a, allowed).tolist():
+                if self.root[a] == self.root[x]:
+                    continue
+                mine, other = self.values[a], self.values[x]
+                search = _ranges_of_single if self.single[a] and self.single[x] else similar_ranges
+                if both := search(mine, other, self.least, self.percent):
+                    yield a, x, shared_passages(mine, other, self.least, self.percent) or both
+                    self.root[self.root == self.root[x]] = self.root[a]
 
-    return regions.mapInArrow(lean(run), "token BIGINT, key BIGINT, start BIGINT, class BIGINT, fewest BIGINT")
+
+def block_links(members: DataFrame, least: int, percent: int) -> DataFrame:
+    """Passages that connect classes, for each pair of blocks `one` and `two` the regions that come with it."""
+    names = [c.split()[0] for c in PASSAGES.split(", ")]
+
+    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        give_back()
+        block, of, more = Block(table, least, percent), table.column("block").to_numpy(), WIDTH - 1
+        r, out = block.regions, []
+        for a, x, both in block.links(of == key[0].as_py(), of == key[1].as_py()):
+            for p, q, t, u, similarity in both:
+                ends = [(int(r.key[a]), int(r.start[a]) + p, q - p + more), (int(r.key[x]), int(r.start[x]) + t, u - t + more)]
+                out.append((*ends[0], *ends[1], similarity))
+        columns = list(zip(*out, strict=True)) or [[] for _ in names]
+        kinds = [pa.int64()] * 6 + [pa.float64()]
+        return pa.table([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=names)
+
+    return members.groupBy("one", "two").applyInArrow(run, PASSAGES)
 
 
 def across_classes(regions: DataFrame, first: DataFrame, linked: DataFrame, hot: References, bits: int, least: int, percent: int) -> DataFrame:
-    """Passages that link texts of different classes: all pairs that could have one are searched.
+    """Passages that connect classes: all pairs of texts of different classes that could have one are searched, until a task knows their classes as one.
 
-    Shingles are marked once more, now where texts of different classes have them, and what regions remain is marked again.
-    Regions that are equal link with one of them, which stands for all. Two regions that have enough shingles in common are
-    compared as a whole.
+    Shingles are marked once more, now where texts of different classes have them. Regions are dealt to blocks by the least
+    shingle of their signature, those of a frequent one to several. A region goes to a pair of blocks if it has a shingle of its
+    signature in common with a region of another class in the other block; there the pairs are compared without a row for each.
     """
-    spark = regions.sparkSession
     classes = first.join(linked, F.col("first_id") == F.col("node"), "left").select("key", F.coalesce("component", "first_id").alias("class"))
-    for _ in range(ROUNDS):
-        rest = regions.join(classes, "key")
-        hot.meet(rest)
-        regions = written(regions_of(marked(send_marks(rest, least, bits, hot), bits, hot), least, percent), "open")
     rest = regions.join(classes, "key")
-    alike = rest.groupBy("hashes").agg(F.min(F.struct("key", "start", "class")).alias("one"))
-    one = written(alike.select("one.*", "hashes"), "one")
-    words = (F.octet_length("hashes") / 8 + (WIDTH - 1)).cast("bigint")
-    equal = rest.alias("r").join(alike, "hashes").where("r.class <> one.class")
-    equal = equal.select(F.col("one.key").alias("a"), F.col("one.start").alias("a_first"), words.alias("a_words"), F.col("r.key").alias("x"), F.col("r.start").alias("x_first"), words.alias("x_words"), F.lit(1.0).alias("similarity"))
-    tokens = written(region_shingles(one, least), "tokens")
-    left, right = (tokens.toDF("token", *(f"{c}_{side}" for c in ("key", "start", "class", "fewest"))) for side in "ax")
-    ends = ["key_a", "start_a", "key_x", "start_x"]
-    meet = left.join(right, "token").where("class_a <> class_x AND key_a < key_x").groupBy(*ends, "fewest_a", "fewest_x").count()
-    meet = written(meet.where((100 + percent) * F.col("count") >= percent * (F.col("fewest_a") + F.col("fewest_x"))).select(*ends, "count"), "meet")
-    of_a = one.select(F.col("key").alias("key_a"), F.col("start").alias("start_a"), F.col("hashes").alias("of_a"))
-    of_x = one.select(F.col("key").alias("key_x"), F.col("start").alias("start_x"), F.col("hashes").alias("of_x"))
-
-    def searched(pairs: DataFrame) -> DataFrame:
-        both = pairs.select(*ends).join(of_a, ["key_a", "start_a"]).join(of_x, ["key_x", "start_x"])
-        both = both.select(F.col("key_a").alias("a"), F.col("start_a").alias("first_a"), F.col("key_x").alias("x"), F.col("start_x").alias("first_x"), "of_a", "of_x")
-        return verified_passages(both.repartition(8 * spark.sparkContext.defaultParallelism), least, percent, whole=True)
-
-    # each region with the one it has most in common with; then all pairs that are still apart
-    best = meet.groupBy("key_a", "start_a").agg(F.max_by(F.struct("key_x", "start_x"), "count").alias("x")).select("key_a", "start_a", "x.*")
-    near = written(equal.unionByName(searched(best)), "near")
-    linked = components(linked.toDF("a", "b").unionByName(_ids(near, first)))
-    classes = first.join(linked, F.col("first_id") == F.col("node"), "left").select("key", F.coalesce("component", "first_id").alias("class"))
-    apart = meet.join(best, ends, "left_anti").join(classes.toDF("key_a", "class_a"), "key_a").join(classes.toDF("key_x", "class_x"), "key_x")
-    return near.unionByName(searched(written(apart.where("class_a <> class_x").select(*ends), "apart")))
+    hot.meet(rest)
+    rest = written(regions_of(marked(send_marks(rest, least, bits, hot), bits, hot), least, percent).join(classes, "key"), "open")
+    tokens = written(signatures(rest, least, percent), "signatures")
+    per_anchor = tokens.select("key", "start", "anchor").distinct().groupBy("anchor").agg(F.count(F.lit(1)).alias("n"))
+    per_anchor = written(per_anchor, "anchors")
+    blocks = max(1, (per_anchor.agg(F.sum("n")).first()[0] or 0) // PER_BLOCK)
+    many = per_anchor.where(F.col("n") > PER_BLOCK).select("anchor", F.ceil(F.col("n") / PER_BLOCK).alias("parts"))  # fewer than there are blocks
+    part = F.pmod(F.xxhash64("key"), F.coalesce("parts", F.lit(1)))
+    tokens = tokens.join(F.broadcast(many), "anchor", "left").select("token", "key", "start", "class", F.pmod(F.xxhash64("anchor", part), F.lit(blocks)).alias("block"))
+    lists = tokens.groupBy("token", F.col("block").alias("other")).agg(F.min("class").alias("low"), F.max("class").alias("high"))
+    meet = tokens.join(lists, "token").where("low <> class OR high <> class")
+    meet = meet.select("key", "start", "block", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two")).distinct()
+    return block_links(written(rest.join(meet, ["key", "start"]).select("one", "two", "block", "key", "start", "class", "hashes"), "blocks"), least, percent)
 
 
 def repeated_passages(
@@ -814,7 +951,7 @@ def repeated_passages(
     long = members.where(F.col("words") >= least_words)
     bits = _bits((long.agg(F.sum("words")).first()[0] or 0) / 1_000_000)
     hot.hashes = hot.hashes & _held_back(bits)
-    regions = written(regions_of(marked(send_marks(rows, least, bits, hot), bits, hot), least, percent), "regions")
+    regions = written(regions_of(marked(send_marks(rows, least, bits, hot), bits, hot), least, percent).drop("shared"), "regions")
     hot.fill(regions, hashes, least)
     positions = regions.agg(F.sum(F.octet_length("hashes")) / 8).first()[0] or 0
     slices = _bits(positions * 2 * hashes / least / per_slice)
