@@ -722,8 +722,11 @@ def _ranges_of_single(a: np.ndarray, x: np.ndarray, least: int, percent: int, ce
     return []
 
 
-def similar_ranges(a: np.ndarray, x: np.ndarray, least: int, percent: int, block: int = 1000) -> list[tuple[int, int, int, int, float]]:
-    """Two ranges that are similar enough, if there are any: (a from, a to, x from, x to, similarity). All are looked at."""
+def similar_ranges(a: np.ndarray, x: np.ndarray, least: int, percent: int, block: int = 1000, fewest: list[int] | None = None) -> list[tuple[int, int, int, int, float]]:
+    """Two ranges that are similar enough, if there are any: (a from, a to, x from, x to, similarity). All are looked at.
+
+    `fewest` has the `fewest_values` of both, if they are known.
+    """
     names, of = np.unique(np.concatenate([a, x]), return_inverse=True)
     sides = of[: len(a)], of[len(a) :]
     if min(len(a), len(x)) < least:
@@ -732,7 +735,7 @@ def similar_ranges(a: np.ndarray, x: np.ndarray, least: int, percent: int, block
         return _ranges_of_single(*sides, least, percent)
     shared = np.isin(np.arange(len(names)), sides[0]) & np.isin(np.arange(len(names)), sides[1])
     column = np.cumsum(shared) - 1
-    fewest = [fewest_values(side, least) for side in sides]
+    fewest = fewest or [fewest_values(side, least) for side in sides]
     ranges = []
     for k, side in enumerate(sides):
         often = np.bincount(side)[side] > 1
@@ -886,8 +889,13 @@ class Block:
                 if self.root[a] == self.root[x]:
                     continue
                 mine, other = self.values[a], self.values[x]
-                search = _ranges_of_single if self.single[a] and self.single[x] else similar_ranges
-                if both := search(mine, other, self.least, self.percent):
+                if self.single[a] and self.single[x]:
+                    both = _ranges_of_single(mine, other, self.least, self.percent)
+                elif self.single[x] and not _may_be_similar(np.isin(other, mine)[None], self.fewest[a : a + 1], self.least, self.percent)[0]:
+                    continue
+                else:
+                    both = similar_ranges(mine, other, self.least, self.percent, fewest=[int(self.fewest[a]), int(self.fewest[x])])
+                if both:
                     yield a, x, shared_passages(mine, other, self.least, self.percent) or both
                     self.root[self.root == self.root[x]] = self.root[a]
 
