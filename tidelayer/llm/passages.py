@@ -46,12 +46,12 @@ AHEAD = (16, -16, 34, -34)
 GRID = 32
 HOT_SHARE = 0.002
 LEVELS = tuple(round(f * 2**32) for f in (0, 0.1, 0.15, 0.2, 0.25, 0.3, 0.4, 0.6, 0.8))  # of the order of shingles in signatures
-PER_BLOCK = 512  # regions of a block, about
+PER_BLOCK = 1024  # regions of a block, about
 PER_LIST = 200_000  # texts of a frequent shingle that meet in one list at most
-MARK = "slice BIGINT, keys BINARY, classes BINARY, sizes BINARY, counts BINARY, low BINARY, high BINARY, step BINARY, far BINARY"
+MARK = "slice BIGINT, keys BINARY, classes BINARY, sizes BINARY, counts BINARY, low BINARY, high BINARY, step BINARY"
 BACK = "bucket BIGINT, keys BINARY, sizes BINARY, counts BINARY, at BINARY, shared BINARY, hashes BINARY"
 REGIONS = "key BIGINT, start BIGINT, hashes BINARY, shared BINARY"
-SIGNATURES = "token BIGINT, key BIGINT, start BIGINT, class BIGINT, anchor BIGINT"
+SIGNATURES = "token BIGINT, key BIGINT, start BIGINT, class BIGINT"
 SEND = "slice BIGINT, keys BINARY, counts BINARY, low BINARY, high BINARY, hash BINARY, at BINARY, back BINARY, on BINARY, near BINARY"
 PAIRS = "bucket BIGINT, a BINARY, x BINARY, hash BINARY, place BINARY"
 SPAN = "key BIGINT, s BIGINT, e BIGINT, first BIGINT, hashes BINARY"
@@ -193,7 +193,7 @@ class References:
                     columns = [place, np.full(len(at), i), r.key[region], at - r.first[region] + r.start[region], at - low, high - at]
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=names)
 
-        few = spark.createDataFrame([(r["key"],) for r in chosen], "key BIGINT").distinct()
+        few = spark.createDataFrame(pa.table({"key": pa.array(np.unique([r["key"] for r in chosen]), pa.int64())}))
         found = regions.join(F.broadcast(few), "key").mapInArrow(lean(run), ", ".join(f"{c} BIGINT" for c in names))
         best = found.groupBy("place", "number").agg(F.max_by(F.struct("key", "at", "back", "on"), F.col("back") + F.col("on")).alias("w"))
         windows = best.select("place", "number", "w.*").orderBy("place", "number").collect()
@@ -219,6 +219,19 @@ def _binary(rows: list[tuple], names: list[str], numbers: int = 1) -> list[pa.Ar
     return [pa.array(c, pa.int64() if i < numbers else pa.binary()) for i, c in enumerate(columns)]
 
 
+def _planes(numbers: np.ndarray) -> bytes:
+    """The lowest bytes of all numbers, then the next ones, and so on: those that are all zero or all alike are compressed to next to nothing."""
+    return np.ascontiguousarray(numbers.view(np.uint8).reshape(len(numbers), -1).T).tobytes()
+
+
+def _read_planes(table: pa.Table, name: str, kind: str, width: int = 1) -> np.ndarray:
+    """The numbers of all rows of a column; with `width`, so many as a row of an array."""
+    size = np.dtype(kind).itemsize * width
+    parts = [np.frombuffer(x, np.uint8).reshape(size, -1).T for x in table.column(name).to_pylist()]
+    whole = np.ascontiguousarray(np.concatenate([np.empty((0, size), np.uint8), *parts])).view(kind)
+    return whole if width > 1 else whole.ravel()
+
+
 def _held_back(bits: int) -> np.uint64:
     """The bits of a hash that travel: 48 beside those of the slice."""
     return U64((2**64 - 1) ^ ((1 << max(0, 16 - bits)) - 1))
@@ -226,7 +239,7 @@ def _held_back(bits: int) -> np.uint64:
 
 def _marks(held: list[tuple], bits: int, hot: References) -> list[tuple]:
     keys, classes, sizes, last, hashes, at = (np.concatenate(x) for x in zip(*held, strict=True))
-    owner = np.repeat(np.arange(len(keys)), sizes)
+    owner, known = np.repeat(np.arange(len(keys)), sizes), not np.array_equal(keys, classes)
     place = hot.places(hashes)
     by_key = (keys.view(U64) >> U64(64 - bits)) + U64(1 << bits)
     part = np.where(place >= 0, by_key[owner], hashes >> U64(64 - bits)).astype(np.uint32)
@@ -240,14 +253,17 @@ def _marks(held: list[tuple], bits: int, hot: References) -> list[tuple]:
         runs = np.flatnonzero(new[a:b])
         who = owner[a:b][runs]
         counts = np.diff(np.append(runs, b - a)).astype("<u4")
-        small = [token[a:b].astype("<u4"), (token[a:b] >> U64(32)).astype("<u2"), step[a:b].astype("<u2"), (step[a:b] >> 16).astype("<u2")]
-        rows.append((int(part[a]), *(x.tobytes() for x in (keys[who], classes[who], last[who].astype("<u4"), counts, *small))))
+        small = [_planes(x) for x in (last[who].astype("<u4"), counts)]
+        small += [token[a:b].astype("<u4").tobytes(), (token[a:b] >> U64(32)).astype("<u2").tobytes(), _planes(step[a:b])]
+        rows.append((int(part[a]), keys[who].tobytes(), classes[who].tobytes() if known else b"", *small))
     return rows
 
 
 def send_marks(rows: DataFrame, least: int, bits: int, hot: References, batch_size: int = 2_000_000) -> DataFrame:
     """All shingles of all texts that are long enough, or of regions with the `class` of their text, by slice of the hash range.
 
+    Classes are sent where they are not the keys of the texts.
+
     A text that occurs twice in a task is sent once. Frequent shingles go to further slices by the key of their text.
     """
     names, mask = [c.split()[0] for c in MARK.split(", ")], _held_back(bits)
@@ -288,10 +304,11 @@ def marked(sent: DataFrame, bits: int, hot: References) -> DataFrame:
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         give_back()
         slice_ = key[0].as_py()
-        keys, classes, counts = _read(table, "keys", "<i8"), _read(table, "classes", "<i8"), _read(table, "counts", "<u4").astype(np.int64)
-        sizes = _read(table, "sizes", "<u4")
+        keys, counts, sizes = _read(table, "keys", "<i8"), _read_planes(table, "counts", "<u4").astype(np.int64), _read_planes(table, "sizes", "<u4")
+        own = [k if len(c) == 0 else c for k, c in zip(table.column("keys").to_pylist(), table.column("classes").to_pylist(), strict=True)]
+        classes = np.frombuffer(b"".join(own), "<i8")
         token = _read(table, "low", "<u4").astype(U64) | (_read(table, "high", "<u2").astype(U64) << U64(32))
-        at = _read(table, "step", "<u2").astype(np.int64) + (_read(table, "far", "<u2").astype(np.int64) << 16)
+        at = _read_planes(table, "step", "<u4").astype(np.int64)
         owner = np.repeat(np.arange(len(keys)), counts)
         begin, at = np.cumsum(counts) - counts, np.append(0, np.cumsum(at))
         at = at[1:] - np.repeat(at[begin], counts)
@@ -323,8 +340,8 @@ def marked(sent: DataFrame, bits: int, hot: References) -> DataFrame:
             runs = _runs(owner[a:b])
             who = owner[a:b][runs]
             counts = np.diff(np.append(runs, b - a)).astype("<u4")
-            small = (keys[who], sizes[who], counts, at[a:b].astype("<u4"), shared[a:b], hashes[a:b])
-            rows.append((int(bucket[a]), *(x.tobytes() for x in small)))
+            small = (sizes[who], counts, at[a:b].astype("<u4"), shared[a:b], hashes[a:b])
+            rows.append((int(bucket[a]), keys[who].tobytes(), *(_planes(x) for x in small)))
         return pa.table(_binary(rows, names), names=names)
 
     return sent.groupBy("slice").applyInArrow(run, BACK)
@@ -340,18 +357,83 @@ def _open(score: np.ndarray, text: np.ndarray) -> np.ndarray:
     return np.minimum.accumulate(before) <= np.maximum.accumulate(sums[::-1])[::-1]
 
 
-def regions_of(back: DataFrame, least: int, percent: int) -> DataFrame:
+class Repeats:
+    """Where the values of ranges of `sizes` places, one behind the other, stand again: `before` and `after` within the range, and how
+    often (`times`); `kinds` are the distinct values of the `least` places from each on."""
+
+    def __init__(self, values: np.ndarray, sizes: np.ndarray, least: int):
+        count, self.least, self.sizes = len(values), least, sizes
+        self.of = np.repeat(np.arange(len(sizes)), sizes)
+        self.first = np.cumsum(sizes) - sizes
+        order = np.argsort(values, kind="stable")
+        order = order[np.argsort(self.of[order].astype(np.uint16 if len(sizes) < 1 << 16 else np.int64), kind="stable")]
+        same = (values[order][1:] == values[order][:-1]) & (self.of[order][1:] == self.of[order][:-1])
+        self.before, self.after, self.times = np.full(count, -1), np.full(count, 4 * count), np.ones(count, np.int64)
+        self.before[order[1:][same]], self.after[order[:-1][same]] = order[:-1][same], order[1:][same]
+        group = np.cumsum(np.append(True, ~same)[:count]) - 1
+        self.times[order] = np.bincount(group)[group] if count else self.times
+        self.kinds = self._distinct(np.arange(count))
+
+    def _distinct(self, some: np.ndarray) -> np.ndarray:
+        """How many distinct values, of those in the places `some`, the `least` places from each on have; right if these lie in the range."""
+        first, last = self.first[self.of[some]], (self.first + self.sizes)[self.of[some]]
+        low, high = np.maximum(some - self.least + 1, first), np.minimum(np.minimum(some, self.after[some] - self.least), last - self.least)
+        good, count = high >= low, len(self.of) + 1
+        return np.cumsum(np.bincount(low[good], minlength=count) - np.bincount(high[good] + 1, minlength=count))[:-1]
+
+    def take(self, ranges: np.ndarray) -> tuple[Repeats, np.ndarray]:
+        """The same of some ranges, which may come several times; and the places that they have here."""
+        new = object.__new__(Repeats)
+        new.least, new.sizes = self.least, self.sizes[ranges]
+        new.first = np.cumsum(new.sizes) - new.sizes
+        new.of = np.repeat(np.arange(len(ranges)), new.sizes)
+        moved = np.repeat(new.first - self.first[ranges], new.sizes)
+        places = np.arange(len(moved)) - moved
+        new.before, new.after, new.times, new.kinds = self.before[places] + moved, self.after[places] + moved, self.times[places], self.kinds[places]
+        return new, places
+
+    def open(self, shared: np.ndarray, percent: int, fewest: np.ndarray | int = 0) -> np.ndarray:
+        """The places of all parts of the ranges, of at least the least width, whose distinct values can be `percent` shared ones, and
+        that can be similar to a set of `fewest` values.
+
+        A value that is not shared counts in a part with 1 / `times` at least for each of its places. In any `least` places of such a
+        part, no more values can be without a share than the shared ones of the whole part make up for. The part lies
+        between places where that fails, so it is looked at again with what is shared there.
+        """
+        count, least = len(shared), self.least
+        inside = _open(np.where(shared, (100 - percent) * 5040, -(percent * 5040 // self.times)), self.of)
+        closed, place = np.append(0, np.cumsum(~inside)), np.arange(count)
+        ok = (place + least <= (self.first + self.sizes)[self.of]) & (closed[np.minimum(place + least, count)] == closed[:-1])
+        own = self._distinct(np.flatnonzero(~shared))
+        need = self.kinds + (fewest[self.of] if isinstance(fewest, np.ndarray) else fewest)
+        while True:
+            at = np.flatnonzero(ok)
+            new = np.flatnonzero(np.append(True, (np.diff(at) > 1) | (self.of[at][1:] != self.of[at][:-1]))[: len(at)])
+            times = np.diff(np.append(new, len(at)))
+            begin, size = at[new], times + least - 1
+            part = np.repeat(np.arange(len(new)), size)
+            places = np.arange(len(part)) - np.repeat(np.cumsum(size) - size - begin, size)
+            most = np.repeat(np.bincount(part[shared[places] & (self.before[places] < begin[part])], minlength=len(new)), times)
+            fits = (own[at] * percent <= (100 - percent) * most) & ((100 + percent) * most >= percent * need[at])
+            if fits.all():
+                break
+            ok[at[~fits]] = False
+        change = np.bincount(at, minlength=count + 1) - np.bincount(at + least, minlength=count + 1)
+        return np.cumsum(change)[:-1] > 0
+
+
+def regions_of(back: DataFrame, least: int, percent: int, distinct: bool = False) -> DataFrame:
     """Ranges of texts where a passage with a link can lie: at least `percent` of the values of some range there are shared.
 
-    A shingle that is not gets a value of its own in its place, unless the text repeats it. `shared` has a byte per shingle.
+    A shingle that is not gets a value of its own in its place, unless the text repeats it. `shared` has a byte per shingle. What the
+    text repeats does not count against a range, unless the `distinct` values are looked at.
     """
     names = [c.split()[0] for c in REGIONS.split(", ")]
 
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         give_back()
-        counts = _read(table, "counts", "<u4")
-        owner, sizes = np.repeat(_read(table, "keys", "<i8"), counts), np.repeat(_read(table, "sizes", "<u4").astype(np.int64), counts)
-        at, shared, hashes = _read(table, "at", "<u4").astype(np.int64), _read(table, "shared", "?"), _read(table, "hashes", "<u8")
+        counts, sizes, at, hashes = (_read_planes(table, c, k) for c, k in (("counts", "<u4"), ("sizes", "<u4"), ("at", "<u4"), ("hashes", "<u8")))
+        owner, sizes, at, shared = np.repeat(_read(table, "keys", "<i8"), counts), np.repeat(sizes.astype(np.int64), counts), at.astype(np.int64), _read(table, "shared", "?")
         order = np.lexsort((at, owner))
         starts = _runs(owner[order])
         times = np.diff(np.append(starts, len(order)))
@@ -373,7 +455,7 @@ def regions_of(back: DataFrame, least: int, percent: int) -> DataFrame:
         real[place] = True
         filler = np.flatnonzero(~real)
         value[filler] = mixed(mixed((filler - begin[text[filler]] + low[text[filler]]).astype(U64)) ^ owner[starts][text[filler]].view(U64))
-        inside = _open(score, text)
+        inside = Repeats(value, sizes, least).open(score > 0, percent) if distinct else _open(score, text)
         edge = np.flatnonzero(np.append(True, (inside[1:] != inside[:-1]) | (text[1:] != text[:-1])))
         out = []
         for a, b in _ranges(edge, len(inside)):
@@ -447,9 +529,9 @@ def _sliced(held: list[tuple], bits: int, hot: References) -> list[tuple]:
     for a, b in _ranges(starts, len(part)):
         runs = _runs(key[a:b])
         counts = np.diff(np.append(runs, b - a)).astype("<u4")
-        small = [x[a:b].astype("<u4").tobytes() for x in (at, back, on)]
+        small = [_planes(x[a:b].astype("<u4")) for x in (at, back, on)]
         parts = [token[a:b].astype("<u4").tobytes(), (token[a:b] >> U64(32)).astype(np.uint8).tobytes(), number[a:b].tobytes(), *small, near[a:b].tobytes()]
-        rows.append((int(part[a]), key[a:b][runs].tobytes(), counts.tobytes(), *parts))
+        rows.append((int(part[a]), key[a:b][runs].tobytes(), _planes(counts), *parts))
     return rows
 
 
@@ -459,9 +541,9 @@ def window_pairs(sent: DataFrame, bits: int, hot: References) -> DataFrame:
 
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         give_back()
-        keys, counts = _read(table, "keys", "<i8"), _read(table, "counts", "<u4")
+        keys, counts = _read(table, "keys", "<i8"), _read_planes(table, "counts", "<u4")
         token = _read(table, "low", "<u4").astype(U64) | (_read(table, "high", "u1").astype(U64) << U64(32))
-        number, at = _read(table, "hash", "u1"), _read(table, "at", "<u4")
+        number, at = _read(table, "hash", "u1"), _read_planes(table, "at", "<u4")
         owner = np.repeat(keys, counts)
         # a text that several tasks have sent is taken once
         same = mixed(mixed(token + number) ^ (at.astype(U64) << U64(20)) ^ owner.view(U64))
@@ -473,7 +555,7 @@ def window_pairs(sent: DataFrame, bits: int, hot: References) -> DataFrame:
             low, high = np.minimum.reduceat(owner[places], starts), np.maximum.reduceat(owner[places], starts)
             places = places[np.repeat(low < high, np.diff(np.append(starts, len(places))))]
         owner, token, number, at = (x[places] for x in (owner, token, number, at))
-        back, on, near = _read(table, "back", "<u4")[places], _read(table, "on", "<u4")[places], _read(table, "near", "<u4").reshape(-1, len(AHEAD))[places]
+        back, on, near = _read_planes(table, "back", "<u4")[places], _read_planes(table, "on", "<u4")[places], _read(table, "near", "<u4").reshape(-1, len(AHEAD))[places]
         if frequent:  # what the reference windows are to the others is appended behind them
             reference = hot.of(token, number)
             used = np.unique(reference[reference >= 0])
@@ -501,61 +583,55 @@ def window_pairs(sent: DataFrame, bits: int, hot: References) -> DataFrame:
         place = np.stack([at[a], back[a], on[a], at[x], back[x], on[x]], 1).astype("<u4")
         rows, starts = [], _runs(bucket)
         for i, j in _ranges(starts, len(bucket)):
-            rows.append((int(bucket[i]), owner[a[i:j]].tobytes(), owner[x[i:j]].tobytes(), number[x[i:j]].tobytes(), place[i:j].tobytes()))
+            rows.append((int(bucket[i]), owner[a[i:j]].tobytes(), owner[x[i:j]].tobytes(), number[x[i:j]].tobytes(), _planes(place[i:j])))
         return pa.table(_binary(rows, names), names=names)
 
     return sent.groupBy("slice").applyInArrow(run, PAIRS)
 
 
-def regions(number: np.ndarray, place: np.ndarray, hashes: int, enough: int, least: int) -> list[tuple[int, int, int, int]]:
-    """Where aligned windows of at least `enough` hash functions overlap: ranges of a and x, for one pair of texts."""
+def overlaps(pair: np.ndarray, number: np.ndarray, place: np.ndarray, enough: int, least: int) -> tuple[np.ndarray, ...]:
+    """Where aligned windows of at least `enough` hash functions overlap, for all pairs of texts: the pair and its ranges of a and x."""
+    if not len(pair):
+        return (np.empty(0, np.int64),) * 5
     at_a, at_x = place[:, 0].astype(np.int64), place[:, 3].astype(np.int64)
     back, on = np.minimum(place[:, 1], place[:, 4]).astype(np.int64), np.minimum(place[:, 2], place[:, 5]).astype(np.int64)
     shift = at_x - at_a
-    order = np.argsort(shift, kind="stable")
-    cuts = np.flatnonzero(np.diff(shift[order]) > 2 * WIDTH) + 1
-    found = []
-    for group in np.split(order, cuts):
-        if len(np.unique(number[group])) < enough:
-            continue
-        events = sorted([(int(at_a[g] - back[g]), 0, int(number[g])) for g in group] + [(int(at_a[g] + on[g]), 1, int(number[g])) for g in group])
-        open_, covered, start = [0] * hashes, 0, None
-        low, high = int(shift[group].min()), int(shift[group].max())
-        for point, ends, h in events:
-            if not ends:
-                open_[h] += 1
-                covered += open_[h] == 1
-                if covered >= enough and start is None:
-                    start = point
-            else:
-                open_[h] -= 1
-                covered -= open_[h] == 0
-                if covered < enough and start is not None:
-                    if point - start + 1 >= least // 2:
-                        found.append((start, point, max(0, start + low), point + high))
-                    start = None
-    return found
-
-
-def candidates(pairs: DataFrame, hashes: int, enough: int, least: int) -> DataFrame:
+    order = np.lexsort((shift, pair))
+    group = np.cumsum(np.append(0, (np.diff(shift[order]) > 2 * WIDTH) | (np.diff(pair[order]) != 0)))[: len(order)]  # windows on nearby diagonals
+    starts = _runs(group)
+    low, high, of = shift[order][starts], shift[order][np.append(starts[1:], len(order)) - 1], pair[order][starts]
+    begin, end, number = (at_a - back)[order], (at_a + on)[order], number[order].astype(np.int64)
+    order = np.lexsort((begin, number, group))
+    begin, end, group, number = begin[order], end[order], group[order], number[order]
+    kind = np.cumsum(np.append(False, (np.diff(group) != 0) | (np.diff(number) != 0)))[: len(order)]
+    some = np.bincount(group[_runs(kind)], minlength=len(starts))[group] >= enough
+    begin, end, group, kind = begin[some], end[some], group[some], kind[some]
+    far = int(end.max(initial=0)) + 1
+    reach = np.maximum.accumulate(end + kind * far)
+    new = np.append(True, (kind[1:] != kind[:-1]) | (begin[1:] + kind[1:] * far > reach[:-1]))[: len(kind)]  # of one hash function those that touch are one
+    heads = np.flatnonzero(new)
+    point = np.append(begin[heads], (reach - kind * far)[np.append(heads[1:], len(kind)) - 1] if len(heads) else heads)
+    ends, group = np.repeat([0, 1], len(heads)), np.tile(group[heads], 2)
+    order = np.lexsort((ends, point, group))
+    point, ends, group = point[order], ends[order], group[order]
+    covered = np.cumsum(1 - 2 * ends)
+    first, last = (np.flatnonzero(x) for x in ((ends == 0) & (covered == enough), (ends == 1) & (covered == enough - 1)))
+    wide = point[last] - point[first] + 1 >= least // 2
+    start, stop, group = point[first][wide], point[last][wide], group[first][wide]
+    return of[group], start, stop, np.maximum(0, start + low[group]), stop + high[group]
+
+
+def candidates(pairs: DataFrame, enough: int, least: int) -> DataFrame:
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         give_back()
-        a, x, number = _read(table, "a", "<i8"), _read(table, "x", "<i8"), _read(table, "hash", "u1")
-        place = _read(table, "place", "<u4").reshape(-1, 6)
-        order = np.lexsort((number, x, a))
+        a, x, number, place = _read(table, "a", "<i8"), _read(table, "x", "<i8"), _read(table, "hash", "u1"), _read_planes(table, "place", "<u4", 6)
+        order = np.lexsort((x, a))
         a, x, number, place = a[order], x[order], number[order], place[order]
         new = np.append(True, (a[1:] != a[:-1]) | (x[1:] != x[:-1]))[: len(a)]
-        starts = np.flatnonzero(new)
-        kinds = np.add.reduceat((new | np.append(True, number[1:] != number[:-1])[: len(a)]).astype(np.int64), starts) if len(a) else np.empty(0, np.int64)
-        ends = np.append(starts[1:], len(a))
-        out = set()
-        for i in np.flatnonzero(kinds >= enough):
-            s, e = starts[i], ends[i]
-            for sa, ea, sx, ex in regions(number[s:e], place[s:e], hashes, enough, least):
-                cells = (sa // GRID, ea // GRID + 1, sx // GRID, ex // GRID + 1)
-                out.add((int(a[s]), int(x[s]), *(int(c) * GRID for c in cells)))
-        columns = list(zip(*sorted(out), strict=True)) or [[] for _ in range(6)]
-        return pa.table([pa.array(c, pa.int64()) for c in columns], names=[c.split()[0] for c in CANDIDATES.split(", ")])
+        pair, sa, ea, sx, ex = overlaps(np.cumsum(new) - 1, number, place, enough, least)
+        cells = (sa // GRID * GRID, (ea // GRID + 1) * GRID, sx // GRID * GRID, (ex // GRID + 1) * GRID)
+        found = np.unique(np.stack([a[new][pair], x[new][pair], *cells], 1), axis=0)
+        return pa.table([pa.array(c, pa.int64()) for c in found.T], names=[c.split()[0] for c in CANDIDATES.split(", ")])
 
     return pairs.groupBy("bucket").applyInArrow(run, CANDIDATES)
 
@@ -592,21 +668,29 @@ def _segments(shared: np.ndarray, gap: int) -> list[tuple[int, int]]:
 def shared_passages(a: np.ndarray, x: np.ndarray, least: int, percent: int) -> list[tuple[int, int, int, int, float]]:
     """Trimmed ranges of two shingle sequences whose sets are similar enough: (a from, a to, x from, x to, similarity)."""
     found: list[tuple[int, int, int, int, float]] = []
-    in_x = np.isin(a, x)
+    names, of = np.unique(np.concatenate([a, x]), return_inverse=True)
+    a, x = of[: len(a)], of[len(a) :]
+
+    def has(values: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(names), bool)
+        out[values] = True
+        return out
+
+    in_x = has(x)[a]
     for gap in (2 * WIDTH, WIDTH, 0):
         for s, e in _segments(in_x, gap):
             if e - s < least or any(f[0] <= s and e <= f[1] for f in found):
                 continue
-            for t, u in _segments(np.isin(x, a[s:e]), gap):
+            for t, u in _segments(has(a[s:e])[x], gap):
                 if u - t < least:
                     continue
-                inside = np.flatnonzero(np.isin(a[s:e], x[t:u]))
+                right = has(x[t:u])
+                inside = np.flatnonzero(right[a[s:e]])
                 if not len(inside):
                     continue
                 p, q = s + int(inside[0]), s + int(inside[-1]) + 1
-                left, right = np.unique(a[p:q]), np.unique(x[t:u])
-                both = len(np.intersect1d(left, right, assume_unique=True))
-                whole = len(left) + len(right) - both
+                left = has(a[p:q])
+                both, whole = np.count_nonzero(left & right), np.count_nonzero(left | right)
                 if q - p >= least and 100 * both >= percent * whole:
                     found.append((p, q, t, u, both / whole))
     return found
@@ -797,7 +881,7 @@ def _ids(passages: DataFrame, first: DataFrame) -> DataFrame:
 
 
 def signatures(regions: DataFrame, least: int, percent: int) -> DataFrame:
-    """Rows per region, of which two similar ranges of different classes have at least one `token` in common; `anchor` is the least of them.
+    """Rows per region, of which two similar ranges of different classes have at least one `token` in common.
 
     All shingles have one order: those that one class has alone come first, then by hash. Of what two similar ranges share, let t be
     the first in that order. What comes before t is not shared, so at most 100 - `percent` of a hundred in either range do. A
@@ -810,23 +894,17 @@ def signatures(regions: DataFrame, least: int, percent: int) -> DataFrame:
             r = Regions(batch)
             text, shared = np.repeat(np.arange(len(r.n)), r.n), np.frombuffer(b"".join(batch.column("shared").to_pylist()), bool)
             rank = (mixed(r.hashes) >> U64(32)).astype(np.int64)
-            order = np.lexsort((r.hashes, text))
-            same = (text[order][1:] == text[order][:-1]) & (r.hashes[order][1:] == r.hashes[order][:-1])
-            often = np.zeros(len(text), bool)
-            often[order[1:][same]] = often[order[:-1][same]] = True
-            taken = np.zeros(len(text), bool)
+            repeats, taken = Repeats(r.hashes, r.n, least), np.zeros(len(text), bool)
             for low, high in zip(LEVELS, (*LEVELS[1:], 1 << 32), strict=True):
-                inside = _open(np.where(shared & (rank >= low), 100 - percent, np.where(often, 0, -percent)), text)
-                edge = np.flatnonzero(np.append(True, (inside[1:] != inside[:-1]) | (text[1:] != text[:-1]))[: len(text)])
-                sizes = np.diff(np.append(edge, len(text)))
-                taken |= inside & np.repeat(sizes >= least, sizes) & shared & (rank >= low) & (rank < high)
-            order = order[taken[order] & ~np.append(False, same)[: len(order)]]  # each shingle of a region once
-            owner, rank = text[order], rank[order]
-            order = order[np.lexsort((rank, owner))]
-            owner, starts = text[order], _runs(text[order])
-            token = r.hashes[order].view(np.int64)
-            anchor = np.repeat(token[starts], np.diff(np.append(starts, len(order))))
-            columns = (token, r.key[owner], r.start[owner], batch.column("class").to_numpy()[owner], anchor)
+                some = shared & (rank >= low) & (rank < high)
+                if some.any():
+                    taken |= some & repeats.open(shared & (rank >= low), percent)
+            pairs = np.flatnonzero(taken)
+            pairs = pairs[np.lexsort((r.hashes[pairs], text[pairs]))]
+            token, owner = r.hashes[pairs].view(np.int64), text[pairs]
+            new = np.append(True, (token[1:] != token[:-1]) | (owner[1:] != owner[:-1]))[: len(pairs)]  # each shingle of a region once
+            token, owner = token[new], owner[new]
+            columns = (token, r.key[owner], r.start[owner], batch.column("class").to_numpy()[owner])
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=names)
 
     return regions.mapInArrow(lean(run), SIGNATURES)
@@ -853,8 +931,11 @@ class Block:
         r, count = self.regions, len(self.regions.n)
         names, values = np.unique(r.hashes, return_inverse=True)
         self.values = np.split(values, r.first[1:])
-        self.single = np.array([len(np.unique(v)) == len(v) for v in self.values], bool)
-        self.fewest = np.array([least if one else fewest_values(v, least) for v, one in zip(self.values, self.single, strict=True)])
+        self.repeats, self.places = Repeats(values, r.n, least), values
+        self.single, self.fewest = np.ones(count, bool), np.full(count, least)
+        self.single[self.repeats.of[self.repeats.times > 1]] = False
+        start = np.flatnonzero(np.arange(len(values)) + least <= (r.first + r.n)[self.repeats.of])
+        np.minimum.at(self.fewest, self.repeats.of[start], self.repeats.kinds[start])
         self.root = np.unique(table.column("class").to_numpy(), return_inverse=True)[1]
         pairs = np.unique(values * count + np.repeat(np.arange(count), r.n))
         self.posts, self.begin = pairs % count, np.searchsorted(pairs, np.arange(len(names) + 1) * count)
@@ -878,8 +959,32 @@ class Block:
                 shared[posts[part] - i, at[part]] = True
                 kept.append(found[i : i + 500][_may_be_similar(shared, self.fewest[found[i : i + 500]], self.least, self.percent)])
             found = np.concatenate(kept)
+        else:
+            found = self.kept(found, a, np.full(len(found), a), found)
+        found = self.kept(found, a, found, np.full(len(found), a))
         return found[np.argsort(-both[found], kind="stable")]
 
+    def kept(self, found: np.ndarray, a: int, mine: np.ndarray, other: np.ndarray, places: int = 200_000) -> np.ndarray:
+        """Those of `found` of which the region in `mine` has a part that can be similar to one in `other`; one of both is `a`."""
+        own, sizes, kept = np.zeros(len(self.begin) - 1, bool), np.cumsum(self.repeats.sizes[mine]), []
+        own[self.values[a]] = True
+        cuts = np.append(_runs(sizes // places), len(found)).tolist()
+        for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+            repeats, at = self.repeats.take(mine[i:j])
+            if mine[i] == a:
+                shared = np.concatenate([self.has(x)[self.values[a]] for x in found[i:j].tolist()])
+            else:
+                shared = own[self.places[at]]
+            inside = repeats.open(shared, self.percent, self.fewest[other[i:j]])
+            kept.append(found[i:j][np.bincount(repeats.of[inside], minlength=j - i) > 0])
+        return np.concatenate([found[:0], *kept])
+
+    def has(self, x: int) -> np.ndarray:
+        """Which values region `x` has."""
+        out = np.zeros(len(self.begin) - 1, bool)
+        out[self.values[x]] = True
+        return out
+
     def links(self, left: np.ndarray, right: np.ndarray) -> Iterator[tuple[int, int, list[tuple[int, int, int, int, float]]]]:
         """Pairs of regions of classes that no pair before has connected, with their similar ranges; `left` and `right` say who is compared with whom."""
         for a in np.flatnonzero(left).tolist():
@@ -922,17 +1027,21 @@ def block_links(members: DataFrame, least: int, percent: int) -> DataFrame:
 def across_classes(regions: DataFrame, first: DataFrame, linked: DataFrame, hot: References, bits: int, least: int, percent: int) -> DataFrame:
     """Passages that connect classes: all pairs of texts of different classes that could have one are searched, until a task knows their classes as one.
 
-    Shingles are marked once more, now where texts of different classes have them. Regions are dealt to blocks by the least
-    shingle of their signature, those of a frequent one to several. A region goes to a pair of blocks if it has a shingle of its
-    signature in common with a region of another class in the other block; there the pairs are compared without a row for each.
+    Shingles are marked once more, now where texts of different classes have them. Regions are dealt to blocks by the shingle of
+    their signature that most others have, so that what has much in common lies in one block; those of a frequent one go to several.
+    A region goes to a pair of blocks if it has a shingle of its signature in common with a region of another class in the other
+    block; there the pairs are compared without a row for each.
     """
     classes = first.join(linked, F.col("first_id") == F.col("node"), "left").select("key", F.coalesce("component", "first_id").alias("class"))
     rest = regions.join(classes, "key")
     hot.meet(rest)
-    rest = written(regions_of(marked(send_marks(rest, least, bits, hot), bits, hot), least, percent).join(classes, "key"), "open")
+    rest = written(regions_of(marked(send_marks(rest, least, bits, hot), bits, hot), least, percent, distinct=True).join(classes, "key"), "open")
     tokens = written(signatures(rest, least, percent), "signatures")
-    per_anchor = tokens.select("key", "start", "anchor").distinct().groupBy("anchor").agg(F.count(F.lit(1)).alias("n"))
-    per_anchor = written(per_anchor, "anchors")
+    lists = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.min("class").alias("low"), F.max("class").alias("high"))
+    tokens = tokens.join(lists.where("low < high").select("token", "n"), "token")
+    anchors = tokens.groupBy("key", "start").agg(F.max(F.struct("n", "token"))["token"].alias("anchor"))
+    tokens = written(tokens.drop("n").join(anchors, ["key", "start"]), "tokens")
+    per_anchor = written(tokens.select("key", "start", "anchor").distinct().groupBy("anchor").agg(F.count(F.lit(1)).alias("n")), "anchors")
     blocks = max(1, (per_anchor.agg(F.sum("n")).first()[0] or 0) // PER_BLOCK)
     many = per_anchor.where(F.col("n") > PER_BLOCK).select("anchor", F.ceil(F.col("n") / PER_BLOCK).alias("parts"))  # fewer than there are blocks
     part = F.pmod(F.xxhash64("key"), F.coalesce("parts", F.lit(1)))
@@ -957,14 +1066,14 @@ def repeated_passages(
     hot, members = members.where("frequent"), members.where("NOT frequent")
     hot = frequent_shingles(hot, members.count(), hot_share)
     long = members.where(F.col("words") >= least_words)
-    bits = _bits((long.agg(F.sum("words")).first()[0] or 0) / 1_000_000)
+    bits = _bits((long.agg(F.sum("words")).first()[0] or 0) / 2_000_000)
     hot.hashes = hot.hashes & _held_back(bits)
     regions = written(regions_of(marked(send_marks(rows, least, bits, hot), bits, hot), least, percent).drop("shared"), "regions")
     hot.fill(regions, hashes, least)
     positions = regions.agg(F.sum(F.octet_length("hashes")) / 8).first()[0] or 0
     slices = _bits(positions * 2 * hashes / least / per_slice)
     pairs = window_pairs(send_windows(regions, hashes, least, slices, hot), slices, hot)
-    found = written(candidates(pairs, hashes, enough, least), "candidates")
+    found = written(candidates(pairs, enough, least), "candidates")
     sides = found.select(F.col("a").alias("key"), F.col("sa").alias("s"), F.col("ea").alias("e"))
     sides = sides.unionByName(found.select(F.col("x").alias("key"), F.col("sx").alias("s"), F.col("ex").alias("e"))).distinct()
     spans = written(span_shingles(regions, sides, least), "spans")
