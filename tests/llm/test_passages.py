@@ -2,10 +2,27 @@ import random
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tests.llm.conftest import PROSE
-from tidelayer.llm.passages import SEND, References, _ranges_of_single, _sliced, compact_windows, frequent_shingles, repeated_passages, sequence_keys, shared_passages, similar_ranges, window_pairs
+from tidelayer.llm.passages import (
+    SEND,
+    References,
+    Repeats,
+    _planes,
+    _ranges_of_single,
+    _read_planes,
+    _sliced,
+    compact_windows,
+    frequent_shingles,
+    overlaps,
+    repeated_passages,
+    sequence_keys,
+    shared_passages,
+    similar_ranges,
+    window_pairs,
+)
 from tidelayer.llm.texts import written
 from tidelayer.llm.words import mixed
 from tidelayer.session import shared_dir
@@ -240,3 +257,71 @@ def test_no_row_per_pair_of_a_group_that_stays_apart(spark):
     assert got.count() == 0
     sizes = [spark.read.parquet(str(f)).count() for f in set(folder.glob("*")) - before if list(f.glob("*.parquet"))]
     assert max(sizes) < 40 * n < n * (n - 1) / 2
+
+
+def test_open_places_hold_all_ranges_that_share_enough():
+    """Values that repeat count once: no range that shares enough of its distinct values is closed, and most others are."""
+    r, kept, places = np.random.default_rng(8), 0, 0
+    for _ in range(300):
+        sizes = r.integers(4, 30, 3)
+        values, shared = r.integers(0, r.integers(3, 25), sizes.sum()).astype(np.uint64), r.random(25) < r.random()
+        mine, fewest = shared[values.astype(int)], int(r.integers(0, 6))
+        inside = Repeats(values, sizes, 5).open(mine, 80, fewest)
+        first = np.cumsum(sizes) - sizes
+        for a, b in zip(first, first + sizes):
+            for i in range(a, b):
+                for j in range(i + 5, b + 1):
+                    both, size = len(set(values[i:j][mine[i:j]].tolist())), len(set(values[i:j].tolist()))
+                    if 5 * both >= 4 * size and 9 * both >= 4 * (size + fewest):
+                        assert inside[i:j].all()
+                        kept += 1
+        places += int((~inside).sum())
+    assert kept > 1000 and places > 1000
+
+
+def test_repeated_lines_around_a_common_one_meet_nowhere(spark):
+    """A line of its own again and again, and one that all texts have: no range is like one of another text, so none is compared."""
+    common, rows = prose("common line", 12), []
+    for i in range(120):
+        line = prose(f"line{i}", 8)
+        rows.append((i, " ".join(line * 15 + common + line * 15)))
+    folder = Path(shared_dir(spark)) / "tidelayer"
+    before = set(folder.glob("*"))
+    assert repeated_passages(spark.createDataFrame(rows, "doc_id BIGINT, text STRING").repartition(3)).count() == 0
+    assert [spark.read.parquet(str(f)).count() for f in set(folder.glob("blocks-*")) - before] == [0]
+
+
+def test_overlaps_are_those_of_all_places():
+    r, found = np.random.default_rng(2), 0
+    for _ in range(100):
+        n = int(r.integers(1, 40))
+        pair, number, at = np.sort(r.integers(0, 4, n)), r.integers(0, 8, n).astype(np.uint8), r.integers(60, 160, n)
+        wide = [r.integers(0, 50, n) for _ in range(4)]
+        place = np.stack([at, wide[0], wide[1], at + r.integers(-15, 25, n), wide[2], wide[3]], 1).astype("<u4")
+        back, on, shift = np.minimum(wide[0], wide[2]), np.minimum(wide[1], wide[3]), place[:, 3].astype(int) - at
+        expected = []
+        for p in set(pair.tolist()):
+            mine = sorted(np.flatnonzero(pair == p).tolist(), key=lambda i: shift[i])
+            groups = [[mine[0]]]
+            for i in mine[1:]:
+                if shift[i] - shift[groups[-1][-1]] > 10:
+                    groups.append([])
+                groups[-1].append(i)
+            for g in groups:
+                covered = [len({int(number[i]) for i in g if at[i] - back[i] <= q / 2 <= at[i] + on[i]}) >= 2 for q in range(440)]  # also between places
+                edges = [q for q in range(1, 440) if covered[q] != covered[q - 1]]
+                for a, b in zip(edges[::2], edges[1::2]):
+                    a, b = a // 2, (b - 1) // 2
+                    if b - a + 1 >= 23:
+                        expected.append((p, a, b, max(0, a + min(shift[i] for i in g)), b + max(shift[i] for i in g)))
+        got = sorted(zip(*(z.tolist() for z in overlaps(pair, number, place, 2, 46)), strict=True))
+        assert got == sorted(expected)
+        found += len(got)
+    assert found > 100
+
+
+def test_planes_give_numbers_back():
+    numbers, rows = np.arange(7, 3000, 13).astype("<u4"), np.arange(60).astype("<u4").reshape(10, 6)
+    table = pa.table({"n": [_planes(numbers[:50]), b"", _planes(numbers[50:])], "r": [_planes(rows[:4]), b"", _planes(rows[4:])]})
+    assert (_read_planes(table, "n", "<u4") == numbers).all() and (_read_planes(table, "r", "<u4", 6) == rows).all()
+    assert len(_read_planes(table.slice(0, 0), "n", "<u4")) == 0

@@ -46,7 +46,7 @@ AHEAD = (16, -16, 34, -34)
 GRID = 32
 HOT_SHARE = 0.002
 LEVELS = tuple(round(f * 2**32) for f in (0, 0.1, 0.15, 0.2, 0.25, 0.3, 0.4, 0.6, 0.8))  # of the order of shingles in signatures
-PER_BLOCK = 1024  # regions of a block, about
+PER_BLOCK = 2048  # regions of a block, about
 PER_LIST = 200_000  # texts of a frequent shingle that meet in one list at most
 MARK = "slice BIGINT, keys BINARY, classes BINARY, sizes BINARY, counts BINARY, low BINARY, high BINARY, step BINARY"
 BACK = "bucket BIGINT, keys BINARY, sizes BINARY, counts BINARY, at BINARY, shared BINARY, hashes BINARY"
@@ -1037,8 +1037,10 @@ def across_classes(regions: DataFrame, first: DataFrame, linked: DataFrame, hot:
     hot.meet(rest)
     rest = written(regions_of(marked(send_marks(rest, least, bits, hot), bits, hot), least, percent, distinct=True).join(classes, "key"), "open")
     tokens = written(signatures(rest, least, percent), "signatures")
-    lists = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.min("class").alias("low"), F.max("class").alias("high"))
-    tokens = tokens.join(lists.where("low < high").select("token", "n"), "token")
+    names = [F.bit_xor(F.xxhash64(F.lit(seed), "key", "start")).alias(name) for seed, name in enumerate(("one", "two"))]
+    lists = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.min("class").alias("low"), F.max("class").alias("high"), *names)
+    lists = lists.where("low < high").groupBy("n", "one", "two").agg(F.min("token").alias("token"))  # of those that the same regions have one says it all
+    tokens = tokens.join(lists.select("token", "n"), "token")
     anchors = tokens.groupBy("key", "start").agg(F.max(F.struct("n", "token"))["token"].alias("anchor"))
     tokens = written(tokens.drop("n").join(anchors, ["key", "start"]), "tokens")
     per_anchor = written(tokens.select("key", "start", "anchor").distinct().groupBy("anchor").agg(F.count(F.lit(1)).alias("n")), "anchors")
