@@ -16,8 +16,9 @@
 4. Candidates are verified on the shingles of the texts themselves: the passages are trimmed to what they share, and stay if
    both have the least number of words and their sets of shingles have the least Jaccard similarity.
 5. Documents that links connect are a class. What windows and star-wise lists leave out is found across classes: shingles that
-   texts of two classes have are marked again, and blocks of regions that have a shingle of their signatures in common are
-   compared, pair by pair, for any two similar ranges. So no link between two classes is left out; inside a class not all pairs
+   texts of two classes have are marked again, regions are cut to the parts whose distinct values can be similar to those of
+   another class, and blocks of regions that have a shingle of their signatures in common are compared, pair by pair, for any
+   two similar ranges. So no link between two classes is left out; inside a class not all pairs
    are listed. Pairs have no row of their own, but those of large groups that stay apart are all looked at.
 
 Texts with equal word sequences are one text from the beginning; the result names each of them with the one that stands for
