@@ -281,7 +281,7 @@ def test_open_places_hold_all_ranges_that_share_enough():
 
 def test_repeated_lines_around_a_common_one_meet_nowhere(spark):
     """A line of its own again and again, and one that all texts have: no range is like one of another text, so none is compared."""
-    common, rows = prose("common line", 12), []
+    common, rows = prose("common line", 24), []
     for i in range(120):
         line = prose(f"line{i}", 8)
         rows.append((i, " ".join(line * 15 + common + line * 15)))
